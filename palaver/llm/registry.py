@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
-from . import decontamination
+from . import chats, decontamination, licences, mixing, tokens
 
 QUERIES = {
     "op1_decontaminate": decontamination.op1_decontaminate,
+    "op3_licences": licences.op3_licences,
+    "op4_token_counts": tokens.op4_token_counts,
+    "op5_chat_format": chats.op5_chat_format,
+    "op7_mix": mixing.op7_mix,
 }
 ORACLES = {
     "op1_decontaminate": decontamination.ORACLE,
+    "op5_chat_format": chats.ORACLE,
 }
