@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chats, decontamination, licences, mixing, tokens
+from . import chats, decontamination, licences, mixing, simhash, tokens
 
 QUERIES = {
     "op1_decontaminate": decontamination.op1_decontaminate,
@@ -10,6 +10,7 @@ QUERIES = {
     "op4_token_counts": tokens.op4_token_counts,
     "op5_chat_format": chats.op5_chat_format,
     "op7_mix": mixing.op7_mix,
+    "op8_simhash_dedup": simhash.op8_simhash_dedup,
 }
 ORACLES = {
     "op1_decontaminate": decontamination.ORACLE,
