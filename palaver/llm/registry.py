@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import chats, decontamination, licences, mixing, simhash, tokens
+from . import chats, decontamination, licences, mixing, pivots, secrets, simhash, tokens
 
 QUERIES = {
     "op1_decontaminate": decontamination.op1_decontaminate,
     "op3_licences": licences.op3_licences,
     "op4_token_counts": tokens.op4_token_counts,
     "op5_chat_format": chats.op5_chat_format,
+    "op6_secrets": secrets.op6_secrets,
     "op7_mix": mixing.op7_mix,
     "op8_simhash_dedup": simhash.op8_simhash_dedup,
+    "op10_embedding_dedup": pivots.op10_embedding_dedup,
 }
 ORACLES = {
     "op1_decontaminate": decontamination.ORACLE,
     "op5_chat_format": chats.ORACLE,
+    "op6_secrets": secrets.ORACLE,
 }
