@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chats, decontamination, licences, mixing, pivots, secrets, simhash, tokens
+from . import chats, decontamination, licences, mixing, pivots, secrets, simhash, suffixes, tokens
 
 QUERIES = {
     "op1_decontaminate": decontamination.op1_decontaminate,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_secrets": secrets.op6_secrets,
     "op7_mix": mixing.op7_mix,
     "op8_simhash_dedup": simhash.op8_simhash_dedup,
+    "op9_repeated_passages": suffixes.op9_repeated_passages,
     "op10_embedding_dedup": pivots.op10_embedding_dedup,
 }
 ORACLES = {
