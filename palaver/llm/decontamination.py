@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -76,20 +77,47 @@ def _scan(docs: DataFrame, items: list[tuple[str, bytes]], with_spans: bool, wit
 def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES, with_spans: bool = True) -> DataFrame:
     """One row per row of ``docs(doc_id, text)``: doc_id, n_words, hits (word ranges), item_ids (as strings) and spans
     (code point ranges of the hits in the original text), against ``benchmark(item_id, text)``.
-
-    The benchmark is the bounded side: its bytes are counted first, and each shard that goes to the driver and to the
-    executors holds at most about ``shard_bytes`` (or one item).
     """
+    current = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    pending: list[tuple[str, bytes]] | None = None
+    for items in _shards(benchmark, shard_bytes):
+        if pending is not None:
+            current = materialise(_scan(current, pending, False, True, window))
+        pending = items
+    return _scan(current, pending, with_spans, False, window)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """The rows of ``docs`` in which no window occurs, with all their columns; one pass a shard and no shuffle."""
+    kept = docs
+    for items in _shards(benchmark, shard_bytes):
+        kept = _without(kept, items, window)
+    return kept
+
+
+def _without(docs: DataFrame, items: list[tuple[str, bytes]], window: int) -> DataFrame:
+    shared = docs.sparkSession.sparkContext.broadcast(items)
+    at = docs.columns.index("text")
+
+    def make():
+        automaton = PhraseAutomaton((w, item) for item, text in shared.value for w in item_windows(text, window))
+
+        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
+            clean = [next(automaton.find(words_of(t)), None) is None for t in texts(batch.column(at))]
+            return batch.filter(pa.array(clean))
+
+        return step
+
+    return map_batches(docs, make, docs.schema)
+
+
+def _shards(benchmark: DataFrame, shard_bytes: int) -> Iterator[list[tuple[str, bytes]]]:
+    """The benchmark in parts of about ``shard_bytes``. It is the bounded side, but its bytes are counted before any are collected."""
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
     shards = max(1, math.ceil((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) / shard_bytes))
-    current = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     for shard in range(shards):
         mine = items if shards == 1 else items.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(shards)) == shard)
-        last = shard == shards - 1
-        current = _scan(current, [(r[0], r[1].encode()) for r in mine.collect()], with_spans and last, not last, window)
-        if not last:
-            current = materialise(current)
-    return current
+        yield [(r[0], r[1].encode()) for r in mine.collect()]
 
 
 def digest(found: DataFrame) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import chats, decontamination, licences, mixing, pivots, secrets, simhash, suffixes, tokens
+from . import chats, decontamination, licences, mixing, pivots, quality, secrets, simhash, suffixes, tokens
 
 QUERIES = {
     "op1_decontaminate": decontamination.op1_decontaminate,
+    "op2_quality": quality.op2_quality,
     "op3_licences": licences.op3_licences,
     "op4_token_counts": tokens.op4_token_counts,
     "op5_chat_format": chats.op5_chat_format,
