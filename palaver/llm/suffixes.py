@@ -254,21 +254,24 @@ def _compare(dealt: DataFrame, group_rows: int) -> DataFrame:
 
 
 def _written_out(large: DataFrame) -> DataFrame:
-    """The same spans for suffixes of very common grams: every stretch is a row, and Spark groups equal ones."""
+    """The same spans for suffixes of very common grams. Suffixes of equal gram and reach are one class; every stretch of a class is a row,
+    and Spark groups equal ones."""
+    classes = materialise(large.groupBy("gram", "reach").agg(F.count(F.lit(1)).alias("places"), F.min("doc_id").alias("first_doc")).withColumn("cls", F.monotonically_increasing_id()))
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             hashed, valid = _stretches(batch.column(3).to_numpy(zero_copy_only=False), *_reach_rows(batch.column(4)))
             at = np.flatnonzero(valid.ravel())
             row = pa.array(at // (STEP + 1))
-            start = batch.column(2).to_numpy(zero_copy_only=False)[at // (STEP + 1)] - STEP + at % (STEP + 1)
-            return pa.RecordBatch.from_arrays([batch.column(0).take(row), batch.column(1).take(row), pa.array(start), pa.array(hashed.ravel()[at].view(np.int64))], names=["rid", "doc_id", "start", "stretch"])
+            return pa.RecordBatch.from_arrays([*(batch.column(i).take(row) for i in range(3)), pa.array(at % (STEP + 1)), pa.array(hashed.ravel()[at].view(np.int64))], names=["cls", "places", "first_doc", "offset", "stretch"])
 
         return step
 
-    every = map_batches(large.select("rid", "doc_id", "start", "gram", "reach"), make, "rid long, doc_id long, start long, stretch long")
-    several = every.groupBy("stretch").agg(F.count(F.lit(1)).alias("places"), F.min("doc_id").alias("first_doc")).filter("places > 1")
-    return every.join(several, "stretch").select("rid", "doc_id", "start", (F.col("start") + MIN_WORDS).alias("end"), "first_doc")
+    every = map_batches(classes.select("cls", "places", "first_doc", "gram", "reach"), make, "cls long, places long, first_doc long, offset long, stretch long")
+    several = every.groupBy("stretch").agg(F.sum("places").alias("all_places"), F.min("first_doc").alias("least")).filter("all_places > 1")
+    found = every.join(several, "stretch").groupBy("cls").agg(F.min("offset").alias("low"), F.max("offset").alias("high"), F.min("least").alias("least"))
+    spans = classes.select("cls", "gram", "reach").join(found, "cls").drop("cls")
+    return large.join(spans, ["gram", "reach"]).select("rid", "doc_id", (F.col("start") - STEP + F.col("low")).alias("start"), (F.col("start") - STEP + F.col("high") + MIN_WORDS).alias("end"), F.col("least").alias("first_doc"))
 
 
 def repeated_passages(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
