@@ -2,5 +2,10 @@
 
 from __future__ import annotations
 
+from . import ordered, tagging
+
 QUERIES: dict = {}
 ORACLES: dict = {}
+for _module in (tagging, ordered):
+    QUERIES |= _module.QUERIES
+    ORACLES |= _module.ORACLES
