@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import ordered, tagging
+from . import ordered, scoring, tagging
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (tagging, ordered):
+for _module in (tagging, ordered, scoring):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
