@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import ordered, scoring, tagging
+from . import modelling, ordered, scoring, tagging
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (tagging, ordered, scoring):
+for _module in (tagging, ordered, scoring, modelling):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES
