@@ -6,7 +6,6 @@ import os
 import tempfile
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -102,15 +101,9 @@ def top_k(df: DataFrame, key: str, k: int, tie_breakers: list[str], buckets: int
     return df.filter(above).unionByName(last)
 
 
-def hex_digest_rows(parts: list[str]) -> str:
-    import hashlib
-
-    return hashlib.sha256(",".join(parts).encode()).hexdigest()
-
-
-def int64_column(values: list | np.ndarray) -> pa.Array:
-    return pa.array(np.asarray(values, dtype=np.int64))
-
-
-def nullable_ids(column: pa.Array) -> pa.Array:
-    return column.cast(pa.int64())
+def hash_sample(df: DataFrame, columns: list[str], size: int, total: int) -> DataFrame:
+    """About ``size`` of the ``total`` rows of ``df``, picked by the hash of ``columns`` (all rows if there are no more): a filter, so no task
+    sends more than its share. The number of rows is within a few standard deviations (sqrt(size)) of ``size``."""
+    if total <= size:
+        return df
+    return df.filter(F.pmod(F.xxhash64(F.lit("sample"), *columns), F.lit(1 << 32)) < F.lit(size * (1 << 32) // total))

@@ -4,7 +4,7 @@ Two generative models say how likely a document of the target (labelled good and
 hold a feature. Features are hashed unigrams of words and hashed bigrams of token shapes (case, digits, symbols, repetition), each counted once a
 document. A document's log importance weight is the sum of log(target rate / raw rate) over its features, where rates are
 shrunk by ``PRIOR`` documents and features whose ratio stays within e**+-``CUT`` are taken as noise and count nothing. The corpus side
-counts every document; the target side is fitted on at most ``TARGET_SAMPLE`` labelled documents, chosen by the hash of their ids.
+counts every document; the target side is fitted on about ``TARGET_SAMPLE`` labelled documents at most, chosen by the hash of their ids.
 
 Sampling is Gumbel top-k: key = log weight + ``NOISE`` * Gumbel(0, 1), drawn from the doc_id, and the k largest keys stay. k is
 the effective number of target-like documents, the sum of min(1, weight) over all documents, unless it is given.
@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from .common import ALNUM, map_batches, materialise, read_table, texts, top_k, unit_interval
+from .common import ALNUM, hash_sample, map_batches, materialise, read_table, texts, top_k, unit_interval
 
 WORD_BITS, SHAPE_BITS = 20, 18
 FEATURES = (1 << WORD_BITS) + (1 << SHAPE_BITS)
@@ -67,9 +67,9 @@ class Featuriser(dict):
 
 
 def target_ids(labels: DataFrame, sample: int = TARGET_SAMPLE) -> np.ndarray:
-    """Sorted ids of at most ``sample`` documents whose labels are all good and not toxic."""
-    good = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).filter("quality = 1 and toxic = 0")
-    picked = good.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("doc_id").alias("h")).orderBy("h", "doc_id").limit(sample)
+    """Sorted ids of about ``sample`` documents (all if there are fewer) whose labels are all good and not toxic."""
+    good = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).filter("quality = 1 and toxic = 0").select(F.col("doc_id").cast("long").alias("doc_id"))
+    picked = hash_sample(good, ["doc_id"], sample, good.count())
     return np.sort(np.array([r[0] for r in picked.collect()], np.int64))
 
 
