@@ -4,7 +4,7 @@ Every vector is described by its ``NEAREST`` nearest pivots. The inverted lists
 meet in a list exactly when they share at least two pivots; every meeting is verified by the cosine in double precision. A
 pair that meets in several lists counts in the list of its two smallest shared pivots only.
 
-The pivots are fitted on a bounded sample: the ``SAMPLE`` distinct vectors with the smallest hash, from which about
+The pivots are fitted on a bounded sample: about ``SAMPLE`` distinct vectors at most, chosen by hash, from which about
 sqrt(number of vectors) pivots, 64 to 1024, are picked by farthest-first traversal. All vectors are indexed.
 
 Equal vectors are one class with a multiplicity. A list of over ``CHUNK`` classes is dealt into cells of two chunks, and every
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import materialise, read_table
+from .common import hash_sample, materialise, read_table
 from .components import connected_components
 
 THRESHOLD = 0.9
@@ -168,7 +168,7 @@ def _links(classes: DataFrame, dim: int, threshold: float, nearest: int, chunk:
     total = classes.count()
     if total < 2:
         return None
-    sample = [r[0] for r in classes.select("v", F.xxhash64("v").alias("h")).orderBy("h").limit(SAMPLE).select("v").collect()]
+    sample = [r[0] for r in hash_sample(classes.select("v"), ["v"], SAMPLE, total).collect()]
     pivots = pick_pivots(unit_rows(np.array(sample, np.float64).ravel(), dim), min(MAX_PIVOTS, max(MIN_PIVOTS, math.isqrt(total))))
     # with fewer pivots than a description holds, or one pivot only, all vectors meet in one list
     width = min(nearest, len(pivots))
