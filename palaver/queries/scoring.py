@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from palaver.functions import numbers, tags
 from palaver.operators import evaluation as ev
 from palaver.operators import repairs
+from palaver.plans import evaluation as plan
 
 from .base import TAGGED, WORDS, sql, table, tagged, words
 
@@ -102,6 +103,11 @@ def percentile_nist(spark: SparkSession, sf: str) -> DataFrame:
     return values.select("speaker", *(F.round(numbers.nist_percentile(F.col("v"), F.lit(p)), 6).alias(f"p{int(p)}") for p in (0.0, 10.0, 50.0, 99.9)))
 
 
+def evaluation_report(spark: SparkSession, sf: str) -> DataFrame:
+    """All scores of a run in one long table."""
+    return plan.evaluate(tagged(spark, sf), LINE, ["conv_id", "utt"]).filter("metric in ('nist_su', 'dser', 'word_f1')")
+
+
 def error_rates_by_channel(spark: SparkSession, sf: str) -> DataFrame:
     """Conversations in which both channels stay under an error rate of 0.4."""
     t = tagged(spark, sf)
@@ -176,7 +182,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         prf_word, prf_by_speaker, prf_combined, prf_rms_generous, relaxed_utt, relaxed_10s, prf_interval, boundary_errors, speaker_rates, rate_correlation, error_by_type, tag_distribution, confusion_top20, classification_report, report_averages, results_table, metric_rollup,
-        percentile_nist, error_rates_by_channel, log_conventions, corpus_statistics, repair_positions, words_per_speaker_join, simulate_increco, final_from_increco, edit_overhead, time_to_detection, first_block,
+        percentile_nist, evaluation_report, error_rates_by_channel, log_conventions, corpus_statistics, repair_positions, words_per_speaker_join, simulate_increco, final_from_increco, edit_overhead, time_to_detection, first_block,
     )
 }
 
@@ -263,4 +269,11 @@ SELECT round(avg(words), 6) AS words, round(avg(ms), 6) AS ms, count(*) AS n_det
     ),
     "first_block": sql(TAGGED + _LOGS, "SELECT conv_id, pos, word, start_ms FROM log WHERE update_no = 0"),
 }
+ORACLES["evaluation_report"] = (
+    ORACLES["boundary_errors"].replace("\nSELECT *, round(", ",\nbe AS (SELECT *, round(").replace(" AS dser FROM z", " AS dser FROM z)")
+    + f"""
+SELECT 'nist_su' AS metric, '' AS tag, CAST(nist_su AS DOUBLE) AS value FROM be UNION ALL SELECT 'dser', '', CAST(dser AS DOUBLE) FROM be
+UNION ALL SELECT 'word_f1', tag, CAST(f1 AS DOUBLE) FROM (SELECT tag, {_PRF} FROM ({_ALL}))
+UNION ALL SELECT 'word_f1', tag, CAST(f1 AS DOUBLE) FROM (SELECT '<rm.<i.<rp' AS tag, {_PRF} FROM (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM ({_ALL}) WHERE tag IN ('<rm', '<i', '<rp')))"""
+)
 ORACLES = {k: v.replace("\n, ", ",\n", 1) if v.startswith("WITH") else v for k, v in ORACLES.items()}
