@@ -107,9 +107,9 @@ def eval_tags(tags: list[str], words: list[str], simple: bool = False) -> list[s
 
     Repairs are named after their onset. Words between onset and end are in the repair; an end closes every open repair.
     """
-    out: list[list[str]] = [[] for _ in tags]
     segment = [(re.search("<[ct]*/>", t) or [""])[0] for t in tags]
     edit = ["<e/>" in t or "<i/>" in t for t in tags]
+    out: list[list[str]] = [["<e/>"] if e else [] for e in edit]
     back: dict[int, int] = {}
     is_open: list[int] = []
     for t, tag in enumerate(tags):
@@ -137,7 +137,7 @@ def eval_tags(tags: list[str], words: list[str], simple: bool = False) -> list[s
                 is_open.remove(r)
             elif t > r:
                 out[t].append(f'<rp id="{r}"/>')
-    return ["".join((["<e/>"] if e else []) + o if o else ["<e/>" if e else "<f/>"]) + s for o, e, s in zip(out, edit, segment)]
+    return [("".join(o) or "<f/>") + s for o, s in zip(out, segment)]
 
 
 def to_eval(df: DataFrame, tag: str = "inc", simple: bool = False) -> DataFrame:

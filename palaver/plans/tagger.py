@@ -32,7 +32,7 @@ class Tagger:
     def replay(self, updates: DataFrame) -> DataFrame:
         return live.replay(updates, self.session)
 
-    def stream(self, updates: DataFrame, idle: str = "1 hour") -> DataFrame:
+    def stream(self, updates: DataFrame, idle: str | None = None) -> DataFrame:
         return live.tag_stream(updates, self.session, idle)
 
     def with_transitions(self, states: DataFrame, by: list[str], order: str) -> Tagger:

@@ -146,10 +146,11 @@ def replay(updates: DataFrame, make_session: Callable[[], TaggingSession]) -> Da
     return updates.select(*UPDATE_FIELDS).groupBy("key").applyInPandas(run, OUTPUT)
 
 
-def tag_stream(updates: DataFrame, make_session: Callable[[], TaggingSession], idle: str = "1 hour") -> DataFrame:
-    """The same rows from a stream of updates. State: the session's words, tags and last lattice columns; a key that stays idle is forgotten.
-    Within a micro-batch a key's updates are taken in order of ``update_no``."""
-    milliseconds = int(pd.Timedelta(idle).total_seconds() * 1000)
+def tag_stream(updates: DataFrame, make_session: Callable[[], TaggingSession], idle: str | None = None) -> DataFrame:
+    """The same rows from a stream of updates. State: the session's words, tags and last lattice columns. With ``idle`` (a duration) a key that
+    stays idle is forgotten; Spark then runs batches without data too, so such a stream is for continuous triggers. Within a
+    micro-batch a key's updates are taken in order of ``update_no``."""
+    milliseconds = int(pd.Timedelta(idle).total_seconds() * 1000) if idle else 0
 
     def run(key, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -161,10 +162,11 @@ def tag_stream(updates: DataFrame, make_session: Callable[[], TaggingSession], i
         rows = list(frames)
         out = _apply(session, key[0], pd.concat(rows)) if rows else []
         state.update((session.dump(),))
-        state.setTimeoutDuration(milliseconds)
+        if milliseconds:
+            state.setTimeoutDuration(milliseconds)
         yield _frame(out)
 
-    return updates.select(*UPDATE_FIELDS).groupBy("key").applyInPandasWithState(run, OUTPUT, "session string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return updates.select(*UPDATE_FIELDS).groupBy("key").applyInPandasWithState(run, OUTPUT, "session string", "append", GroupStateTimeout.ProcessingTimeTimeout if idle else GroupStateTimeout.NoTimeout)
 
 
 def final_view(rows: DataFrame) -> DataFrame:
