@@ -171,9 +171,9 @@ def tag_stream(updates: DataFrame, make_session: Callable[[], TaggingSession], i
 
 def final_view(rows: DataFrame) -> DataFrame:
     """The tags that stand: the highest version of each position below the length of the key's last version."""
-    last = rows.groupBy("key").agg(F.max_by("length", "version").alias("length"))
-    best = rows.groupBy("key", "idx").agg(F.max_by(F.struct("word", "tag"), "version").alias("v"))
-    return best.join(last, "key").filter("idx < length").select("key", "idx", "v.word", "v.tag")
+    last = F.max(F.struct("version", "length")).over(Window.partitionBy("key"))["length"]
+    standing = rows.withColumn("__last", last).filter(F.col("idx") < F.col("__last"))
+    return standing.groupBy("key", "idx").agg(F.max_by(F.struct("word", "tag"), "version").alias("v")).select("key", "idx", "v.word", "v.tag")
 
 
 def hypothesis_log(words: DataFrame, key: str, order: str, columns: tuple[str, str, str] = ("word", "start", "end")) -> DataFrame:
