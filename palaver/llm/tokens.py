@@ -139,9 +139,9 @@ def op4_token_counts(spark: SparkSession, sf_dir: str, vocabulary: str = VOCABUL
 
 def brute_force(word: bytes, pieces: set[bytes]) -> list[bytes] | None:
     """Greedy longest match by cutting pieces out."""
-    out, at, longest = [], 0, max(map(len, pieces), default=0)
+    out, at = [], 0
     while at < len(word):
-        n = next((n for n in range(min(longest, len(word) - at), 0, -1) if word[at : at + n] in pieces), 0)
+        n = next((n for n in range(len(word) - at, 0, -1) if word[at : at + n] in pieces), 0)
         if not n:
             return None
         out.append(word[at : at + n])

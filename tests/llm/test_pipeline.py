@@ -1,0 +1,40 @@
+import corpus_pipeline
+from pyspark.sql import functions as F
+
+from palaver.llm import decontamination, secrets, simhash
+
+SF = "/root/testdata/sf0.001"
+
+
+def test_stages_against_brute_force(spark):
+    docs = spark.read.parquet(SF + "/documents.parquet")
+    stage = dict(corpus_pipeline.STAGES)
+    good = stage["quality"](spark, docs, SF).cache()
+    assert good.columns == docs.columns
+    labels = {r["doc_id"]: (r["quality"], r["toxic"]) for r in spark.read.parquet(SF + "/labels.parquet").collect()}
+    kept = {r["doc_id"] for r in good.collect()}
+    clean = [k for k, v in labels.items() if v == (1, 0)]
+    assert sum(k in kept for k in clean) >= 0.95 * len(clean)
+    want = simhash.brute_force([(r["doc_id"], r["text"]) for r in good.collect()])
+    heads = stage["near_duplicates"](spark, good, SF).cache()
+    assert sorted(r["doc_id"] for r in heads.collect()) == sorted({c for _, c in want.values()})
+    assert stage["near_duplicates"](spark, good.unionByName(good), SF).count() == heads.count()
+    items = [(r["item_id"], r["text"]) for r in spark.read.parquet(SF + "/benchmark.parquet").collect()]
+    free = stage["decontamination"](spark, heads, SF).cache()
+    assert {r["doc_id"] for r in free.collect()} == {r["doc_id"] for r in heads.collect() if not decontamination.brute_force(r["text"], items)[-1]}
+    masked = stage["secrets"](spark, free, SF).cache()
+    assert masked.columns == docs.columns and masked.count() == free.count()
+    assert secrets.scan_secrets(masked).filter(F.exists("spans", lambda s: s["kind"] < 3)).isEmpty()
+    assert masked.filter(F.length("text") != F.col("n_chars")).isEmpty()
+
+
+def test_run(spark):
+    out = corpus_pipeline.run(spark, SF)
+    assert out.count() > 0 and {"doc_id", "text", "source", "copy"} <= set(out.columns)
+
+
+def test_empty_documents(spark):
+    docs = spark.read.parquet(SF + "/documents.parquet").limit(0)
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, SF)
+    assert docs.isEmpty()
