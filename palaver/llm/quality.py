@@ -3,8 +3,9 @@
 Two generative models say how likely a document of the target (labelled good and not toxic) and a document of the raw corpus is to
 hold a feature. Features are hashed unigrams of words and hashed bigrams of token shapes (case, digits, symbols, repetition), each counted once a
 document. A document's log importance weight is the sum of log(target rate / raw rate) over its features, where rates are
-shrunk by ``PRIOR`` documents and features whose ratio stays within e**+-``CUT`` are taken as noise and count nothing. The corpus side
-counts every document; the target side is fitted on about ``TARGET_SAMPLE`` labelled documents at most, chosen by the hash of their ids.
+shrunk by ``PRIOR`` documents and features whose ratio stays within e**+-``CUT`` are taken as noise and count nothing, as are those that fewer than ``WITNESSES``
+labelled documents outside the target hold: what is rare among labelled documents only because few were labelled says nothing. The corpus side
+counts every document; the labelled sides are about ``TARGET_SAMPLE`` documents at most each, chosen by the hash of their ids.
 
 Sampling is Gumbel top-k: key = log weight + ``NOISE`` * Gumbel(0, 1), drawn from the doc_id, and the k largest keys stay. k is
 the effective number of target-like documents, the sum of min(1, weight) over all documents, unless it is given.
@@ -31,8 +32,9 @@ from .common import ALNUM, hash_sample, map_batches, materialise, read_table, te
 WORD_BITS, SHAPE_BITS = 20, 18
 FEATURES = (1 << WORD_BITS) + (1 << SHAPE_BITS)
 TARGET_SAMPLE = 200_000
-PRIOR = 4.0
+PRIOR = 3.0
 CUT = 1.0
+WITNESSES = 3
 NOISE = 0.2
 SEED = 2
 MEMO_TOKENS = 300_000
@@ -66,40 +68,44 @@ class Featuriser(dict):
         return np.unique(np.concatenate([words, pairs]))
 
 
-def target_ids(labels: DataFrame, sample: int = TARGET_SAMPLE) -> np.ndarray:
-    """Sorted ids of about ``sample`` documents (all if there are fewer) whose labels are all good and not toxic."""
-    good = labels.filter("doc_id is not null").groupBy("doc_id").agg(F.min("quality").alias("quality"), F.max("toxic").alias("toxic")).filter("quality = 1 and toxic = 0").select(F.col("doc_id").cast("long").alias("doc_id"))
-    picked = hash_sample(good, ["doc_id"], sample, good.count())
-    return np.sort(np.array([r[0] for r in picked.collect()], np.int64))
+def labelled_ids(labels: DataFrame, sample: int = TARGET_SAMPLE) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted ids of about ``sample`` documents (all if there are fewer) whose labels are all good and not toxic, and of as many others."""
+    judged = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.coalesce((F.min("quality") == 1) & (F.max("toxic") == 0), F.lit(False)).alias("good"))
+    ids = []
+    for side in (F.col("good"), ~F.col("good")):
+        rows = judged.filter(side).select("doc_id")
+        ids.append(np.sort(np.array([r[0] for r in hash_sample(rows, ["doc_id"], sample, rows.count()).collect()], np.int64)))
+    return ids[0], ids[1]
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = TARGET_SAMPLE, prior: float = PRIOR, cut: float = CUT) -> dict[str, np.ndarray]:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = TARGET_SAMPLE, prior: float = PRIOR, cut: float = CUT, witnesses: int = WITNESSES) -> dict[str, np.ndarray]:
     """The features that tell target from raw documents, and their log ratios; FEATURES of them at most."""
-    targets = docs.sparkSession.sparkContext.broadcast(target_ids(labels, sample))
+    judged = docs.sparkSession.sparkContext.broadcast(labelled_ids(labels, sample))
 
     def count(batches):
-        featuriser, wanted = Featuriser(), targets.value
-        raw, target = np.zeros(FEATURES + 1, np.int64), np.zeros(FEATURES + 1, np.int64)
+        featuriser, (good, bad) = Featuriser(), judged.value
+        raw, target, rejected = (np.zeros(FEATURES + 1, np.int64) for _ in range(3))
         for batch in batches:
-            ids = batch.column(0)
-            known = np.isin(ids.fill_null(0).to_numpy(zero_copy_only=False), wanted) & ids.is_valid().to_numpy(zero_copy_only=False)
-            for good, text in zip(known.tolist(), texts(batch.column(1))):
+            ids, known = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), batch.column(0).is_valid().to_numpy(zero_copy_only=False)
+            for is_good, is_bad, text in zip((known & np.isin(ids, good)).tolist(), (known & np.isin(ids, bad)).tolist(), texts(batch.column(1))):
                 found = np.append(featuriser.features(text), FEATURES)  # the last place counts documents
                 raw[found] += 1
-                if good:
+                if is_good:
                     target[found] += 1
+                elif is_bad:
+                    rejected[found] += 1
         at = np.flatnonzero(raw)
         for part in np.array_split(at, max(1, at.size // 50_000)):
-            yield pa.RecordBatch.from_pydict({"feature": pa.array(part), "raw": pa.array(raw[part]), "target": pa.array(target[part])})
+            yield pa.RecordBatch.from_pydict({"feature": pa.array(part), "raw": pa.array(raw[part]), "target": pa.array(target[part]), "rejected": pa.array(rejected[part])})
 
-    counts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(count, "feature long, raw long, target long")
-    counts = materialise(counts.groupBy("feature").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target")))
+    counts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(count, "feature long, raw long, target long, rejected long")
+    counts = materialise(counts.groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("raw", "target", "rejected"))))
     sizes = counts.filter(F.col("feature") == FEATURES).first()
     if not sizes or not sizes["target"]:
         return {"feature": np.empty(0, np.int64), "ratio": np.empty(0)}
     share = sizes["target"] / sizes["raw"]
     ratio = F.log((F.col("target") + F.lit(prior)) / (F.col("raw") * F.lit(share) + F.lit(prior)))
-    telling = counts.filter(F.col("feature") < FEATURES).select("feature", ratio.alias("ratio")).filter(F.abs("ratio") >= cut).toPandas()
+    telling = counts.filter((F.col("feature") < FEATURES) & (F.col("rejected") >= witnesses)).select("feature", ratio.alias("ratio")).filter(F.abs("ratio") >= cut).toPandas()
     return {"feature": telling["feature"].to_numpy(np.int64), "ratio": telling["ratio"].to_numpy(float)}
 
 
