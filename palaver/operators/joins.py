@@ -72,3 +72,21 @@ def mean_over(points: DataFrame, intervals: DataFrame, by: list[str], key: list[
     hits = points_in_intervals(points.select(*by, at, value), intervals.select(*by, *[c for c in key if c not in by], "start_ms", "end_ms"), by, at, bucket)
     means = hits.groupBy(*key).agg(F.avg(value).alias(f"mean_{value}"), F.count(F.lit(1)).alias("n_points"))
     return intervals.join(means, key, "left").withColumn("n_points", F.coalesce("n_points", F.lit(0)))
+
+
+def encode_rows(df: DataFrame, words: DataFrame, pos: DataFrame, tags: DataFrame, by: list[str], order: list[str]) -> DataFrame:
+    """``df(word, pos_tag, tag)`` as vocabulary indices, with the previous word's index (-1 at the start). Unknown words and POS tags get their
+    ``<unk>``; an unknown tag is an error, for a label that is not in the scheme cannot be learned."""
+    out = lookup(lookup(df, words, "word"), pos, "pos_tag")
+    out = lookup(out, tags, "tag", unknown=None)
+    known = F.when(F.col("tag_idx").isNull(), F.raise_error(F.concat(F.lit("tag not in the scheme: "), F.col("tag")))).otherwise(F.col("tag_idx"))
+    return out.withColumn("tag_idx", known).withColumn("previous_word_idx", F.lag("word_idx", 1, -1).over(Window.partitionBy(*by).orderBy(*order)))
+
+
+def matrix_faults(df: DataFrame, limits: dict[str, int], width: str | None = None, expected_width: int | None = None) -> DataFrame:
+    """How many rows have an index outside its vocabulary (``limits``: column -> vocabulary size) or a feature array of the wrong length."""
+    outside = lambda c, n: F.coalesce((F.col(c) < 0) | (F.col(c) >= n), F.lit(True))
+    sums = [F.sum(outside(c, n).cast("long")).alias(f"bad_{c}") for c, n in limits.items()]
+    if width:
+        sums.append(F.sum((F.coalesce(F.size(width), F.lit(-1)) != expected_width).cast("long")).alias(f"bad_{width}"))
+    return df.agg(F.count(F.lit(1)).alias("n_rows"), *sums)

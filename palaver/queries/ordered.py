@@ -202,6 +202,24 @@ def vocab_encode(spark: SparkSession, sf: str) -> DataFrame:
     return joins.lookup(w.select(*KEY, "word"), vocab, "word").select(*KEY, "word_idx")
 
 
+_TAG_ROWS = [("<f/>", 0), ("<e/>", 1), ("<r/>", 2)]
+
+
+def encode_corpus(spark: SparkSession, sf: str) -> DataFrame:
+    t = tagged(spark, sf)
+    frequent = t.groupBy("word").count().filter("count >= 20").select(F.col("word").alias("token"))
+    vocab = seq.with_rank(frequent, "token").withColumnRenamed("rank", "idx").unionByName(spark.createDataFrame([("<unk>", -1)], "token string, idx long"))
+    pos = spark.createDataFrame([("NN", 0), ("<unk>", 1)], "token string, idx long")
+    tags = spark.createDataFrame(_TAG_ROWS, "token string, idx long")
+    rows = t.select(*KEY, "word", F.when(F.length("word") > 3, "NN").otherwise("XX").alias("pos_tag"), F.when(F.col("gold").contains("<r"), "<r/>").when(F.col("gold").contains("<e"), "<e/>").otherwise("<f/>").alias("tag"))
+    return joins.encode_rows(rows, vocab, pos, tags, LINE, BY).select(*KEY, "word_idx", "previous_word_idx", "pos_tag_idx", "tag_idx")
+
+
+def matrix_faults(spark: SparkSession, sf: str) -> DataFrame:
+    w = words(spark, sf).select((F.length("word") - 2).alias("word_idx"), (F.col("idx") % 5).alias("pos_idx"), F.sequence(F.lit(1), F.when(F.col("pos") % 50 == 0, 2).otherwise(3)).alias("features"))
+    return joins.matrix_faults(w, {"word_idx": 12, "pos_idx": 5}, "features", 3)
+
+
 def intensity_by_word(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events", "event_id", "user_id", "value").select((F.col("user_id") % 7).alias("channel"), (F.col("event_id") * 13 % 100000).alias("at"), "value")
     w = words(spark, sf).filter("speaker = 'user'").select((F.col("conv_id") % 7).alias("channel"), "conv_id", "speaker", "pos", "start_ms", "end_ms")
@@ -232,7 +250,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         context_window, context_window_sym, bptt_ranges, last_n, dialogue_matrix, timing_trigrams, zero_length_repair, edit_term_runs, repair_contexts, repair_table, rename_repairs, resolve_embedded, relaxed_repairs, corpus_fixups, inc_to_eval, merge_continuations, floor_tags,
-        speaker_sequences, next_same_speaker, act_neighbours, folds, split_by_dialogue, near_repeats, prefix_counts, fake_timings, interval_overlap, containment, word_segments, fallback_join, metadata_lookup, vocab_encode, intensity_by_word, range_semi_anti, previous_boundary, config_grid,
+        speaker_sequences, next_same_speaker, act_neighbours, folds, split_by_dialogue, near_repeats, prefix_counts, fake_timings, interval_overlap, containment, word_segments, fallback_join, metadata_lookup, vocab_encode, encode_corpus, matrix_faults, intensity_by_word, range_semi_anti, previous_boundary, config_grid,
     )
 }
 
@@ -316,6 +334,12 @@ SELECT conv_id, role, merged, min(turn) AS first_turn, count(*) AS n_turns, CAST
     "fallback_join": sql(WORDS, "SELECT CAST(conv_id AS VARCHAR) || '-' AS sid, count(*) AS n_words FROM words GROUP BY conv_id"),
     "metadata_lookup": "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN n_name ELSE r_name END AS caller_place FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey",
     "vocab_encode": sql(WORDS, ", v AS (SELECT word, row_number() OVER (ORDER BY encode(word)) - 1 AS i FROM words GROUP BY word HAVING count(*) >= 20) SELECT conv_id, speaker, pos, coalesce(i, -1) AS word_idx FROM words LEFT JOIN v USING (word)"),
+    "encode_corpus": sql(
+        TAGGED,
+        """, v AS (SELECT word, row_number() OVER (ORDER BY encode(word)) - 1 AS i FROM tagged GROUP BY word HAVING count(*) >= 20), e AS (SELECT t.*, coalesce(i, -1) AS word_idx FROM tagged t LEFT JOIN v USING (word))
+SELECT conv_id, speaker, pos, word_idx, lag(word_idx, 1, -1) OVER (PARTITION BY conv_id, speaker ORDER BY pos) AS previous_word_idx, CAST(length(word) <= 3 AS BIGINT) AS pos_tag_idx, CAST(CASE WHEN contains(gold, '<r') THEN 2 WHEN contains(gold, '<e') THEN 1 ELSE 0 END AS BIGINT) AS tag_idx FROM e""",
+    ),
+    "matrix_faults": sql(WORDS, "SELECT count(*) AS n_rows, count(*) FILTER (WHERE length(word) - 2 < 0 OR length(word) - 2 >= 12) AS bad_word_idx, CAST(0 AS BIGINT) AS bad_pos_idx, count(*) FILTER (WHERE pos % 50 = 0) AS bad_features FROM words"),
     "intensity_by_word": sql(
         WORDS,
         """, e AS (SELECT user_id % 7 AS channel, event_id * 13 % 100000 AS at, value FROM events)
