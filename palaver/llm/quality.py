@@ -34,7 +34,7 @@ FEATURES = (1 << WORD_BITS) + (1 << SHAPE_BITS)
 TARGET_SAMPLE = 200_000
 PRIOR = 3.0
 CUT = 1.0
-WITNESSES = 3
+WITNESSES = 8
 NOISE = 0.2
 SEED = 2
 MEMO_TOKENS = 300_000
