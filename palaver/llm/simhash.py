@@ -56,17 +56,18 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and fp (the fingerprint as a signed long) for each row of ``docs(doc_id, text)``."""
+def fingerprints(docs: DataFrame, row: str | None = None) -> DataFrame:
+    """doc_id, fp (the fingerprint as a signed long) and the long column ``row``, if one is named, for each row of ``docs(doc_id, text)``."""
+    carried = [row] if row else []
 
     def make():
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             found = np.array([fingerprint(t) for t in texts(batch.column(1))], np.uint64)
-            return pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "fp": pa.array(found.view(np.int64))})
+            return pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "fp": pa.array(found.view(np.int64))} | {c: batch.column(2) for c in carried})
 
         return step
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), make, "doc_id long, fp long")
+    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried), make, "doc_id long, fp long" + "".join(f", {c} long" for c in carried))
 
 
 def tables(blocks: int, radius: int = RADIUS) -> list[int]:
@@ -167,15 +168,16 @@ def link_forest(distinct: DataFrame, radius: int = RADIUS, levels: tuple[int, ..
     return edges
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, levels: tuple[int, ...] = LEVELS, limit: int = BUCKET_ROWS) -> DataFrame:
-    """doc_id, fp, component_id for each row of ``docs(doc_id, text)``."""
-    thin = materialise(fingerprints(docs))
+def near_duplicates(docs: DataFrame, radius: int = RADIUS, levels: tuple[int, ...] = LEVELS, limit: int = BUCKET_ROWS, row: str | None = None) -> DataFrame:
+    """doc_id, fp, component_id for each row of ``docs(doc_id, text)``. With ``row``, the name of a long column, also that column and root:
+    the component's smallest fingerprint, which tells apart components of one name or none."""
+    thin = materialise(fingerprints(docs, row))
     classes = thin.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = materialise(connected_components(link_forest(classes.select("fp"), radius, levels, limit)))
     names = roots.join(classes, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("first").alias("component_id"))
-    named = roots.join(names, "root").select(F.col("node").alias("fp"), "component_id")
-    full = classes.join(named, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return thin.join(full, "fp").select("doc_id", "fp", "component_id")
+    named = roots.join(names, "root").select(F.col("node").alias("fp"), "root", "component_id")
+    full = classes.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first").alias("component_id"))
+    return thin.join(full, "fp").select("doc_id", "fp", "component_id", *([row, "root"] if row else []))
 
 
 def digest(found: DataFrame) -> DataFrame:

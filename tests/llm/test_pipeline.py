@@ -38,3 +38,17 @@ def test_empty_documents(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, SF)
     assert docs.isEmpty()
+
+
+def test_one_row_of_every_group(spark):
+    words = lambda name, n=40: " ".join(f"{name}{i * i % 97}" for i in range(n))
+    a, b, c, d, e = (words(x) for x in "abcde")
+    rows = [(None, a), (None, b), (None, b), (5, c), (None, c), (7, d), (7, e), (7, e), (9, e)]
+    docs = spark.createDataFrame([(i, t, "en", "web", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    stage = dict(corpus_pipeline.STAGES)["near_duplicates"]
+    want = [(None, a), (None, b), (5, c), (7, d), (7, e)]
+    got = stage(spark, docs, SF)
+    assert got.columns == docs.columns
+    assert sorted(map(str, got.select("doc_id", "text").collect())) == sorted(map(str, spark.createDataFrame(want, "doc_id long, text string").collect()))
+    kept = stage(spark, docs.filter("doc_id is null or doc_id = 5"), SF).select("doc_id", "text").collect()  # no doc_id repeats
+    assert sorted(r["text"] for r in kept) == sorted([a, b, c]) and [r["text"] for r in kept if r["doc_id"] == 5] == [c]
