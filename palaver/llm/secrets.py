@@ -112,11 +112,11 @@ def digest(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, mask: str = MASK) -> DataFrame:
     """``docs`` with every reported span replaced by ``mask``; all other columns and rows stay as they are.
 
-    Spans are found on the distinct (doc_id, text) rows and joined back on the id and the text's hash and length.
+    Spans are found row by row, so repeated rows do not mix, and joined back once for each id and hash and length of a text.
     """
     row = [F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__hash"), F.length("text").alias("__length")]
-    rows = docs.select(F.struct(*row).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = find_parts(rows).filter(F.col("kind").isNotNull() & (F.col("kind").isin(*(KINDS.index(k) for k in BASE)) | F.col("linked"))).select("rid", "start", "end").distinct()
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*row).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    parts = find_parts(rows).filter(F.col("kind").isNotNull() & (F.col("kind").isin(*(KINDS.index(k) for k in BASE)) | F.col("linked"))).select(F.col("doc_id").alias("rid"), "start", "end").distinct()
     so_far = Window.partitionBy("rid").orderBy("start", "end")
     islands = parts.withColumn("new", F.when(F.col("start") <= F.max("end").over(so_far.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1)).withColumn("island", F.sum("new").over(so_far.rowsBetween(Window.unboundedPreceding, 0)))
     merged = islands.groupBy("rid", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")))).alias("__cuts"))
