@@ -53,27 +53,29 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap:
     return filled.withColumn("level", final).select("source", "n_docs", "source_size", "weight", F.least(F.col("limit"), F.coalesce(F.col("level") * F.col("weight"), F.col("limit"))).alias("target"))
 
 
-def _fill(rows: pd.DataFrame) -> pd.DataFrame:
+def _fill(rows: pd.DataFrame, carried: list[str]) -> pd.DataFrame:
     """Take documents in rank order while they fit. One slot of one source."""
-    rows = rows.sort_values(["rank_key", "doc_id", "size"], na_position="last", kind="stable")
+    rows = rows.sort_values(["rank_key", "doc_id", "size", *carried], na_position="last", kind="stable")
     left, extra = float(rows["left"].iloc[0]), []
     for size in rows["size"]:
         taken = size <= left
         extra.append(int(taken))
         left -= size if taken else 0
-    return rows.assign(extra=extra)[["doc_id", "size", "source_size", "target", "copies", "extra"]]
+    return rows.assign(extra=extra)[[*carried, "doc_id", "size", "source_size", "target", "copies", "extra"]]
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: int = SEED, slot_rows: int = SLOT_ROWS) -> DataFrame:
-    """One row per row of ``docs(doc_id, text, source)``: doc_id, size, source_size, target, copies (whole copies taken)."""
-    thin = materialise(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size")))
+def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP, seed: int = SEED, slot_rows: int = SLOT_ROWS, row: str | None = None) -> DataFrame:
+    """One row per row of ``docs(doc_id, text, source)``: doc_id, size, source_size, target, copies (whole copies taken). ``row``, the name of
+    a long column that numbers the rows, comes first if it is given, and rows without doc_id then draw by it, each for itself."""
+    carried = [row] if row else []
+    thin = materialise(docs.select(*carried, F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), F.coalesce(F.regexp_count("text", F.lit(WORDS)), F.lit(0)).cast("long").alias("size")))
     sizes = thin.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum("size").alias("source_size"))
     targets = materialise(source_targets(sizes, weights, cap))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
     copies = F.floor(ratio + F.lit(1e-12)).cast("long")
     part = F.greatest(F.lit(0.0), ratio - copies)
     plan = targets.select(F.col("source").alias("of"), "source_size", "target", copies.alias("copies"), part.alias("part"), F.ceil(F.col("n_docs") / F.lit(slot_rows)).cast("long").alias("slots"), (F.col("target") - copies * F.col("source_size")).alias("wanted"))
-    u = unit_interval(F.lit(seed), F.col("doc_id"), F.col("size"))
+    u = unit_interval(F.lit(seed), F.col("doc_id"), F.col("size"), *(F.when(F.col("doc_id").isNull(), F.col(c)) for c in carried))
     ranked = thin.join(plan, thin["source"].eqNullSafe(plan["of"])).withColumn("u", u)
     # within a source every f is the same, so the rank key grows with u and slots of u are slots of the rank key
     odds = (F.col("u") / (1 - F.col("u"))) / (F.col("part") / (1 - F.col("part")))
@@ -83,10 +85,10 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = WEIGHTS, cap: float = CAP,
     reached = slots.filter((F.col("upto") - F.col("words") <= F.col("wanted")) & (F.col("upto") > F.col("wanted"))).groupBy("of").agg(F.min(F.struct("slot", (F.col("wanted") - F.col("upto") + F.col("words")).alias("left"))).alias("cut"))
     cut = materialise(reached.select(F.col("of").alias("cut_of"), F.col("cut.slot").alias("cut_slot"), F.col("cut.left").alias("left")))
     placed = ranked.join(cut, ranked["of"].eqNullSafe(cut["cut_of"]), "left").withColumn("inside", F.col("cut_slot").isNotNull() & (F.col("slot") == F.col("cut_slot")))
-    columns = ["doc_id", "size", "source_size", "target", "copies"]
+    columns = [*carried, "doc_id", "size", "source_size", "target", "copies"]
     whole = placed.filter(~F.col("inside")).select(*columns, F.when((F.col("part") > 0) & (F.col("cut_slot").isNull() | (F.col("slot") < F.col("cut_slot"))), 1).otherwise(0).cast("long").alias("extra"))
-    edge = placed.filter("inside").groupBy("of").applyInPandas(lambda rows: _fill(rows), "doc_id long, size long, source_size long, target double, copies long, extra long")
-    return whole.unionByName(edge).select("doc_id", "size", "source_size", "target", (F.col("copies") + F.col("extra")).alias("copies"))
+    edge = placed.filter("inside").groupBy("of").applyInPandas(lambda rows: _fill(rows, carried), "".join(f"{c} long, " for c in carried) + "doc_id long, size long, source_size long, target double, copies long, extra long")
+    return whole.unionByName(edge).select(*carried, "doc_id", "size", "source_size", "target", (F.col("copies") + F.col("extra")).alias("copies"))
 
 
 def digest(mixed: DataFrame) -> DataFrame:

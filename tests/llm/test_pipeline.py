@@ -1,7 +1,7 @@
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from palaver.llm import decontamination, secrets, simhash
+from palaver.llm import decontamination, mixing, secrets, simhash
 
 SF = "/root/testdata/sf0.001"
 
@@ -60,3 +60,16 @@ def test_secrets_in_repeated_rows(spark):
     got = dict(corpus_pipeline.STAGES)["secrets"](spark, docs, SF).collect()
     clean = f'the {secrets.MASK}" and {secrets.MASK} here'
     assert sorted(map(str, ((r["doc_id"], r["text"], r["n_chars"]) for r in got))) == sorted(map(str, ((i, clean, len(clean)) for i in (1, 1, 2, None, None, None))))
+
+
+def test_mixture_decides_for_every_row(spark):
+    rows = [(None if i % 2 else i % 10, " ".join([f"{s}{i}"] * (3 + i % 7)), "en", s, 0) for s in ("a", "b", "c") for i in range(120)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    out = dict(corpus_pipeline.STAGES)["mixture"](spark, docs, SF)
+    assert out.columns == [*docs.columns, "copy"]
+    size = F.size(F.split("text", " "))
+    sizes = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(size).alias("source_size"))
+    target = {r["source"]: r["target"] for r in mixing.source_targets(sizes).collect()}
+    taken = {r["source"]: r["n"] for r in out.groupBy("source").agg(F.sum(size).alias("n")).collect()}
+    assert all(target[s] - 9 < taken[s] <= target[s] for s in target), (taken, target)
+    assert out.groupBy("source", "text").agg(F.count(F.lit(1)).alias("n"), F.max("copy").alias("copies")).filter("n <> copies").isEmpty()
