@@ -163,20 +163,20 @@ def argmax_labels(spark: SparkSession, sf: str) -> DataFrame:
     return _emissions(spark, sf).select(*UTT, "idx", decoding.argmax_label(F.col("e")).cast("int").alias("label_idx"))
 
 
-def _length_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    w = words(spark, sf).filter("idx < 40").withColumn("t", F.char(F.length("word") % 26 + 97))
+def _length_tokens(w: DataFrame) -> DataFrame:
+    w = w.withColumn("t", F.char(F.length("word") % 26 + 97))
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(c)), lambda s: s["t"])
     hyp = F.when(F.col("idx") % 7 != 3, F.struct("idx", F.when(F.col("idx") % 5 == 1, F.lit("z")).otherwise(F.col("t")).alias("t")))
     return w.groupBy(*UTT).agg(ordered(F.struct("idx", "t")).alias("ref"), ordered(hyp).alias("hyp"))
 
 
 def token_wer(spark: SparkSession, sf: str) -> DataFrame:
-    found = alignment.distances(_length_tokens(spark, sf), "ref", "hyp")
+    found = alignment.distances(_length_tokens(words(spark, sf).filter("idx < 40")), "ref", "hyp")
     return found.select(*UTT, "distance", F.round("wer", 6).alias("wer"))
 
 
 def word_alignments(spark: SparkSession, sf: str) -> DataFrame:
-    return alignment.alignments(_length_tokens(spark, sf), "ref", "hyp").select(*UTT, "alignment", "cost")
+    return alignment.alignments(_length_tokens(words(spark, sf)), "ref", "hyp").select(*UTT, "alignment", "cost")
 
 
 def repair_classes(spark: SparkSession, sf: str) -> DataFrame:
