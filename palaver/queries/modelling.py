@@ -98,8 +98,8 @@ def prefix_sums(spark: SparkSession, sf: str) -> DataFrame:
 
 def excision_features(spark: SparkSession, sf: str) -> DataFrame:
     model, _ = _model(spark, sf)
-    w = words(spark, sf).filter("conv_id % 5 = 2 and speaker = 'user'")
-    return lm.excision_features(w, model, UTT, "idx", k_max=3).select(*UTT, "idx", "boost")
+    w = words(spark, sf).filter("speaker = 'user'")
+    return lm.excision_features(w, model, UTT, "idx").select(*UTT, "idx", "boost")
 
 
 def _states(spark: SparkSession, sf: str) -> DataFrame:

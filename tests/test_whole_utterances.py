@@ -1,8 +1,11 @@
+import math
+
 from pyspark.sql import functions as F
 
-from palaver.operators import alignment
+from palaver.operators import alignment, source_model
 from palaver.queries import QUERIES
 from palaver.queries.base import words
+from palaver.queries.modelling import _model
 
 SF = "/root/testdata/sf0.001"
 UTT = ["conv_id", "utt"]
@@ -32,3 +35,30 @@ def test_network_emissions_and_alignments_cover_every_word(spark):
             for j, y in enumerate(hyp):
                 row.append(min(last[j] + alignment.plain_substitution(x, y)[1], last[j + 1] + alignment.plain_substitution.indel, row[j] + alignment.plain_substitution.indel))
         assert cost[k] == row[-1]
+
+
+def test_source_scores_and_excisions_cover_all_conversations(spark):
+    w = words(spark, SF)
+    rows = [tuple(r) for r in _model(spark, SF)[0].select("order", "context", "word", "num", "den", "nz").collect()]
+    p = source_model.Trigrams(rows).p
+    said: dict = {}
+    for r in w.filter("speaker = 'user'").orderBy(*UTT, "idx").collect():
+        said.setdefault((r["conv_id"], r["utt"]), []).append(r["word"])
+    got = {(r["conv_id"], r["utt"], r["idx"]): r["boost"] for r in QUERIES["excision_features"](spark, SF).collect()}
+    assert set(got) == {(*k, i) for k, said_words in said.items() for i in range(len(said_words))}
+    log2 = lambda x: math.log2(x) if x > 0 else 0.0
+    for k, said_words in list(said.items())[:10]:
+        padded = ["<s>", "<s>", *said_words]
+        for i, word in enumerate(said_words):
+            if i:
+                best = max(log2(p(padded[i - c : i + 2 - c], word)) for c in range(1, min(8, i) + 1))
+                assert abs(got[*k, i] - (best - log2(p(padded[i : i + 2], word)))) < 1e-5
+    scored = {(r["conv_id"], r["utt"]) for r in QUERIES["source_scores"](spark, SF).collect()}
+    assert scored == {tuple(r) for r in w.select(*UTT).distinct().collect()}
+
+
+def test_source_model_scores_long_utterances():
+    m = source_model.SourceModel(lambda context, word: 0.5)
+    for _ in range(3000):
+        m.add("w")
+    assert m.score(("<f/>",) * 3000)[0] == -3000.0
