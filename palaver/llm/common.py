@@ -20,12 +20,17 @@ ALNUM = bytes((c | 0x20 if 0x41 <= c <= 0x5A else c) if c >= 0x80 or chr(c).isal
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Keep the folder the cluster names; only where none is set (tests) use one of our own."""
+    """Keep the folder the cluster names. Only a local session (tests) that names none gets one of our own; on a cluster that is an error, for
+    its executors would not share the folder."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    configured = sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(configured or os.path.join(tempfile.gettempdir(), "palaver-checkpoints"))
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not sc.master.startswith("local[") and sc.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        folder = os.path.join(tempfile.gettempdir(), "palaver-checkpoints")
+    sc.setCheckpointDir(folder)
 
 
 def materialise(df: DataFrame) -> DataFrame:
@@ -96,11 +101,43 @@ def top_k(df: DataFrame, key: str, k: int, tie_breakers: list[str], buckets: int
         low, high, here = bottom, top, n
     if here == need:
         return df.filter(above | inside)
-    order = Window.orderBy(F.col(key).desc(), *tie_breakers)
-    last = df.filter(inside).withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= F.lit(need)).drop("__rank")
+    if here <= exact_below:
+        order = Window.orderBy(F.col(key).desc(), *tie_breakers)
+        last = df.filter(inside).withColumn("__rank", F.row_number().over(order)).filter(F.col("__rank") <= F.lit(need)).drop("__rank")
+        return df.filter(above).unionByName(last)
+    # very many rows share the last key: every partition gives its share of them, in the order of the partitions
+    tied = df.filter(inside).withColumn("__part", F.spark_partition_id())
+    shares, left = [], need
+    for part, n in sorted(tuple(r) for r in tied.groupBy("__part").agg(F.count(F.lit(1))).collect()):
+        shares.append((part, min(n, left)))
+        left -= min(n, left)
+    share = F.element_at(F.create_map(*(F.lit(x) for pair in shares for x in pair)), F.col("__part"))
+    within = Window.partitionBy("__part").orderBy(*tie_breakers)
+    last = tied.withColumn("__rank", F.row_number().over(within)).filter(F.col("__rank") <= share).drop("__rank", "__part")
     return df.filter(above).unionByName(last)
 
 
+#: Keys whose rows are spread over all tasks by ``join_counted``; a thousandth of all rows is a fair share for one task.
+HEAVY_KEYS = 1000
+
+
+def join_counted(rows: DataFrame, counts: DataFrame, on: list[str], count: str) -> DataFrame:
+    """Inner join of ``rows`` with ``counts``, one row a key, whose column ``count`` says how many of ``rows`` have the key.
+
+    Keys with over 1/HEAVY_KEYS of all rows, of which there are fewer than HEAVY_KEYS by counting, are broadcast, and their rows are
+    dealt by a salt; the others are joined by key. ``rows`` is read once, ``counts`` (materialised) twice.
+    """
+    total = counts.agg(F.sum(count)).first()[0] or 0
+    others = [c for c in counts.columns if c not in on]
+    is_heavy = F.col(count) * F.lit(HEAVY_KEYS) > F.lit(total)
+    heavy = counts.filter(is_heavy).select(*on, F.struct(*others).alias("__heavy"))
+    light = counts.filter(~is_heavy).select(*on, F.lit(0).cast("long").alias("__salt"), F.struct(*others).alias("__light"))
+    salt = 1 + F.pmod(F.xxhash64(*rows.columns, F.spark_partition_id()), F.lit(HEAVY_KEYS))
+    marked = rows.join(F.broadcast(heavy), on, "left").withColumn("__salt", F.when(F.col("__heavy").isNull(), 0).otherwise(salt).cast("long"))
+    joined = marked.join(light, [*on, "__salt"], "left").withColumn("__found", F.coalesce("__heavy", "__light")).filter("__found is not null")
+    return joined.select(*rows.columns, "__found.*")
+
+
 def hash_sample(df: DataFrame, columns: list[str], size: int, total: int) -> DataFrame:
     """About ``size`` of the ``total`` rows of ``df``, picked by the hash of ``columns`` (all rows if there are no more): a filter, so no task
     sends more than its share. The number of rows is within a few standard deviations (sqrt(size)) of ``size``."""

@@ -1,25 +1,27 @@
 """Operator 9: repeated passages by a sparse suffix array.
 
-Only suffixes at minimiser positions are kept: position p is kept if the hash of the ``GRAM`` words from p is the smallest of some
-``MIN_WORDS - GRAM + 1`` consecutive ones. What is chosen depends on the words alone, so two copies of a passage of
-``MIN_WORDS`` words keep the same position in it. Suffixes are sorted by their first words; among those that agree on the gram, every
-stretch of ``MIN_WORDS`` words around the gram is hashed and sorted, and neighbours that agree are repeats. This extends a match left
-and right of the kept position at once: the repeated stretches around a position always make one span, and spans of a
-document that touch are joined.
-
-In a run of one repeated gram only its first, its last and every ``STEP``-th position are kept, so degenerate texts stay sparse.
-
-Each suffix carries 16 bits of the hash of each word in reach (90 words) beside the 64-bit hash of its gram. A stretch in which
-just one word differs passes for equal with probability 2^-16; nothing that is equal is ever missed.
-
-Rows of equal gram and context are one class from the start. A gram with over ``GROUP_ROWS`` suffixes is passed on whole: its stretches are
-written out one by one and grouped by Spark, which needs no memory for the group.
+Only suffixes at minimiser positions are kept. Every window of ``MIN_WORDS`` words belongs to one position in it: the leftmost of
+its ``GRAM``-word grams with the smallest hash. That depends on the window's words alone, so equal windows have their position at the same
+offset, and to find all repeated windows it is enough to look around the positions that own them.
+
+1. *Keys.* A position that owns windows which start at most ``HALF`` words before it has a key over the words that all of these share, and
+   likewise for windows that start further to the left (``MIN_WORDS - HALF`` = 30 and 31 words). Keys are counted; positions of keys that
+   occur once are out of the race without ever carrying text.
+2. *Suffixes.* For the positions left, the words to the right of the position and, read backwards, the words to its left are cut out of the
+   text. Suffixes of one key are sorted by their right words; the common prefix of sorted neighbours (in words) says how far
+   any two agree to the right, the same on the sorted left contexts how far to the left. Windows whose two extents together reach ``MIN_WORDS`` are
+   repeats. Words are compared as they are, no hash decides.
+3. Spans of one document that overlap or touch are joined, which extends a match to its true ends.
+
+Skew: rows that repeat a whole document are one row with a multiplicity. A key with over ``GROUP_ROWS`` positions never becomes a group in a
+task: its windows are written out as 128-bit digests (two independent 64-bit hashes; two different windows pass for equal with probability 2^-128) and counted by Spark with
+map-side sums. Joins on a key send the at most ``HEAVY_KEYS`` keys with the most rows to all tasks (``common.join_counted``).
 
 Words are ``[^\\x20\\x09-\\x0D]+`` with A-Z lower-cased.
 
-Defined results: null, empty and short texts have no passages; a passage that repeats within one document counts; rows that repeat a doc_id or
-a whole row are documents of their own; null doc_ids are carried through, and ``first_doc_id`` is the smallest that is not null;
-an empty table gives no row. Only id and text are read.
+Defined results: null, empty and short texts have no passages; a passage that repeats within one document counts, as does one of a document that
+is there twice; rows that repeat a doc_id are documents of their own; null doc_ids are carried through, and ``first_doc_id`` is the smallest that is not null;
+a very long text gives more rows, never a larger one than its own; an empty table gives no row. Only id and text are read.
 """
 
 from __future__ import annotations
@@ -33,14 +35,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
-from .common import map_batches, materialise, read_table, texts
+from .common import join_counted, map_batches, materialise, read_table, texts
 
 MIN_WORDS = 50
 GRAM = 10
-STEP = MIN_WORDS - GRAM
-GROUP_ROWS = 100_000
-#: Rows of suffixes with a shared gram that are compared at a time, if their groups allow it.
+#: Windows that start at most this many words before their position have one key, the others another.
+HALF = (MIN_WORDS - GRAM) // 2
+#: Positions of one key that are compared in one task.
+GROUP_ROWS = 20_000
+#: Suffixes that are compared at a time, if their groups allow it.
 COMPARE_ROWS = 20_000
+#: Bytes of text whose suffixes make one output batch.
+READ_BYTES = 2 << 20
 MEMO_WORDS = 300_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -48,246 +54,270 @@ _MIX = np.uint64(0xFF51AFD7ED558CCD)
 _NO_DOC = np.iinfo(np.int64).max
 
 
-def _slide(op, a: np.ndarray, width: int) -> np.ndarray:
-    """op over every ``width`` consecutive values."""
-    n, span, r = a.size - width + 1, 1, a
-    while 2 * span <= width:
-        r = op(r[: r.size - span], r[span:])
-        span *= 2
-    return op(r[:n], r[width - span : width - span + n])
-
-
 def _mix(a: np.ndarray) -> np.ndarray:
     a = a ^ (a >> np.uint64(33))
     a = a * _MIX
     return a ^ (a >> np.uint64(29))
 
 
-def _polynomial(columns: list[np.ndarray]) -> np.ndarray:
-    total = np.zeros_like(columns[0])
-    for c in columns:
-        total = total * _ODD + c
-    return total
+def _hash_runs(words: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
+    """One hash for each run of ``length`` word hashes from ``starts``."""
+    total = np.zeros(starts.size, np.uint64)
+    for i in range(length):
+        total = total * _ODD + words[starts + i]
+    return _mix(total)
 
 
-def kept_positions(words: np.ndarray, min_words: int = MIN_WORDS, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray]:
-    """(positions, hashes of their grams) for the word hashes of one text."""
-    n, width = words.size, min_words - gram + 1
-    if n < min_words:
-        return np.empty(0, np.int64), np.empty(0, np.uint64)
-    grams = _mix(_polynomial([words[i : n - gram + 1 + i] for i in range(gram)]))
-    least = _slide(np.minimum, grams, width)
-    pad = np.zeros(width - 1, np.uint64)
-    keep = _slide(np.maximum, np.concatenate([pad, least, pad]), width) == grams
-    same = np.r_[False, grams[1:] == grams[:-1]]
-    if same.any():
-        begins = np.flatnonzero(~same)
-        into = np.arange(grams.size) - np.repeat(begins, np.diff(np.r_[begins, grams.size]))
-        keep &= (into % STEP == 0) | np.r_[~same[1:], True]
-    at = np.flatnonzero(keep)
-    return at, grams[at]
+def _leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
+    """Index of the leftmost smallest value in every ``width`` consecutive ones."""
+    pick = lambda a, b: np.where(values[a] <= values[b], a, b)
+    n, span, r = values.size - width + 1, 1, np.arange(values.size)
+    while 2 * span <= width:
+        r = pick(r[: r.size - span], r[span:])
+        span *= 2
+    return pick(r[:n], r[width - span : width - span + n])
 
 
-SUFFIX_SCHEMA = "gram long, rid long, doc_id long, pos int, reach binary"
-_HEAD = 2
+def owners(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, fewest, most words by which the windows that a position owns start before it) for the word hashes of one text."""
+    if words.size < MIN_WORDS:
+        return (np.empty(0, np.int64),) * 3
+    grams = _hash_runs(words, np.arange(words.size - GRAM + 1), GRAM)
+    owner = _leftmost_least(grams, MIN_WORDS - GRAM + 1)
+    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    last = np.r_[first[1:], owner.size] - 1
+    return owner[first], owner[first] - last, owner[first] - first
 
 
-def suffixes(docs: DataFrame) -> DataFrame:
-    """Kept suffixes of ``docs(rid, doc_id, text)``. ``reach``: how many words stand right and left (at most 50 and 40), then 16 bits for each of
-    the 50 words from the position on and of the 40 before it, nearest first."""
+class _Memo(dict):
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= MEMO_WORDS:
+            self.clear()
+        h = self[word] = xxh64_intdigest(word)
+        return h
 
-    def make():
-        class Memo(dict):
-            def __missing__(self, word: bytes) -> int:
-                if len(self) >= MEMO_WORDS:
-                    self.clear()
-                h = self[word] = xxh64_intdigest(word)
-                return h
 
-        memo = Memo()
-        length = _HEAD + 2 * (MIN_WORDS + STEP)
+def _hashes(memo: _Memo, words: list[bytes]) -> np.ndarray:
+    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
+
+
+#: A place is the position, the fewest and the most words to its left, and the half, in one long.
+_PLACE_BITS = 6
+
+
+def _place(at: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+    return (at << (2 * _PLACE_BITS)) | (low << _PLACE_BITS) | high
+
+
+def _split(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    mask = (1 << _PLACE_BITS) - 1
+    return place >> (2 * _PLACE_BITS), (place >> _PLACE_BITS) & mask, place & mask
+
+
+def places(docs: DataFrame) -> DataFrame:
+    """key, id1, id2, place for every kept position and half of ``docs(id1, id2, text)``."""
+
+    def make():
+        memo = _Memo()
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            grams, rows, positions, reaches = [], [], [], []
+            keys, rows, found = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
             for row, text in enumerate(texts(batch.column(2))):
                 words = text.lower().split()
                 if len(words) < MIN_WORDS:
                     continue
-                hashes = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-                at, found = kept_positions(hashes)
-                short = np.concatenate([np.zeros(STEP, np.uint16), (hashes >> np.uint64(48)).astype(np.uint16), np.zeros(MIN_WORDS, np.uint16)])
-                around = np.lib.stride_tricks.sliding_window_view(short, STEP + MIN_WORDS)[at]
-                reach = np.empty((at.size, length), np.uint8)
-                reach[:, 0] = np.minimum(MIN_WORDS, len(words) - at)
-                reach[:, 1] = np.minimum(STEP, at)
-                reach[:, _HEAD:] = np.concatenate([around[:, STEP:], around[:, STEP - 1 :: -1]], axis=1).view(np.uint8)
-                grams.append(found)
-                rows.append(np.full(at.size, row))
-                positions.append(at)
-                reaches.append(reach)
-            if not grams:
-                return pa.RecordBatch.from_arrays([pa.array([], t) for t in (pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.binary())], names=["gram", "rid", "doc_id", "pos", "reach"])
+                hashes = _hashes(memo, words)
+                at, low, high = owners(hashes)
+                near, far = low <= HALF, high > HALF
+                keys += [_hash_runs(hashes, at[near], MIN_WORDS - HALF), ~_hash_runs(hashes, at[far] - (HALF + 1), GRAM + HALF + 1)]
+                found += [_place(at[near], low[near], np.minimum(high[near], HALF)), _place(at[far], np.maximum(low[far], HALF + 1), high[far])]
+                rows.append(np.full(keys[-1].size + keys[-2].size, row))
             index = pa.array(np.concatenate(rows))
-            data = np.concatenate(reaches)
-            offsets = np.arange(0, data.size + 1, length, dtype=np.int32)
-            reach = pa.Array.from_buffers(pa.binary(), len(data), [None, pa.py_buffer(offsets), pa.py_buffer(data)])
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(grams).view(np.int64)), batch.column(0).take(index), batch.column(1).take(index), pa.array(np.concatenate(positions).astype(np.int32)), reach], names=["gram", "rid", "doc_id", "pos", "reach"])
+            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), batch.column(0).take(index), batch.column(1).take(index), pa.array(np.concatenate(found))], names=["key", "id1", "id2", "place"])
 
         return step
 
-    return map_batches(docs.select("rid", "doc_id", "text"), make, SUFFIX_SCHEMA)
-
-
-def _reach_rows(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words right, words left, 16-bit words in text order around the position) from reach values, all of one length."""
-    length = _HEAD + 2 * (MIN_WORDS + STEP)
-    offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
-    raw = np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].reshape(-1, length)
-    short = np.ascontiguousarray(raw[:, _HEAD:]).view(np.uint16)
-    return raw[:, 0], raw[:, 1], np.concatenate([short[:, : MIN_WORDS - 1 : -1], short[:, :MIN_WORDS]], axis=1)
-
-
-def _stretches(gram: np.ndarray, right: np.ndarray, left: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, valid) of the STEP + 1 stretches of MIN_WORDS words around each position; the hash holds gram and offset too."""
-    wide = _mix(around.astype(np.uint64) + np.uint64(1))
-    scale = np.cumprod(np.full(MIN_WORDS + STEP, _ODD))
-    sums = np.concatenate([np.zeros((len(wide), 1), np.uint64), np.cumsum(wide * scale, axis=1, dtype=np.uint64)], axis=1)
-    offset = np.arange(STEP + 1)
-    content = sums[:, offset + MIN_WORDS] - sums[:, offset]  # equal offsets only are compared, so the scale may stay
-    hashed = _mix(content + _mix(gram.view(np.uint64)[:, None] + offset.astype(np.uint64) * _MIX))
-    valid = (offset[None, :] >= STEP - left[:, None].astype(int)) & (offset[None, :] + MIN_WORDS <= STEP + right[:, None].astype(int))
-    return hashed, valid
-
-
-def _repeats(gram: np.ndarray, doc: np.ndarray, right: np.ndarray, left: np.ndarray, around: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(rows, first stretch, last stretch, smallest doc of a partner) for whole groups of suffixes."""
-    hashed, valid = _stretches(gram, right, left, around)
-    at = np.flatnonzero(valid.ravel())
-    values = hashed.ravel()[at]
-    order = np.argsort(values, kind="stable")
-    at, values = at[order], values[order]
-    begins = np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if values.size else np.empty(0, np.int64)
-    sizes = np.diff(np.r_[begins, values.size])
-    several = np.repeat(sizes > 1, sizes)
-    if not several.any():
-        none = np.empty(0, np.int64)
-        return none, none, none, none
-    row, offset = at // (STEP + 1), at % (STEP + 1)
-    first = np.repeat(np.minimum.reduceat(doc[row], begins), sizes)
-    row, offset, first = row[several], offset[several], first[several]
-    low, high, least = np.full(gram.size, STEP + 1), np.full(gram.size, -1), np.full(gram.size, _NO_DOC)
-    np.minimum.at(low, row, offset)
-    np.maximum.at(high, row, offset)
-    np.minimum.at(least, row, first)
-    hit = np.flatnonzero(high >= 0)
-    return hit, low[hit], high[hit], least[hit]
-
-
-FOUND_SCHEMA = "rid long, doc_id long, start long, end long, first_doc long, gram long, reach binary"
-
-
-def _compare(dealt: DataFrame, group_rows: int) -> DataFrame:
-    """Spans around suffixes with a partner; rows with ``reach`` are suffixes of a group over ``group_rows``, passed on as they are."""
+    return map_batches(docs.select("id1", "id2", "text"), make, "key long, id1 long, id2 long, place long")
+
+
+_CARRIED = ["key", "id1", "id2", "doc_id", "n", "place"]
+_CARRIED_SCHEMA = "key long, id1 long, id2 long, doc_id long, n long, place long"
+
+
+def _around(rows: DataFrame, extra: str, cut) -> DataFrame:
+    """Rows (id1, id2, doc_id, n, text, wanted) spread to one row a wanted place, with the columns that ``cut(words, places)`` gives for a text."""
+    names = [f.split()[0] for f in extra.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        rows = 0
-        passing: int | None = None
+        for batch in batches:
+            wanted = batch.column(5)
+            flat, ends = wanted.flatten(), np.cumsum(np.diff(wanted.offsets.to_numpy())).tolist()
+            key, place = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            row, repeat, columns, read, at = [], [], [], 0, 0
+            for i, (text, end) in enumerate(zip(texts(batch.column(4)), ends)):
+                which, *made = cut(text.lower().split(), place[at:end])
+                row.append(np.full(which.size, i))
+                repeat.append(which + at)
+                columns.append(made)
+                read, at = read + len(text), end
+                if read >= READ_BYTES or end == ends[-1]:
+                    index, here = pa.array(np.concatenate(row)), np.concatenate(repeat)
+                    carried = [pa.array(key[here]), *(batch.column(c).take(index) for c in range(4)), pa.array(place[here])]
+                    new = [pa.array([x for m in columns for x in m[j]], pa.binary()) if "binary" in extra else pa.array(np.concatenate([m[j] for m in columns])) for j in range(len(names))]
+                    yield pa.RecordBatch.from_arrays([*carried, *new], names=[*_CARRIED, *names])
+                    row, repeat, columns, read = [], [], [], 0
+
+    return rows.select("id1", "id2", "doc_id", "n", "text", "wanted").mapInArrow(run, f"{_CARRIED_SCHEMA}, {extra}")
+
+
+def _contexts(words: list[bytes], place: np.ndarray) -> tuple:
+    """Right words, and left words read backwards, as far as the windows of a place reach; a blank behind each word keeps sorted order that of the words."""
+    right, left = [], []
+    for p, low, high in zip(*(x.tolist() for x in _split(place))):
+        right.append(b" ".join(words[p : p - low + MIN_WORDS]) + b" ")
+        left.append(b" ".join(words[p - high : p][::-1]) + b" " if high else b"")
+    return np.arange(place.size), right, left
+
+
+def _windows(words: list[bytes], place: np.ndarray) -> tuple:
+    """Offset and 128-bit digest of every window that the places own."""
+    at, low, high = _split(place)
+    size = high - low + 1
+    which = np.repeat(np.arange(place.size), size)
+    offset = np.arange(which.size) - np.repeat(np.cumsum(size) - size, size) + low[which]
+    first, second = (np.fromiter((xxh64_intdigest(w, seed) for w in words), np.uint64, len(words)) for seed in (0, 1))
+    starts = at[which] - offset
+    return which, offset, *(_hash_runs(h, starts, MIN_WORDS).view(np.int64) for h in (first, second))
+
+
+def _ids(contexts: list[bytes], width: int) -> np.ndarray:
+    """Word numbers of the contexts, a row each, filled up with -1."""
+    known: dict[bytes, int] = {}
+    out = np.full((len(contexts), width), -1, np.int32)
+    for i, c in enumerate(contexts):
+        words = c.split()
+        out[i, : len(words)] = [known.setdefault(w, len(known)) for w in words]
+    return out
+
+
+def _agree(rows: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """Common prefix of every row with the one before it; -1 where the key changes."""
+    same = rows[1:] == rows[:-1]
+    common = np.where(same.all(axis=1), rows.shape[1], same.argmin(axis=1)) if rows.shape[1] else np.zeros(len(rows) - 1, np.int64)
+    return np.r_[-1, np.where(key[1:] == key[:-1], common, -1)]
+
+
+def repeats(key: np.ndarray, n: np.ndarray, doc: np.ndarray, low: np.ndarray, high: np.ndarray, right: list[bytes], left: list[bytes]):
+    """(rows, fewest, most words to the left of the position, smallest doc) of the repeated windows of whole groups sorted by key and right words."""
+    rows = key.size
+    to_right = _agree(_ids(right, MIN_WORDS), key)
+    order = np.array([i for *_, i in sorted(zip(key.tolist(), left, range(rows)))], np.int64)
+    to_left = _agree(_ids([left[i] for i in order], MIN_WORDS - GRAM), key[order])
+    least, most, first = np.full(rows, MIN_WORDS), np.full(rows, -1), np.full(rows, _NO_DOC)
+    side = np.empty(rows, np.int64)
+    for offset in range(int(low.min()), int(high.max()) + 1):
+        mine = np.flatnonzero((low <= offset) & (offset <= high))
+        if not mine.size:
+            continue
+        # rows of one run agree on MIN_WORDS - offset words to the right, rows of one side on offset words to the left
+        run = np.cumsum(to_right < MIN_WORDS - offset)
+        side[order] = np.cumsum(to_left < offset)
+        both = run[mine] * (rows + 1) + side[mine]
+        at = np.argsort(both, kind="stable")
+        mine, both = mine[at], both[at]
+        begins = np.flatnonzero(np.r_[True, both[1:] != both[:-1]])
+        sizes = np.diff(np.r_[begins, both.size])
+        several = np.repeat(np.add.reduceat(n[mine], begins) > 1, sizes)
+        holder = np.repeat(np.minimum.reduceat(doc[mine], begins), sizes)
+        hit = mine[several]
+        least[hit] = np.minimum(least[hit], offset)
+        most[hit] = np.maximum(most[hit], offset)
+        first[hit] = np.minimum(first[hit], holder[several])
+    hit = np.flatnonzero(most >= 0)
+    return hit, least[hit], most[hit], first[hit]
+
+
+_SPANS = "id1 long, id2 long, doc_id long, n long, start long, end long, first_doc long"
+
+
+def _compare(dealt: DataFrame) -> DataFrame:
+    """Spans from suffixes sorted by key and right words; a key's suffixes are at most ``GROUP_ROWS``."""
 
-        def passed(t: pa.RecordBatch) -> pa.RecordBatch:
-            none = pa.nulls(t.num_rows, pa.int64())
-            return pa.RecordBatch.from_arrays([t.column(1), t.column(2), t.column(3).cast(pa.int64()), none, none, t.column(0), t.column(4)], names=[f.split()[0] for f in FOUND_SCHEMA.split(", ")])
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
 
-        def close(parts: list[pa.RecordBatch]) -> pa.RecordBatch | None:
-            parts = [p for p in parts if p.num_rows]
+        def close() -> pa.RecordBatch | None:
+            parts = [p for p in held if p.num_rows]
+            held.clear()
             if not parts:
                 return None
             t = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
-            gram = t.column(0).to_numpy(zero_copy_only=False)
-            same = gram[1:] == gram[:-1]
-            shared = np.flatnonzero(np.r_[False, same] | np.r_[same, False])
-            if not shared.size:
-                return None
-            t = t.take(pa.array(shared))
-            doc = t.column(2).fill_null(_NO_DOC).to_numpy(zero_copy_only=False)
-            hit, low, high, least = _repeats(t.column(0).to_numpy(zero_copy_only=False), doc, *_reach_rows(t.column(4)))
+            col = lambda name: t.column(t.schema.get_field_index(name))
+            at, low, high = _split(col("place").to_numpy(zero_copy_only=False))
+            doc = col("doc_id").fill_null(_NO_DOC).to_numpy(zero_copy_only=False)
+            hit, least, most, first = repeats(col("key").to_numpy(zero_copy_only=False), col("n").to_numpy(zero_copy_only=False), doc, low, high, col("right").to_pylist(), col("left").to_pylist())
             if not hit.size:
                 return None
-            pos = t.column(3).to_numpy(zero_copy_only=False)[hit].astype(np.int64)
             index = pa.array(hit)
-            null = pa.nulls(hit.size, pa.int64())
-            return pa.RecordBatch.from_arrays([t.column(1).take(index), t.column(2).take(index), pa.array(pos - STEP + low), pa.array(pos - STEP + high + MIN_WORDS), pa.array(least, mask=least == _NO_DOC), null, pa.nulls(hit.size, pa.binary())], names=[f.split()[0] for f in FOUND_SCHEMA.split(", ")])
+            carried = [col(c).take(index) for c in ("id1", "id2", "doc_id", "n")]
+            return pa.RecordBatch.from_arrays([*carried, pa.array(at[hit] - most), pa.array(at[hit] - least + MIN_WORDS), pa.array(first, mask=first == _NO_DOC)], names=[f.split()[0] for f in _SPANS.split(", ")])
 
         for whole in batches:
-            for at in range(0, whole.num_rows, COMPARE_ROWS):
-                batch = whole.slice(at, COMPARE_ROWS)
-                gram = batch.column(0).to_numpy(zero_copy_only=False)
-                if passing is not None:
-                    n = int(np.searchsorted(gram, passing, side="right"))
-                    if n:
-                        yield passed(batch.slice(0, n))
-                    if n == batch.num_rows:
-                        continue
-                    passing, batch, gram = None, batch.slice(n), gram[n:]
-                cut = int(np.searchsorted(gram, gram[-1]))
-                if cut:
-                    out = close([*held, batch.slice(0, cut)])
-                    if out:
-                        yield out
-                    held, rows = [], 0
-                elif held and held[-1].column(0)[-1].as_py() != int(gram[0]):
-                    out = close(held)
+            for start in range(0, whole.num_rows, COMPARE_ROWS):
+                batch = whole.slice(start, COMPARE_ROWS)
+                key = batch.column(0).to_numpy(zero_copy_only=False)
+                cut = int(np.searchsorted(key, key[-1]))  # the last group may go on
+                if cut or (held and held[-1].column(0)[-1].as_py() != int(key[0])):
+                    held.append(batch.slice(0, cut))
+                    out = close()
                     if out:
                         yield out
-                    held, rows = [], 0
                 held.append(batch.slice(cut))
-                rows += batch.num_rows - cut
-                if rows > group_rows:
-                    for part in held:
-                        yield passed(part)
-                    passing, held, rows = int(gram[-1]), [], 0
-        out = close(held)
+        out = close()
         if out:
             yield out
 
-    return dealt.mapInArrow(run, FOUND_SCHEMA)
-
-
-def _written_out(large: DataFrame) -> DataFrame:
-    """The same spans for suffixes of very common grams. Suffixes of equal gram and reach are one class; every stretch of a class is a row,
-    and Spark groups equal ones."""
-    classes = materialise(large.groupBy("gram", "reach").agg(F.count(F.lit(1)).alias("places"), F.min("doc_id").alias("first_doc")).withColumn("cls", F.monotonically_increasing_id()))
+    return dealt.mapInArrow(run, _SPANS)
 
-    def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            hashed, valid = _stretches(batch.column(3).to_numpy(zero_copy_only=False), *_reach_rows(batch.column(4)))
-            at = np.flatnonzero(valid.ravel())
-            row = pa.array(at // (STEP + 1))
-            return pa.RecordBatch.from_arrays([*(batch.column(i).take(row) for i in range(3)), pa.array(at % (STEP + 1)), pa.array(hashed.ravel()[at].view(np.int64))], names=["cls", "places", "first_doc", "offset", "stretch"])
-
-        return step
 
-    every = map_batches(classes.select("cls", "places", "first_doc", "gram", "reach"), make, "cls long, places long, first_doc long, offset long, stretch long")
-    several = every.groupBy("stretch").agg(F.sum("places").alias("all_places"), F.min("first_doc").alias("least")).filter("all_places > 1")
-    found = every.join(several, "stretch").groupBy("cls").agg(F.min("offset").alias("low"), F.max("offset").alias("high"), F.min("least").alias("least"))
-    spans = classes.select("cls", "gram", "reach").join(found, "cls").drop("cls")
-    return large.join(spans, ["gram", "reach"]).select("rid", "doc_id", (F.col("start") - STEP + F.col("low")).alias("start"), (F.col("start") - STEP + F.col("high") + MIN_WORDS).alias("end"), F.col("least").alias("first_doc"))
+def _counted_windows(rows: DataFrame) -> DataFrame:
+    """Spans from all windows of the places of very common keys, counted by their digests."""
+    every = materialise(_around(rows, "offset long, w1 long, w2 long", _windows))
+    window = ["key", "offset", "w1", "w2"]
+    counts = every.groupBy(*window).agg(F.sum("n").alias("places"), F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("first_doc"))
+    found = join_counted(every, materialise(counts.filter("places > 1")), window, "rows")
+    at = F.shiftright("place", 2 * _PLACE_BITS)
+    return found.select("id1", "id2", "doc_id", "n", (at - F.col("offset")).alias("start"), (at - F.col("offset") + MIN_WORDS).alias("end"), "first_doc")
 
 
 def repeated_passages(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """doc_id, start_word, end_word (exclusive), n_words, first_doc_id: every longest span of ``docs(doc_id, text)`` that is made of repeated
     stretches of MIN_WORDS words. first_doc_id: the smallest doc_id that holds a stretch of the span."""
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    dealt = suffixes(rows).repartition("gram").sortWithinPartitions("gram", "reach")
-    found = materialise(_compare(dealt, group_rows))
-    spans = found.filter("reach is null").select("rid", "doc_id", "start", "end", "first_doc")
-    large = found.filter("reach is not null")
-    if not large.isEmpty():
-        spans = spans.unionByName(_written_out(large))
-    along = Window.partitionBy("rid").orderBy("start", "end")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
+    # rows that are equal in id and text are one document n times over
+    rows = rows.select(F.xxhash64("doc_id", "text").alias("id1"), F.xxhash64(F.lit(MIN_WORDS), "text", "doc_id").alias("id2"), "doc_id", "text")
+    kept = places(rows)
+    counts = kept.groupBy("key").agg(F.count(F.lit(1)).alias("positions"))
+    wanted = materialise(join_counted(kept, materialise(counts.filter("positions > 1")), ["key"], "positions").select("key", "id1", "id2", "place", (F.col("positions") > group_rows).alias("large")))
+    spans = None
+    for large in (False, True):
+        mine = wanted.filter("large" if large else "not large")
+        if large and mine.isEmpty():
+            break
+        listed = mine.groupBy("id1", "id2").agg(F.sort_array(F.collect_set(F.struct("key", "place"))).alias("wanted"))
+        copies = rows.join(listed.select("id1", "id2"), ["id1", "id2"], "left_semi") if large else rows
+        joined = copies.groupBy("id1", "id2").agg(F.count(F.lit(1)).alias("n"), F.first("doc_id").alias("doc_id"), F.first("text").alias("text")).join(listed, ["id1", "id2"])
+        if large:
+            found = _counted_windows(joined)
+        else:
+            suffixes = _around(joined, "right binary, left binary", _contexts)
+            found = _compare(suffixes.repartition("key").sortWithinPartitions("key", "right"))
+        spans = found if spans is None else spans.unionByName(found)
+    along = Window.partitionBy("id1", "id2").orderBy("start", "end")
     islands = spans.withColumn("new", F.when(F.col("start") <= F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1)).withColumn("island", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = islands.groupBy("rid", "island").agg(F.first("doc_id").alias("doc_id"), F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.min("first_doc").alias("first_doc_id"))
-    return joined.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first_doc_id")
+    joined = islands.groupBy("id1", "id2", "island").agg(F.first("doc_id").alias("doc_id"), F.first("n").alias("n"), F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.min("first_doc").alias("first_doc_id"))
+    each = joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    return each.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first_doc_id")
 
 
 def op9_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:

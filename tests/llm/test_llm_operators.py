@@ -7,6 +7,7 @@ import re
 
 import numpy as np
 import pytest
+import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from oracle import check, connect
@@ -351,13 +352,37 @@ def test_repeated_passages(spark, group_rows):
     w = lambda n: [f"w{rng.randrange(10**6)}" for _ in range(n)]
     shared, short = w(70), w(49)
     texts = [w(30) + shared + w(9), shared[5:60] + w(4), w(60) + short + w(2), short + w(80), ["x"] * 300, w(20) + ["x"] * 90 + w(20), ["ab", "cd"] * 60, w(3) + shared + w(5) + shared, [s.upper() for s in shared], w(200)]
-    docs = odd_docs(spark, [(100 + i, " ".join(t)) for i, t in enumerate(texts)]).filter("doc_id <> 6 or doc_id is null")
+    docs = odd_docs(spark, [(100 + i, " ".join(t)) for i, t in enumerate(texts)])
     got = suffixes.repeated_passages(docs, group_rows=group_rows).collect()
     assert {(r["doc_id"], r["start_word"], r["end_word"]) for r in got} == suffixes.brute_force([(r["doc_id"], r["text"]) for r in docs.collect()])
     assert {r["first_doc_id"] for r in got if r["doc_id"] in (100, 101, 107, 108)} == {100}
     assert suffixes.repeated_passages(empty_docs(spark)).isEmpty()
 
 
+@pytest.mark.parametrize("group_rows", [suffixes.GROUP_ROWS, 2])
+def test_passages_differ_in_one_word(spark, group_rows):
+    """Texts that differ in one word whose hash agrees in its upper 16 bits; a very common line; a very long text; periods of 1 to 4 words."""
+    by_hash: dict = {}
+    for i in range(3000):
+        by_hash.setdefault(xxhash.xxh64_intdigest(f"num{i}") >> 48, []).append(f"num{i}")
+    twins = [pair[:2] for pair in by_hash.values() if len(pair) > 1]
+    assert len(twins) > 20
+    rng = random.Random(11)
+    w = lambda n: [f"v{rng.randrange(10**6)}" for _ in range(n)]
+    texts = []
+    for at, (a, b) in enumerate(twins[:20]):
+        words = w(60)
+        texts += [[*words[: 15 + at], a, *words[16 + at :]], [*words[: 15 + at], b, *words[16 + at :]]]
+    line = w(40)
+    texts += [w(rng.randrange(30)) + line + w(rng.randrange(30)) for _ in range(40)]
+    texts += [(["p", "q", "r", "s"][:k] * 60)[: 53 + k] + w(3) for k in (1, 2, 3, 4) for _ in range(2)]
+    texts.append(w(20_000) + texts[0] + ["p"] * 5000)
+    docs = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], DOCS)
+    got = suffixes.repeated_passages(docs, group_rows=group_rows).collect()
+    assert {(r["doc_id"], r["start_word"], r["end_word"]) for r in got} == suffixes.brute_force([tuple(r) for r in docs.collect()])
+    assert len(got) == len({(r["doc_id"], r["start_word"]) for r in got}) > 0
+
+
 def test_passages_on_documents(spark):
     rows = [tuple(r) for r in spark.read.parquet(SF + "/documents.parquet").select("doc_id", "text").collect()]
     assert {(r[0], r[1], r[2]) for r in suffixes.op9_repeated_passages(spark, SF).collect()} == suffixes.brute_force(rows)
