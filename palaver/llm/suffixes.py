@@ -13,7 +13,7 @@ offset, and to find all repeated windows it is enough to look around the positio
    repeats. Words are compared as they are, no hash decides.
 3. Spans of one document that overlap or touch are joined, which extends a match to its true ends.
 
-Skew: rows that repeat a whole document are one row with a multiplicity. A key with over ``GROUP_ROWS`` positions never becomes a group in a
+Skew: equal texts are one text with a multiplicity. A key with over ``GROUP_ROWS`` positions never becomes a group in a
 task: its windows are written out as 128-bit digests (two independent 64-bit hashes; two different windows pass for equal with probability 2^-128) and counted by Spark with
 map-side sums. Joins on a key send the at most ``HEAVY_KEYS`` keys with the most rows to all tasks (``common.join_counted``).
 
@@ -26,6 +26,7 @@ a very long text gives more rows, never a larger one than its own; an empty tabl
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,18 +36,18 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
-from .common import join_counted, map_batches, materialise, read_table, texts
+from .common import join_counted, materialise, read_table, texts
 
 MIN_WORDS = 50
 GRAM = 10
 #: Windows that start at most this many words before their position have one key, the others another.
 HALF = (MIN_WORDS - GRAM) // 2
 #: Positions of one key that are compared in one task.
-GROUP_ROWS = 20_000
+GROUP_ROWS = 5_000
 #: Suffixes that are compared at a time, if their groups allow it.
 COMPARE_ROWS = 20_000
-#: Bytes of text whose suffixes make one output batch.
-READ_BYTES = 2 << 20
+#: Words that are looked at together, and bytes of text whose suffixes make one output batch.
+READ_WORDS, READ_BYTES = 200_000, 2 << 20
 MEMO_WORDS = 300_000
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
@@ -60,11 +61,13 @@ def _mix(a: np.ndarray) -> np.ndarray:
     return a ^ (a >> np.uint64(29))
 
 
-def _hash_runs(words: np.ndarray, starts: np.ndarray, length: int) -> np.ndarray:
-    """One hash for each run of ``length`` word hashes from ``starts``."""
-    total = np.zeros(starts.size, np.uint64)
+def _hash_runs(words: np.ndarray, starts: np.ndarray | int, length: int) -> np.ndarray:
+    """One hash for each run of ``length`` word hashes from ``starts``, or from each of the first ``starts`` words."""
+    size = starts if isinstance(starts, int) else starts.size
+    total = np.zeros(size, np.uint64)
     for i in range(length):
-        total = total * _ODD + words[starts + i]
+        total *= _ODD
+        total += words[i : i + size] if isinstance(starts, int) else words[starts + i]
     return _mix(total)
 
 
@@ -78,15 +81,19 @@ def _leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
     return pick(r[:n], r[width - span : width - span + n])
 
 
-def owners(words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(positions, fewest, most words by which the windows that a position owns start before it) for the word hashes of one text."""
+def owners(words: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(positions, fewest, most words by which the windows that a position owns start before it) for the word hashes of texts laid end to end;
+    ``text`` numbers the text of every word."""
     if words.size < MIN_WORDS:
         return (np.empty(0, np.int64),) * 3
-    grams = _hash_runs(words, np.arange(words.size - GRAM + 1), GRAM)
-    owner = _leftmost_least(grams, MIN_WORDS - GRAM + 1)
-    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    grams = _hash_runs(words, words.size - GRAM + 1, GRAM)
+    inside = np.flatnonzero(text[: 1 - MIN_WORDS] == text[MIN_WORDS - 1 :])
+    owner = _leftmost_least(grams, MIN_WORDS - GRAM + 1)[inside]
+    if not owner.size:
+        return (np.empty(0, np.int64),) * 3
+    first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (inside[1:] != inside[:-1] + 1)])
     last = np.r_[first[1:], owner.size] - 1
-    return owner[first], owner[first] - last, owner[first] - first
+    return owner[first], owner[first] - inside[last], owner[first] - inside[first]
 
 
 class _Memo(dict):
@@ -97,10 +104,6 @@ class _Memo(dict):
         return h
 
 
-def _hashes(memo: _Memo, words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-
-
 #: A place is the position, the fewest and the most words to its left, and the half, in one long.
 _PLACE_BITS = 6
 
@@ -117,77 +120,86 @@ def _split(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def places(docs: DataFrame) -> DataFrame:
     """key, id1, id2, place for every kept position and half of ``docs(id1, id2, text)``."""
 
-    def make():
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Memo()
 
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            keys, rows, found = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for row, text in enumerate(texts(batch.column(2))):
-                words = text.lower().split()
-                if len(words) < MIN_WORDS:
-                    continue
-                hashes = _hashes(memo, words)
-                at, low, high = owners(hashes)
-                near, far = low <= HALF, high > HALF
-                keys += [_hash_runs(hashes, at[near], MIN_WORDS - HALF), ~_hash_runs(hashes, at[far] - (HALF + 1), GRAM + HALF + 1)]
-                found += [_place(at[near], low[near], np.minimum(high[near], HALF)), _place(at[far], np.maximum(low[far], HALF + 1), high[far])]
-                rows.append(np.full(keys[-1].size + keys[-2].size, row))
-            index = pa.array(np.concatenate(rows))
-            return pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), batch.column(0).take(index), batch.column(1).take(index), pa.array(np.concatenate(found))], names=["key", "id1", "id2", "place"])
-
-        return step
-
-    return map_batches(docs.select("id1", "id2", "text"), make, "key long, id1 long, id2 long, place long")
-
+        def made(batch: pa.RecordBatch, rows: list[int], words: list[list[bytes]]) -> pa.RecordBatch:
+            sizes = np.array([len(w) for w in words])
+            hashes = np.fromiter(map(memo.__getitem__, itertools.chain.from_iterable(words)), np.uint64, int(sizes.sum()))
+            text = np.repeat(np.arange(sizes.size), sizes)
+            at, low, high = owners(hashes, text)
+            begins = np.cumsum(sizes) - sizes
+            near, far = low <= HALF, high > HALF
+            keys = np.concatenate([_hash_runs(hashes, at[near], MIN_WORDS - HALF), ~_hash_runs(hashes, at[far] - (HALF + 1), GRAM + HALF + 1)])
+            of = np.concatenate([text[at[near]], text[at[far]]])
+            place = np.concatenate([_place(at[near], low[near], np.minimum(high[near], HALF)), _place(at[far], np.maximum(low[far], HALF + 1), high[far])])
+            index = pa.array(np.array(rows)[of])
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(0).take(index), batch.column(1).take(index), pa.array(place - (begins[of] << (2 * _PLACE_BITS)))], names=["key", "id1", "id2", "place"])
 
-_CARRIED = ["key", "id1", "id2", "doc_id", "n", "place"]
-_CARRIED_SCHEMA = "key long, id1 long, id2 long, doc_id long, n long, place long"
-
-
-def _around(rows: DataFrame, extra: str, cut) -> DataFrame:
-    """Rows (id1, id2, doc_id, n, text, wanted) spread to one row a wanted place, with the columns that ``cut(words, places)`` gives for a text."""
-    names = [f.split()[0] for f in extra.split(", ")]
+        for batch in batches:
+            rows, words, size = [], [], 0
+            for row, text in enumerate(texts(batch.column(2))):
+                split = text.lower().split()
+                if len(split) >= MIN_WORDS:
+                    rows.append(row)
+                    words.append(split)
+                    size += len(split)
+                if size >= READ_WORDS:
+                    yield made(batch, rows, words)
+                    rows, words, size = [], [], 0
+            if rows:
+                yield made(batch, rows, words)
+
+    return docs.select("id1", "id2", "text").mapInArrow(run, "key long, id1 long, id2 long, place long")
+
+
+def _around(rows: DataFrame, cut, schema: str) -> DataFrame:
+    """Rows (id1, id2, doc_id, n, text, wanted) spread to the rows of ``schema`` that ``cut(words, keys, places)`` gives for each text; its columns
+    id1, id2, doc_id and n are carried."""
+    names = [f.split()[0] for f in schema.split(", ")]
+    carried = ["id1", "id2", "doc_id", "n"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             wanted = batch.column(5)
             flat, ends = wanted.flatten(), np.cumsum(np.diff(wanted.offsets.to_numpy())).tolist()
             key, place = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
-            row, repeat, columns, read, at = [], [], [], 0, 0
+            row, columns, read, at = [], [], 0, 0
             for i, (text, end) in enumerate(zip(texts(batch.column(4)), ends)):
-                which, *made = cut(text.lower().split(), place[at:end])
-                row.append(np.full(which.size, i))
-                repeat.append(which + at)
-                columns.append(made)
+                columns.append(cut(text.lower().split(), key[at:end], place[at:end]))
+                row.append(np.full(len(columns[-1][0]), i))
                 read, at = read + len(text), end
                 if read >= READ_BYTES or end == ends[-1]:
-                    index, here = pa.array(np.concatenate(row)), np.concatenate(repeat)
-                    carried = [pa.array(key[here]), *(batch.column(c).take(index) for c in range(4)), pa.array(place[here])]
-                    new = [pa.array([x for m in columns for x in m[j]], pa.binary()) if "binary" in extra else pa.array(np.concatenate([m[j] for m in columns])) for j in range(len(names))]
-                    yield pa.RecordBatch.from_arrays([*carried, *new], names=[*_CARRIED, *names])
-                    row, repeat, columns, read = [], [], [], 0
+                    index = pa.array(np.concatenate(row))
+                    new = iter([pa.array(list(itertools.chain.from_iterable(c)), pa.binary()) if isinstance(c[0], list) else pa.array(np.concatenate(c)) for c in zip(*columns)])
+                    yield pa.RecordBatch.from_arrays([batch.column(carried.index(c)).take(index) if c in carried else next(new) for c in names], names=names)
+                    row, columns, read = [], [], 0
 
-    return rows.select("id1", "id2", "doc_id", "n", "text", "wanted").mapInArrow(run, f"{_CARRIED_SCHEMA}, {extra}")
+    return rows.select(*carried, "text", "wanted").mapInArrow(run, schema)
 
 
-def _contexts(words: list[bytes], place: np.ndarray) -> tuple:
+_SUFFIXES = "key long, id1 long, id2 long, doc_id long, n long, place long, right binary, left binary"
+
+
+def _contexts(words: list[bytes], key: np.ndarray, place: np.ndarray) -> tuple:
     """Right words, and left words read backwards, as far as the windows of a place reach; a blank behind each word keeps sorted order that of the words."""
     right, left = [], []
     for p, low, high in zip(*(x.tolist() for x in _split(place))):
         right.append(b" ".join(words[p : p - low + MIN_WORDS]) + b" ")
         left.append(b" ".join(words[p - high : p][::-1]) + b" " if high else b"")
-    return np.arange(place.size), right, left
+    return key, place, right, left
+
+
+_WINDOWS = "id1 long, id2 long, doc_id long, n long, start long, w1 long, w2 long"
 
 
-def _windows(words: list[bytes], place: np.ndarray) -> tuple:
-    """Offset and 128-bit digest of every window that the places own."""
+def _windows(words: list[bytes], key: np.ndarray, place: np.ndarray) -> tuple:
+    """Start and 128-bit digest of every window that the places own."""
     at, low, high = _split(place)
     size = high - low + 1
-    which = np.repeat(np.arange(place.size), size)
-    offset = np.arange(which.size) - np.repeat(np.cumsum(size) - size, size) + low[which]
-    first, second = (np.fromiter((xxh64_intdigest(w, seed) for w in words), np.uint64, len(words)) for seed in (0, 1))
-    starts = at[which] - offset
-    return which, offset, *(_hash_runs(h, starts, MIN_WORDS).view(np.int64) for h in (first, second))
+    starts = np.repeat(at - high, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+    hashes = (np.fromiter((xxh64_intdigest(w, seed) for w in words), np.uint64, len(words)) for seed in (0, 1))
+    return starts, *(_hash_runs(h, starts, MIN_WORDS).view(np.int64) for h in hashes)
 
 
 def _ids(contexts: list[bytes], width: int) -> np.ndarray:
@@ -237,7 +249,7 @@ def repeats(key: np.ndarray, n: np.ndarray, doc: np.ndarray, low: np.ndarray, hi
     return hit, least[hit], most[hit], first[hit]
 
 
-_SPANS = "id1 long, id2 long, doc_id long, n long, start long, end long, first_doc long"
+_SPANS = "id1 long, id2 long, start long, end long, first_doc long"
 
 
 def _compare(dealt: DataFrame) -> DataFrame:
@@ -259,7 +271,7 @@ def _compare(dealt: DataFrame) -> DataFrame:
             if not hit.size:
                 return None
             index = pa.array(hit)
-            carried = [col(c).take(index) for c in ("id1", "id2", "doc_id", "n")]
+            carried = [col(c).take(index) for c in ("id1", "id2")]
             return pa.RecordBatch.from_arrays([*carried, pa.array(at[hit] - most), pa.array(at[hit] - least + MIN_WORDS), pa.array(first, mask=first == _NO_DOC)], names=[f.split()[0] for f in _SPANS.split(", ")])
 
         for whole in batches:
@@ -282,41 +294,38 @@ def _compare(dealt: DataFrame) -> DataFrame:
 
 def _counted_windows(rows: DataFrame) -> DataFrame:
     """Spans from all windows of the places of very common keys, counted by their digests."""
-    every = materialise(_around(rows, "offset long, w1 long, w2 long", _windows))
-    window = ["key", "offset", "w1", "w2"]
-    counts = every.groupBy(*window).agg(F.sum("n").alias("places"), F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("first_doc"))
-    found = join_counted(every, materialise(counts.filter("places > 1")), window, "rows")
-    at = F.shiftright("place", 2 * _PLACE_BITS)
-    return found.select("id1", "id2", "doc_id", "n", (at - F.col("offset")).alias("start"), (at - F.col("offset") + MIN_WORDS).alias("end"), "first_doc")
+    every = materialise(_around(rows, _windows, _WINDOWS))
+    counts = every.groupBy("w1", "w2").agg(F.sum("n").alias("copies"), F.count(F.lit(1)).alias("rows"), F.min("doc_id").alias("first_doc"))
+    found = join_counted(every.drop("doc_id", "n"), materialise(counts.filter("copies > 1").drop("copies")), ["w1", "w2"], "rows")
+    return found.select("id1", "id2", "start", (F.col("start") + MIN_WORDS).alias("end"), "first_doc")
 
 
 def repeated_passages(docs: DataFrame, group_rows: int = GROUP_ROWS) -> DataFrame:
     """doc_id, start_word, end_word (exclusive), n_words, first_doc_id: every longest span of ``docs(doc_id, text)`` that is made of repeated
     stretches of MIN_WORDS words. first_doc_id: the smallest doc_id that holds a stretch of the span."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
-    # rows that are equal in id and text are one document n times over
-    rows = rows.select(F.xxhash64("doc_id", "text").alias("id1"), F.xxhash64(F.lit(MIN_WORDS), "text", "doc_id").alias("id2"), "doc_id", "text")
+    rows = rows.select(F.xxhash64("text").alias("id1"), F.xxhash64(F.lit(MIN_WORDS), "text").alias("id2"), "doc_id", "text")
+    same = ["id1", "id2"]
     kept = places(rows)
     counts = kept.groupBy("key").agg(F.count(F.lit(1)).alias("positions"))
-    wanted = materialise(join_counted(kept, materialise(counts.filter("positions > 1")), ["key"], "positions").select("key", "id1", "id2", "place", (F.col("positions") > group_rows).alias("large")))
-    spans = None
-    for large in (False, True):
-        mine = wanted.filter("large" if large else "not large")
-        if large and mine.isEmpty():
-            break
-        listed = mine.groupBy("id1", "id2").agg(F.sort_array(F.collect_set(F.struct("key", "place"))).alias("wanted"))
-        copies = rows.join(listed.select("id1", "id2"), ["id1", "id2"], "left_semi") if large else rows
-        joined = copies.groupBy("id1", "id2").agg(F.count(F.lit(1)).alias("n"), F.first("doc_id").alias("doc_id"), F.first("text").alias("text")).join(listed, ["id1", "id2"])
-        if large:
-            found = _counted_windows(joined)
-        else:
-            suffixes = _around(joined, "right binary, left binary", _contexts)
-            found = _compare(suffixes.repartition("key").sortWithinPartitions("key", "right"))
-        spans = found if spans is None else spans.unionByName(found)
-    along = Window.partitionBy("id1", "id2").orderBy("start", "end")
+    wanted = join_counted(kept, materialise(counts.filter("positions > 1")), ["key"], "positions")
+    listed = wanted.groupBy(*same).agg(*(F.sort_array(F.collect_set(F.when(mine, F.struct("key", "place")))).alias(name) for name, mine in (("small", F.col("positions") <= group_rows), ("large", F.col("positions") > group_rows))))
+    listed = materialise(listed)
+    # texts that are equal are one text n times over
+    distinct = rows.groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
+    suffixes = _around(distinct.join(listed.filter(F.size("small") > 0).select(*same, F.col("small").alias("wanted")), same), _contexts, _SUFFIXES)
+    spans = _compare(suffixes.repartition("key").sortWithinPartitions("key", "right"))
+    large = listed.filter(F.size("large") > 0).select(*same, F.col("large").alias("wanted"))
+    if not large.isEmpty():
+        few = rows.join(large.select(*same), same, "left_semi").groupBy(*same).agg(F.count(F.lit(1)).alias("n"), F.min("doc_id").alias("doc_id"), F.first("text").alias("text"))
+        spans = spans.unionByName(_counted_windows(few.join(large, same)))
+    along = Window.partitionBy(*same).orderBy("start", "end")
     islands = spans.withColumn("new", F.when(F.col("start") <= F.max("end").over(along.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1)).withColumn("island", F.sum("new").over(along.rowsBetween(Window.unboundedPreceding, 0)))
-    joined = islands.groupBy("id1", "id2", "island").agg(F.first("doc_id").alias("doc_id"), F.first("n").alias("n"), F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.min("first_doc").alias("first_doc_id"))
-    each = joined.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n"))))
+    joined = islands.groupBy(*same, "island").agg(F.min("start").alias("start_word"), F.max("end").alias("end_word"), F.min("first_doc").alias("first_doc_id"))
+    found = joined.groupBy(*same).agg(F.collect_list(F.struct("start_word", "end_word", "first_doc_id")).alias("spans"))
+    holders = rows.select(*same, "doc_id")
+    copies = holders.groupBy(*same).agg(F.count(F.lit(1)).alias("n"))
+    each = join_counted(holders, materialise(found.join(copies, same)), same, "n").select("doc_id", F.explode("spans").alias("span")).select("doc_id", "span.*")
     return each.select("doc_id", "start_word", "end_word", (F.col("end_word") - F.col("start_word")).alias("n_words"), "first_doc_id")
 
 
