@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterable, Iterator
 
 import ahocorasick
@@ -17,19 +18,12 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(ALNUM).split()
 
 
+_WORD = re.compile(r"[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
+
+
 def word_offsets(text: str) -> list[tuple[int, int]]:
     """Code point offsets of the same words in the original text, for the few texts that need them."""
-    out, start = [], -1
-    for i, c in enumerate(text):
-        inside = ord(c) >= 0x80 or c.isalnum()
-        if inside and start < 0:
-            start = i
-        elif not inside and start >= 0:
-            out.append((start, i))
-            start = -1
-    if start >= 0:
-        out.append((start, len(text)))
-    return out
+    return [m.span() for m in _WORD.finditer(text)]
 
 
 class PhraseAutomaton:
