@@ -56,6 +56,14 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.
     return df.mapInArrow(run, schema)
 
 
+def free_name(name: str, taken: list[str]) -> str:
+    """``name``, or ``name`` with underscores before it, as no column of ``taken`` is called in any case of letters."""
+    lower = {c.lower() for c in taken}
+    while name.lower() in lower:
+        name = f"_{name}"
+    return name
+
+
 def texts(column: pa.Array) -> Iterator[bytes]:
     """UTF-8 bytes of each text without decoding; null reads as empty."""
     for value in column.cast(pa.large_binary()) if pa.types.is_large_string(column.type) else column.cast(pa.binary()):

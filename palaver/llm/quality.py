@@ -1,18 +1,25 @@
 """Operator 2: quality classification by importance resampling over hashed n-grams.
 
-Two generative models say how likely a document of the target (labelled good and not toxic) and a document of the raw corpus is to
-hold a feature. Features are hashed unigrams of words and hashed bigrams of token shapes (case, digits, symbols, repetition), each counted once a
-document. A document's log importance weight is the sum of log(target rate / raw rate) over its features, where rates are
-shrunk by ``PRIOR`` documents and features whose ratio stays within e**+-``CUT`` are taken as noise and count nothing, as are those that fewer than ``WITNESSES``
-labelled documents outside the target hold: what is rare among labelled documents only because few were labelled says nothing. The corpus side
-counts every document; the labelled sides are about ``TARGET_SAMPLE`` documents at most each, chosen by the hash of their ids.
-
-Sampling is Gumbel top-k: key = log weight + ``NOISE`` * Gumbel(0, 1), drawn from the doc_id, and the k largest keys stay. k is
-the effective number of target-like documents, the sum of min(1, weight) over all documents, unless it is given.
-
-Defined results: null and empty texts have no features and weight 1; a doc_id labelled more than once is a target only if all its labels
-are good; without labels or documents every weight is 1 and all rows stay; rows that repeat a doc_id share their draw;
-null doc_ids are carried through. Only id and text are read, and doc_id, quality and toxic of the labels.
+Two generative models give the rate of every feature in the target text (documents labelled good and not toxic) and in the raw text (all documents).
+Features are hashed unigrams of words and hashed bigrams of token shapes (case, digits, symbols, repetition), counted as often as they
+stand in a text. A document's log importance weight is the sum of log(target rate / raw rate) over its features.
+
+Smoothing. Rates are smoothed by ``PRIOR`` occurrences. A raw corpus is labelled in part only, so a rare feature may be short in the target by
+chance: every log ratio is shrunk by the positive-part rule 1 - (t / z)^2, where z is how many standard deviations the number of target documents
+with the feature lies outside what chance gives, and t = sqrt(2 ln(number of features)), the universal threshold. By chance a feature has the
+corpus's share of target documents if it stands in all documents alike, and that share divided by the target's part of the labels if
+only target-like documents hold it; rates between the two are no evidence for either side and weigh nothing. No constant is
+chosen on data, and labels outside the target give nothing but that part.
+
+Sampling is Gumbel top-k: key = log weight + Gumbel(0, 1), drawn from id and text, and the k largest keys stay. k, unless it is given, is the
+expected size of the sample in which a document of weight 1 stays with probability ``STAY``: the sum of 1 - (1 - STAY)^weight.
+
+The corpus side counts every document; the target side is about ``TARGET_SAMPLE`` documents at most, chosen by the hash of their ids.
+
+Defined results: null and empty texts have no features and weight 1; very long texts are read whole; a doc_id labelled more than once is a target only if all its
+labels are good; without labels or documents every weight is 1 and all rows stay; rows that agree in doc_id and text share their draw, and where
+they tie with the last key ``resample`` keeps any of them up to k and ``keep_good`` all; null doc_ids are carried through. ``resample`` reads only id and text, ``keep_good`` returns
+all columns, whatever their names; doc_id, quality and toxic are read of the labels.
 """
 
 from __future__ import annotations
@@ -27,15 +34,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from xxhash import xxh64_intdigest
 
-from .common import ALNUM, hash_sample, map_batches, materialise, read_table, texts, top_k, unit_interval
+from .common import ALNUM, free_name, hash_sample, map_batches, materialise, read_table, texts, top_k, unit_interval
 
 WORD_BITS, SHAPE_BITS = 20, 18
 FEATURES = (1 << WORD_BITS) + (1 << SHAPE_BITS)
 TARGET_SAMPLE = 200_000
-PRIOR = 3.0
-CUT = 1.0
-WITNESSES = 8
-NOISE = 0.2
+PRIOR = 1.0
+STAY = 0.999
 SEED = 2
 MEMO_TOKENS = 300_000
 
@@ -45,7 +50,7 @@ _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
 class Featuriser(dict):
-    """token -> word bucket and hashed shape in one integer; ``features`` gives a text's distinct features."""
+    """token -> word bucket and hashed shape in one integer; ``features`` gives a text's features, repeats included."""
 
     def __missing__(self, token: bytes) -> int:
         if len(self) >= MEMO_TOKENS:
@@ -65,54 +70,72 @@ class Featuriser(dict):
         before = np.zeros_like(shapes)
         before[1:] = shapes[:-1]
         pairs = ((shapes * _A + before * _B) >> np.uint64(64 - SHAPE_BITS)).astype(np.int64) + (1 << WORD_BITS)
-        return np.unique(np.concatenate([words, pairs]))
+        return np.concatenate([words, pairs])
 
 
-def labelled_ids(labels: DataFrame, sample: int = TARGET_SAMPLE) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted ids of about ``sample`` documents (all if there are fewer) whose labels are all good and not toxic, and of as many others."""
-    judged = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.coalesce((F.min("quality") == 1) & (F.max("toxic") == 0), F.lit(False)).alias("good"))
-    ids = []
-    for side in (F.col("good"), ~F.col("good")):
-        rows = judged.filter(side).select("doc_id")
-        ids.append(np.sort(np.array([r[0] for r in hash_sample(rows, ["doc_id"], sample, rows.count()).collect()], np.int64)))
-    return ids[0], ids[1]
+def target_ids(labels: DataFrame, sample: int = TARGET_SAMPLE) -> tuple[np.ndarray, float]:
+    """Sorted ids of about ``sample`` documents (all if there are fewer) whose labels are all good and not toxic, and the part of all labelled documents that are so."""
+    judged = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.bool_and(F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(False))).alias("good"))
+    total, good = judged.agg(F.count(F.lit(1)), F.count(F.when(F.col("good"), 1))).first()
+    ids = hash_sample(judged.filter("good").select("doc_id"), ["doc_id"], sample, good).collect()
+    return np.sort(np.array([r[0] for r in ids], np.int64)), good / total if total else 0.0
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = TARGET_SAMPLE, prior: float = PRIOR, cut: float = CUT, witnesses: int = WITNESSES) -> dict[str, np.ndarray]:
-    """The features that tell target from raw documents, and their log ratios; FEATURES of them at most."""
-    judged = docs.sparkSession.sparkContext.broadcast(labelled_ids(labels, sample))
+#: What is counted of every feature: occurrences and documents in the raw and in the target text.
+COUNTS = ("raw", "raw_docs", "target", "target_docs")
+
+
+def count_features(docs: DataFrame, target: np.ndarray) -> DataFrame:
+    """feature and COUNTS over all ``docs(doc_id, text)``; feature FEATURES holds all occurrences and documents."""
+    shared = docs.sparkSession.sparkContext.broadcast(target)
 
     def count(batches):
-        featuriser, (good, bad) = Featuriser(), judged.value
-        raw, target, rejected = (np.zeros(FEATURES + 1, np.int64) for _ in range(3))
+        featuriser, good = Featuriser(), shared.value
+        sums = np.zeros((len(COUNTS), FEATURES + 1), np.int64)
         for batch in batches:
             ids, known = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-            for is_good, is_bad, text in zip((known & np.isin(ids, good)).tolist(), (known & np.isin(ids, bad)).tolist(), texts(batch.column(1))):
-                found = np.append(featuriser.features(text), FEATURES)  # the last place counts documents
-                raw[found] += 1
-                if is_good:
-                    target[found] += 1
-                elif is_bad:
-                    rejected[found] += 1
-        at = np.flatnonzero(raw)
+            for is_good, text in zip((known & np.isin(ids, good)).tolist(), texts(batch.column(1))):
+                every = featuriser.features(text)
+                found, n = np.unique(every, return_counts=True)
+                found, n = np.append(found, FEATURES), np.append(n, every.size)
+                for side in (0, 2) if is_good else (0,):
+                    sums[side][found] += n
+                    sums[side + 1][found] += 1
+        at = np.flatnonzero(sums[1])
         for part in np.array_split(at, max(1, at.size // 50_000)):
-            yield pa.RecordBatch.from_pydict({"feature": pa.array(part), "raw": pa.array(raw[part]), "target": pa.array(target[part]), "rejected": pa.array(rejected[part])})
+            yield pa.RecordBatch.from_pydict({"feature": pa.array(part)} | {c: pa.array(s[part]) for c, s in zip(COUNTS, sums)})
+
+    counts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(count, "feature long, " + ", ".join(f"{c} long" for c in COUNTS))
+    return counts.groupBy("feature").agg(*(F.sum(c).alias(c) for c in COUNTS))
+
 
-    counts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(count, "feature long, raw long, target long, rejected long")
-    counts = materialise(counts.groupBy("feature").agg(*(F.sum(c).alias(c) for c in ("raw", "target", "rejected"))))
+def fit(docs: DataFrame, labels: DataFrame, sample: int = TARGET_SAMPLE, prior: float = PRIOR) -> dict[str, np.ndarray]:
+    """The features whose log ratio of target to raw rate is not zero, and their ratios; FEATURES of them at most."""
+    target, part = target_ids(labels, sample)
+    counts = materialise(count_features(docs, target))
     sizes = counts.filter(F.col("feature") == FEATURES).first()
     if not sizes or not sizes["target"]:
         return {"feature": np.empty(0, np.int64), "ratio": np.empty(0)}
-    share = sizes["target"] / sizes["raw"]
-    ratio = F.log((F.col("target") + F.lit(prior)) / (F.col("raw") * F.lit(share) + F.lit(prior)))
-    telling = counts.filter((F.col("feature") < FEATURES) & (F.col("rejected") >= witnesses)).select("feature", ratio.alias("ratio")).filter(F.abs("ratio") >= cut).toPandas()
+    every = counts.filter(F.col("feature") < FEATURES)
+    threshold = math.sqrt(2 * math.log(max(2, every.count())))
+    # by chance a feature's share of target documents lies between that of all documents and that of target-like ones
+    low = sizes["target_docs"] / sizes["raw_docs"]
+    high = min(1.0, low / part)
+    below, above = F.col("target_docs") < F.lit(low) * F.col("raw_docs"), F.col("target_docs") > F.lit(high) * F.col("raw_docs")
+    chance = F.when(below, F.lit(low)).otherwise(F.lit(high))
+    squared = F.try_divide((F.col("target_docs") - chance * F.col("raw_docs")) ** 2, F.col("raw_docs") * chance * (1 - chance))
+    shrink = 1 - F.try_divide(F.lit(threshold**2), squared)
+    expected = F.col("raw") * F.lit(sizes["target"] / sizes["raw"]) * chance / F.lit(low)
+    ratio = F.log((F.col("target") + F.lit(prior)) / (expected + F.lit(prior))) * shrink
+    telling = every.filter((below | above) & (squared > threshold**2)).select("feature", ratio.alias("ratio")).toPandas()
     return {"feature": telling["feature"].to_numpy(np.int64), "ratio": telling["ratio"].to_numpy(float)}
 
 
-def score(docs: DataFrame, model: dict[str, np.ndarray], columns: list[str]) -> DataFrame:
-    """The named columns of ``docs`` and ``__log_weight``."""
+def score(docs: DataFrame, model: dict[str, np.ndarray], columns: list[str], weight: str) -> DataFrame:
+    """The named columns of ``docs`` and the log weight of its texts under the name ``weight``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    rows = docs.select(*columns, F.col("text").cast("string").alias("__text"))
+    text = free_name("text", columns)
+    rows = docs.select(*columns, F.col("text").cast("string").alias(text))
 
     def make():
         featuriser = Featuriser()
@@ -121,25 +144,31 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], columns: list[str]) ->
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             weights = [math.fsum(ratio[featuriser.features(t)]) for t in texts(batch.column(len(columns)))]
-            return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(weights, pa.float64())], names=[*columns, "__log_weight"])
+            return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(weights, pa.float64())], names=[*columns, weight])
 
         return step
 
-    return map_batches(rows, make, T.StructType([f for c in columns for f in docs.schema.fields if f.name == c] + [T.StructField("__log_weight", T.DoubleType())]))
+    return map_batches(rows, make, T.StructType([*rows.schema.fields[:-1], T.StructField(weight, T.DoubleType())]))
 
 
-def gumbel_key(seed: int = SEED, noise: float = NOISE):
-    return F.col("__log_weight") - F.lit(noise) * F.log(-F.log(unit_interval(F.lit(seed), F.col("doc_id"))))
+def gumbel_key(weight: str, draw):
+    return F.col(weight) - F.log(-F.log(draw))
+
+
+def _draw(seed: int = SEED):
+    return unit_interval(F.lit(seed), F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")))
 
 
 def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, **how) -> tuple[DataFrame, dict[str, np.ndarray]]:
     """(doc_id, log_weight, key of the documents that stay; the model)."""
     model = fit(docs, labels, **how)
-    thin = materialise(score(docs, model, ["doc_id"]).withColumn("key", gumbel_key()))
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), _draw().alias("draw"))
+    thin = score(rows, model, ["doc_id", "draw"], "log_weight")
+    thin = materialise(thin.select("doc_id", "log_weight", gumbel_key("log_weight", F.col("draw")).alias("key")))
     if k is None:
-        k = round(thin.agg(F.sum(F.least(F.lit(1.0), F.exp("__log_weight")))).first()[0] or 0)
-    kept = top_k(thin, "key", k, ["doc_id"])
-    return kept.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("__log_weight").alias("log_weight"), "key"), model
+        chance = 1 - F.exp(F.lit(math.log(1 - STAY)) * F.exp(F.least(F.col("log_weight"), F.lit(50.0))))
+        k = round(thin.agg(F.sum(chance)).first()[0] or 0)
+    return top_k(thin, "key", k, ["doc_id"]), model
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -149,9 +178,51 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     lowest = kept.agg(F.min("key")).first()[0]
     if lowest is None:
         return docs.limit(0)
-    return score(docs, model, docs.columns).filter(gumbel_key() >= F.lit(lowest)).select(*docs.columns)
+    draw = free_name("draw", docs.columns)
+    weight = free_name("weight", [*docs.columns, draw])
+    scored = score(docs.withColumn(draw, _draw()), model, [*docs.columns, draw], weight)
+    return scored.filter(gumbel_key(weight, F.col(draw)) >= F.lit(lowest)).select(*docs.columns)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     return resample(docs, read_table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))[0]
+
+
+def brute_force(rows: list[tuple[int | None, str | None]], labels: list[tuple[int | None, int | None, int | None]], prior: float = PRIOR) -> list[float]:
+    """Log weights of ``rows`` by plain counting over dictionaries."""
+    marks: dict[int, list] = {}
+    for doc_id, quality, toxic in labels:
+        if doc_id is not None:
+            marks.setdefault(doc_id, []).append(quality == 1 and toxic == 0)
+    targets = {d for d, m in marks.items() if all(m)}
+    bags = []
+    for doc_id, text in rows:
+        bag: dict[int, int] = {}
+        for f in Featuriser().features((text or "").encode()).tolist():
+            bag[f] = bag.get(f, 0) + 1
+        bags.append((doc_id in targets, bag))
+    sums: dict[int, list[int]] = {}
+    for is_target, bag in bags:
+        for f, n in [*bag.items(), (FEATURES, sum(bag.values()))]:
+            s = sums.setdefault(f, [0, 0, 0, 0])
+            s[0] += n
+            s[1] += 1
+            s[2] += n * is_target
+            s[3] += is_target
+    size = sums.pop(FEATURES, [0, 0, 0, 0])
+    if not size[2]:
+        return [0.0] * len(rows)
+    low = size[3] / size[1]
+    high = min(1.0, low * len(marks) / len(targets))
+    limit = 2 * math.log(max(2, len(sums)))
+    ratio = {}
+    for f, (raw, raw_docs, target, target_docs) in sums.items():
+        share = target_docs / raw_docs
+        chance = low if target_docs < low * raw_docs else high if target_docs > high * raw_docs else None
+        if chance is None or chance == 1.0:
+            continue
+        z2 = (share - chance) ** 2 * raw_docs / (chance * (1 - chance))
+        if z2 > limit:
+            ratio[f] = math.log((target + prior) / (raw * size[2] / size[0] * chance / low + prior)) * (1 - limit / z2)
+    return [math.fsum(ratio.get(f, 0.0) * n for f, n in bag.items()) for _, bag in bags]
