@@ -99,19 +99,61 @@ def test_decontamination(spark):
 
 
 def test_quality_keeps_good_and_drops_toxic(spark):
+    """Held-out labels: what is left out of the fit is judged."""
     held = {r["doc_id"]: (r["quality"], r["toxic"]) for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
     seen = spark.createDataFrame([(k, *v) for k, v in held.items() if k % 3], "doc_id long, quality int, toxic int")
     kept = {r[0] for r in quality.resample(docs, seen)[0].select("doc_id").collect()}
-    share = lambda q, t: np.mean([k in kept for k, v in held.items() if k % 3 == 0 and v == (q, t)])
-    shares = share(1, 0), share(0, 0), share(1, 1)
-    assert shares[0] > 0.95 and shares[1] < 0.05 and shares[2] < 0.2, shares
+    abuse = {r[0] for r in docs.filter("text rlike '(?i)worthless|scum|moron'").select("doc_id").collect()}
+    share = lambda of: np.mean([k in kept for k in held if k % 3 == 0 and of(k)])
+    shares = share(lambda k: held[k] == (1, 0)), share(lambda k: held[k][0] == 0), share(lambda k: held[k][1] == 1 and k in abuse)
+    assert shares[0] > 0.98 and shares[1] < 0.03 and shares[2] < 0.03, shares
+
+
+def _labelled_corpus():
+    rng = random.Random(8)
+    word = lambda: f"w{min(rng.randrange(60), rng.randrange(60))}"
+    rows, labels = [], []
+    for i in range(500):
+        bad = i % 5 == 0
+        words = [word() for _ in range(rng.randrange(5, 40))] + (["vile", "VILE!!", "vile"] if bad else [])
+        rng.shuffle(words)
+        rows.append((i if i % 50 else None, " ".join(words)))
+        if i % 2:
+            labels.append((i, 1, int(bad)))
+    rows += [rows[7], rows[7], (9001, None), (9002, ""), (None, rows[7][1])]
+    labels += [(3, 1, 0), (3, 0, 0), (None, 1, 0), (11, None, None)]
+    return rows, labels
+
+
+@pytest.mark.parametrize("k", [None, 100])
+def test_quality_against_brute_force(spark, k):
+    """Weights, keys and the exact set that stays."""
+    rows, labels = _labelled_corpus()
+    docs = spark.createDataFrame(rows, DOCS)
+    marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    weights = quality.brute_force(rows, labels)
+    assert min(weights) < -5 and sum(w == 0 for w in weights) > 300
+    draws = {tuple(r)[:2]: r[2] for r in docs.select("doc_id", "text", quality._draw()).collect()}
+    keys = [w - math.log(-math.log(draws[r])) for r, w in zip(rows, weights)]
+    want_k = k or round(sum(1 - (1 - quality.STAY) ** math.exp(w) for w in weights))
+    best = sorted(zip(rows, weights, keys), key=lambda x: -x[2])[:want_k]
+    got = quality.resample(docs, marks, k=k)[0].collect()
+    shown = lambda d, w, x: (str(d), round(w, 6), round(x, 6))
+    assert sorted(shown(*r) for r in got) == sorted(shown(r[0], w, x) for r, w, x in best)
+    if k is None:
+        kept = quality.keep_good(docs, marks)
+        last = best[-1][2]
+        assert sorted(map(str, map(tuple, kept.collect()))) == sorted(str(r) for r, x in zip(rows, keys) if x >= last - 1e-12)
 
 
 def test_quality_edges(spark):
     labels = spark.createDataFrame([(4, 1, 0), (4, 0, 0), (5, 1, 0), (None, 1, 0), (6, None, None)], "doc_id long, quality int, toxic int")
-    assert [x.tolist() for x in quality.labelled_ids(labels)] == [[5], [4, 6]]
+    ids, part = quality.target_ids(labels)
+    assert ids.tolist() == [5] and part == 1 / 3
     docs = odd_docs(spark)
+    for c in ("__text", "_text", "draw", "weight", "log_weight", "Feature"):
+        docs = docs.withColumn(c, F.lit("clash"))
     once = quality.keep_good(docs, labels)
     assert once.columns == docs.columns
     assert sorted(map(str, once.collect())) == sorted(map(str, quality.keep_good(docs, labels).collect()))
@@ -120,41 +162,74 @@ def test_quality_edges(spark):
     assert quality.keep_good(empty_docs(spark), labels).isEmpty()
 
 
+def test_top_k_with_very_many_ties(spark):
+    df = common.materialise(spark.range(5000).select(F.col("id").alias("doc_id"), F.when(F.col("id") < 100, 2.0).otherwise(1.0).alias("key")))
+    got = common.top_k(df, "key", 3000, ["doc_id"], exact_below=10)
+    assert got.count() == got.distinct().count() == 3000 and got.filter("key = 2").count() == 100
+
+
 # --- 3 -----------------------------------------------------------------------------------------------------------------------
 
 
 def test_expressions():
-    assert licences.parse("MIT OR Apache-2.0 AND (GPL-2.0-only WITH Classpath-exception-2.0)") == ["MIT", "Apache-2.0", "GPL-2.0-only", "Classpath-exception-2.0", "with", "and", "or"]
-    assert licences.evaluate(licences.parse("GPL-3.0 or MIT")) == ({"gpl", "mit"}, 1.0)
-    assert licences.evaluate(licences.parse("(GPL-3.0+ and MIT)"))[1] == licences.OPENNESS["gpl"]
-    assert licences.evaluate(licences.parse("GPL-2.0 with GCC-exception"))[1] == pytest.approx(0.6)
-    for bad in ("", "MIT OR", "(MIT", "MIT)", "AND MIT", "MIT Apache", "MIT !", "()", "(MIT) (BSD)"):
-        assert not licences.parse(bad)
-    assert licences.evaluate(licences.parse("(MIT or BSD) with X")) is None
+    postfix = lambda e: licences.to_postfix(licences.tokens_at(e, 0))
+    assert postfix("MIT OR Apache-2.0 AND (GPL-2.0-only WITH Classpath-exception-2.0)") == ["MIT", "Apache-2.0", "GPL-2.0-only", "Classpath-exception-2.0", "with", "and", "or"]
+    assert licences.evaluate(postfix("GPL-3.0 or MIT")) == ({"gpl", "mit"}, 1.0)
+    assert licences.evaluate(postfix("(GPL-3.0+ and MIT)"))[1] == licences.OPENNESS["gpl"]
+    assert licences.evaluate(postfix("GPL-2.0 with GCC-exception"))[1] == pytest.approx(0.6)
+    for none in ("", "(MIT", "AND MIT", "()", "!", "some prose", "(", "with"):
+        assert not licences.tokens_at(none, 0)
+    for whole, part in {
+        "MIT OR": "MIT", "MIT)": "MIT", "MIT Apache": "MIT", "MIT !": "MIT", "(MIT) (BSD)": "( MIT )", "(MIT or BSD) with X-1": "( MIT or BSD )", "MIT This file is part of it": "MIT",
+        "Apache-2.0 OR MIT more prose follows here": "Apache-2.0 or MIT", "MIT/Apache-2.0": "MIT or Apache-2.0", "MIT and this file": "MIT", "MIT.": "MIT", "MIT\nOR BSD": "MIT", "A-1 with B-1 with C-1": "A-1 with B-1",
+    }.items():
+        assert " ".join(licences.tokens_at(whole, 0)) == part, whole
+
+
+@given(st.recursive(st.sampled_from(["MIT", "GPL-3.0", "X-9"]).map(lambda x: (x, licences.OPENNESS.get(licences.label_of(x), licences.UNKNOWN))), lambda e: st.tuples(e, st.sampled_from(["and", "or"]), e).map(lambda t: (f"({t[0][0]} {t[1]} {t[2][0]})", (max if t[1] == "or" else min)(t[0][1], t[2][1]))), max_leaves=8))
+@settings(max_examples=200, deadline=None)
+def test_expressions_evaluate_like_their_trees(tree):
+    assert licences.evaluate(licences.to_postfix(licences.tokens_at(tree[0] + " and so on", 0)))[1] == tree[1]
 
 
 def test_licences(spark):
-    texts = ["/* SPDX-License-Identifier: MIT OR GPL-2.0-only */\nx", "Released under the MIT License. Apache license!", "GNU Lesser General Public License", "SPDX-License-Identifier: (MIT", "licensed under CC BY-NC 4.0", "mit licenses"]
+    texts = {
+        "/* SPDX-License-Identifier: MIT OR GPL-2.0-only */\nx": ("gpl,mit", 1.0, 0),
+        "Released under the MIT License. Apache license!": ("apache,mit", 1.0, 0),
+        "GNU Lesser General Public License": ("gpl,lgpl", licences.OPENNESS["lgpl"], 0),
+        "SPDX-License-Identifier: (MIT": ("", 0.0, 1),
+        "licensed under CC BY-NC 4.0": ("cc-by-nc", licences.OPENNESS["cc-by-nc"], 0),
+        "mit licenses": ("", 0.0, 0),
+        "x SPDX-License-Identifier: MIT This file is part of it": ("mit", 1.0, 0),
+        "license expression = 'Apache-2.0 AND (LGPL-2.1 OR BSD-3-Clause)' é SPDX License Identifier nothing": ("apache,bsd,lgpl", 1.0, 1),
+        "sent cc by mistake": ("", 0.0, 0),
+        "see https://creativecommons.org/licenses/by-sa/4.0/": ("cc-by-sa", licences.OPENNESS["cc-by-sa"], 0),
+        "MIT license, lesser general public license; general public license": ("gpl,lgpl,mit", licences.OPENNESS["gpl"], 0),
+        "SPDX-License-Identifier: " * 3000 + "MIT": ("mit", 1.0, 2999),
+    }
     docs = odd_docs(spark, [(100 + i, t) for i, t in enumerate(texts)])
-    got = {r["doc_id"]: r for r in licences.digest(licences.scan_licences(docs)).filter("doc_id >= 100").collect()}
-    assert got[100]["labels"] == "gpl,mit" and got[100]["score"] == 1.0 and got[100]["base_labels"] == ""
-    assert (got[101]["n_base"], got[101]["first_word"], got[101]["last_word"], got[101]["base_labels"]) == (2, 3, 5, "apache,mit")
-    assert got[102]["base_labels"] == "gpl" and got[102]["labels"] == "gpl,lgpl"
-    assert got[103]["n_bad_tags"] == 1 and got[103]["labels"] == ""
-    assert got[104]["labels"] == "cc-by,cc-by-nc"
-    assert got[105]["n_base"] == 0 and got[105]["first_word"] is None
-    for r, d in zip(sorted(map(str, licences.digest(licences.scan_licences(docs)).select("doc_id", "n_words", "n_base").collect())), sorted(str(x) for x in _base_counts(docs))):
-        assert r == d
+    digests = licences.digest(licences.scan_licences(docs))
+    got = {r["doc_id"]: r for r in digests.filter("doc_id >= 100").collect()}
+    for i, (t, want) in enumerate(texts.items()):
+        r = got[100 + i]
+        assert (r["labels"], r["score"], r["n_bad_tags"]) == want, t[:80]
+    base = digests.select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels")
+    assert sorted(map(str, map(tuple, base.collect()))) == sorted(str(x) for x in _base_columns(docs.collect()))
     assert licences.scan_licences(empty_docs(spark)).isEmpty()
 
 
-def _base_counts(docs):
-    from pyspark.sql import Row
+def test_licences_on_documents(spark):
+    rows = spark.read.parquet(SF + "/documents.parquet").select("doc_id", "text").collect()
+    got = licences.op3_licences(spark, SF).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect()
+    assert sorted(map(tuple, got)) == sorted(_base_columns(rows), key=lambda r: r[0])
 
-    for r in docs.collect():
+
+def _base_columns(rows):
+    for r in rows:
         words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), r["text"] or ""))
-        n = sum(words[i : i + len(p.split())] == p.split() for p in licences.BASE for i in range(len(words)))
-        yield Row(doc_id=r["doc_id"], n_words=len(words), n_base=n)
+        found = sorted((i, label) for p, label in licences.BASE.items() for i in range(len(words)) if words[i : i + len(p.split())] == p.split())
+        at = [i for i, _ in found]
+        yield r["doc_id"], len(words), len(found), min(at, default=None), max(at, default=None), ",".join(sorted({x for _, x in found}))
 
 
 # --- 4 -----------------------------------------------------------------------------------------------------------------------
@@ -277,26 +352,83 @@ def _targets(sizes, weights=mixing.WEIGHTS, cap=mixing.CAP):
         capped |= over
 
 
-@pytest.mark.parametrize("slot_rows", [4000, 7])
-def test_mixing(spark, slot_rows):
+def _expected(sizes, target, cap=mixing.CAP, tilt=mixing.TILT):
+    """Expected copies by octave of size: raise the scale until the expected words are the target."""
+    octave = lambda n: n.bit_length() - 1
+    copies = lambda c: {o: min(cap, c * 2.0 ** (-tilt * o)) for o in {octave(n) for n in sizes if n}}
+    low, high = 0.0, 1e6
+    for _ in range(200):
+        middle = (low + high) / 2
+        e = copies(middle)
+        low, high = (middle, high) if sum(n * e[octave(n)] for n in sizes if n) < target else (low, middle)
+    return {n: copies(high)[octave(n)] if n else None for n in set(sizes)}
+
+
+def _mixture_rows():
     rng = random.Random(3)
-    rows = [(i, " ".join(["w"] * rng.choice([0, 1, 2, 5, 40, 300])), rng.choice(["a", "a", "a", "b", "ç", None, "tiny"]) if i else "tiny") for i in range(400)] + [(9, "x y", "a"), (9, "x y", "a"), (None, None, "zero"), (None, "q r s", "b")]
-    docs = spark.createDataFrame(rows, DOCS + ", source string").withColumn("target", F.lit("clash"))
+    rows = [(i, " ".join([f"w{i}"] * rng.choice([0, 1, 2, 5, 40, 300])), rng.choice(["a", "a", "a", "b", "ç", None, "tiny"]) if i else "tiny") for i in range(400)]
+    return rows + [(9, "x y", "a")] * 7 + [(None, None, "zero"), (None, "q r s", "b"), (None, "t u v", "b"), (None, "t u v", "b"), (500, "v " * 20_000, "a")]
+
+
+@pytest.mark.parametrize("top_up", [mixing.TOP_UP, 0])
+def test_mixing_against_brute_force(spark, top_up, monkeypatch):
+    """Targets, inclusion odds, the draw's order and what it takes, source by source."""
+    monkeypatch.setattr(mixing, "TOP_UP", top_up)
+    rows = _mixture_rows()
+    docs = spark.createDataFrame(rows, DOCS + ", source string").withColumn("target", F.lit("clash")).withColumn("unit", F.lit("clash"))
+    size = lambda t: len((t or "").split())
     sizes: dict = {}
     for _, t, s in rows:
-        sizes[s] = sizes.get(s, 0) + len((t or "").split())
+        sizes[s] = sizes.get(s, 0) + size(t)
     want = _targets(sizes)
-    got = mixing.mix(docs, slot_rows=slot_rows).collect()
-    assert len(got) == len(rows)
-    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs, slot_rows=slot_rows).collect()))
-    taken: dict = {}
-    for r in got:
-        assert 0 <= r["copies"] <= 3
-        key = (r["source_size"], round(r["target"], 6))
-        taken[key] = taken.get(key, 0) + r["copies"] * r["size"]
-    assert {k for k in taken} == {(sizes[s], round(want[s], 6)) for s in sizes}
+    got = mixing.mix(docs).collect()
+    assert sorted(map(str, got)) == sorted(map(str, mixing.mix(docs.repartition(13)).collect()))
+    draws = {tuple(r)[:2]: tuple(r)[2:] for r in docs.select("doc_id", "text", common.unit_interval(F.lit(mixing.SEED), "doc_id", F.lit(0), F.lit(0)), F.xxhash64("text")).collect()}
+    u_of = {tuple(r)[:2]: r[2] for r in docs.select("doc_id", "text", common.unit_interval(F.lit(mixing.SEED), "doc_id", F.coalesce(F.regexp_count("text", F.lit(mixing.WORDS)), F.lit(0)).cast("long"), F.xxhash64("text"))).collect()}
+    out, odds_seen = [], set()
     for s in sizes:
-        assert taken[(sizes[s], round(want[s], 6))] == pytest.approx(want[s], abs=max(40 if slot_rows > 1000 else 300, 0.02 * want[s]))
+        mine = [r for r in rows if r[2] == s]
+        e = _expected([size(t) for _, t, _ in mine], want[s])
+        units: dict = {}
+        for d, t, _ in mine:
+            units[d, t] = units.get((d, t), 0) + 1
+        room, drawn = want[s], []
+        sure = {}
+        for (d, t), n in units.items():
+            whole = math.floor((e[size(t)] or 0) + 1e-6) if size(t) else 0
+            due = n * ((e[size(t)] or 0) - whole) if size(t) else 0.0
+            sure[d, t] = whole, math.floor(due + 1e-6)
+            f = due - sure[d, t][1]
+            room -= size(t) * (whole * n + sure[d, t][1])
+            if f > 1e-6:
+                u = u_of[d, t]
+                odds_seen.add(round(f, 6))
+                drawn.append(((u / (1 - u)) / (f / (1 - f)), d is None, d or 0, draws[d, t][1], (d, t)))
+        extra, open_run, behind, passed = {}, True, 0, []
+        for *_, unit in sorted(drawn):
+            n = size(unit[1])
+            if open_run and n <= room + 1e-6:
+                extra[unit], room = 1, room - n
+                continue
+            open_run, behind = False, behind + 1
+            if behind <= top_up and n <= room + 1e-6:
+                extra[unit], room = 1, room - n
+            elif behind <= top_up:
+                passed.append((n, behind, unit))
+        if passed and min(passed)[0] < 2 * room:
+            extra[min(passed)[2]] = 1
+        for unit, n in units.items():
+            for i in range(n):
+                out.append((unit[0], size(unit[1]), sizes[s], round(want[s], 4), sure[unit][0] + (i < sure[unit][1] + extra.get(unit, 0))))
+    assert len(odds_seen) > 8
+    assert sorted(map(str, ((r["doc_id"], r["size"], r["source_size"], round(r["target"], 4), r["copies"]) for r in got))) == sorted(map(str, out))
+    assert all(0 <= r["copies"] <= 3 for r in got)
+    if top_up:
+        taken: dict = {}
+        for r in got:
+            key = (r["source_size"], round(r["target"], 4))
+            taken[key] = taken.get(key, 0) + r["copies"] * r["size"]
+        assert all(abs(taken[k] - k[1]) <= 0.02 * k[1] + 2 for k in taken if k[0] < 20_000), taken
     assert mixing.mix(empty_docs(spark)).isEmpty()
 
 
@@ -307,6 +439,25 @@ def test_pareto_order_has_the_right_rate(spark):
     assert abs(small.copies.mean() - 1.5) < 0.01 and set(small.copies) == {1, 2}
 
 
+def test_inclusion_follows_the_odds(spark):
+    """Over many seeds, documents of an octave are taken at their octave's rate."""
+    docs = spark.range(600).select(F.col("id").alias("doc_id"), F.expr("repeat('w ', cast(pow(2, id % 6) as int))").alias("text"), F.when(F.col("id") < 300, "a").otherwise("b").alias("source")).cache()
+    want = _expected([2 ** (i % 6) for i in range(300)], 300 / 6 * 63 * 2 * 2 / 7)
+    sums: dict = {}
+    for seed in range(8):
+        for r in mixing.mix(docs, weights=(5.0, 2.0), seed=seed).collect():
+            if r["target"] < 4000:
+                sums.setdefault(r["size"], []).append(r["copies"])
+    assert all(abs(np.mean(c) - want[n]) < 0.08 for n, c in sums.items()), {n: (np.mean(c), want[n]) for n, c in sums.items()}
+
+
+def test_many_sources(spark):
+    sizes = spark.range(5000).select(F.format_string("s%05d", "id").alias("source"), (F.col("id") * 7919 % 1000).alias("source_size"))
+    got = {r["source"]: r["target"] for r in mixing.source_targets(sizes).collect()}
+    want = _targets({r["source"]: r["source_size"] for r in sizes.collect()})
+    assert all(abs(got[s] - want[s]) < 1e-6 for s in want) and len(got) == 5000
+
+
 # --- 8 -----------------------------------------------------------------------------------------------------------------------
 
 
