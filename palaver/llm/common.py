@@ -129,21 +129,24 @@ def top_k(df: DataFrame, key: str, k: int, tie_breakers: list[str], buckets: int
 HEAVY_KEYS = 1000
 
 
-def join_counted(rows: DataFrame, counts: DataFrame, on: list[str], count: str) -> DataFrame:
-    """Inner join of ``rows`` with ``counts``, one row a key, whose column ``count`` says how many of ``rows`` have the key.
+def join_counted(rows: DataFrame, counts: DataFrame, on: list[str], count: str, how: str = "inner") -> DataFrame:
+    """Inner (or left) join of ``rows`` with ``counts``, one row a key, whose column ``count`` says how many of ``rows`` have the key.
 
-    Keys with over 1/HEAVY_KEYS of all rows, of which there are fewer than HEAVY_KEYS by counting, are broadcast, and their rows are
-    dealt by a salt; the others are joined by key. ``rows`` is read once, ``counts`` (materialised) twice.
+    Keys with over 1/HEAVY_KEYS of all rows, of which there are fewer than HEAVY_KEYS by counting, are broadcast, and their rows stay
+    with others of the partition they come from; the rest is joined by key. ``rows`` is read once, ``counts`` (materialised) twice.
     """
     total = counts.agg(F.sum(count)).first()[0] or 0
     others = [c for c in counts.columns if c not in on]
+    heavy_name, light_name, salt_name, found_name = (free_name(c, [*rows.columns, *counts.columns]) for c in ("heavy", "light", "salt", "found"))
     is_heavy = F.col(count) * F.lit(HEAVY_KEYS) > F.lit(total)
-    heavy = counts.filter(is_heavy).select(*on, F.struct(*others).alias("__heavy"))
-    light = counts.filter(~is_heavy).select(*on, F.lit(0).cast("long").alias("__salt"), F.struct(*others).alias("__light"))
-    salt = 1 + F.pmod(F.xxhash64(*rows.columns, F.spark_partition_id()), F.lit(HEAVY_KEYS))
-    marked = rows.join(F.broadcast(heavy), on, "left").withColumn("__salt", F.when(F.col("__heavy").isNull(), 0).otherwise(salt).cast("long"))
-    joined = marked.join(light, [*on, "__salt"], "left").withColumn("__found", F.coalesce("__heavy", "__light")).filter("__found is not null")
-    return joined.select(*rows.columns, "__found.*")
+    heavy = counts.filter(is_heavy).select(*on, F.struct(*others).alias(heavy_name))
+    light = counts.filter(~is_heavy).select(*on, F.lit(0).cast("long").alias(salt_name), F.struct(*others).alias(light_name))
+    salt = 1 + F.pmod(F.xxhash64(*on, F.spark_partition_id()), F.lit(HEAVY_KEYS))
+    marked = rows.join(F.broadcast(heavy), on, "left").withColumn(salt_name, F.when(F.col(heavy_name).isNull(), 0).otherwise(salt).cast("long"))
+    joined = marked.join(light, [*on, salt_name], "left").withColumn(found_name, F.coalesce(heavy_name, light_name))
+    if how == "inner":
+        joined = joined.filter(F.col(found_name).isNotNull())
+    return joined.select(*rows.columns, *(F.col(found_name)[c].alias(c) for c in others))
 
 
 def hash_sample(df: DataFrame, columns: list[str], size: int, total: int) -> DataFrame:

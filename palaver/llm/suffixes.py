@@ -43,12 +43,11 @@ GRAM = 10
 #: Windows that start at most this many words before their position have one key, the others another.
 HALF = (MIN_WORDS - GRAM) // 2
 #: Positions of one key that are compared in one task.
-GROUP_ROWS = 5_000
+GROUP_ROWS = 100_000
 #: Suffixes that are compared at a time, if their groups allow it.
 COMPARE_ROWS = 20_000
-#: Words that are looked at together, and bytes of text whose suffixes make one output batch.
-READ_WORDS, READ_BYTES = 200_000, 2 << 20
-MEMO_WORDS = 300_000
+#: Bytes of text that are looked at together.
+READ_BYTES = 2 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = np.uint64(0xFF51AFD7ED558CCD)
@@ -96,12 +95,24 @@ def owners(words: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return owner[first], owner[first] - inside[last], owner[first] - inside[first]
 
 
-class _Memo(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= MEMO_WORDS:
-            self.clear()
-        h = self[word] = xxh64_intdigest(word)
-        return h
+_BLANK = np.array([c in b" \t\n\v\f\r" for c in range(256)])
+
+
+def word_hashes(texts_: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, number of its text) of every word of the texts: a polynomial of its bytes."""
+    data = np.frombuffer(b" ".join(t.lower() for t in texts_), np.uint8)
+    inside = ~_BLANK[data]
+    edge = np.diff(np.concatenate([[False], inside, [False]]).view(np.int8))
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    if not starts.size:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    sizes = ends - starts
+    first = np.cumsum(sizes) - sizes
+    powers = np.cumprod(np.full(int(sizes.max()), _ODD))
+    nth = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
+    letters = (data[inside].astype(np.uint64) + np.uint64(1)) * powers[nth]
+    bounds = np.cumsum([len(t) + 1 for t in texts_])
+    return _mix(np.add.reduceat(letters, first)), np.searchsorted(bounds, starts, side="right")
 
 
 #: A place is the position, the fewest and the most words to its left, and the half, in one long.
@@ -121,34 +132,29 @@ def places(docs: DataFrame) -> DataFrame:
     """key, id1, id2, place for every kept position and half of ``docs(id1, id2, text)``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        memo = _Memo()
-
-        def made(batch: pa.RecordBatch, rows: list[int], words: list[list[bytes]]) -> pa.RecordBatch:
-            sizes = np.array([len(w) for w in words])
-            hashes = np.fromiter(map(memo.__getitem__, itertools.chain.from_iterable(words)), np.uint64, int(sizes.sum()))
-            text = np.repeat(np.arange(sizes.size), sizes)
+        def made(batch: pa.RecordBatch, rows: list[int], held: list[bytes]) -> pa.RecordBatch:
+            hashes, text = word_hashes(held)
             at, low, high = owners(hashes, text)
-            begins = np.cumsum(sizes) - sizes
+            begins = np.searchsorted(text, np.arange(len(held)))
             near, far = low <= HALF, high > HALF
             keys = np.concatenate([_hash_runs(hashes, at[near], MIN_WORDS - HALF), ~_hash_runs(hashes, at[far] - (HALF + 1), GRAM + HALF + 1)])
             of = np.concatenate([text[at[near]], text[at[far]]])
             place = np.concatenate([_place(at[near], low[near], np.minimum(high[near], HALF)), _place(at[far], np.maximum(low[far], HALF + 1), high[far])])
-            index = pa.array(np.array(rows)[of])
+            index = pa.array(np.array(rows, np.int64)[of])
             return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), batch.column(0).take(index), batch.column(1).take(index), pa.array(place - (begins[of] << (2 * _PLACE_BITS)))], names=["key", "id1", "id2", "place"])
 
         for batch in batches:
-            rows, words, size = [], [], 0
+            rows, held, size = [], [], 0
             for row, text in enumerate(texts(batch.column(2))):
-                split = text.lower().split()
-                if len(split) >= MIN_WORDS:
+                if len(text) >= 2 * MIN_WORDS - 1:
                     rows.append(row)
-                    words.append(split)
-                    size += len(split)
-                if size >= READ_WORDS:
-                    yield made(batch, rows, words)
-                    rows, words, size = [], [], 0
+                    held.append(text)
+                    size += len(text)
+                if size >= READ_BYTES:
+                    yield made(batch, rows, held)
+                    rows, held, size = [], [], 0
             if rows:
-                yield made(batch, rows, words)
+                yield made(batch, rows, held)
 
     return docs.select("id1", "id2", "text").mapInArrow(run, "key long, id1 long, id2 long, place long")
 
