@@ -1,22 +1,29 @@
 """Operator 8: SimHash near-duplicates. Pigeonhole blocks find candidates, the Hamming distance decides.
 
-A fingerprint is cut into blocks; two fingerprints that differ in at most r bits agree on all but r of the blocks. Every
-choice of the remaining blocks is a table, and equal block contents in a table are a bucket. Within a bucket all
+A fingerprint is cut into blocks; two fingerprints that are close agree on whole blocks. Equal contents of the blocks of a table are a bucket; within a bucket all
 distinct fingerprints are compared, but only a spanning forest of the links leaves it, so output grows with the number
-of fingerprints and not with the pairs. Documents of one fingerprint are one node from the start.
+of fingerprints and not with the pairs. Documents of one fingerprint are one node from the start. Two schemes:
 
-A bucket of over ``BUCKET_ROWS`` distinct fingerprints is handed on whole and cut again into more blocks. At the last
-level a bucket shares 48 of 64 bits, so it cannot hold more than 65,536 distinct fingerprints. No bucket is cut off.
+* ``CLOSE``: 64 bits over 4-word shingles, links at 4 or fewer differing bits. A table keeps all but 4 of the blocks, in every choice, so every link shares a
+  bucket: exact.
+* ``SIMILAR``: for links at a Jaccard similarity of 0.8 of 5-word shingles. Fingerprints of texts at that similarity differ in about 15 of 100
+  bits, too many to tell from 64, so there are 256, and links are at ``angle_bits(0.8)`` bits plus one standard deviation. The fingerprint is
+  split into blocks after each of several fixed shuffles of its bits, and a table is one block: a link shares one with the probabilities that ``chance`` gives.
 
-Defined results: null and empty texts have fingerprint zero and link like any other; rows that repeat a doc_id each get
+A bucket of over ``limit`` distinct fingerprints is handed on whole and cut again into longer keys. No bucket is cut off; at the last level any is compared whole. Fingerprints
+that very many documents hold are joined without one task getting them all (``common.join_counted``).
+
+Defined results: null and empty texts have fingerprint zero and link like any other; very long texts are hashed whole; rows that repeat a doc_id each get
 a row; a null doc_id is carried through and never is a component's name unless the component has no other; an empty table
-gives no row. Only id and text are read.
+gives no row. Only id and text (and the named row column) are read.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -24,164 +31,282 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import map_batches, materialise, read_table, texts
+from .common import join_counted, materialise, read_table, texts
 from .components import connected_components
 
 SHINGLE = 4
 RADIUS = 4
 SEED = 42
-BUCKET_ROWS = 50_000
+#: Hashes that are looked at together.
+READ_HASHES = 200_000
+#: Pairs of a bucket whose distances are held at a time.
+PAIRS = 1 << 20
+
+
+class Scheme(NamedTuple):
+    """How texts become fingerprints of 64 * ``words`` bits, at how many differing bits they link, the bit masks (a row of ``words`` a table) of every level, and how
+    many fingerprints a bucket may hold before it is cut again."""
+
+    shingle: int
+    words: int
+    radius: int
+    levels: tuple[np.ndarray, ...]
+    limit: int
+
+    @property
+    def columns(self) -> list[str]:
+        return [f"f{i}" for i in range(self.words)]
+
+
+def all_choices(blocks: int, radius: int = RADIUS) -> np.ndarray:
+    """Masks of 64 bits for all choices of ``blocks - radius`` blocks."""
+    edges = [64 * i // blocks for i in range(blocks + 1)]
+    masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
+    return np.array([[sum(c)] for c in itertools.combinations(masks, blocks - radius)], np.uint64)
+
+
+def shuffled_blocks(words: int, bits: int, shuffles: int) -> np.ndarray:
+    """Masks of the blocks of ``bits`` bits after each of the shuffles."""
+    rng = np.random.default_rng(SEED)
+    out = []
+    for _ in range(shuffles):
+        order = rng.permutation(64 * words)
+        for at in range(0, order.size - bits + 1, bits):
+            mask = np.zeros(64 * words, np.uint8)
+            mask[order[at : at + bits]] = 1
+            out.append(np.packbits(mask, bitorder="little").view(np.uint64))
+    return np.array(out)
+
+
+def angle_bits(similarity: float, bits: int) -> float:
+    """Expected number of differing bits for two sets of one size at a Jaccard similarity: the angle between their vectors."""
+    return bits * math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def chance(distance: int, bits: int, block: int, shuffles: int) -> float:
+    """Probability that fingerprints at a distance share a block."""
+    alike = math.comb(bits - block, distance) / math.comb(bits, distance)
+    return 1 - (1 - alike) ** (shuffles * (bits // block))
+
+
+def similar(similarity: float = 0.8, shingle: int = 5, words: int = 4) -> Scheme:
+    bits = 64 * words
+    mean = angle_bits(similarity, bits)
+    radius = int(mean + math.sqrt(mean * (1 - mean / bits)))
+    return Scheme(shingle, words, radius, tuple(shuffled_blocks(words, b, s) for b, s in ((16, 4), (24, 16), (32, 64))), 4_000)
+
+
 #: Blocks a fingerprint is cut into, level by level; a table keeps all but RADIUS of them.
 LEVELS = (6, 8, 12, 16)
-#: Hashes that are unpacked to bits at a time.
-BLOCK = 1 << 15
+CLOSE = Scheme(SHINGLE, 1, RADIUS, tuple(all_choices(n) for n in LEVELS), 50_000)
+SIMILAR = similar()
 
 
-def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+_LANES = np.uint64(0x0101010101010101)
+_GOLDEN, _M1, _M2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> np.uint64(30))) * _M1
+    x = (x ^ (x >> np.uint64(27))) * _M2
+    return x ^ (x >> np.uint64(31))
+
+
+def shingle_hashes(text: bytes, shingle: int) -> list[int]:
+    """XXH64 of the shingles, repeats included."""
     words = text.lower().split()
-    if not words:
-        return 0
+    if len(words) <= shingle:
+        return [xxh64_intdigest(b" ".join(words), SEED)] if words else []
     joined = b" ".join(words)
-    n = len(words)
-    if n <= shingle:
-        hashes = np.array([xxh64_intdigest(joined, SEED)], np.uint64)
-    else:
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, n) + 1) - 1
-        starts = [0, *(ends[: n - shingle] + 1).tolist()]
-        hashes = np.array([xxh64_intdigest(joined[i:j], SEED) for i, j in zip(starts, ends[shingle - 1 :].tolist())], np.uint64)
-    ones = np.zeros(64, np.int64)
-    for at in range(0, len(hashes), BLOCK):
-        bits = np.unpackbits(hashes[at : at + BLOCK].view(np.uint8), bitorder="little").reshape(-1, 64)
-        ones += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view(np.uint64)[0])
-
-
-def fingerprints(docs: DataFrame, row: str | None = None) -> DataFrame:
-    """doc_id, fp (the fingerprint as a signed long) and the long column ``row``, if one is named, for each row of ``docs(doc_id, text)``."""
-    carried = [row] if row else []
+    ends = list(itertools.accumulate(len(w) + 1 for w in words))
+    return [xxh64_intdigest(joined[i : j - 1], SEED) for i, j in zip([0, *ends], ends[shingle - 1 :])]
+
+
+def majority(hashes: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """For runs of hashes of the given sizes (not 0), the bits set in over half of each run."""
+    starts = np.cumsum(sizes) - sizes
+    # the eight bits of each byte lane are counted one after another; a lane counts to 255
+    blocks = -(-sizes // 255)
+    first = np.cumsum(blocks) - blocks
+    begins = np.repeat(starts, blocks) + 255 * (np.arange(blocks.sum()) - np.repeat(first, blocks))
+    bits = np.empty((sizes.size, 64), bool)
+    for shift in range(8):
+        lanes = np.add.reduceat((hashes >> np.uint64(shift)) & _LANES, begins)
+        counts = np.add.reduceat(lanes.view(np.uint8).reshape(-1, 8).astype(np.int64), first, axis=0)
+        bits[:, shift::8] = 2 * counts > sizes[:, None]
+    return np.packbits(bits, axis=1, bitorder="little").view(np.uint64)[:, 0]
+
+
+def fingerprint_rows(hashes: list[list[int]], words: int) -> np.ndarray:
+    """A row of ``words`` fingerprint words for every list of hashes; the first word is the SimHash of the hashes themselves."""
+    sizes = np.array([len(h) for h in hashes], np.int64)
+    out = np.zeros((sizes.size, words), np.uint64)
+    some = np.flatnonzero(sizes)
+    if some.size:
+        flat = np.fromiter(itertools.chain.from_iterable(hashes), np.uint64, int(sizes.sum()))
+        for word in range(words):
+            out[some, word] = majority(_mix(flat + np.uint64(word) * _GOLDEN) if word else flat, sizes[some])
+    return out
 
-    def make():
-        def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            found = np.array([fingerprint(t) for t in texts(batch.column(1))], np.uint64)
-            return pa.RecordBatch.from_pydict({"doc_id": batch.column(0), "fp": pa.array(found.view(np.int64))} | {c: batch.column(2) for c in carried})
 
-        return step
+def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
+    return int(fingerprint_rows([shingle_hashes(text, shingle)], 1)[0, 0])
 
-    return map_batches(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried), make, "doc_id long, fp long" + "".join(f", {c} long" for c in carried))
 
+def fingerprints(docs: DataFrame, scheme: Scheme = CLOSE, row: str | None = None) -> DataFrame:
+    """doc_id, the scheme's columns (signed longs) and the long column ``row``, if one is named, for each row of ``docs(doc_id, text)``."""
+    carried = [row] if row else []
+    names = ["doc_id", *scheme.columns, *carried]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            hashes, held, at = [], 0, 0
+            for text in texts(batch.column(1)):
+                hashes.append(shingle_hashes(text, scheme.shingle))
+                held += len(hashes[-1])
+                if held >= READ_HASHES or at + len(hashes) == batch.num_rows:
+                    found = fingerprint_rows(hashes, scheme.words).view(np.int64)
+                    here = slice(at, at + len(hashes))
+                    columns = [c.slice(here.start, len(hashes)) for c in (batch.column(0), *(batch.column(2 + i) for i in range(len(carried))))]
+                    yield pa.RecordBatch.from_arrays([columns[0], *(pa.array(found[:, i].copy()) for i in range(scheme.words)), *columns[1:]], names=names)
+                    hashes, held, at = [], 0, here.stop
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried).mapInArrow(run, ", ".join(f"{c} long" for c in names))
 
-def tables(blocks: int, radius: int = RADIUS) -> list[int]:
-    """Bit masks (signed) of all choices of ``blocks - radius`` blocks."""
-    edges = [64 * i // blocks for i in range(blocks + 1)]
-    masks = [((1 << b) - 1) ^ ((1 << a) - 1) for a, b in zip(edges, edges[1:])]
-    joined = [sum(c) for c in itertools.combinations(masks, blocks - radius)]
-    return [m - (1 << 64) if m >> 63 else m for m in joined]
 
+def distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(a ^ b).sum(axis=-1, dtype=np.int64)
 
-def forest(values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning forest of the links among distinct uint64 values, by searching outward from one value after another."""
-    left, a, b = values, [], []
+
+def forest(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest (row numbers) of the links among fingerprints, by searching outward from one after another."""
+    step = max(1, PAIRS // max(1, len(prints)))
+    linked = np.concatenate([(distances(prints[i : i + step, None], prints[None]) <= radius).sum(axis=1) > 1 for i in range(0, len(prints), step)]) if len(prints) else np.zeros(0, bool)
+    left, a, b = np.flatnonzero(linked), [], []
     while left.size:
-        queue = [left[-1]]
-        left = left[:-1]
+        queue, left = [left[-1]], left[:-1]
         while queue and left.size:
             here = queue.pop()
-            near = np.bitwise_count(left ^ here) <= radius
+            near = distances(prints[left], prints[here]) <= radius
             if near.any():
                 found = left[near]
-                a.append(np.full(found.size, here, np.uint64))
+                a.append(np.full(found.size, here))
                 b.append(found)
-                queue.extend(found)
+                queue.extend(found.tolist())
                 left = left[~near]
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.uint64), np.empty(0, np.uint64))
+    none = np.empty(0, np.int64)
+    return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
-def _links(keys: np.ndarray, values: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within whole buckets; rows are sorted by key. Small buckets are compared all at once by their distance in rows."""
+def _links(keys: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links (row numbers) within whole buckets; rows are sorted by key. Small buckets are compared all at once by their distance in rows."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if keys.size else np.empty(0, np.int64)
     sizes = np.diff(np.r_[starts, keys.size])
-    a, b = [], []
-    small = np.repeat((sizes > 1) & (sizes <= 8), sizes)
-    k, v = keys[small], values[small]
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    small = np.flatnonzero(np.repeat((sizes > 1) & (sizes <= 8), sizes))
     for d in range(1, 8):
-        if k.size <= d:
+        if small.size <= d:
             break
-        near = (k[:-d] == k[d:]) & (np.bitwise_count(v[:-d] ^ v[d:]) <= radius)
-        a.append(v[:-d][near])
-        b.append(v[d:][near])
+        x, y = small[:-d], small[d:]
+        same = keys[x] == keys[y]
+        x, y = x[same], y[same]
+        near = distances(prints[x], prints[y]) <= radius
+        a.append(x[near])
+        b.append(y[near])
     for start, n in zip(starts[sizes > 8], sizes[sizes > 8]):
-        x, y = forest(np.unique(values[start : start + n]), radius)
-        a.append(x)
-        b.append(y)
-    return (np.concatenate(a), np.concatenate(b)) if a else (np.empty(0, np.uint64), np.empty(0, np.uint64))
-
-
-def _bucket_links(distinct: DataFrame, blocks: int, radius: int, limit: int | None) -> DataFrame:
-    """a, b, over: links of distinct fingerprints ``fp``, or (over) the key and fingerprints of a bucket over ``limit``."""
-    keys = F.explode(F.array(*(F.xxhash64(F.lit(t), F.col("fp").bitwiseAND(F.lit(m))) for t, m in enumerate(tables(blocks, radius)))))
-    dealt = distinct.select(keys.alias("key"), "fp").repartition("key").sortWithinPartitions("key", "fp")
+        x, y = forest(prints[start : start + n], radius)
+        a.append(start + x)
+        b.append(start + y)
+    return np.concatenate(a), np.concatenate(b)
+
+
+def _bucket_links(classes: DataFrame, scheme: Scheme, level: int) -> DataFrame:
+    """a, b, over: links of classes(cls, fingerprint columns), or (over) the key and the class of every row of a bucket over the limit."""
+    masks = scheme.levels[level]
+    last = level == len(scheme.levels) - 1
+    prints = lambda batch, at: np.stack([batch.column(at + i).to_numpy(zero_copy_only=False) for i in range(scheme.words)], axis=1).view(np.uint64)
+
+    def keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, 2048):
+                batch = whole.slice(at, 2048)
+                f = prints(batch, 1)
+                out = np.empty((len(f), len(masks)), np.uint64)
+                for table, mask in enumerate(masks):
+                    key = np.full(len(f), table, np.uint64)
+                    for word in range(scheme.words):
+                        key = _mix(key + _GOLDEN + (f[:, word] & mask[word]))
+                    out[:, table] = key
+                lists = pa.ListArray.from_arrays(np.arange(0, out.size + 1, len(masks), dtype=np.int32), out.ravel().view(np.int64))
+                yield pa.RecordBatch.from_arrays([lists, *batch.columns], names=["keys", *batch.schema.names])
+
+    longs = ", ".join(f"{c} long" for c in ["cls", *scheme.columns])
+    keyed = classes.select("cls", *scheme.columns).mapInArrow(keys, f"keys array<long>, {longs}")
+    dealt = keyed.select(F.explode("keys").alias("key"), "cls", *scheme.columns).repartition("key").sortWithinPartitions("key", "cls")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         none = np.empty(0, np.int64)
-        held_k, held_v, over = none, none, None
+        held_k, held_c, held_f, over = none, none, np.empty((0, scheme.words), np.uint64), None
 
         def out(a: np.ndarray, b: np.ndarray, is_over: bool) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"a": pa.array(a.view(np.int64)), "b": pa.array(b.view(np.int64)), "over": pa.array(np.full(a.size, is_over))})
+            return pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b), "over": pa.array(np.full(a.size, is_over))})
 
         for batch in batches:
-            k, v = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            k, c = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+            f = prints(batch, 2)
             if over is not None:  # the rest of a bucket that is handed on
                 same = k == over
                 if same.any():
-                    yield out(k[same], v[same], True)
+                    yield out(k[same], c[same], True)
                 if same.all():
                     continue
-                over, k, v = None, k[~same], v[~same]
-            k, v = np.concatenate([held_k, k]), np.concatenate([held_v, v])
+                over, k, c, f = None, k[~same], c[~same], f[~same]
+            k, c, f = np.concatenate([held_k, k]), np.concatenate([held_c, c]), np.concatenate([held_f, f])
             cut = int(np.searchsorted(k, k[-1])) if k.size else 0
             if cut:
-                a, b = _links(k[:cut], v[:cut].view(np.uint64), radius)
+                a, b = _links(k[:cut], f[:cut], scheme.radius)
                 if a.size:
-                    yield out(a, b, False)
-            held_k, held_v = k[cut:], v[cut:]
-            if limit is not None and held_k.size > limit:
-                yield out(held_k, held_v, True)
-                over, held_k, held_v = held_k[0], none, none
-        a, b = _links(held_k, held_v.view(np.uint64), radius)
+                    yield out(c[a], c[b], False)
+            held_k, held_c, held_f = k[cut:], c[cut:], f[cut:]
+            if not last and held_k.size > scheme.limit:
+                yield out(held_k, held_c, True)
+                over, held_k, held_c, held_f = held_k[0], none, none, held_f[:0]
+        a, b = _links(held_k, held_f, scheme.radius)
         if a.size:
-            yield out(a, b, False)
+            yield out(held_c[a], held_c[b], False)
 
     return dealt.mapInArrow(run, "a long, b long, over boolean")
 
 
-def link_forest(distinct: DataFrame, radius: int = RADIUS, levels: tuple[int, ...] = LEVELS, limit: int = BUCKET_ROWS) -> DataFrame:
-    """Edges (a, b) that connect exactly what all links within ``radius`` bits connect."""
-    edges = None
-    for level, blocks in enumerate(levels):
-        last = level == len(levels) - 1
-        found = materialise(_bucket_links(distinct, blocks, radius, None if last else limit))
+def link_forest(classes: DataFrame, scheme: Scheme = CLOSE) -> DataFrame:
+    """Edges (a, b) among materialised classes(cls, fingerprint columns) that connect what all links found connect."""
+    edges, here = None, classes
+    for level in range(len(scheme.levels)):
+        found = materialise(_bucket_links(here, scheme, level))
         mine = found.filter(~F.col("over")).select("a", "b")
         edges = mine if edges is None else edges.union(mine)
-        if last or found.filter("over").isEmpty():
-            return edges
-        distinct = materialise(found.filter("over").select(F.col("b").alias("fp")).distinct())
+        if found.filter("over").isEmpty():
+            break
+        here = materialise(classes.join(found.filter("over").select(F.col("b").alias("cls")).distinct(), "cls"))
     return edges
 
 
-def near_duplicates(docs: DataFrame, radius: int = RADIUS, levels: tuple[int, ...] = LEVELS, limit: int = BUCKET_ROWS, row: str | None = None) -> DataFrame:
-    """doc_id, fp, component_id for each row of ``docs(doc_id, text)``. With ``row``, the name of a long column, also that column and root:
-    the component's smallest fingerprint, which tells apart components of one name or none."""
-    thin = materialise(fingerprints(docs, row))
-    classes = thin.groupBy("fp").agg(F.min("doc_id").alias("first"))
-    roots = materialise(connected_components(link_forest(classes.select("fp"), radius, levels, limit)))
-    names = roots.join(classes, F.col("node") == F.col("fp")).groupBy("root").agg(F.min("first").alias("component_id"))
-    named = roots.join(names, "root").select(F.col("node").alias("fp"), "root", "component_id")
-    full = classes.join(named, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"), F.coalesce("component_id", "first").alias("component_id"))
-    return thin.join(full, "fp").select("doc_id", "fp", "component_id", *([row, "root"] if row else []))
+def near_duplicates(docs: DataFrame, scheme: Scheme = CLOSE, row: str | None = None) -> DataFrame:
+    """doc_id, the scheme's fingerprint columns and component_id for each row of ``docs(doc_id, text)``. With ``row``, the name of a long column, also that column and root:
+    a number for every component, which tells apart components of one name or none."""
+    thin = materialise(fingerprints(docs, scheme, row))
+    prints = scheme.columns
+    classes = materialise(thin.groupBy(*prints).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).withColumn("cls", F.monotonically_increasing_id()))
+    roots = materialise(connected_components(link_forest(classes, scheme)))
+    of = roots.join(classes.select("cls", "first"), F.col("node") == F.col("cls"))
+    names = of.groupBy("root").agg(F.min("first").alias("component_id"))
+    named = roots.join(names, "root").select(F.col("node").alias("cls"), "root", "component_id")
+    full = classes.join(named, "cls", "left").select(*prints, "n", F.coalesce("root", "cls").alias("root"), F.coalesce("component_id", "first").alias("component_id"))
+    return join_counted(thin, materialise(full), prints, "n").select("doc_id", *prints, "component_id", *([row, "root"] if row else []))
 
 
 def digest(found: DataFrame) -> DataFrame:
-    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return found.select("doc_id", F.lower(F.lpad(F.hex("f0"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
