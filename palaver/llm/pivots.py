@@ -1,11 +1,12 @@
 """Operator 10: embedding near-duplicates by a pivot-permutation index.
 
-Every vector is described by its ``NEAREST`` nearest pivots. The inverted lists are kept by pairs of pivots, so two vectors
+Every vector is described by its nearest pivots (7 of up to 256 pivots, one more for every doubling, so that recall at the threshold holds as lists get finer). The inverted lists
+are kept by pairs of pivots, so two vectors
 meet in a list exactly when they share at least two pivots; every meeting is verified by the cosine in double precision. A
 pair that meets in several lists counts in the list of its two smallest shared pivots only.
 
-The pivots are fitted on a bounded sample: about ``SAMPLE`` distinct vectors at most, chosen by hash, from which about
-sqrt(number of vectors) pivots, 64 to 1024, are picked by farthest-first traversal. All vectors are indexed.
+The pivots are fitted on a bounded sample: four vectors a pivot, 4,096 at least and ``SAMPLE`` at most, distinct and chosen by hash, from which about
+sqrt(number of vectors) pivots, ``MIN_PIVOTS`` at least, are picked by farthest-first traversal. All vectors are indexed.
 
 Equal vectors are one class with a multiplicity. A list of over ``CHUNK`` classes is dealt into cells of two chunks, and every
 pair of chunks meets in one cell, so nothing is left out and a task holds 2 * CHUNK vectors at most. Links are counted where they are
@@ -27,16 +28,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import hash_sample, materialise, read_table
+from .common import hash_sample, join_counted, materialise, read_table
 from .components import connected_components
 
 THRESHOLD = 0.9
 NEAREST = 7
-SAMPLE = 4096
-MIN_PIVOTS, MAX_PIVOTS = 64, 1024
+#: Vectors that are collected to pick pivots from, at most; so there are no more pivots than this, for about 270 million distinct vectors.
+SAMPLE = 16_384
+MIN_PIVOTS = 64
 CHUNK = 4096
 #: Rows of a cell whose similarities are held at a time.
 BLOCK = 256
+#: Products of vectors and pivots that are held at a time.
+PRODUCTS = 1 << 20
 
 
 def unit_rows(flat: np.ndarray, dim: int) -> np.ndarray:
@@ -56,6 +60,11 @@ def pick_pivots(sample: np.ndarray, n: int) -> np.ndarray:
     return sample[chosen]
 
 
+def description_length(pivots: int) -> int:
+    """Nearest pivots in a description: one more than NEAREST for every doubling of the pivots beyond 256, but not more than there are."""
+    return min(pivots, NEAREST + max(0, math.ceil(math.log2(pivots / 256))))
+
+
 def _vectors(column: pa.Array, dim: int) -> np.ndarray:
     return unit_rows(column.flatten().to_numpy(zero_copy_only=False), dim)
 
@@ -65,10 +74,12 @@ def _assign(classes: DataFrame, pivots: np.ndarray, dim: int, nearest: int) -> D
     shared = classes.sparkSession.sparkContext.broadcast(pivots)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        step = max(1, PRODUCTS // len(shared.value))
         for whole in batches:
-            for at in range(0, whole.num_rows, 2048):
-                batch = whole.slice(at, 2048)
-                order = np.argsort(-(_vectors(batch.column(2), dim) @ shared.value.T), axis=1, kind="stable")[:, :nearest]
+            for at in range(0, whole.num_rows, step):
+                batch = whole.slice(at, step)
+                far = -(_vectors(batch.column(2), dim) @ shared.value.T)
+                order = np.argpartition(far, nearest - 1, axis=1)[:, :nearest]
                 near = np.sort(order, axis=1).astype(np.int16)
                 width = near.shape[1]
                 lists = pa.ListArray.from_arrays(np.arange(0, near.size + 1, width, dtype=np.int32), near.ravel())
@@ -163,15 +174,16 @@ def _meet(dealt: DataFrame, dim: int, pivots: int, threshold: float) -> DataFram
     return dealt.mapInArrow(run, "a long, b long, n long")
 
 
-def _links(classes: DataFrame, dim: int, threshold: float, nearest: int, chunk: int) -> DataFrame | None:
+def _links(classes: DataFrame, dim: int, threshold: float, nearest: int | None, chunk: int) -> DataFrame | None:
     """Edges and counts among materialised classes(cls, n, v) of one length."""
     total = classes.count()
     if total < 2:
         return None
-    sample = [r[0] for r in hash_sample(classes.select("v"), ["v"], SAMPLE, total).collect()]
-    pivots = pick_pivots(unit_rows(np.array(sample, np.float64).ravel(), dim), min(MAX_PIVOTS, max(MIN_PIVOTS, math.isqrt(total))))
+    wanted = min(SAMPLE, max(MIN_PIVOTS, math.isqrt(total)))
+    sample = [r[0] for r in hash_sample(classes.select("v"), ["v"], min(SAMPLE, max(4096, 4 * wanted)), total).collect()]
+    pivots = pick_pivots(unit_rows(np.array(sample, np.float64).ravel(), dim), wanted)
     # with fewer pivots than a description holds, or one pivot only, all vectors meet in one list
-    width = min(nearest, len(pivots))
+    width = min(nearest or description_length(len(pivots)), len(pivots))
     described = materialise(_assign(classes, pivots, dim, width))
     p = len(pivots)
     pairs = list(itertools.combinations(range(width), 2)) or [(0, 0)]
@@ -189,7 +201,7 @@ def _links(classes: DataFrame, dim: int, threshold: float, nearest: int, chunk:
     return _meet(ordered, dim, p, threshold)
 
 
-def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, nearest: int = NEAREST, chunk: int = CHUNK) -> DataFrame:
+def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, nearest: int | None = None, chunk: int = CHUNK) -> DataFrame:
     """vec_id, n_links, component_id, kept for each row of ``embeddings(vec_id, embedding)``."""
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").alias("v"))
     finite = F.forall("v", lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < F.lit(float("inf"))))
@@ -204,15 +216,15 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, nearest
             found = links if found is None else found.union(links)
     named = classes.select("cls", "id", "n", "v")
     if found is None:
-        named = named.select("v", F.col("id").alias("component_id"), (F.col("n") - 1).alias("n_links"))
+        named = named.select("v", "n", F.col("id").alias("component_id"), (F.col("n") - 1).alias("n_links"))
     else:
         found = materialise(found)
         counts = found.filter("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("links"))
         roots = materialise(connected_components(found.filter("b is not null").select("a", "b")))
         names = roots.join(classes.select("cls", "id"), F.col("node") == F.col("cls")).groupBy("root").agg(F.min("id").alias("least"))
         of = roots.join(names, "root").select(F.col("node").alias("cls"), "least")
-        named = named.join(counts, "cls", "left").join(of, "cls", "left").select("v", F.coalesce("least", "id").alias("component_id"), (F.coalesce("links", F.lit(0).cast("long")) + F.col("n") - 1).alias("n_links"))
-    linked = good.select("vec_id", "v").join(named, "v").select("vec_id", "n_links", "component_id")
+        named = named.join(counts, "cls", "left").join(of, "cls", "left").select("v", "n", F.coalesce("least", "id").alias("component_id"), (F.coalesce("links", F.lit(0).cast("long")) + F.col("n") - 1).alias("n_links"))
+    linked = join_counted(good.select("vec_id", "v"), materialise(named), ["v"], "n").select("vec_id", "n_links", "component_id")
     alone = marked.filter("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return linked.union(alone).withColumn("kept", F.col("vec_id") == F.col("component_id"))
 
