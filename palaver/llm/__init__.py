@@ -1,22 +1,4 @@
 """Training-data operators: decontamination, quality, licences, tokens, chats, secrets, mixing and near-duplicates.
 
-Nothing outside this subpackage imports it. ``queries()`` and ``oracle_sql()`` list what the driver registers.
+Nothing outside this subpackage imports it. ``registry`` lists the queries that the driver registers and their SQL.
 """
-
-from __future__ import annotations
-
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-
-
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    from . import registry
-
-    return registry.QUERIES
-
-
-def oracle_sql() -> dict[str, str]:
-    from . import registry
-
-    return registry.ORACLES

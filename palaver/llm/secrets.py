@@ -14,7 +14,8 @@ of either side tells whether a partner is in reach. That needs one shuffle of sm
 Offsets: the lengths of the pieces between matches and of the matches themselves, summed along the text.
 
 Defined results: null and empty texts have no parts; overlapping parts of different kinds are all reported; rows that
-repeat a doc_id each get a row; null doc_ids are carried through; an empty table gives no row. Only id and text are read.
+repeat a doc_id each get a row; null doc_ids are carried through; very long texts are read whole; an empty table gives no row. Only id and text are read;
+``redact`` returns all columns, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import read_table
+from .common import free_name, join_counted, materialise, read_table
 
 SCOPE = 400
 MASK = "[SECRET]"
@@ -114,19 +115,24 @@ def redact(docs: DataFrame, mask: str = MASK) -> DataFrame:
 
     Spans are found row by row, so repeated rows do not mix, and joined back once for each id and hash and length of a text.
     """
-    row = [F.col("doc_id").cast("long").alias("__id"), F.xxhash64("text").alias("__hash"), F.length("text").alias("__length")]
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), F.struct(*row).alias("doc_id"), F.col("text").cast("string").alias("text"))
-    parts = find_parts(rows).filter(F.col("kind").isNotNull() & (F.col("kind").isin(*(KINDS.index(k) for k in BASE)) | F.col("linked"))).select(F.col("doc_id").alias("rid"), "start", "end").distinct()
+    names = [free_name(c, docs.columns) for c in ("id_hash", "text_hash", "text_length")]
+    cuts, n = (free_name(c, docs.columns) for c in ("cuts", "n"))
+    keyed = docs
+    for name, value in zip(names, (F.xxhash64(F.col("doc_id").cast("long")), F.xxhash64("text"), F.coalesce(F.length("text"), F.lit(-1)))):
+        keyed = keyed.withColumn(name, value.cast("long"))
+    rows = keyed.select(F.monotonically_increasing_id().alias("rid"), F.struct(*names).alias("doc_id"), F.col("text").cast("string").alias("text"))
+    parts = find_parts(rows).filter(F.col("kind").isNotNull() & (F.col("kind").isin(*(KINDS.index(k) for k in BASE)) | F.col("linked"))).select("rid", F.col("doc_id").alias("key"), "start", "end")
     so_far = Window.partitionBy("rid").orderBy("start", "end")
     islands = parts.withColumn("new", F.when(F.col("start") <= F.max("end").over(so_far.rowsBetween(Window.unboundedPreceding, -1)), 0).otherwise(1)).withColumn("island", F.sum("new").over(so_far.rowsBetween(Window.unboundedPreceding, 0)))
-    merged = islands.groupBy("rid", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).groupBy("rid").agg(F.sort_array(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")))).alias("__cuts"))
-    key = [docs["doc_id"].cast("long").eqNullSafe(merged["rid.__id"]), F.xxhash64(docs["text"]) == merged["rid.__hash"], F.length(docs["text"]) == merged["rid.__length"]]
-    joined = docs.join(merged, key, "left")
-    before = lambda c, i: F.when(i == 0, F.lit(0)).otherwise(F.get(F.col("__cuts"), i - 1)["end"])
-    gaps = F.transform("__cuts", lambda c, i: F.substring(F.col("text"), before(c, i) + 1, c["start"] - before(c, i)))
-    last = F.element_at(F.col("__cuts"), -1)["end"]
+    merged = islands.groupBy("rid", "key", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).groupBy("rid", "key").agg(F.sort_array(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")))).alias(cuts))
+    # rows of one key have the same cuts
+    counted = materialise(merged.groupBy("key").agg(F.count(F.lit(1)).alias(n), F.min(cuts).alias(cuts)).select(*(F.col("key")[c].alias(c) for c in names), n, cuts))
+    joined = join_counted(keyed, counted, names, n, how="left")
+    before = lambda c, i: F.when(i == 0, F.lit(0)).otherwise(F.get(F.col(cuts), i - 1)["end"])
+    gaps = F.transform(cuts, lambda c, i: F.substring(F.col("text"), before(c, i) + 1, c["start"] - before(c, i)))
+    last = F.element_at(F.col(cuts), -1)["end"]
     clean = F.concat(F.concat_ws(mask, gaps), F.lit(mask), F.substring(F.col("text"), last + 1, F.length("text")))
-    return joined.select(*(F.when(F.col("__cuts").isNull(), F.col("text")).otherwise(clean).alias("text") if c == "text" else docs[c] for c in docs.columns))
+    return joined.select(*(F.when(F.col(cuts).isNull(), F.col("text")).otherwise(clean).alias("text") if c == "text" else F.col(c) for c in docs.columns))
 
 
 def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:

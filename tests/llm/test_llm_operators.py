@@ -82,19 +82,32 @@ def test_decontamination(spark):
     docs = odd_docs(spark, [(100 + i, t) for i, t in enumerate(texts)])
     bench = spark.createDataFrame(ITEMS, "item_id long, text string")
     items = [("null" if i is None else i, t) for i, t in ITEMS]
-    for shard in (1 << 20, 8):
-        got = decontamination.digest(decontamination.find_contamination(docs, bench, shard_bytes=shard)).collect()
+    whole = decontamination.find_contamination(docs, bench)
+    for part in (1 << 20, 8):
+        found = decontamination.find_contamination(docs, bench, part_bytes=part)
+        assert sorted(map(str, found.collect())) == sorted(map(str, whole.collect()))
+        got = decontamination.digest(found).drop("spans").collect()
         want = sorted(map(str, [(r["doc_id"], *decontamination.brute_force(r["text"], items)) for r in docs.collect()]))
         assert sorted(map(str, map(tuple, got))) == want
-        kept = decontamination.drop_contaminated(docs, bench, shard_bytes=shard)
+        kept = decontamination.drop_contaminated(docs, bench, part_bytes=part)
         assert kept.columns == docs.columns and kept.count() == sum(not r["contaminated"] for r in got)
-    spans = decontamination.find_contamination(docs, bench).filter("doc_id = 101").first()["spans"]
+    spans = whole.filter("doc_id = 101").first()["spans"]
     assert [texts[1][s["start"] : s["end"]] for s in spans] == ["short-item", "short  item"]
     none = bench.limit(0)
     assert decontamination.find_contamination(docs, none).filter(F.size("hits") > 0).isEmpty()
     assert decontamination.find_contamination(empty_docs(spark), bench).isEmpty()
 
 
+@given(st.lists(st.lists(st.sampled_from("ab"), max_size=16), max_size=4), st.lists(st.sampled_from("abab"), max_size=60), st.sampled_from([10, 5, 4, 3, 1]))
+@settings(max_examples=300, deadline=None)
+def test_blocks_find_what_windows_find(items, doc, window):
+    """Periodic words, items shorter than a window, items that hold each other, and windows of odd length."""
+    named = [(str(i), " ".join(x).encode()) for i, x in enumerate(items)]
+    places, names = decontamination.Items(named, window).find(decontamination.words_of(" ".join(doc).encode()))
+    _, n_hit, n_items, _, _ = decontamination.brute_force(" ".join(doc), [(i, t.decode()) for i, t in named], window)
+    assert (sum(e - f for f, e in places), len(names)) == (n_hit, n_items)
+
+
 # --- 2 -----------------------------------------------------------------------------------------------------------------------
 
 
@@ -271,7 +284,7 @@ def test_escaping_round_trip(said):
     assert list(chats.parse_turns(formatted)) == [(said, said), ("user", said)]
 
 
-@pytest.mark.parametrize("inline", [1 << 20, 150, 0])
+@pytest.mark.parametrize("inline", [None, 1 << 20, 150, 0])
 def test_chats(spark, inline):
     said = [(1, 0, "user", "hi <|end|>\n"), (1, 1, "assistant", "a\\b"), (1, 2, "user", None), (1, 3, "assistant", "</s>[INST]"), (1, 4, "user", "bye"), (2, 0, "system", "s"), (3, 0, "assistant", ""), (None, None, None, None), (4, 1, "user", "x"), (4, 1, "user", "x")]
     conv = spark.createDataFrame(said, "conv_id long, turn long, role string, text string").withColumn("example", F.lit("clash"))
@@ -286,9 +299,11 @@ def test_chats(spark, inline):
         digest = lambda s: hashlib.sha256(s.encode()).hexdigest()
         assert (got[c]["n_turns"], got[c]["turns_sha256"], got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(turns), digest("".join(f"{r}\n{t}\n" for r, t in turns)), len(loss), digest(loss))
     rows = sorted(examples.filter("conv_id = 1").collect(), key=lambda r: r["example"])
-    whole = chats.materialise_examples(rows)
+    whole = [r["text"] for r in sorted(chats.whole_examples(examples).filter("conv_id = 1").collect(), key=lambda r: r["example"])]
     assert [list(chats.parse_turns(w)) for w in whole] == [by[1][:2], by[1][:4], by[1]]
     assert [chats.unescape(w[r["loss_start"] : r["loss_end"]]) for w, r in zip(whole, rows)] == ["a\\b", "</s>[INST]", ""]
+    assert inline != 0 or not any(r["inline"] for r in rows)
+    assert inline is not None or all(r["inline"] for r in rows)
     assert [r["trainable"] for r in rows] == [True, True, False]
     assert chats.expand_prefix_targets(conv.limit(0)).isEmpty()
 
@@ -462,15 +477,21 @@ def test_many_sources(spark):
 
 
 def test_tables_share_a_block():
-    for blocks in simhash.LEVELS:
-        masks = [m & (1 << 64) - 1 for m in simhash.tables(blocks)]
-        rng = random.Random(blocks)
+    for masks in simhash.CLOSE.levels:
+        rng = random.Random(len(masks))
         for _ in range(50):
             flips = sum(1 << b for b in rng.sample(range(64), 4))
-            assert any(not flips & m for m in masks)
+            assert any(not flips & int(m) for m in masks[:, 0])
 
 
-@pytest.mark.parametrize("limit", [simhash.BUCKET_ROWS, 2])
+@given(st.lists(st.lists(st.integers(0, 2**64 - 1), max_size=600), max_size=4))
+@settings(max_examples=60, deadline=None)
+def test_majority_of_bits(hashes):
+    got = simhash.fingerprint_rows(hashes, 1)
+    assert got[:, 0].tolist() == [sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h)) for h in hashes]
+
+
+@pytest.mark.parametrize("limit", [simhash.CLOSE.limit, 2])
 def test_simhash(spark, limit):
     rng = random.Random(5)
     base = [rng.choice("abcdefgh") * rng.randrange(1, 4) for _ in range(120)]
@@ -484,10 +505,38 @@ def test_simhash(spark, limit):
         if ids[i] is not None:
             least[root] = min(least.get(root, ids[i]), ids[i])
     want = sorted(str((ids[i], fp, least.get(root))) for i, (fp, root) in want_raw.items())
-    assert sorted(str(tuple(r)) for r in simhash.digest(simhash.near_duplicates(docs, limit=limit)).collect()) == want
+    assert sorted(str(tuple(r)) for r in simhash.digest(simhash.near_duplicates(docs, simhash.CLOSE._replace(limit=limit))).collect()) == want
     assert simhash.near_duplicates(empty_docs(spark)).isEmpty()
 
 
+@pytest.mark.parametrize("limit", [simhash.SIMILAR.limit, 20])
+def test_similar_texts_are_found(spark, limit):
+    """Pairs at a Jaccard similarity of 0.8 and more of 5-word shingles; others stay alone."""
+    rng = random.Random(6)
+    w = lambda n: [f"q{rng.randrange(5000)}" for _ in range(n)]
+    rows, pairs = [], []
+    for i in range(300):
+        words = w(rng.randrange(150, 400))
+        other = list(words)
+        for at in range(0, len(words) - len(words) // 60 * 5, len(words) // max(1, len(words) // 60))[:-1]:
+            other[at] = "changed"
+        shingles = [{tuple(x[k : k + 5]) for k in range(len(x) - 4)} for x in (words, other)]
+        similarity = len(shingles[0] & shingles[1]) / len(shingles[0] | shingles[1])
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
+        pairs.append((2 * i, similarity))
+    assert sum(s >= 0.8 for _, s in pairs) > 200
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, DOCS), simhash.SIMILAR._replace(limit=limit)).collect()}
+    close = [got[d] == got[d + 1] for d, s in pairs if s >= 0.82]
+    assert np.mean(close) > 0.9 and all(c in (d, d - d % 2) for d, c in got.items())
+
+
+def test_chance_of_a_shared_block():
+    s = simhash.SIMILAR
+    assert simhash.chance(s.radius, 256, 16, 4) > 0.9 and simhash.chance(int(simhash.angle_bits(0.85, 256)), 256, 16, 4) > 0.99
+    a, b = simhash.shuffled_blocks(4, 16, 4), simhash.shuffled_blocks(4, 16, 4)
+    assert (a == b).all() and (np.bitwise_count(a).sum(axis=1) == 16).all()
+
+
 def test_simhash_on_documents(spark):
     docs = spark.read.parquet(SF + "/documents.parquet").select("doc_id", "text")
     want = simhash.brute_force([tuple(r) for r in docs.collect()])
@@ -563,8 +612,14 @@ def test_embeddings(spark, chunk):
     assert pivots.near_duplicates(emb.limit(0)).isEmpty()
 
 
-def test_pivot_recall_at_the_threshold(spark):
-    """Pairs at a cosine just above 0.9, the hardest ones."""
+def test_description_grows_with_the_pivots():
+    assert [pivots.description_length(n) for n in (1, 5, 64, 256, 257, 512, 1024, 16_384)] == [1, 5, 7, 7, 8, 8, 9, 13]
+
+
+@pytest.mark.parametrize("n_pivots", [64, 1024])
+def test_pivot_recall_at_the_threshold(spark, n_pivots, monkeypatch):
+    """Pairs at a cosine just above 0.9, the hardest ones, with few and with many pivots."""
+    monkeypatch.setattr(pivots, "MIN_PIVOTS", n_pivots)
     r = np.random.default_rng(4)
     x = r.normal(size=(2000, 64))
     x /= np.linalg.norm(x, axis=1, keepdims=True)
@@ -575,3 +630,17 @@ def test_pivot_recall_at_the_threshold(spark):
     rows = [(i, v.tolist()) for i, v in enumerate(np.concatenate([x, y]))]
     got = pivots.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>"))
     assert got.agg(F.sum("n_links")).first()[0] >= 0.95 * 4000
+
+
+def test_pivots_on_clustered_vectors(spark):
+    """20,000 vectors in clusters of 1 to 400 around the threshold, against brute force in blocks."""
+    r = np.random.default_rng(9)
+    centres = r.normal(size=(900, 32))
+    sizes = r.zipf(1.6, size=900).clip(1, 400)
+    x = np.repeat(centres, sizes, axis=0)[:20_000]
+    x = x + r.normal(size=x.shape) * 0.33
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    want = np.concatenate([(unit[i : i + 1000] @ unit.T >= pivots.THRESHOLD).sum(axis=1) - 1 for i in range(0, len(unit), 1000)])
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    got = pivots.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).toPandas().set_index("vec_id")["n_links"].sort_index().to_numpy()
+    assert want.sum() > 5000 and (got <= want).all() and got.sum() >= 0.97 * want.sum(), (got.sum(), want.sum())
