@@ -145,7 +145,7 @@ def fingerprint_rows(hashes: list[list[int]], words: int) -> np.ndarray:
     if some.size:
         flat = np.fromiter(itertools.chain.from_iterable(hashes), np.uint64, int(sizes.sum()))
         for word in range(words):
-            out[some, word] = majority(_mix(flat + np.uint64(word) * _GOLDEN) if word else flat, sizes[some])
+            out[some, word] = majority(_mix(flat + np.uint64(word * int(_GOLDEN) % 2**64)) if word else flat, sizes[some])
     return out
 
 

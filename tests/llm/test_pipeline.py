@@ -1,7 +1,7 @@
 import corpus_pipeline
 from pyspark.sql import functions as F
 
-from palaver.llm import decontamination, mixing, secrets, simhash
+from palaver.llm import decontamination, mixing, secrets
 
 SF = "/root/testdata/sf0.001"
 
@@ -15,15 +15,26 @@ def test_stages_against_brute_force(spark):
     kept = {r["doc_id"] for r in good.collect()}
     clean = [k for k, v in labels.items() if v == (1, 0)]
     assert sum(k in kept for k in clean) >= 0.95 * len(clean)
-    want = simhash.brute_force([(r["doc_id"], r["text"]) for r in good.collect()])
     heads = stage["near_duplicates"](spark, good, SF).cache()
-    assert sorted(r["doc_id"] for r in heads.collect()) == sorted({c for _, c in want.values()})
+    stay = {r["doc_id"] for r in heads.collect()}
+    shingles = {}
+    for r in good.collect():
+        words = r["text"].lower().split()
+        shingles[r["doc_id"]] = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+    like = lambda a, b: len(shingles[a] & shingles[b]) / len(shingles[a] | shingles[b])
+    pairs = [(a, b, s) for a in shingles for b in shingles if a < b and (s := like(a, b)) >= 0.6]
+    # of two texts at a similarity of 0.8 at most one stays, and none goes without a similar text
+    assert len(pairs) > 10 and not [(a, b) for a, b, s in pairs if s >= 0.8 and a in stay and b in stay]
+    assert set(shingles) - stay <= {b for _, b, _ in pairs}
     assert stage["near_duplicates"](spark, good.unionByName(good), SF).count() == heads.count()
     items = [(r["item_id"], r["text"]) for r in spark.read.parquet(SF + "/benchmark.parquet").collect()]
     free = stage["decontamination"](spark, heads, SF).cache()
     assert {r["doc_id"] for r in free.collect()} == {r["doc_id"] for r in heads.collect() if not decontamination.brute_force(r["text"], items)[-1]}
     masked = stage["secrets"](spark, free, SF).cache()
     assert masked.columns == docs.columns and masked.count() == free.count()
+    mixed = stage["mixture"](spark, masked, SF)
+    want = {r["doc_id"]: r["copies"] for r in mixing.mix(masked).collect() if r["copies"]}
+    assert {r["doc_id"]: r["n"] for r in mixed.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).collect()} == want
     assert secrets.scan_secrets(masked).filter(F.exists("spans", lambda s: s["kind"] < 3)).isEmpty()
     assert masked.filter(F.length("text") != F.col("n_chars")).isEmpty()
 
@@ -71,5 +82,29 @@ def test_mixture_decides_for_every_row(spark):
     sizes = docs.groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.sum(size).alias("source_size"))
     target = {r["source"]: r["target"] for r in mixing.source_targets(sizes).collect()}
     taken = {r["source"]: r["n"] for r in out.groupBy("source").agg(F.sum(size).alias("n")).collect()}
-    assert all(target[s] - 9 < taken[s] <= target[s] for s in target), (taken, target)
+    assert all(abs(taken[s] - target[s]) <= 5 for s in target), (taken, target)
     assert out.groupBy("source", "text").agg(F.count(F.lit(1)).alias("n"), F.max("copy").alias("copies")).filter("n <> copies").isEmpty()
+
+
+CLASHES = ("copy", "row", "rid", "text_hash", "draw", "weight", "cuts", "f0", "cls", "n", "key", "__text", "Copies", "root", "hits", "odds")
+
+
+def test_clashing_names_nulls_and_repeats(spark):
+    """Every stage on rows that repeat, ids with several texts, null ids and texts, empty and very long texts, and columns of all the names in use."""
+    long_text = " ".join(f"word{i * i % 7919}" for i in range(30_000))
+    secret = 'the password = "hunter2hunter2" and more words here'
+    rows = [(1, "a plain text"), (1, "a plain text"), (1, "quite another text"), (None, "no id"), (None, None), (2, None), (3, ""), (4, long_text), (5, secret), (5, secret), (None, secret)]
+    docs = spark.createDataFrame([(i, t, "en", "web" if i else None, len(t or "")) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    plain = docs
+    for c in CLASHES:
+        docs = docs.withColumn(c, F.lit("clash"))
+    for name, stage in corpus_pipeline.STAGES:
+        got, want = stage(spark, docs, SF), stage(spark, plain, SF)
+        last = name == "mixture"
+        assert got.columns == [*docs.columns, *(["_copy"] if last else [])]
+        assert got.filter(" or ".join(f"`{c}` <> 'clash'" for c in CLASHES)).isEmpty()
+        assert sorted(map(str, got.select(*plain.columns).collect())) == sorted(map(str, want.select(*plain.columns).collect())), name
+    texts = lambda name: sorted(map(str, (r["text"] for r in dict(corpus_pipeline.STAGES)[name](spark, docs, SF).collect())))
+    assert len(texts("quality")) == len(texts("decontamination")) == len(rows)
+    assert texts("near_duplicates") == sorted(["a plain text", "quite another text", "no id", "None", long_text, secret])
+    assert sum("hunter2" in t for t in texts("secrets")) == 0 and len(texts("secrets")) == len(rows)
