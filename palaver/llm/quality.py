@@ -1,10 +1,13 @@
 """Operator 2: quality classification by importance resampling over hashed n-grams.
 
 Two generative models give the rate of every feature in the target text (documents labelled good and not toxic) and in the raw text (all documents).
-Features are hashed unigrams of words and hashed bigrams of token shapes (case, digits, symbols, repetition), counted as often as they
-stand in a text. A document's log importance weight is the sum of log(target rate / raw rate) over its features.
+Features are hashed unigrams of words and hashed bigrams of token shapes (case, digits, symbols, repetition). A document's log importance weight is the sum of log(target rate / raw rate) over
+all occurrences of features in it.
 
-Smoothing. Rates are smoothed by ``PRIOR`` occurrences. A raw corpus is labelled in part only, so a rare feature may be short in the target by
+Rates count the documents that hold a feature, for occurrences in one text are no independent draws: a feature that a few texts repeat a thousand times
+would otherwise speak against every text that holds it once (the README has figures of rates by occurrences, by damped occurrences and by documents).
+
+Smoothing. Rates are smoothed by ``PRIOR`` documents. A raw corpus is labelled in part only, so a rare feature may be short in the target by
 chance: every log ratio is shrunk by the positive-part rule 1 - (t / z)^2, where z is how many standard deviations the number of target documents
 with the feature lies outside what chance gives, and t = sqrt(2 ln(number of features)), the universal threshold. By chance a feature has the
 corpus's share of target documents if it stands in all documents alike, and that share divided by the target's part of the labels if
@@ -81,12 +84,12 @@ def target_ids(labels: DataFrame, sample: int = TARGET_SAMPLE) -> tuple[np.ndarr
     return np.sort(np.array([r[0] for r in ids], np.int64)), good / total if total else 0.0
 
 
-#: What is counted of every feature: occurrences and documents in the raw and in the target text.
-COUNTS = ("raw", "raw_docs", "target", "target_docs")
+#: What is counted of every feature: documents in the raw and in the target text.
+COUNTS = ("raw", "target")
 
 
 def count_features(docs: DataFrame, target: np.ndarray) -> DataFrame:
-    """feature and COUNTS over all ``docs(doc_id, text)``; feature FEATURES holds all occurrences and documents."""
+    """feature and COUNTS over all ``docs(doc_id, text)``; feature FEATURES holds all documents."""
     shared = docs.sparkSession.sparkContext.broadcast(target)
 
     def count(batches):
@@ -95,13 +98,11 @@ def count_features(docs: DataFrame, target: np.ndarray) -> DataFrame:
         for batch in batches:
             ids, known = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), batch.column(0).is_valid().to_numpy(zero_copy_only=False)
             for is_good, text in zip((known & np.isin(ids, good)).tolist(), texts(batch.column(1))):
-                every = featuriser.features(text)
-                found, n = np.unique(every, return_counts=True)
-                found, n = np.append(found, FEATURES), np.append(n, every.size)
-                for side in (0, 2) if is_good else (0,):
-                    sums[side][found] += n
-                    sums[side + 1][found] += 1
-        at = np.flatnonzero(sums[1])
+                found = np.append(np.unique(featuriser.features(text)), FEATURES)
+                sums[0][found] += 1
+                if is_good:
+                    sums[1][found] += 1
+        at = np.flatnonzero(sums[0])
         for part in np.array_split(at, max(1, at.size // 50_000)):
             yield pa.RecordBatch.from_pydict({"feature": pa.array(part)} | {c: pa.array(s[part]) for c, s in zip(COUNTS, sums)})
 
@@ -119,14 +120,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = TARGET_SAMPLE, prior:
     every = counts.filter(F.col("feature") < FEATURES)
     threshold = math.sqrt(2 * math.log(max(2, every.count())))
     # by chance a feature's share of target documents lies between that of all documents and that of target-like ones
-    low = sizes["target_docs"] / sizes["raw_docs"]
+    low = sizes["target"] / sizes["raw"]
     high = min(1.0, low / part)
-    below, above = F.col("target_docs") < F.lit(low) * F.col("raw_docs"), F.col("target_docs") > F.lit(high) * F.col("raw_docs")
+    below, above = F.col("target") < F.lit(low) * F.col("raw"), F.col("target") > F.lit(high) * F.col("raw")
     chance = F.when(below, F.lit(low)).otherwise(F.lit(high))
-    squared = F.try_divide((F.col("target_docs") - chance * F.col("raw_docs")) ** 2, F.col("raw_docs") * chance * (1 - chance))
+    squared = F.try_divide((F.col("target") - chance * F.col("raw")) ** 2, F.col("raw") * chance * (1 - chance))
     shrink = 1 - F.try_divide(F.lit(threshold**2), squared)
-    expected = F.col("raw") * F.lit(sizes["target"] / sizes["raw"]) * chance / F.lit(low)
-    ratio = F.log((F.col("target") + F.lit(prior)) / (expected + F.lit(prior))) * shrink
+    ratio = F.log((F.col("target") + F.lit(prior)) / (chance * F.col("raw") + F.lit(prior))) * shrink
     telling = every.filter((below | above) & (squared > threshold**2)).select("feature", ratio.alias("ratio")).toPandas()
     return {"feature": telling["feature"].to_numpy(np.int64), "ratio": telling["ratio"].to_numpy(float)}
 
@@ -204,25 +204,22 @@ def brute_force(rows: list[tuple[int | None, str | None]], labels: list[tuple[in
         bags.append((doc_id in targets, bag))
     sums: dict[int, list[int]] = {}
     for is_target, bag in bags:
-        for f, n in [*bag.items(), (FEATURES, sum(bag.values()))]:
-            s = sums.setdefault(f, [0, 0, 0, 0])
-            s[0] += n
-            s[1] += 1
-            s[2] += n * is_target
-            s[3] += is_target
-    size = sums.pop(FEATURES, [0, 0, 0, 0])
-    if not size[2]:
+        for f in [*bag, FEATURES]:
+            s = sums.setdefault(f, [0, 0])
+            s[0] += 1
+            s[1] += is_target
+    size = sums.pop(FEATURES, [0, 0])
+    if not size[1]:
         return [0.0] * len(rows)
-    low = size[3] / size[1]
+    low = size[1] / size[0]
     high = min(1.0, low * len(marks) / len(targets))
     limit = 2 * math.log(max(2, len(sums)))
     ratio = {}
-    for f, (raw, raw_docs, target, target_docs) in sums.items():
-        share = target_docs / raw_docs
-        chance = low if target_docs < low * raw_docs else high if target_docs > high * raw_docs else None
+    for f, (raw, target) in sums.items():
+        chance = low if target < low * raw else high if target > high * raw else None
         if chance is None or chance == 1.0:
             continue
-        z2 = (share - chance) ** 2 * raw_docs / (chance * (1 - chance))
+        z2 = (target - chance * raw) ** 2 / (raw * chance * (1 - chance))
         if z2 > limit:
-            ratio[f] = math.log((target + prior) / (raw * size[2] / size[0] * chance / low + prior)) * (1 - limit / z2)
+            ratio[f] = math.log((target + prior) / (chance * raw + prior)) * (1 - limit / z2)
     return [math.fsum(ratio.get(f, 0.0) * n for f, n in bag.items()) for _, bag in bags]
