@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from typing import NamedTuple
+
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
-
-# fixed values: costs of the repair alignment
-REP, PARTIAL, SAME_POS, INDEL, SAME_CLASS, ARBITRARY = 0, 1, 2, 4, 5, 7
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
 
 def token_distance(a: list, b: list) -> int:
@@ -30,57 +31,132 @@ def error_rate(reference: list, hypothesis: list) -> float:
     return 100.0 * token_distance(reference, hypothesis) / len(reference)
 
 
-def align(source: list, goal: list, substitute) -> list[tuple[int, int, str, int]]:
-    """The best alignment as (source index, goal index, operation, cost so far). ``substitute(s, g)`` gives (operation, cost); insertions and
-    deletions cost ``substitute.indel``. Of equally good alignments the one that is cheapest furthest to the left is taken: substitutions
-    before deletions before insertions, decided from the end."""
-    indel = substitute.indel
-    m, n = len(source), len(goal)
-    cost = [[0] * (n + 1) for _ in range(m + 1)]
-    for i in range(m + 1):
-        for j in range(n + 1):
-            if i and j:
-                cost[i][j] = min(cost[i - 1][j] + indel, cost[i][j - 1] + indel, cost[i - 1][j - 1] + substitute(source[i - 1], goal[j - 1])[1])
-            else:
-                cost[i][j] = (i + j) * indel
-    i, j, out = m, n, []
-    while i or j:
-        op, c = substitute(source[i - 1], goal[j - 1]) if i and j else ("", 0)
-        if i and j and cost[i][j] == cost[i - 1][j - 1] + c:
-            step, di, dj = op, 1, 1
-        elif i and cost[i][j] == cost[i - 1][j] + indel:
-            step, di, dj = "DEL", 1, 0
-        else:
-            step, di, dj = "INS", 0, 1
-        out.append((max(0, i - 1), max(0, j - 1), step, cost[i][j]))
-        i, j = i - di, j - dj
-    return out[::-1]
-
-
-def plain_substitution(s: str, g: str) -> tuple[str, int]:
-    return ("ID", 0) if s.lower() == g.lower() else ("S_ARB", 2)
-
-
-plain_substitution.indel = 1
-
-
-def repair_substitution(s: tuple[str, str], g: tuple[str, str]) -> tuple[str, int]:
-    """(word, POS) pairs: how a repair word takes up a reparandum word."""
-    (sw, sp), (gw, gp) = s, g
-    if sw == gw:
-        return "REP", REP
-    if sw.endswith("-") and sw[:-1] in gw:
-        return "REP_complete", PARTIAL
-    if gw.endswith("-") and gw[:-1] in sw:
-        return "REP_partial", PARTIAL
-    if sp == gp:
-        return "SUB_POS", SAME_POS
-    if sp[:1] == gp[:1]:
-        return "SUB_POS_CLASS", SAME_CLASS
-    return "S_ARB", ARBITRARY
-
-
-repair_substitution.indel = INDEL
+class Rule(NamedTuple):
+    """A substitution: its name, its cost, and where it applies, as a matrix over the tokens of both sides."""
+
+    name: str
+    cost: int
+    applies: Callable[[list, list], np.ndarray]
+
+
+class Costs(NamedTuple):
+    indel: int
+    rules: tuple[Rule, ...]
+
+
+def _equal(of: Callable) -> Callable[[list, list], np.ndarray]:
+    """Where both sides agree in a property of their tokens."""
+
+    def matrix(source: list, goal: list) -> np.ndarray:
+        ids: dict = {}
+        x, y = (np.array([ids.setdefault(of(t), len(ids)) for t in side], np.int64) for side in (source, goal))
+        return x[:, None] == y[None, :]
+
+    return matrix
+
+
+def _fragment_in(broken: int) -> Callable[[list, list], np.ndarray]:
+    """Where the word of side ``broken`` (0 or 1) is a fragment (it ends with a hyphen) of the other side's word."""
+
+    def matrix(*sides: list) -> np.ndarray:
+        out = np.zeros((len(sides[0]), len(sides[1])), bool)
+        for i, fragment in enumerate(sides[broken]):
+            if fragment[0].endswith("-"):
+                out[(i, slice(None)) if broken == 0 else (slice(None), i)] = [fragment[0][:-1] in t[0] for t in sides[1 - broken]]
+        return out
+
+    return matrix
+
+
+def _always(source: list, goal: list) -> np.ndarray:
+    return np.ones((len(source), len(goal)), bool)
+
+
+PLAIN = Costs(1, (Rule("ID", 0, _equal(str.lower)), Rule("S_ARB", 2, _always)))
+# fixed values: names and costs of how a repair word takes up a reparandum word, over (word, POS) pairs
+REPAIR = Costs(
+    4,
+    (
+        Rule("REP", 0, _equal(lambda t: t[0])),
+        Rule("REP_complete", 1, _fragment_in(0)),
+        Rule("REP_partial", 1, _fragment_in(1)),
+        Rule("SUB_POS", 2, _equal(lambda t: t[1])),
+        Rule("SUB_POS_CLASS", 5, _equal(lambda t: t[1][:1])),
+        Rule("S_ARB", 7, _always),
+    ),
+)
+
+
+def _table(source: list, goal: list, costs: Costs) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(cost of aligning all prefixes, substitution costs, number of the cheapest rule, the first of equals)."""
+    every = np.stack([np.where(r.applies(source, goal), r.cost, np.iinfo(np.int32).max) for r in costs.rules]) if source and goal else np.zeros((1, len(source), len(goal)), np.int64)
+    substitution, rule = every.min(axis=0), every.argmin(axis=0)
+    steps = np.arange(len(goal) + 1) * costs.indel
+    table = np.empty((len(source) + 1, len(goal) + 1), np.int64)
+    table[0] = steps
+    for i in range(1, len(source) + 1):
+        best = np.minimum(table[i - 1, 1:] + costs.indel, table[i - 1, :-1] + substitution[i - 1])
+        # an insertion adds one price a step, so a running minimum of what is left of it finds the best start of insertions
+        table[i] = np.minimum.accumulate(np.r_[i * costs.indel, best] - steps) + steps
+    return table, substitution, rule
+
+
+def _moves(table: np.ndarray, substitution: np.ndarray, i: int, j: int, indel: int) -> list[tuple[int, int]]:
+    """Steps back from a cell that cost what the table says: substitution, deletion, insertion."""
+    out = []
+    if i and j and table[i, j] == table[i - 1, j - 1] + substitution[i - 1, j - 1]:
+        out.append((1, 1))
+    if i and table[i, j] == table[i - 1, j] + indel:
+        out.append((1, 0))
+    if j and table[i, j] == table[i, j - 1] + indel:
+        out.append((0, 1))
+    return out
+
+
+def best_alignments(source: list, goal: list, costs: Costs = PLAIN, most: int = 1) -> list[list[tuple[int, int, str, int]]]:
+    """The first ``most`` of all best alignments, each a list of (source index, goal index, operation, cost so far). They are ranked from the end: a substitution
+    before a deletion before an insertion."""
+    table, substitution, rule = _table(source, goal, costs)
+    out: list[list] = []
+    # paths are linked from their last step, so branches share what they have in common
+    waiting: list[tuple[int, int, tuple | None]] = [(len(source), len(goal), None)]
+    while waiting and len(out) < most:
+        i, j, path = waiting.pop()
+        if not i and not j:
+            out.append([])
+            while path:
+                out[-1].append(path[0])
+                path = path[1]
+            continue
+        moves = _moves(table, substitution, i, j, costs.indel)
+        for di, dj in reversed(moves[: most - len(out)]):
+            name = costs.rules[rule[i - 1, j - 1]].name if di and dj else "DEL" if di else "INS"
+            waiting.append((i - di, j - dj, ((max(0, i - 1), max(0, j - 1), name, int(table[i, j])), path)))
+    return out
+
+
+def match_blocks(source: list, goal: list, shortest: int = 1) -> list[tuple[int, int, int]]:
+    """(source start, goal start, length) of common runs of at least ``shortest`` tokens: the longest run (of equals the leftmost in the source, then in the goal), then the same
+    to its left and to its right."""
+    same = _equal(lambda t: t)(source, goal)
+    # runs[i, j]: length of the common run that ends before source i and goal j
+    runs = np.zeros((len(source) + 1, len(goal) + 1), np.int64)
+    for i in range(len(source)):
+        runs[i + 1, 1:] = np.where(same[i], runs[i, :-1] + 1, 0)
+    out, parts = [], [(0, len(source), 0, len(goal))]
+    while parts:
+        a, b, c, d = parts.pop()
+        if a >= b or c >= d:
+            continue
+        inside = np.minimum(runs[a + 1 : b + 1, c + 1 : d + 1], np.minimum(np.arange(1, b - a + 1)[:, None], np.arange(1, d - c + 1)[None, :]))
+        n = int(inside.max())
+        if n < shortest or not n:
+            continue
+        i, j = (int(x) for x in np.unravel_index(inside.argmax(), inside.shape))
+        start, goal_start = a + i + 1 - n, c + j + 1 - n
+        out.append((start, goal_start, n))
+        parts += [(a, start, c, goal_start), (start + n, b, goal_start + n, d)]
+    return sorted(out)
 
 
 def _mapped(df: DataFrame, columns: list[str], run, fields: list[tuple[str, pa.DataType]], ddl: str) -> DataFrame:
@@ -105,25 +181,62 @@ def alignments(df: DataFrame, source: str, goal: str) -> DataFrame:
     """``df`` with ``alignment`` (operations joined by blanks) and ``cost`` of the two token arrays."""
 
     def run(a, b):
-        found = align(a or [], b or [], plain_substitution)
+        found = best_alignments(a or [], b or [])[0]
         return " ".join(f"{i}>{j}:{op}" for i, j, op, _ in found), found[-1][3] if found else 0
 
     return _mapped(df, [source, goal], run, [("alignment", pa.string()), ("cost", pa.int32())], "alignment string, cost int")
 
 
+def ranked_alignments(df: DataFrame, source: str, goal: str, most: int) -> DataFrame:
+    """``df`` with ``ranked``: the operations of the first ``most`` best alignments, in order."""
+
+    def run(a, b):
+        return ([" ".join(op for _, _, op, _ in found) for found in best_alignments(a or [], b or [], most=most)],)
+
+    return _mapped(df, [source, goal], run, [("ranked", pa.list_(pa.string()))], "ranked array<string>")
+
+
+def common_runs(df: DataFrame, source: str, goal: str, shortest: int = 1) -> DataFrame:
+    """``df`` with ``blocks``: (source start, goal start, length) of the matching blocks of the two token arrays."""
+    block = pa.struct([("source", pa.int32()), ("goal", pa.int32()), ("length", pa.int32())])
+
+    def run(a, b):
+        return ([dict(zip(("source", "goal", "length"), m)) for m in match_blocks(a or [], b or [], shortest)],)
+
+    return _mapped(df, [source, goal], run, [("blocks", pa.list_(block))], "blocks array<struct<source:int,goal:int,length:int>>")
+
+
 def repair_classes(df: DataFrame, reparandum: str, repair: str) -> DataFrame:
     """``df`` with ``operations`` and ``cost`` of arrays of (word, pos) structs."""
 
     def run(a, b):
         pairs = [[(x["word"], x["pos"]) for x in s or []] for s in (a, b)]
-        found = align(*pairs, repair_substitution)
+        found = best_alignments(*pairs, REPAIR)[0]
         return " ".join(op for _, _, op, _ in found), found[-1][3] if found else 0
 
     return _mapped(df, [reparandum, repair], run, [("operations", pa.string()), ("cost", pa.int32())], "operations string, cost int")
 
 
-def shared_time(start: int, end: int, words: list[str]) -> list[tuple[int, int]]:
-    """An interval shared among words by their letters."""
-    letters = np.cumsum([0, *map(len, words)])
-    at = [start + (end - start) * int(c) // max(1, int(letters[-1])) for c in letters]
-    return list(zip(at, at[1:]))
+def shared_time(start: Column, end: Column, words: Column) -> Column:
+    """(word, start, end) of the words that share an interval by their letters; whole numbers, the ends rounded down."""
+    upto = F.aggregate(words, F.array(F.lit(0)), lambda done, w: F.concat(done, F.array(F.element_at(done, -1) + F.length(w))))
+
+    def share(u: Column) -> Column:
+        at = lambda i: (start + F.floor((end - start) * F.get(u, i) / F.greatest(F.lit(1), F.element_at(u, -1)))).cast("long")
+        return F.transform(words, lambda w, i: F.struct(w.alias("word"), at(i).alias("start"), at(i + 1).alias("end")))
+
+    # the sums are an element of an array, so that they are worked out once
+    return F.element_at(F.transform(F.array(upto), share), 1)
+
+
+def relabelled(df: DataFrame, source: str, goal: str, labels: str) -> DataFrame:
+    """``df`` with ``carried``: for every token of ``goal`` the label of the source token that it is aligned with (unchanged or substituted), null for an inserted one."""
+
+    def run(a, b, l):
+        out: list = [None] * len(b or [])
+        for i, j, op, _ in best_alignments(a or [], b or [])[0]:
+            if op not in ("INS", "DEL"):
+                out[j] = l[i]
+        return (out,)
+
+    return _mapped(df, [source, goal, labels], run, [("carried", pa.list_(pa.string()))], "carried array<string>")

@@ -171,6 +171,40 @@ def viterbi(df: DataFrame, labels: list[str], weights: dict[tuple[str, str], flo
     return df.select(*kept, emissions).mapInArrow(run, schema)
 
 
+def best_paths(df: DataFrame, labels: list[str], weights: dict[tuple[str, str], float], n: int, emissions: str = "emissions", end_weights: dict[str, float] | None = None) -> DataFrame:
+    """``df`` (one row per utterance) with ``paths``: the best path to each of the ``n`` best last labels, best first, with its score; ties go to the label with the lower index. Fewer
+    where fewer labels can end the utterance."""
+    kept = [c for c in df.columns if c != emissions]
+    matrix = np.array([[weights.get((p, q), -np.inf) for q in labels] for p in [*labels, START]])
+    ends = np.array([0.0 if end_weights is None else end_weights.get(s, -np.inf) for s in labels])
+    kind = pa.list_(pa.struct([("path", pa.list_(pa.int32())), ("score", pa.float64())]))
+
+    def ranked(rows: np.ndarray) -> list[dict]:
+        score, back = matrix[-1] + rows[0], []
+        for row in rows[1:]:
+            through = score[:, None] + matrix[:-1] + row[None, :]
+            back.append(through.argmax(axis=0))
+            score = through.max(axis=0)
+        score = score + ends
+        out = []
+        for at in np.argsort(-score, kind="stable")[:n]:
+            if score[at] == -np.inf:
+                break
+            path = [int(at)]
+            for b in reversed(back):
+                path.append(int(b[path[-1]]))
+            out.append({"path": path[::-1], "score": float(score[at])})
+        return out
+
+    def run(batches):
+        for batch in batches:
+            found = [ranked(np.array(rows, float)) if rows else [] for rows in batch.column(len(kept)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(found, kind)], names=[*kept, "paths"])
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.select(*kept).dtypes) + ", paths array<struct<path:array<int>,score:double>>"
+    return df.select(*kept, emissions).mapInArrow(run, schema)
+
+
 def timing_weight(log_emission: Column, is_first: Column, p_first: Column, weight: float = 2.0) -> Column:
     """An emission with the timing classifier's opinion: weight * P(class) + weight multiplies the transition."""
     p = F.when(is_first, p_first).otherwise(1 - p_first)

@@ -11,7 +11,9 @@ from pyspark.sql.window import Window
 
 from palaver.functions.numbers import f_score, precision, recall, safe_div, segmentation_error
 
+from .alignment import distances
 from .joins import interval_join
+from .sequences import running_total
 
 # fixed values: the tags that are scored
 TAGS = ("<rms", "<rm", "<i", "<rps", "<rp", "<rpn", "<rpnrep", "<rpnsub", "<rpndel", "<e", "t/>")
@@ -94,15 +96,33 @@ def speaker_rates(df: DataFrame, by: list[str], tag: str = "<rps") -> DataFrame:
     return n.select(*by, "n_words", "n_utts", *(F.round(safe_div(F.col(f"{c}_n"), F.col(f"n_{u}")), 6).alias(f"{c}_per_{u[:-1]}") for c in ("gold", "hyp") for u in ("words", "utts")))
 
 
-def average_rank(value: str, *by: str) -> Column:
-    """Rank with ties averaged."""
-    w = Window.partitionBy(*by)
-    return F.rank().over(w.orderBy(value)) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / F.lit(2.0)
+def percentiles(df: DataFrame, by: list[str], value: str, ps: tuple[float, ...]) -> DataFrame:
+    """``by`` and a column p0, p10, ... for each percentile: rank = p / 100 * n; the first value below rank 1, the last from rank n - 1 on, else
+    between the two values around the rank. Values are counted, not collected: a row a distinct value."""
+    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
+    whole = Window.partitionBy(*by)
+    upto = counts.withColumn("__upto", F.sum("__n").over(whole.orderBy(value))).withColumn("__all", F.sum("__n").over(whole))
+    out = []
+    for p in ps:
+        rank = F.lit(p) / F.lit(100.0) * F.col("__all")
+        k = F.floor(rank)
+        at = lambda i: F.max(F.when((F.col("__upto") >= i) & (F.col("__upto") - F.col("__n") < i), F.col(value)))
+        out.append(F.struct(F.max(k).alias("k"), F.max(rank).alias("rank"), at(k).alias("low"), at(k + 1).alias("high")).alias(f"__p{p}"))
+    ends = upto.groupBy(*by).agg(F.max("__all").alias("__all"), F.min(value).alias("__first"), F.max(value).alias("__last"), *out)
+    pick = lambda s: F.when(s["k"] == 0, F.col("__first")).when(s["k"] >= F.col("__all") - 1, F.col("__last")).otherwise(s["low"] + (s["rank"] - s["k"]) * (s["high"] - s["low"]))
+    return ends.select(*by, *(F.round(pick(F.col(f"`__p{p}`")), 6).alias(f"p{int(p)}") for p in ps))
+
+
+def average_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
+    """``df`` with the rank of ``value`` under ``name``, ties averaged. Distinct values are numbered by ranges; no task sorts all rows."""
+    counts = df.groupBy(value).agg(F.count(F.lit(1)).alias("__n"))
+    ranked = running_total(counts, value, "__n", "__before").select(F.col(value).alias("__value"), (F.col("__before") + (F.col("__n") + 1) / F.lit(2.0)).alias(name))
+    return df.join(ranked, F.col(value).eqNullSafe(F.col("__value"))).drop("__value")
 
 
 def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
-    """Pearson's r and Spearman's rho over the rows (one a speaker). Ranks need one global order: for speaker tables, not for word tables."""
-    ranked = df.select(x, y).withColumn("rx", average_rank(x)).withColumn("ry", average_rank(y))
+    """Pearson's r and Spearman's rho over the rows (one a speaker)."""
+    ranked = average_ranks(average_ranks(df.select(x, y), x, "rx"), y, "ry")
     return ranked.agg(F.round(F.corr(x, y), 6).alias("pearson"), F.round(F.corr("rx", "ry"), 6).alias("spearman"), F.count(F.lit(1)).alias("n"))
 
 
@@ -147,11 +167,25 @@ def edit_overhead(log: DataFrame, final: DataFrame, by: list[str]) -> DataFrame:
     return made.join(kept, by).withColumn("overhead", F.round(100 * (F.col("edits") / F.col("final_words") - 1), 6))
 
 
-def time_to_detection(log: DataFrame, gold: DataFrame, by: list[str], tag: str) -> DataFrame:
-    """How many words (``words``) and milliseconds (``ms``) after a tagged word's end the hypothesis first had the tag right.
+def time_to_detection(log: DataFrame, gold: DataFrame, by: list[str], tag: str, first: bool = True, onset: bool = False) -> DataFrame:
+    """How many words (``words``) and milliseconds after a tagged word's start (``ms_from_start``) and end (``ms``) the hypothesis had the tag right: the ``first`` time, or each time that it wrote it.
+    For tags of repair onsets (``onset``) the word itself counts too.
 
-    ``log``: by, update_no, update_ms, pos, n_words (length of the hypothesis then), tag; ``gold``: by, pos, end_ms, tag.
+    ``log``: by, update_no, update_ms, pos, n_words (length of the hypothesis then), tag; ``gold``: by, pos, start_ms, end_ms, tag.
     """
-    right = log.join(gold.filter(F.col("tag").contains(tag)).select(*by, "pos", "end_ms"), [*by, "pos"]).filter(F.col("tag").contains(tag))
-    first = right.groupBy(*by, "pos").agg(F.min_by(F.struct("n_words", "update_ms", "end_ms"), "update_no").alias("f"))
-    return first.agg(F.round(F.avg(F.col("f.n_words") - F.col("pos") - 1), 6).alias("words"), F.round(F.avg(F.col("f.update_ms") - F.col("f.end_ms")), 6).alias("ms"), F.count(F.lit(1)).alias("n_detected"))
+    right = log.join(gold.filter(F.col("tag").contains(tag)).select(*by, "pos", F.col("start_ms").alias("from_ms"), F.col("end_ms").alias("to_ms")), [*by, "pos"]).filter(F.col("tag").contains(tag))
+    if first:
+        right = right.groupBy(*by, "pos").agg(F.min_by(F.struct("n_words", "update_ms", "from_ms", "to_ms"), "update_no").alias("f")).select(*by, "pos", "f.*")
+    r = lambda c: F.round(F.avg(c), 6)
+    return right.agg(r(F.col("n_words") - F.col("pos") - 1 + int(onset)).alias("words"), r(F.col("update_ms") - F.col("to_ms")).alias("ms"), r(F.col("update_ms") - F.col("from_ms")).alias("ms_from_start"), F.count(F.lit(1)).alias("n_detected"))
+
+
+def precision_by_type(found: DataFrame, repairs: DataFrame, key: list[str]) -> DataFrame:
+    """Precision by repair type and reparandum length: ``found`` hypotheses with type and length, ``repairs`` with the keys that are right."""
+    return errors_by_type(found, repairs, key).select("type", "length", F.col("n_gold").alias("n_hyp"), F.col("n_found").alias("n_right"), F.col("recall").alias("precision"))
+
+
+def segment_error_rate(df: DataFrame, by: list[str], order: str, tag: str = "t/>", gold: str = "gold", hyp: str = "hyp") -> DataFrame:
+    """``by``, distance and wer: edit distance of the two boundary vectors of a speaker's words, and its percentage of the reference's length."""
+    vector = lambda c: F.transform(F.array_sort(F.collect_list(F.struct(order, F.col(c).contains(tag).cast("string").alias("b")))), lambda s: s["b"])
+    return distances(df.groupBy(*by).agg(vector(gold).alias("__gold"), vector(hyp).alias("__hyp")), "__gold", "__hyp")

@@ -13,6 +13,8 @@ from pyspark.sql.window import Window
 
 from palaver.functions.numbers import log2_or_zero, safe_div
 
+from .sequences import folds
+
 START, END, UNKNOWN = "<s>", "</s>", "<unk>"
 DISCOUNT = 0.7
 
@@ -53,35 +55,55 @@ def all_ngram_counts(df: DataFrame, order: int, tokens: str = "tokens") -> DataF
     return df.select(grams.alias("g")).groupBy("g.order", "g.gram").agg(F.count(F.lit(1)).alias("n"))
 
 
-def train(df: DataFrame, order: int = 3, tokens: str = "tokens") -> DataFrame:
-    """The model table of sentences."""
-    level = ngrams(df, order, tokens).groupBy("context", "word").agg(F.count(F.lit(1)).alias("num"))
+def train(df: DataFrame, order: int = 3, tokens: str = "tokens", by: tuple[str, ...] = ()) -> DataFrame:
+    """The model table of sentences; with ``by`` a model for each value of these columns, all in one job."""
+    level = ngrams(df, order, tokens, [*by]).groupBy(*by, "context", "word").agg(F.count(F.lit(1)).alias("num"))
     model = None
     for d in range(order, 0, -1):
-        whole = Window.partitionBy("context")
-        rows = level.select(F.lit(d).alias("order"), "context", "word", "num", F.sum("num").over(whole).alias("den"), F.count(F.lit(1)).over(whole).alias("nz")) if d > 1 else level.crossJoin(F.broadcast(level.agg(F.sum("num").alias("den"), F.count(F.lit(1)).alias("nz")))).select(F.lit(1).alias("order"), "context", "word", "num", "den", "nz")
+        # all counts of a context come from one grouped sum, so a common context is no partition of its own
+        sums = level.groupBy(*by, "context").agg(F.sum("num").alias("den"), F.count(F.lit(1)).alias("nz"))
+        rows = level.join(sums, [*by, "context"]).select(*by, F.lit(d).alias("order"), "context", "word", "num", "den", "nz")
         model = rows if model is None else model.unionByName(rows)
-        level = level.select(_shorter(F.col("context")).alias("context"), "word").groupBy("context", "word").agg(F.count(F.lit(1)).alias("num"))
+        level = level.select(*by, _shorter(F.col("context")).alias("context"), "word").groupBy(*by, "context", "word").agg(F.count(F.lit(1)).alias("num"))
     return model
 
 
-def probabilities(grams: DataFrame, model: DataFrame, order: int = 3, discount: float = DISCOUNT) -> DataFrame:
-    """``grams(context, word, ...)`` with ``p``, and ``p1`` from single words. Two joins an order: on the n-gram and on its context."""
+def probabilities(grams: DataFrame, model: DataFrame, order: int = 3, discount: float = DISCOUNT, by: tuple[str, ...] = ()) -> DataFrame:
+    """``grams(by, context, word, ...)`` with ``p``, and ``p1`` from single words. Two joins an order: on the n-gram and on its context."""
     out = grams.withColumn("__c", F.col("context"))
     contexts, suffixes = {}, {}
     for d in range(order, 0, -1):
         contexts[d] = f"__c{d}"
         out = out.withColumn(contexts[d], F.col("__c")).withColumn("__c", _shorter(F.col("__c")))
         suffixes[d] = model.filter(F.col("order") == d)
-    one = suffixes[1].select(F.col("word").alias("__w"), (F.col("num") / F.col("den")).alias("p1"))
-    out = out.join(one, F.col("word") == F.col("__w"), "left").drop("__w").withColumn("p1", F.coalesce("p1", F.lit(0.0))).withColumn("p", F.col("p1"))
+    one = suffixes[1].select(*by, "word", (F.col("num") / F.col("den")).alias("p1"))
+    out = out.join(one, [*by, "word"], "left").withColumn("p1", F.coalesce("p1", F.lit(0.0))).withColumn("p", F.col("p1"))
     for d in range(2, order + 1):
-        gram = suffixes[d].select(F.col("context").alias("__k"), F.col("word").alias("__w"), F.col("num").alias("__num"))
-        known = suffixes[d].groupBy(F.col("context").alias("__k2")).agg(F.first("den").alias("__den"), F.first("nz").alias("__nz"))
-        out = out.join(gram, (F.col(contexts[d]) == F.col("__k")) & (F.col("word") == F.col("__w")), "left").join(known, F.col(contexts[d]) == F.col("__k2"), "left")
+        gram = suffixes[d].select(*by, F.col("context").alias(contexts[d]), "word", F.col("num").alias("__num"))
+        known = suffixes[d].groupBy(*by, F.col("context").alias(contexts[d])).agg(F.first("den").alias("__den"), F.first("nz").alias("__nz"))
+        out = out.join(gram, [*by, contexts[d], "word"], "left").join(known, [*by, contexts[d]], "left")
         seen = F.when(F.col("__num") > 0, (F.col("__num") - discount) / F.col("__den")).otherwise(0.0)
-        out = out.withColumn("p", F.when(F.col("__den").isNull(), F.col("p")).otherwise(seen + (F.col("__nz") * discount / F.col("__den")) * F.col("p"))).drop("__k", "__w", "__num", "__k2", "__den", "__nz")
-    return out.drop("__c", *contexts.values())
+        out = out.withColumn("p", F.when(F.col("__den").isNull(), F.col("p")).otherwise(seen + (F.col("__nz") * discount / F.col("__den")) * F.col("p"))).drop("__num", "__den", "__nz")
+    return out.select(*grams.columns, "p1", "p")
+
+
+def cross_validated(df: DataFrame, unit: str, n_folds: int, order: int = 3, tokens: str = "tokens") -> DataFrame:
+    """The n-grams (fold, at, context, word, p, p1) of all sentences of ``df(unit, tokens, ...)``, each scored by a model of the sentences of the other folds. Folds are contiguous over ``unit``; the
+    models are one table with a fold column, trained in one job."""
+    key = [c for c in df.columns if c != tokens]
+    folded = folds(df, unit, n_folds)
+    others = F.explode(F.filter(F.sequence(F.lit(0), F.lit(n_folds - 1)), lambda f: f != F.col("fold")))
+    model = train(folded.select(tokens, others.alias("fold")), order, tokens, by=("fold",))
+    return probabilities(ngrams(folded, order, tokens, [*key, "fold"]), model, order, by=("fold",))
+
+
+def conditional_divergence(p: DataFrame, q: DataFrame) -> DataFrame:
+    """D(p || q) in bits of the next word given the word before, from bigram counts (context, word, n) over the bigrams of both, weighted by p's contexts."""
+    both = p.select("context", "word", F.col("n").alias("np")).join(q.select("context", "word", F.col("n").alias("nq")), ["context", "word"])
+    sums = both.groupBy("context").agg(F.sum("np").alias("sp"), F.sum("nq").alias("sq"))
+    x, y = F.col("np") / F.col("sp"), F.col("nq") / F.col("sq")
+    each = both.join(sums, "context").groupBy("context").agg(F.sum(x * F.log2(x / y)).alias("bits"), F.first("sp").alias("sp"))
+    return each.agg(F.round(F.sum(F.col("bits") * F.col("sp")) / F.sum("sp"), 6).alias("kl_bits"), F.count(F.lit(1)).alias("n_contexts"))
 
 
 def partial_word_probability(p: Column, is_partial: Column, factor: float = 1e-5) -> Column:

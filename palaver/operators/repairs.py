@@ -88,24 +88,34 @@ def rename_repairs(df: DataFrame, tag: str = "tag", at: str = "idx") -> DataFram
     return out.withColumn(tag, F.concat(renamed, F.coalesce("__end", F.lit("")))).drop("__names", "__end")
 
 
-def to_incremental(df: DataFrame, tag: str = "gold", limit: int = MAX_BACK) -> DataFrame:
+#: What ``to_incremental`` can carry over from a tag beside its repairs: pattern of the atom, and what stands for none.
+CARRIED = {"uttseg": ("(<[ct]*/>)", ""), "dact": ('(<diact type="[^\\s"]*"/>)', ""), "laugh": ("(<speechLaugh/>|<laughter/>)", "<nolaughter/>")}
+
+
+def to_incremental(df: DataFrame, tag: str = "gold", limit: int = MAX_BACK, carry: tuple[str, ...] = ("uttseg",), count_edits: bool = True) -> DataFrame:
     """``df`` with ``inc``: tags that a left-to-right reader can give. A repair onset says how far back the reparandum starts (at most
-    ``limit``); the end says substitution or deletion, after the repair with the longest reparandum."""
+    ``limit``; without ``count_edits`` edit terms in between do not count); the end says substitution or deletion, after the repair with the longest reparandum. ``carry`` names what else is kept of a tag, in that order."""
+    edited = F.col(tag).contains("<e/>") | F.col(tag).contains("<i")
     spans = repair_spans(df, tag).filter("rms is not null and rps is not null").withColumn("back", F.least(F.col("rps") - F.col("rms"), F.lit(limit)))
+    if not count_edits:
+        plain = df.select(*UTT, "idx", F.sum((~edited).cast("int")).over(Window.partitionBy(*UTT).orderBy("idx").rowsBetween(Window.unboundedPreceding, -1)).alias("__plain"))
+        at = lambda c: plain.select(*UTT, F.col("idx").alias(c), F.coalesce("__plain", F.lit(0)).alias(f"__{c}"))
+        spans = spans.join(at("rms"), [*UTT, "rms"]).join(at("rps"), [*UTT, "rps"]).withColumn("back", F.least(F.col("__rps") - F.col("__rms"), F.lit(limit)).cast("int"))
     onsets = spans.groupBy(*UTT, F.col("rps").alias("idx")).agg(F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.struct("id", "back"))), lambda s: F.concat(F.lit("<rm-"), s["back"].cast("string"), F.lit("/>")))).alias("__onset"))
     ends = spans.filter("rpn is not null").groupBy(*UTT, F.col("rpn").alias("idx")).agg(F.max(F.struct("back", F.when(F.col("end_type") == "del", 0).otherwise(1).alias("sub"))).alias("__end"))
     out = df.join(onsets, [*UTT, "idx"], "left").join(ends, [*UTT, "idx"], "left")
-    edit = F.when(F.col(tag).contains("<e/>") | F.col(tag).contains("<i"), "<e/>").otherwise("")
     onset = F.coalesce(F.col("__onset"), F.lit(""))
     ended = F.col("__end").isNotNull()
-    body = F.concat(edit, onset, F.when((onset != "") & ~ended, "<rpMid/>").otherwise(""), F.when(ended, F.when(F.col("__end.sub") == 1, "<rpEndSub/>").otherwise("<rpEndDel/>")).otherwise(""))
-    return out.withColumn("inc", F.concat(F.when(body == "", "<f/>").otherwise(body), tag_functions.uttseg_atom(F.col(tag)))).drop("__onset", "__end")
+    body = F.concat(F.when(edited, "<e/>").otherwise(""), onset, F.when((onset != "") & ~ended, "<rpMid/>").otherwise(""), F.when(ended, F.when(F.col("__end.sub") == 1, "<rpEndSub/>").otherwise("<rpEndDel/>")).otherwise(""))
+    found = [F.regexp_extract(tag, pattern, 1) for pattern, _ in (CARRIED[c] for c in carry)]
+    kept = [F.when(f == "", none).otherwise(f) for f, (_, none) in zip(found, (CARRIED[c] for c in carry))]
+    return out.withColumn("inc", F.concat(F.when(body == "", "<f/>").otherwise(body), *kept)).drop("__onset", "__end")
 
 
-def eval_tags(tags: list[str], words: list[str], simple: bool = False) -> list[str]:
+def eval_tags(tags: list[str], words: list[str], simple: bool = False, base: int = 0) -> list[str]:
     """Left-to-right tags of one utterance as evaluation tags; the inverse of ``to_incremental`` where no reparandum was cut short.
 
-    Repairs are named after their onset. Words between onset and end are in the repair; an end closes every open repair.
+    Repairs are named after their onset, counted from ``base`` for the first word. Words between onset and end are in the repair; an end closes every open repair.
     """
     segment = [(re.search("<[ct]*/>", t) or [""])[0] for t in tags]
     edit = ["<e/>" in t or "<i/>" in t for t in tags]
@@ -118,25 +128,25 @@ def eval_tags(tags: list[str], words: list[str], simple: bool = False) -> list[s
             if not simple:
                 first = max(0, t - int(m[1]))
                 back[t] = first
-                out[first].insert(0, f'<rms id="{t}"/>')
+                out[first].insert(0, f'<rms id="{base + t}"/>')
                 between = t - 1
                 while between > first and edit[between]:
-                    out[between].insert(0, f'<i id="{t}"/>')
+                    out[between].insert(0, f'<i id="{base + t}"/>')
                     between -= 1
                 for b in range(first + 1, between + 1):
-                    out[b].insert(0, f'<rm id="{t}"/>')
+                    out[b].insert(0, f'<rm id="{base + t}"/>')
                 is_open.append(t)
-            out[t].append(f'<rps id="{t}"/>')
+            out[t].append(f'<rps id="{base + t}"/>')
         ending = "<rpEndDel/>" in tag or "<rpEndSub/>" in tag
         for r in list(is_open):
             if ending:
                 said = words[r : t + 1]
-                repaired = [words[b] for b in range(back[r], r) if f'<rms id="{r}"/>' in out[b] or f'<rm id="{r}"/>' in out[b]]
+                repaired = [words[b] for b in range(back[r], r) if f'<rms id="{base + r}"/>' in out[b] or f'<rm id="{base + r}"/>' in out[b]]
                 kind = "del" if "<rpEndDel/>" in tag else "rep" if repaired == said else "sub"
-                out[t].append(f'<rpn{kind} id="{r}"/>')
+                out[t].append(f'<rpn{kind} id="{base + r}"/>')
                 is_open.remove(r)
             elif t > r:
-                out[t].append(f'<rp id="{r}"/>')
+                out[t].append(f'<rp id="{base + r}"/>')
     return [("".join(o) or "<f/>") + s for o, s in zip(out, segment)]
 
 
@@ -179,3 +189,59 @@ def ends_off_edit_terms(df: DataFrame, tag: str = "tag") -> DataFrame:
     bare = F.when(plain, F.col(tag)).otherwise(F.regexp_replace(tag, '<rp[ns][a-z]* id="[0-9]+"/>', ""))
     joined = df.withColumn(tag, bare).join(moved, [*UTT, "idx"], "left")
     return joined.withColumn(tag, F.concat(F.when(F.col("__moved").isNull(), F.col(tag)).otherwise(F.regexp_replace(tag, "<f/>", "")), F.coalesce("__moved", F.lit("")))).drop("__moved")
+
+
+def retyped(df: DataFrame, tag: str = "tag") -> DataFrame:
+    """``df`` with every repair's end (not of deletions) named by what it is: a repetition if the repair's words are the reparandum's, else a substitution."""
+    wrong = repair_table(df, tag).filter("type <> 'del'").select(*UTT, F.col("id").cast("string").alias("id"), "type")
+    names = wrong.groupBy(*UTT).agg(F.map_from_entries(F.collect_list(F.struct("id", "type"))).alias("__types"))
+    atom_id = lambda a: F.regexp_extract(a, '^<rpn(?:rep|sub) id="([0-9]+)"/>$', 1)
+    named = lambda a: F.concat(F.lit("<rpn"), F.coalesce(F.element_at("__types", atom_id(a)), F.substring(a, 5, 3)), F.lit(' id="'), atom_id(a), F.lit('"/>'))
+    swapped = F.array_join(F.transform(tag_functions.atoms(F.col(tag)), lambda a: F.when(atom_id(a) == "", a).otherwise(named(a))), "")
+    return df.join(names, UTT, "left").withColumn(tag, F.when(F.col("__types").isNull(), F.col(tag)).otherwise(swapped)).drop("__types")
+
+
+def ends_for_open_repairs(df: DataFrame, tag: str = "tag") -> DataFrame:
+    """``df`` in which every repair without an end gets one, on its last word (the onset if it has no other): ``<rpnrep>`` if its words repeat the reparandum, else ``<rpnsub>``; the ``<rp>`` atom there goes."""
+    spans = repair_spans(df, tag).filter("rps is not null and rpn is null").select(*UTT, "id", F.coalesce("last_rp", "rps").alias("idx"))
+    kinds = spans.join(repair_table(df, tag).select(*UTT, "id", "type"), [*UTT, "id"])
+    at = kinds.groupBy(*UTT, "idx").agg(
+        F.concat_ws("", F.array_sort(F.collect_list(F.format_string('<rpn%s id="%d"/>', F.when(F.col("type") == "rep", "rep").otherwise("sub"), "id")))).alias("__ends"),
+        F.concat_ws("|", F.collect_list(F.col("id").cast("string"))).alias("__ids"),
+    )
+    out = df.join(at, [*UTT, "idx"], "left")
+    bare = F.regexp_replace(F.col(tag), F.concat(F.lit('<rp id="(?:'), F.coalesce("__ids", F.lit("x")), F.lit(')"/>')), F.lit(""))
+    atoms = F.regexp_extract(bare, "^(.*?)((?:<[ct]*/>)?)$", 1)
+    rest = F.regexp_extract(bare, "^(.*?)((?:<[ct]*/>)?)$", 2)
+    return out.withColumn(tag, F.when(F.col("__ends").isNull(), F.col(tag)).otherwise(F.concat(atoms, F.col("__ends"), rest))).drop("__ends", "__ids")
+
+
+def marked_interregna(df: DataFrame, tag: str = "tag") -> DataFrame:
+    """``df`` in which the edit terms in a run right before a repair onset are interregna of that repair (``<i id/>`` before ``<e/>``), if they are not yet."""
+    edited = F.col(tag).contains("<e")
+    back = Window.partitionBy(*UTT).orderBy(F.col("idx").desc()).rowsBetween(Window.unboundedPreceding, -1)
+    nearest = F.last(F.when(~edited, F.regexp_extract(tag, '<rps id="([0-9]+)"/>', 1)), ignorenulls=True).over(back)
+    ident = F.when(edited, nearest)
+    mark = F.concat(F.lit('<i id="'), ident, F.lit('"/>'))
+    return df.withColumn("__mark", mark).withColumn(tag, F.when((F.coalesce(ident, F.lit("")) != "") & ~F.col(tag).contains(F.col("__mark")), F.concat("__mark", tag)).otherwise(F.col(tag))).drop("__mark")
+
+
+def without_broken_repairs(df: DataFrame, tag: str = "tag") -> DataFrame:
+    """``df`` without the atoms of repairs that ``verify`` refuses; a word left without any is fluent."""
+    bad = verify(df, tag).filter("not ok").groupBy(*UTT).agg(F.collect_set(F.col("id").cast("string")).alias("__bad"))
+    ident = lambda a: F.regexp_extract(a, ' id="([0-9]+)"', 1)
+    kept = F.array_join(F.filter(tag_functions.atoms(F.col(tag)), lambda a: ~F.array_contains(F.col("__bad"), ident(a))), "")
+    plain = F.when(kept.rlike("^(<[ct]*/>)?$"), F.concat(F.lit("<f/>"), kept)).otherwise(kept)
+    return df.join(bad, UTT, "left").withColumn(tag, F.when(F.col("__bad").isNull(), F.col(tag)).otherwise(plain)).drop("__bad")
+
+
+def cross_turn_repairs(df: DataFrame, by: list[str], order: str, word: str = "word", reach: int = 1) -> DataFrame:
+    """Repairs over a turn boundary: a turn (``by`` and the turn number ``utt``) whose first word takes up the last word, or the last but one and so on up to ``reach`` words
+    back, of the same speaker's turn before. One row a repair: by, utt, back (words from that word to the end of its turn), word."""
+    last = Window.partitionBy(*by, "utt").orderBy(F.col(order).desc())
+    ends = df.withColumn("back", F.row_number().over(last)).filter(F.col("back") <= reach).select(*by, "utt", "back", F.col(word).alias("word"))
+    first = df.withColumn("__n", F.row_number().over(Window.partitionBy(*by, "utt").orderBy(order))).filter("__n = 1").select(*by, "utt", F.col(word).alias("word"))
+    before = Window.partitionBy(*by).orderBy("utt")
+    starts = first.withColumn("__before", F.lag("utt").over(before)).select(*by, F.col("utt").alias("utt"), F.col("__before"), "word")
+    hits = starts.join(ends.withColumnRenamed("utt", "__before"), [*by, "__before", "word"])
+    return hits.groupBy(*by, "utt", "word").agg(F.min("back").alias("back")).select(*by, "utt", "back", "word")

@@ -33,11 +33,6 @@ def last_n(value: str, by: list[str], order: list[str], n: int) -> Column:
     return F.collect_list(value).over(Window.partitionBy(*by).orderBy(*order).rowsBetween(-(n - 1), 0))
 
 
-def sliding_batches(value: str, by: list[str], order: list[str], size: int) -> Column:
-    """Growing, then sliding batches of values."""
-    return last_n(value, by, order, size)
-
-
 def timing_lags(start: str, by: list[str], order: list[str]) -> tuple[Column, Column, Column]:
     """Time since the previous word's start, and that value one and two words earlier (0 where there is none)."""
     w = Window.partitionBy(*by).orderBy(*order)
@@ -95,18 +90,24 @@ def folds(df: DataFrame, unit: str, n_folds: int) -> DataFrame:
     """Contiguous folds over the distinct values of ``unit``. The values are one column of one table, numbered by rank ranges: a
     range partitioning gives each value its global rank without sorting in one task."""
     values = df.select(unit).distinct()
-    total = values.count()
-    ranked = with_rank(values, unit)
-    return df.join(ranked.withColumn("fold", F.floor(F.col("rank") * n_folds / F.lit(max(1, total))).cast("int")).drop("rank"), unit)
+    total = values.agg(F.greatest(F.lit(1), F.count(F.lit(1))).alias("__total"))
+    numbered = with_rank(values, unit).crossJoin(F.broadcast(total)).withColumn("fold", F.floor(F.col("rank") * n_folds / F.col("__total")).cast("int")).drop("rank", "__total")
+    return df.join(numbered, unit)
 
 
-def with_rank(values: DataFrame, column: str) -> DataFrame:
-    """Global rank from 0 of the rows by ``column``: ranks within range partitions plus the sizes of the partitions before."""
+def running_total(values: DataFrame, column: str, weight: str, name: str) -> DataFrame:
+    """``values`` with the sum of ``weight`` over the rows before by ``column`` (distinct values): sums within range partitions plus the sums of the partitions before."""
     parts = values.repartitionByRange(column).withColumn("__part", F.spark_partition_id())
-    sizes = parts.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))
-    before = sizes.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__part", "__before")
-    inside = parts.withColumn("__in", F.row_number().over(Window.partitionBy("__part").orderBy(column)) - 1)
-    return inside.join(F.broadcast(before), "__part").withColumn("rank", (F.col("__before") + F.col("__in")).cast("long")).drop("__part", "__before", "__in")
+    sums = parts.groupBy("__part").agg(F.sum(weight).alias("__sum"))
+    before = sums.withColumn("__before_part", F.coalesce(F.sum("__sum").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).select("__part", "__before_part")
+    within = Window.partitionBy("__part").orderBy(column).rowsBetween(Window.unboundedPreceding, -1)
+    inside = parts.withColumn("__inside", F.coalesce(F.sum(weight).over(within), F.lit(0)))
+    return inside.join(F.broadcast(before), "__part").withColumn(name, (F.col("__before_part") + F.col("__inside")).cast("long")).drop("__part", "__before_part", "__inside")
+
+
+def with_rank(values: DataFrame, column: str) -> DataFrame:
+    """Global rank from 0 of the rows by ``column`` (distinct values)."""
+    return running_total(values.withColumn("__one", F.lit(1)), column, "__one", "rank").drop("__one")
 
 
 def fold_roles(fold: Column, n_folds: int, round_no: int) -> Column:
@@ -124,3 +125,15 @@ def distinct_within(df: DataFrame, by: list[str], order: list[str], fields: list
 def prefixes(items: Column) -> Column:
     """All prefixes of an array, shortest first."""
     return F.transform(F.sequence(F.lit(1), F.size(items)), lambda k: F.slice(items, 1, k))
+
+
+def seeded_order(df: DataFrame, key: str, seed: int, name: str = "place") -> DataFrame:
+    """``df`` with its rows' place in an order that depends on the seed and the key (distinct values) alone, so columns of one table, or tables of one key, are shuffled alike."""
+    mixed = df.withColumn("__mixed", F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(key).cast("string"))))
+    return with_rank(mixed, "__mixed").withColumnRenamed("rank", name).drop("__mixed")
+
+
+def filled_negatives(value: str, by: list[str], order: list[str], group: str) -> Column:
+    """``value``, or the mean of what its ``group`` had before (within ``by``; 0 if nothing) where it is negative."""
+    before = Window.partitionBy(*by, group).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    return F.when(F.col(value) < 0, F.coalesce(F.avg(F.when(F.col(value) >= 0, F.col(value))).over(before), F.lit(0.0))).otherwise(F.col(value).cast("double"))

@@ -74,13 +74,12 @@ def sent_logprob(spark: SparkSession, sf: str) -> DataFrame:
 
 def entropy_cont(spark: SparkSession, sf: str) -> DataFrame:
     model, _ = _model(spark, sf)
-    contexts = model.filter(F.col("order") == 3).groupBy("context").agg(F.max("nz").alias("nz")).filter("nz >= 5").select("context")
-    return lm.continuation_entropy(contexts, model)
+    return lm.continuation_entropy(model.filter(F.col("order") == 3).select("context"), model)
 
 
 def information_gain(spark: SparkSession, sf: str) -> DataFrame:
-    h = entropy_cont(spark, sf).filter("n_seen < 40")
-    return h.select("context", F.round(lm.information_gain(F.lit(3.0), F.col("entropy")), 6).alias("gain"), F.round(lm.partial_word_probability(F.col("seen_mass"), F.col("n_seen") % 2 == 0), 9).alias("partial"), F.round(lm.completion_probability(F.col("seen_mass")), 6).alias("completed"))
+    h = entropy_cont(spark, sf)
+    return h.select("context", F.round(lm.information_gain(F.lit(3.0), F.col("entropy")), 6).alias("gain"), F.round(lm.partial_word_probability(F.col("seen_mass"), F.col("n_seen") % 2 == 0), 9).alias("partial"), F.round(lm.completion_probability(F.col("seen_mass")), 9).alias("completed"))
 
 
 def kl_pair(spark: SparkSession, sf: str) -> DataFrame:
@@ -137,11 +136,8 @@ def training_filter(spark: SparkSession, sf: str) -> DataFrame:
     return tag_corpus(spark, sf).filter(F.col("line").contains("<r"))
 
 
-SHORT = 8
-
-
 def _emissions(spark: SparkSession, sf: str) -> DataFrame:
-    w = words(spark, sf).filter(F.col("idx") < SHORT)
+    w = words(spark, sf)
     score = lambda j: (-((F.length("word") * 7 + F.col("idx") * 3 + F.lit(j * 5)) % 11) / F.lit(2.0)).cast("double")
     return w.withColumn("e", F.array(*(score(j) for j in range(len(decoding.STATES)))))
 
@@ -171,7 +167,7 @@ def _length_tokens(w: DataFrame) -> DataFrame:
 
 
 def token_wer(spark: SparkSession, sf: str) -> DataFrame:
-    found = alignment.distances(_length_tokens(words(spark, sf).filter("idx < 40")), "ref", "hyp")
+    found = alignment.distances(_length_tokens(words(spark, sf)), "ref", "hyp")
     return found.select(*UTT, "distance", F.round("wer", 6).alias("wer"))
 
 
@@ -213,7 +209,7 @@ q AS (SELECT {keys}, coalesce(n1.num / (SELECT den FROM c1), 0) AS p1,
 prob AS (SELECT *, CASE WHEN den3 IS NULL THEN p2 ELSE CASE WHEN num3 > 0 THEN (num3 - 0.7) / den3 ELSE 0 END + (nz3 * 0.7 / den3) * p2 END AS p FROM q)"""
 )
 _TEST = _MODEL.replace("{keys}", "r.conv_id, r.utt, r.i - 1 AS \"at\"").replace("{rows}", "(SELECT * FROM g WHERE conv_id % 5 = 0)")
-_SEEN = _MODEL.replace("{keys}", "r.a || ' ' || r.b AS context").replace("{rows}", "(SELECT n3.* FROM n3 JOIN c3 USING (a, b) WHERE nz >= 5)")
+_SEEN = _MODEL.replace("{keys}", "r.a || ' ' || r.b AS context").replace("{rows}", "n3")
 _LP = ", lp AS (SELECT *, CASE WHEN p = 0 THEN 0 ELSE log2(p) END AS lp, CASE WHEN p1 = 0 THEN 0 ELSE log2(p1) END AS lp1 FROM prob)"
 _ENTROPY = ", h AS (SELECT context, sum(CASE WHEN p = 0 THEN 0 ELSE -p * log2(p) END) AS h, sum(p) AS mass, count(*) AS n, (SELECT nz FROM c1) AS v FROM prob GROUP BY 1), ent AS (SELECT context, round(h + CASE WHEN v - n > 0 AND 1 - mass > 0 THEN -(1 - mass) * log2((1 - mass) / (v - n)) ELSE 0 END, 6) AS entropy, round(mass, 6) AS seen_mass, n AS n_seen FROM h)"
 _INC = """, inc AS (SELECT *, CASE WHEN repair_len > 0 THEN '<rm-' || repair_len || '/>' || CASE WHEN repair_type = 'del' THEN '<rpEndDel/>' ELSE '<rpEndSub/>' END
@@ -224,27 +220,30 @@ tre AS (SELECT * FROM tr UNION ALL SELECT state, 'se' FROM (SELECT state, lead(s
 _ALLOWED = "(VALUES " + ", ".join(f"('{p}', '{n}')" for p, ns in decoding.MAY_FOLLOW.items() for n in ns) + ") m(prev, next)"
 
 
-def _viterbi_sql(end: bool) -> str:
-    n = len(decoding.STATES)
-    states = "(VALUES " + ", ".join(f"({j}, '{s}')" for j, s in enumerate(decoding.STATES)) + ") s(j, name)"
+def _viterbi_ctes() -> str:
+    """Viterbi columns of whole utterances: vit(conv_id, utt, idx, j, score, path)."""
     index = {s: j for j, s in enumerate(decoding.STATES)} | {"s": -1}
     weights = "(VALUES " + ", ".join(f"({index[p]}, {index[q]}, {w!r}::DOUBLE)" for (p, q), w in decoding.constraint_weights().items()) + ") t(i, j, w)"
-    allowed_end = "(" + ", ".join(str(j) for j, s in enumerate(decoding.STATES) if s.endswith("_t")) + ")"
-    final = f"AND j IN {allowed_end}" if end else ""
     return f"""WITH RECURSIVE {WORDS.strip()},
-e AS (SELECT conv_id, utt, idx, j, -((length(word) * 7 + idx * 3 + j * 5) % 11) / 2.0::DOUBLE AS e FROM words, (SELECT unnest(range({n})) AS j) WHERE idx < {SHORT}),
+e AS (SELECT conv_id, utt, idx, j, -((length(word) * 7 + idx * 3 + j * 5) % 11) / 2.0::DOUBLE AS e FROM words, (SELECT unnest(range({len(decoding.STATES)})) AS j)),
 tw AS (SELECT * FROM {weights}),
 vit AS (
   SELECT e.conv_id, e.utt, e.idx, e.j, tw.w + e.e AS score, CAST(e.j AS VARCHAR) AS path FROM e JOIN tw ON tw.i = -1 AND tw.j = e.j WHERE e.idx = 0
   UNION ALL
   SELECT conv_id, utt, idx, j, b.score, b.path || ',' || CAST(j AS VARCHAR) FROM (
     SELECT e.conv_id, e.utt, e.idx, e.j, max({{'score': v.score + tw.w + e.e, 'i': -v.j, 'path': v.path}}) AS b
-    FROM vit v JOIN tw ON tw.i = v.j JOIN e ON e.conv_id = v.conv_id AND e.utt = v.utt AND e.idx = v.idx + 1 AND e.j = tw.j GROUP BY 1, 2, 3, 4)),
+    FROM vit v JOIN tw ON tw.i = v.j JOIN e ON e.conv_id = v.conv_id AND e.utt = v.utt AND e.idx = v.idx + 1 AND e.j = tw.j GROUP BY 1, 2, 3, 4))"""
+
+
+def _viterbi_sql(end: bool) -> str:
+    allowed_end = "(" + ", ".join(str(j) for j, s in enumerate(decoding.STATES) if s.endswith("_t")) + ")"
+    final = f"AND j IN {allowed_end}" if end else ""
+    return f"""{_viterbi_ctes()},
 fin AS (SELECT conv_id, utt, max({{'score': score, 'j': -j, 'path': path}}) AS b FROM vit JOIN (SELECT conv_id, utt, max(idx) AS idx FROM e GROUP BY 1, 2) USING (conv_id, utt, idx) WHERE true {final} GROUP BY 1, 2)
 SELECT conv_id, utt, b.path AS path, round(b.score, 6) AS score FROM fin"""
 
 
-_REF = ", r AS (SELECT conv_id, utt, string_agg(chr(CAST(length(word) % 26 + 97 AS INTEGER)), '' ORDER BY idx) AS ref, coalesce(string_agg(CASE WHEN idx % 5 = 1 THEN 'z' ELSE chr(CAST(length(word) % 26 + 97 AS INTEGER)) END, '' ORDER BY idx) FILTER (WHERE idx % 7 <> 3), '') AS hyp FROM words WHERE idx < 40 GROUP BY 1, 2)"
+_REF = ", r AS (SELECT conv_id, utt, string_agg(chr(CAST(length(word) % 26 + 97 AS INTEGER)), '' ORDER BY idx) AS ref, coalesce(string_agg(CASE WHEN idx % 5 = 1 THEN 'z' ELSE chr(CAST(length(word) % 26 + 97 AS INTEGER)) END, '' ORDER BY idx) FILTER (WHERE idx % 7 <> 3), '') AS hyp FROM words GROUP BY 1, 2)"
 
 ORACLES = {
     "vocab_min_count": sql(WORDS, "SELECT word, count(*) AS n FROM words GROUP BY 1 HAVING count(*) >= 3"),
@@ -262,7 +261,7 @@ ORACLES = {
   round(CASE WHEN sum(lp1) = 0 THEN 0 ELSE sum(lp) / -sum(lp1) END, 6) AS wml, round(min(CASE WHEN lp1 = 0 THEN 0 ELSE lp / -lp1 END), 6) AS min_ratio, round(max(CASE WHEN lp1 = 0 THEN 0 ELSE lp / -lp1 END), 6) AS max_ratio, round(list_aggregate(list_sort(list(lp))[1:3], 'avg'), 6) AS mean_of_smallest FROM lp GROUP BY 1, 2""",
     ),
     "entropy_cont": sql(_SEEN + _ENTROPY, "SELECT * FROM ent"),
-    "information_gain": sql(_SEEN + _ENTROPY, "SELECT context, round(CASE WHEN entropy > 0 THEN log2(3.0 / entropy) ELSE 0 END, 6) AS gain, round(CASE WHEN n_seen % 2 = 0 THEN seen_mass * 1e-5 ELSE seen_mass END, 9) AS partial, round(seen_mass * 0.075, 6) AS completed FROM ent WHERE n_seen < 40"),
+    "information_gain": sql(_SEEN + _ENTROPY, "SELECT context, round(CASE WHEN entropy > 0 THEN log2(3.0 / entropy) ELSE 0 END, 6) AS gain, round(CASE WHEN n_seen % 2 = 0 THEN seen_mass * 1e-5 ELSE seen_mass END, 9) AS partial, round(seen_mass * 0.075, 9) AS completed FROM ent"),
     "kl_pair": sql(
         WORDS,
         """, p AS (SELECT word, count(*) AS n FROM words WHERE speaker = 'user' GROUP BY 1), q AS (SELECT word, count(*) AS n FROM words WHERE speaker = 'assistant' GROUP BY 1),
@@ -282,7 +281,36 @@ SELECT CASE WHEN regexp_matches(state, '(^|_)e(_|$)') AND coalesce(contains(nxt,
     "transition_matrix": sql(TAGGED + _INC, "SELECT prev, " + ", ".join(f"nullif(count(*) FILTER (WHERE next = '{s}'), 0) AS {s}" for s in decoding.STATES) + " FROM tr GROUP BY 1"),
     "viterbi_short": _viterbi_sql(False),
     "viterbi_with_end": _viterbi_sql(True),
-    "argmax_labels": sql(WORDS, f", e AS (SELECT conv_id, utt, idx, j, (length(word) * 7 + idx * 3 + j * 5) % 11 AS e FROM words, (SELECT unnest(range({len(decoding.STATES)})) AS j) WHERE idx < {SHORT}) SELECT conv_id, utt, idx, CAST(min({{'e': e, 'j': j}}).j AS INTEGER) AS label_idx FROM e GROUP BY 1, 2, 3"),
+    "argmax_labels": sql(WORDS, f", e AS (SELECT conv_id, utt, idx, j, (length(word) * 7 + idx * 3 + j * 5) % 11 AS e FROM words, (SELECT unnest(range({len(decoding.STATES)})) AS j)) SELECT conv_id, utt, idx, CAST(min({{'e': e, 'j': j}}).j AS INTEGER) AS label_idx FROM e GROUP BY 1, 2, 3"),
     "token_wer": sql(WORDS, _REF + " SELECT conv_id, utt, CAST(levenshtein(ref, hyp) AS INTEGER) AS distance, round(100.0 * levenshtein(ref, hyp) / length(ref), 6) AS wer FROM r"),
 }
+ORACLES["excision_features"] = sql(
+    _MODEL.replace("{keys}", "r.conv_id, r.utt, r.idx, r.k")
+    .replace("{rows}", "ex")
+    .replace(
+        "\nq AS (",
+        """
+ex AS (SELECT w.conv_id, w.utt, w.idx, k, coalesce(x.word, '<s>') AS a, coalesce(y.word, '<s>') AS b, w.word AS c FROM words w JOIN (SELECT unnest(range(9)) AS k) ON k <= w.idx
+  LEFT JOIN words x ON x.conv_id = w.conv_id AND x.utt = w.utt AND x.idx = w.idx - k - 2 LEFT JOIN words y ON y.conv_id = w.conv_id AND y.utt = w.utt AND y.idx = w.idx - k - 1 WHERE w.speaker = 'user'),
+q AS (""",
+    ),
+    ", lp AS (SELECT *, CASE WHEN p = 0 THEN 0 ELSE log2(p) END AS lp FROM prob) SELECT conv_id, utt, idx, round(max(lp) FILTER (WHERE k > 0) - max(lp) FILTER (WHERE k = 0), 6) AS boost FROM lp GROUP BY 1, 2, 3",
+)
+ORACLES["source_scores"] = sql(
+    _MODEL.replace(WORDS, TAGGED + _INC)
+    .replace("{keys}", "r.conv_id, r.utt, r.last")
+    .replace("{rows}", "gr")
+    .replace(
+        "\nq AS (",
+        """
+ft AS (SELECT conv_id, utt, idx, coalesce(n1.c, '<unk>') AS word, inc, contains(inc, '<e') OR contains(inc, '<i') AS ed, CAST(nullif(regexp_extract(inc, '<rm-([0-9]+)/>', 1), '') AS INTEGER) AS reach FROM inc LEFT JOIN n1 ON n1.c = inc.word),
+fu AS (SELECT *, CASE WHEN ed OR EXISTS (SELECT 1 FROM ft o WHERE o.conv_id = ft.conv_id AND o.utt = ft.utt AND o.idx > ft.idx AND NOT o.ed AND o.idx - o.reach <= ft.idx) THEN '<e/>' WHEN reach IS NULL AND contains(inc, '<t') THEN '<s/>' ELSE '<f/>' END AS tag FROM ft),
+sg AS (SELECT *, tag = '<s/>' AND idx > 0 AS beg, sum(CASE WHEN tag = '<s/>' AND idx > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, utt ORDER BY idx) AS seg, idx = max(idx) OVER (PARTITION BY conv_id, utt) AS last FROM fu),
+sp AS (SELECT conv_id, utt, seg, idx, 1 AS kind, word AS c, last FROM sg WHERE tag <> '<e/>' UNION ALL SELECT conv_id, utt, seg - 1, idx, 0, '</s>', last FROM sg WHERE beg),
+gr AS (SELECT *, coalesce(lag(c, 2) OVER w, '<s>') AS a, coalesce(lag(c, 1) OVER w, '<s>') AS b FROM sp WINDOW w AS (PARTITION BY conv_id, utt, seg ORDER BY idx, kind)),
+q AS (""",
+    ),
+    """, lp AS (SELECT conv_id, utt, last, CASE WHEN p > 0 THEN log2(p) ELSE CAST('-Infinity' AS DOUBLE) END AS lp FROM prob UNION ALL SELECT conv_id, utt, last, log2(0.01) FROM sg WHERE tag = '<e/>')
+SELECT conv_id, utt, round(sum(lp), 6) AS source_score, round(CASE WHEN sum(lp) FILTER (WHERE last) = 0 THEN log2(0.01) ELSE sum(lp) FILTER (WHERE last) END, 6) AS last_gain FROM lp GROUP BY 1, 2""",
+)
 ORACLES = {k: v.replace("\n, ", ",\n", 1) if v.startswith("WITH") else v for k, v in ORACLES.items()}

@@ -149,7 +149,7 @@ def near_repeats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def prefix_counts(spark: SparkSession, sf: str) -> DataFrame:
-    line = words(spark, sf).filter("idx < 6").groupBy("conv_id", "utt").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "word"))), lambda s: s["word"]).alias("line"))
+    line = words(spark, sf).groupBy("conv_id", "utt").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "word"))), lambda s: s["word"]).alias("line"))
     return line.select(F.explode(seq.prefixes(F.col("line"))).alias("p")).groupBy(F.concat_ws(" ", "p").alias("prefix")).agg(F.count(F.lit(1)).alias("n_prefixes"))
 
 
@@ -326,7 +326,7 @@ SELECT conv_id, role, merged, min(turn) AS first_turn, count(*) AS n_turns, CAST
     "folds": f"WITH r AS ({_RANK}), f AS (SELECT conv_id, CAST(rank * 10 // total AS INTEGER) AS fold FROM r) SELECT conv_id, fold, CASE fold WHEN 3 THEN 'test' WHEN 4 THEN 'heldout' ELSE 'train' END AS role, count(*) AS n_turns FROM conversations JOIN f USING (conv_id) GROUP BY 1, 2, 3",
     "split_by_dialogue": f"WITH r AS ({_RANK}) SELECT CASE WHEN rank < 60 THEN 'train' WHEN rank < 80 THEN 'heldout' ELSE 'test' END AS part, count(*) AS n_turns, count(DISTINCT conv_id) AS n_dialogues FROM conversations JOIN r USING (conv_id) GROUP BY 1",
     "near_repeats": "SELECT user_id, count(*) AS n_events FROM (SELECT user_id, event_type, lag(event_type, 1) OVER w AS a, lag(event_type, 2) OVER w AS b, lag(event_type, 3) OVER w AS c FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id)) WHERE event_type IS DISTINCT FROM a AND event_type IS DISTINCT FROM b AND event_type IS DISTINCT FROM c GROUP BY 1",
-    "prefix_counts": sql(WORDS, "SELECT string_agg(b.word, ' ' ORDER BY b.idx) AS prefix FROM words a JOIN words b ON a.conv_id = b.conv_id AND a.utt = b.utt AND b.idx <= a.idx WHERE a.idx < 6 GROUP BY a.conv_id, a.utt, a.idx").replace("SELECT string_agg", "SELECT prefix, count(*) AS n_prefixes FROM (SELECT string_agg") + ") GROUP BY 1",
+    "prefix_counts": sql(WORDS, "SELECT string_agg(b.word, ' ' ORDER BY b.idx) AS prefix FROM words a JOIN words b ON a.conv_id = b.conv_id AND a.utt = b.utt AND b.idx <= a.idx GROUP BY a.conv_id, a.utt, a.idx").replace("SELECT string_agg", "SELECT prefix, count(*) AS n_prefixes FROM (SELECT string_agg") + ") GROUP BY 1",
     "fake_timings": sql(WORDS, "SELECT conv_id, speaker, pos, pos AS start_s, pos + 1 AS end_s FROM words"),
     "interval_overlap": sql(WORDS + _HYP, "SELECT l.conv_id, l.speaker, l.pos AS l_pos, r.pos AS r_pos, greatest(l.start_ms, r.start_ms) AS overlap_start, least(l.end_ms, r.end_ms) AS overlap_end FROM words l JOIN hyp r ON l.conv_id = r.conv_id AND l.speaker = r.speaker AND r.end_ms > l.start_ms AND r.start_ms < l.end_ms"),
     "containment": sql(WORDS + _HYP, "SELECT l.conv_id, l.speaker, count(*) AS n_contained FROM words l JOIN hyp r ON l.conv_id = r.conv_id AND l.speaker = r.speaker AND l.start_ms >= r.start_ms AND l.end_ms <= r.end_ms GROUP BY 1, 2"),
@@ -349,4 +349,12 @@ SELECT conv_id, pos, round(avg(value), 6) AS mean_value, count(value) AS n_point
     "previous_boundary": sql(TAGGED, "SELECT conv_id, speaker, pos, max(CASE WHEN contains(gold, 't/>') THEN end_ms END) OVER (PARTITION BY conv_id, speaker ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_boundary_ms FROM tagged"),
     "config_grid": "SELECT e AS experiment, t AS timing, count(DISTINCT conv_id) AS n_runs FROM conversations, (VALUES (33, true), (33, false), (35, true)) g(e, t) GROUP BY 1, 2",
 }
+ORACLES["corpus_fixups"] = sql(
+    TAGGED,
+    """, t AS (SELECT conv_id, utt, speaker, idx, CASE WHEN pos % 23 = 0 THEN word || '-' ELSE word END AS word, CASE WHEN pos % 7 = 0 THEN '<e/>' || gold ELSE gold END AS tag FROM tagged),
+m AS (SELECT *, min(CASE WHEN NOT contains(tag, '<e') THEN idx END) OVER (PARTITION BY conv_id, utt ORDER BY idx DESC) AS behind FROM t),
+o AS (SELECT DISTINCT conv_id, utt, behind AS idx FROM m WHERE contains(tag, '<e') AND contains(tag, '<rps') AND behind IS NOT NULL),
+k AS (SELECT m.speaker, row_number() OVER (PARTITION BY m.conv_id, m.utt ORDER BY m.idx) - 1 AS nth, (NOT contains(tag, '<e') AND contains(tag, '<rps')) OR o.idx IS NOT NULL AS onset FROM m LEFT JOIN o ON o.conv_id = m.conv_id AND o.utt = m.utt AND o.idx = m.idx WHERE NOT ends_with(word, '-'))
+SELECT speaker, count(*) AS n_words, count(*) FILTER (WHERE onset) AS n_onset_words, CAST(max(nth) AS INTEGER) AS max_idx FROM k GROUP BY 1""",
+)
 ORACLES = {k: v.replace("\n, ", ",\n", 1) if v.startswith("WITH") else v for k, v in ORACLES.items()}

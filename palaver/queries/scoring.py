@@ -99,13 +99,12 @@ def metric_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def percentile_nist(spark: SparkSession, sf: str) -> DataFrame:
-    values = words(spark, sf).groupBy("speaker").agg(F.array_sort(F.collect_list(F.length("word"))).alias("v"))
-    return values.select("speaker", *(F.round(numbers.nist_percentile(F.col("v"), F.lit(p)), 6).alias(f"p{int(p)}") for p in (0.0, 10.0, 50.0, 99.9)))
+    return ev.percentiles(words(spark, sf).select("speaker", F.length("word").alias("length")), ["speaker"], "length", (0.0, 10.0, 50.0, 99.9))
 
 
 def evaluation_report(spark: SparkSession, sf: str) -> DataFrame:
     """All scores of a run in one long table."""
-    return plan.evaluate(tagged(spark, sf), LINE, ["conv_id", "utt"]).filter("metric in ('nist_su', 'dser', 'word_f1')")
+    return plan.evaluate(tagged(spark, sf), LINE, ["conv_id", "utt"])
 
 
 def error_rates_by_channel(spark: SparkSession, sf: str) -> DataFrame:
@@ -167,10 +166,28 @@ def edit_overhead(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def time_to_detection(spark: SparkSession, sf: str) -> DataFrame:
-    gold = tagged(spark, sf).filter("speaker = 'user'").select(*LINE, "pos", "end_ms", F.col("gold").alias("tag"))
+    gold = tagged(spark, sf).filter("speaker = 'user'").select(*LINE, "pos", "start_ms", "end_ms", F.col("gold").alias("tag"))
     return ev.time_to_detection(_log(spark, sf), gold, LINE, "<rps")
 
 
+def detection_of_all(spark: SparkSession, sf: str) -> DataFrame:
+    """Every time that an onset was written right, the onset's own word counted."""
+    gold = tagged(spark, sf).filter("speaker = 'user'").select(*LINE, "pos", "start_ms", "end_ms", F.col("gold").alias("tag"))
+    return ev.time_to_detection(_log(spark, sf), gold, LINE, "<rps", first=False, onset=True)
+
+
+def precision_by_type(spark: SparkSession, sf: str) -> DataFrame:
+    """The reference's repairs as if they were hypotheses of the other side."""
+    t = tagged(spark, sf)
+    found = t.filter(F.col("gold").contains("<rps")).select("conv_id", "utt", "idx", F.col("repair_type").alias("type"), F.col("repair_len").alias("length"))
+    return ev.precision_by_type(found, t.filter(F.col("hyp").contains("<rps") & (F.col("idx") % 3 != 0)), ["conv_id", "utt", "idx"])
+
+
+def segment_error_rate(spark: SparkSession, sf: str) -> DataFrame:
+    found = ev.segment_error_rate(tagged(spark, sf), LINE, "pos")
+    return found.select(*LINE, "distance", F.round("wer", 6).alias("wer"))
+
+
 def first_block(spark: SparkSession, sf: str) -> DataFrame:
     """The first update of each log, as the final-output reader takes it."""
     log = _log(spark, sf)
@@ -182,7 +199,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         prf_word, prf_by_speaker, prf_combined, prf_rms_generous, relaxed_utt, relaxed_10s, prf_interval, boundary_errors, speaker_rates, rate_correlation, error_by_type, tag_distribution, confusion_top20, classification_report, report_averages, results_table, metric_rollup,
-        percentile_nist, evaluation_report, error_rates_by_channel, log_conventions, corpus_statistics, repair_positions, words_per_speaker_join, simulate_increco, final_from_increco, edit_overhead, time_to_detection, first_block,
+        percentile_nist, evaluation_report, error_rates_by_channel, log_conventions, corpus_statistics, repair_positions, words_per_speaker_join, simulate_increco, final_from_increco, edit_overhead, time_to_detection, detection_of_all, precision_by_type, segment_error_rate, first_block,
     )
 }
 
@@ -264,16 +281,25 @@ SELECT round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman, coun
     "edit_overhead": sql(TAGGED + _LOGS, "SELECT conv_id, edits, final_words, round(100 * (edits / final_words - 1), 6) AS overhead FROM (SELECT conv_id, count(*) AS edits FROM log GROUP BY 1) JOIN (SELECT conv_id, count(*) AS final_words FROM fin GROUP BY 1) USING (conv_id)"),
     "time_to_detection": sql(
         TAGGED + _LOGS,
-        """, d AS (SELECT l.conv_id, l.pos, arg_min(l.n_words - l.pos - 1, l.update_no) AS words, arg_min(l.update_ms - u.end_ms, l.update_no) AS ms FROM log l JOIN u ON u.conv_id = l.conv_id AND u.pos = l.pos WHERE contains(u.gold, '<rps') AND contains(l.tag, '<rps') GROUP BY 1, 2)
-SELECT round(avg(words), 6) AS words, round(avg(ms), 6) AS ms, count(*) AS n_detected FROM d""",
+        """, d AS (SELECT l.conv_id, l.pos, arg_min(l.n_words - l.pos - 1, l.update_no) AS words, arg_min(l.update_ms - u.end_ms, l.update_no) AS ms, arg_min(l.update_ms - u.start_ms, l.update_no) AS ms2 FROM log l JOIN u ON u.conv_id = l.conv_id AND u.pos = l.pos WHERE contains(u.gold, '<rps') AND contains(l.tag, '<rps') GROUP BY 1, 2)
+SELECT round(avg(words), 6) AS words, round(avg(ms), 6) AS ms, round(avg(ms2), 6) AS ms_from_start, count(*) AS n_detected FROM d""",
     ),
+    "detection_of_all": sql(
+        TAGGED + _LOGS,
+        "SELECT round(avg(l.n_words - l.pos), 6) AS words, round(avg(l.update_ms - u.end_ms), 6) AS ms, round(avg(l.update_ms - u.start_ms), 6) AS ms_from_start, count(*) AS n_detected FROM log l JOIN u ON u.conv_id = l.conv_id AND u.pos = l.pos WHERE contains(u.gold, '<rps') AND contains(l.tag, '<rps')",
+    ),
+    "precision_by_type": sql(TAGGED, "SELECT repair_type AS type, repair_len AS length, count(*) AS n_hyp, count(*) FILTER (WHERE contains(hyp, '<rps') AND idx % 3 <> 0) AS n_right, round(count(*) FILTER (WHERE contains(hyp, '<rps') AND idx % 3 <> 0) / count(*), 6) AS precision FROM tagged WHERE contains(gold, '<rps') GROUP BY 1, 2"),
+    "segment_error_rate": sql(TAGGED, "SELECT conv_id, speaker, CAST(levenshtein(g, h) AS INTEGER) AS distance, round(100.0 * levenshtein(g, h) / length(g), 6) AS wer FROM (SELECT conv_id, speaker, string_agg(CASE WHEN contains(gold, 't/>') THEN 't' ELSE 'c' END, '' ORDER BY pos) AS g, string_agg(CASE WHEN contains(hyp, 't/>') THEN 't' ELSE 'c' END, '' ORDER BY pos) AS h FROM tagged GROUP BY 1, 2)"),
     "first_block": sql(TAGGED + _LOGS, "SELECT conv_id, pos, word, start_ms FROM log WHERE update_no = 0"),
 }
-ORACLES["evaluation_report"] = (
-    ORACLES["boundary_errors"].replace("\nSELECT *, round(", ",\nbe AS (SELECT *, round(").replace(" AS dser FROM z", " AS dser FROM z)")
-    + f"""
-SELECT 'nist_su' AS metric, '' AS tag, CAST(nist_su AS DOUBLE) AS value FROM be UNION ALL SELECT 'dser', '', CAST(dser AS DOUBLE) FROM be
-UNION ALL SELECT 'word_f1', tag, CAST(f1 AS DOUBLE) FROM (SELECT tag, {_PRF} FROM ({_ALL}))
-UNION ALL SELECT 'word_f1', tag, CAST(f1 AS DOUBLE) FROM (SELECT '<rm.<i.<rp' AS tag, {_PRF} FROM (SELECT sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM ({_ALL}) WHERE tag IN ('<rm', '<i', '<rp')))"""
-)
 ORACLES = {k: v.replace("\n, ", ",\n", 1) if v.startswith("WITH") else v for k, v in ORACLES.items()}
+
+
+def _long(query: str, prefix: str, columns: tuple[str, ...], tag: str = "''") -> list[str]:
+    return [f"SELECT '{prefix}{c}' AS metric, {tag} AS tag, CAST({c} AS DOUBLE) AS value FROM ({ORACLES[query]})" for c in columns]
+
+
+_SCORES = ("precision", "recall", "f1")
+ORACLES["evaluation_report"] = "\nUNION ALL ".join(
+    _long("prf_word", "word_", _SCORES, "tag") + _long("prf_combined", "word_", _SCORES, "tag") + _long("relaxed_utt", "utterance_", _SCORES) + _long("relaxed_10s", "window_", _SCORES) + _long("boundary_errors", "", ("nist_su", "dser")) + _long("rate_correlation", "", ("pearson", "spearman"))
+)

@@ -25,7 +25,7 @@ def _in_file() -> Window:
 
 
 def _header(prefix: str) -> Column:
-    return F.when(F.col("value").startswith(prefix), F.trim(F.substring("value", len(prefix) + 1, 10_000)))
+    return F.when(F.col("value").startswith(prefix), F.trim(F.substring(F.col("value"), F.lit(len(prefix) + 1), F.length("value"))))
 
 
 def _fields(*names: tuple[str, str]) -> list[Column]:
@@ -262,3 +262,44 @@ def spelling_rules(spark: SparkSession, path: str) -> tuple[tuple[str, str], ...
     """(pattern, form) rules, in order; a small resource that becomes part of the plan."""
     lines = numbered_lines(spark, path).filter(F.col("value").contains("\t")).orderBy("file", "block", "line_id")
     return tuple(tuple(r["value"].split("\t")[:2]) for r in lines.collect())
+
+
+def language_model_lines(spark: SparkSession, path: str, conversations: DataFrame) -> DataFrame:
+    """conv, utt and line of the word lines (``conv:caller:utt:act,words``) of a clean corpus, for the rows of ``conversations(conv)`` only."""
+    lines = spark.read.text(path).select(F.regexp_extract("value", "^([^:,]+):[^:,]*:([0-9]+)(?::[^,]*)?,(.*)$", 0).alias("all"), *(F.regexp_extract("value", "^([^:,]+):[^:,]*:([0-9]+)(?::[^,]*)?,(.*)$", i).alias(n) for i, n in ((1, "conv"), (2, "utt"), (3, "line"))))
+    return lines.filter("all <> ''").select("conv", F.col("utt").cast("int").alias("utt"), "line").join(conversations.select("conv").distinct(), "conv", "left_semi")
+
+
+PARTS = ("train", "heldout", "test")
+
+
+def with_previous_word(rows: DataFrame, by: list[str], order: list[str], least_s: float = 0.01) -> DataFrame:
+    """``rows(word, start, end)`` with ``previous_word`` (empty at the start). A first word of no length begins ``least_s`` before its end."""
+    along = Window.partitionBy(*by).orderBy(*order)
+    first = F.row_number().over(along) == 1
+    fixed = F.when(first & (F.col("end") <= F.col("start")), F.greatest(F.lit(0.0), F.col("end") - F.lit(least_s))).otherwise(F.col("start"))
+    return rows.withColumn("previous_word", F.coalesce(F.lag("word").over(along), F.lit(""))).withColumn("start", fixed)
+
+
+def trio(spark: SparkSession, paths: dict[str, str], vocabulary: DataFrame) -> DataFrame:
+    """The timed corpora of several parts in one table with ``part``, words paired with the one before and encoded with ``vocabulary(idx, token)``."""
+    from palaver.operators.joins import lookup
+
+    out = None
+    for part, path in paths.items():
+        rows = with_previous_word(timed_corpus(spark, path, limit=False), ["speaker"], ["pos"]).withColumn("part", F.lit(part))
+        out = rows if out is None else out.unionByName(rows)
+    return lookup(out, vocabulary, "word")
+
+
+def node_map(spark: SparkSession, path: str) -> DataFrame:
+    """utt_ref and nodes (an array, null where a word has none) from lines ``utt_ref<TAB>node node -``."""
+    parts = F.split("value", "\t")
+    nodes = F.transform(F.filter(F.split(F.get(parts, F.lit(1)), " "), lambda n: n != ""), lambda n: F.when(n != "-", n))
+    return spark.read.text(path).filter("value <> ''").select(F.get(parts, F.lit(0)).alias("utt_ref"), nodes.alias("nodes"))
+
+
+def with_node_map(utterances: DataFrame, nodes: DataFrame, length: str) -> DataFrame:
+    """``utterances(utt_ref, ...)`` with their ``nodes``; null where there is no map or its length is not the utterance's."""
+    found = utterances.join(nodes.select("utt_ref", "nodes"), "utt_ref", "left")
+    return found.withColumn("nodes", F.when(F.size("nodes") == F.col(length), F.col("nodes")))
