@@ -44,16 +44,15 @@ def grouped_tags(counts: DataFrame, groups: dict[str, tuple[str, ...]] = GROUPS)
     return counts.join(F.broadcast(named), F.col("tag") == F.col("member")).groupBy(F.col("group").alias("tag")).agg(*(F.sum(c).alias(c) for c in ("tp", "fp", "fn")))
 
 
-def reparandum_matches(gold: DataFrame, hyp: DataFrame, at: list[str]) -> DataFrame:
+def reparandum_matches(repairs: DataFrame, at: list[str], gold: str = "gold") -> DataFrame:
     """tp, fp, fn of repairs that begin at the same word with equal reparandum words; each hypothesis is used once.
 
-    ``gold`` and ``hyp``: ``at`` columns and ``reparandum``, several rows a word allowed.
+    ``repairs``: side (``gold`` or another), ``at`` columns and ``reparandum``, several rows a word allowed.
     """
-    number = lambda df: df.withColumn("nth", F.row_number().over(Window.partitionBy(*at, "reparandum").orderBy("reparandum")))
-    g, h = number(gold).withColumn("g", F.lit(1)), number(hyp).withColumn("h", F.lit(1))
-    both = g.join(h, [*at, "reparandum", "nth"], "full")
-    one = lambda c: F.coalesce(F.sum(c.cast("long")), F.lit(0).cast("long"))
-    return both.agg(one(F.col("g").isNotNull() & F.col("h").isNotNull()).alias("tp"), one(F.col("g").isNull()).alias("fp"), one(F.col("h").isNull()).alias("fn"))
+    n = repairs.groupBy(*at, "reparandum").agg(F.sum((F.col("side") == gold).cast("long")).alias("g"), F.sum((F.col("side") != gold).cast("long")).alias("h"))
+    one = lambda c: F.coalesce(F.sum(c), F.lit(0)).cast("long")
+    both = F.least("g", "h")
+    return n.agg(one(both).alias("tp"), one(F.col("h") - both).alias("fp"), one(F.col("g") - both).alias("fn"))
 
 
 def _relaxed(df: DataFrame, unit: list[str], tag: str, gold: str, hyp: str) -> DataFrame:

@@ -7,6 +7,8 @@ count and then one over ever smaller tables.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -87,13 +89,13 @@ def probabilities(grams: DataFrame, model: DataFrame, order: int = 3, discount:
     return out.select(*grams.columns, "p1", "p")
 
 
-def cross_validated(df: DataFrame, unit: str, n_folds: int, order: int = 3, tokens: str = "tokens") -> DataFrame:
+def cross_validated(df: DataFrame, unit: str, n_folds: int, order: int = 3, tokens: str = "tokens", keep: Callable[[DataFrame], DataFrame] = lambda model: model) -> DataFrame:
     """The n-grams (fold, at, context, word, p, p1) of all sentences of ``df(unit, tokens, ...)``, each scored by a model of the sentences of the other folds. Folds are contiguous over ``unit``; the
-    models are one table with a fold column, trained in one job."""
+    models are one table with a fold column, trained in one job; ``keep`` may write it out, for it is read several times."""
     key = [c for c in df.columns if c != tokens]
     folded = folds(df, unit, n_folds)
     others = F.explode(F.filter(F.sequence(F.lit(0), F.lit(n_folds - 1)), lambda f: f != F.col("fold")))
-    model = train(folded.select(tokens, others.alias("fold")), order, tokens, by=("fold",))
+    model = keep(train(folded.select(tokens, others.alias("fold")), order, tokens, by=("fold",)))
     return probabilities(ngrams(folded, order, tokens, [*key, "fold"]), model, order, by=("fold",))
 
 

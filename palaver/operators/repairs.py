@@ -69,6 +69,17 @@ def repair_table(df: DataFrame, tag: str = "tag", context: int = 10) -> DataFram
     return rows.filter("start is not null").join(lines, UTT).select(*UTT, "id", "start", "reparandum", "interregnum", "repair", kind_of.alias("type"), F.concat_ws(" ", before).alias("left_context"), F.concat_ws(" ", after).alias("right_context"))
 
 
+def reparanda(df: DataFrame, tags: list[str]) -> DataFrame:
+    """side (the name of the tag column), conv_id, utt, idx (the first word) and the words of the reparandum of every repair with an onset, of several taggings in one pass."""
+    atom = '<(rms|rm|rps) id="([0-9]+)"/>'
+    sides = F.explode(F.array(*(F.struct(F.lit(t).alias("side"), F.regexp_extract_all(F.col(t), F.lit(atom), F.lit(0)).alias("atoms")) for t in tags)))
+    each = df.select(*UTT, "idx", "word", sides.alias("s")).select(*UTT, "idx", "word", "s.side", F.explode("s.atoms").alias("atom"))
+    kind, ident = F.regexp_extract("atom", atom, 1), F.regexp_extract("atom", atom, 2)
+    said = F.transform(F.array_sort(F.collect_set(F.when(kind != "rps", F.struct("idx", "word")))), lambda w: w["word"])
+    whole = each.groupBy("side", *UTT, ident.alias("id")).agg(F.min(F.when(kind == "rms", F.col("idx"))).alias("rms"), F.max((kind == "rps").cast("int")).alias("onset"), F.concat_ws(" ", said).alias("reparandum"))
+    return whole.filter("onset = 1 and rms is not null").select("side", *UTT, F.col("rms").alias("idx"), "reparandum")
+
+
 def _replace_ids(tag: Column, new: Column) -> Column:
     """Atoms of ``tag`` with ids looked up in the map ``new`` (string to string); ids that it lacks stay."""
     id_of = lambda a: F.regexp_extract(a, 'id="([0-9]+)"', 1)

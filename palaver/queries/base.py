@@ -38,25 +38,32 @@ def folder(spark: SparkSession, name: str) -> str:
     return f"{base}/{name}-{uuid.uuid4().hex}"
 
 
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once to a folder that all executors share and read back, for tables that a query reads several times."""
+    at = folder(df.sparkSession, name)
+    df.write.parquet(at)
+    return df.sparkSession.read.parquet(at)
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conv_id, speaker, utt, idx, n (words in the utterance), pos (place within conversation and speaker), word, start_ms, end_ms."""
+    """conv_id, speaker, utt, idx, n (words in the utterance), pos (place within conversation and speaker), word, start_ms, end_ms.
+
+    Places within an utterance come from its array of words. Places within a conversation are running sums over one light row a turn, joined back by turn; so texts are
+    shuffled at most once, by conversation and turn, and a long conversation is spread over tasks.
+    """
     turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
-    raw = turns.select("conv_id", F.col("role").alias("speaker"), F.col("turn").alias("utt"), F.posexplode(F.split(F.lower("text"), r"\s+")).alias("p", "raw"))
-    clean = raw.withColumn("word", F.regexp_replace("raw", "[.,\"?()/']", "")).filter(F.col("word") != "")
-    utterance = Window.partitionBy("conv_id", "utt")
-    line = Window.partitionBy("conv_id", "speaker").orderBy("utt", "p")
-    dur = F.length("word") * CHAR_MS
-    return clean.select(
-        "conv_id",
-        "speaker",
-        "utt",
-        (F.row_number().over(utterance.orderBy("p")) - 1).alias("idx"),
-        F.count(F.lit(1)).over(utterance).cast("int").alias("n"),
-        (F.row_number().over(line) - 1).cast("long").alias("pos"),
-        "word",
-        (F.sum(dur).over(line) - dur).alias("start_ms"),
-        F.sum(dur).over(line).alias("end_ms"),
-    )
+    said = F.filter(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.regexp_replace(w, "[.,\"?()/']", "")), lambda w: w != "")
+    spoken = turns.select("conv_id", F.col("role").alias("speaker"), F.col("turn").alias("utt"), said.alias("said")).filter(F.size("said") > 0)
+    letters = F.aggregate("said", F.lit(0), lambda n, w: n + F.length(w))
+    before = Window.partitionBy("conv_id", "speaker").orderBy("utt").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = spoken.select("conv_id", "speaker", "utt", F.size("said").alias("n"), letters.alias("letters"))
+    so_far = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
+    offsets = sizes.select("conv_id", "utt", so_far("n").alias("words_before"), so_far("letters").alias("letters_before"))
+    upto = F.aggregate("said", F.array(F.lit(0)), lambda done, w: F.concat(done, F.array(F.element_at(done, -1) + F.length(w))))
+    placed = spoken.join(offsets, ["conv_id", "utt"]).select("*", upto.alias("upto"))
+    each = placed.select("*", F.posexplode("said").alias("idx", "word"))
+    at = lambda i: ((F.col("letters_before") + F.get("upto", i)) * CHAR_MS).cast("long")
+    return each.select("conv_id", "speaker", "utt", "idx", F.size("said").alias("n"), (F.col("words_before") + F.col("idx")).cast("long").alias("pos"), "word", at(F.col("idx")).alias("start_ms"), at(F.col("idx") + 1).alias("end_ms"))
 
 
 WORDS = """

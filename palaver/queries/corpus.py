@@ -12,8 +12,8 @@ from palaver.operators import language_model as lm
 from palaver.operators import sequences as seq
 from palaver.sources import readers, writers
 
-from .base import TAGGED, WORDS, folder, sql, table, tagged, words
-from .modelling import _INC, _TEST, _emissions, _length_tokens, _sentences, _viterbi_ctes
+from .base import TAGGED, WORDS, folder, materialised, sql, table, tagged, words
+from .modelling import _emissions, _length_tokens, _sentences, _viterbi_ctes
 
 UTT = ["conv_id", "utt"]
 LINE = ["conv_id", "speaker"]
@@ -120,7 +120,7 @@ FOLDS = 10
 
 def cross_validation(spark: SparkSession, sf: str) -> DataFrame:
     """Ten trigram models, each scoring the tenth of the conversations that it has not seen."""
-    scored = lm.cross_validated(_sentences(spark, sf), "conv_id", FOLDS)
+    scored = lm.cross_validated(_sentences(spark, sf), "conv_id", FOLDS, keep=lambda model: materialised(model, "folds"))
     lp = F.when(F.col("p") > 0, F.log2("p")).otherwise(0.0)
     return scored.groupBy("fold").agg(F.count(F.lit(1)).alias("n_grams"), F.sum((F.col("p") == 0).cast("long")).alias("n_unseen"), F.round(F.sum(lp), 4).alias("logprob"))
 

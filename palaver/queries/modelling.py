@@ -10,7 +10,7 @@ from palaver.functions import tags
 from palaver.operators import alignment, decoding, repairs
 from palaver.operators import language_model as lm
 
-from .base import TAGGED, WORDS, sql, table, tagged, words
+from .base import TAGGED, WORDS, materialised, sql, table, tagged, words
 
 UTT = ["conv_id", "utt"]
 
@@ -19,13 +19,14 @@ def _sentences(spark: SparkSession, sf: str) -> DataFrame:
     return words(spark, sf).groupBy(*UTT).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "word"))), lambda s: s["word"]).alias("tokens"))
 
 
-def _model(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """(model, test sentences): trained on most conversations, one fifth held out for the unknown word, one fifth for testing."""
+def _model(spark: SparkSession, sf: str, once: bool = False) -> tuple[DataFrame, DataFrame]:
+    """(model, test sentences): trained on most conversations, one fifth held out for the unknown word, one fifth for testing. Scoring reads the model several times, so it is
+    written out unless it is read ``once``."""
     s = _sentences(spark, sf)
     train = s.filter("conv_id % 5 > 1")
     vocabulary = train.select(F.explode("tokens").alias("word")).distinct()
     model = lm.train(train.unionByName(lm.with_unknown(s.filter("conv_id % 5 = 1"), vocabulary, key=UTT)))
-    return model, lm.with_unknown(s.filter("conv_id % 5 = 0"), vocabulary, key=UTT)
+    return model if once else materialised(model, "model"), lm.with_unknown(s.filter("conv_id % 5 = 0"), vocabulary, key=UTT)
 
 
 def vocab_min_count(spark: SparkSession, sf: str) -> DataFrame:
@@ -57,7 +58,7 @@ def ngram_counts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def kn_counts(spark: SparkSession, sf: str) -> DataFrame:
-    model, _ = _model(spark, sf)
+    model, _ = _model(spark, sf, once=True)
     return model.select(F.col("order").alias("n_order"), "context", "word", "num", "den", "nz")
 
 

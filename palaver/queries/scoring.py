@@ -29,9 +29,7 @@ def prf_combined(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def prf_rms_generous(spark: SparkSession, sf: str) -> DataFrame:
-    t = tagged(spark, sf)
-    first_words = lambda c: repairs.repair_table(t, c).join(repairs.repair_spans(t, c).select("conv_id", "utt", "id", "rms"), ["conv_id", "utt", "id"]).filter("rms is not null").select("conv_id", "utt", F.col("rms").alias("idx"), "reparandum")
-    return ev.with_prf(ev.reparandum_matches(first_words("gold"), first_words("hyp"), ["conv_id", "utt", "idx"]))
+    return ev.with_prf(ev.reparandum_matches(repairs.reparanda(tagged(spark, sf), ["gold", "hyp"]), ["conv_id", "utt", "idx"]))
 
 
 def relaxed_utt(spark: SparkSession, sf: str) -> DataFrame:
