@@ -149,6 +149,15 @@ def join_counted(rows: DataFrame, counts: DataFrame, on: list[str], count: str,
     return joined.select(*rows.columns, *(F.col(found_name)[c].alias(c) for c in others))
 
 
+#: Rows of a narrow table that may be broadcast to wide rows; they are counted first. A key and a few numbers each: some 30 MB.
+BROADCAST_ROWS = 500_000
+
+
+def join_narrow(wide: DataFrame, narrow: DataFrame, on: list[str], how: str, rows: int) -> DataFrame:
+    """``wide`` joined with ``narrow``, which has the given number of ``rows`` (or as many entries in its arrays): up to BROADCAST_ROWS it goes to the wide rows, beyond that both are shuffled."""
+    return wide.join(F.broadcast(narrow) if rows <= BROADCAST_ROWS else narrow, on, how)
+
+
 def hash_sample(df: DataFrame, columns: list[str], size: int, total: int) -> DataFrame:
     """About ``size`` of the ``total`` rows of ``df``, picked by the hash of ``columns`` (all rows if there are no more): a filter, so no task
     sends more than its share. The number of rows is within a few standard deviations (sqrt(size)) of ``size``."""

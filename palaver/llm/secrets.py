@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import free_name, join_counted, materialise, read_table
+from .common import BROADCAST_ROWS, free_name, join_counted, join_narrow, materialise, read_table
 
 SCOPE = 400
 MASK = "[SECRET]"
@@ -127,7 +127,9 @@ def redact(docs: DataFrame, mask: str = MASK) -> DataFrame:
     merged = islands.groupBy("rid", "key", "island").agg(F.min("start").alias("start"), F.max("end").alias("end")).groupBy("rid", "key").agg(F.sort_array(F.collect_list(F.struct(F.col("start").cast("int").alias("start"), F.col("end").cast("int").alias("end")))).alias(cuts))
     # rows of one key have the same cuts
     counted = materialise(merged.groupBy("key").agg(F.count(F.lit(1)).alias(n), F.min(cuts).alias(cuts)).select(*(F.col("key")[c].alias(c) for c in names), n, cuts))
-    joined = join_counted(keyed, counted, names, n, how="left")
+    entries = counted.agg(F.sum(F.size(cuts) + 1)).first()[0] or 0
+    few = entries <= BROADCAST_ROWS
+    joined = join_narrow(keyed, counted.drop(n), names, "left", entries) if few else join_counted(keyed, counted, names, n, how="left")
     before = lambda c, i: F.when(i == 0, F.lit(0)).otherwise(F.get(F.col(cuts), i - 1)["end"])
     gaps = F.transform(cuts, lambda c, i: F.substring(F.col("text"), before(c, i) + 1, c["start"] - before(c, i)))
     last = F.element_at(F.col(cuts), -1)["end"]
