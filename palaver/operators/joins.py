@@ -90,3 +90,9 @@ def matrix_faults(df: DataFrame, limits: dict[str, int], width: str | None = Non
     if width:
         sums.append(F.sum((F.coalesce(F.size(width), F.lit(-1)) != expected_width).cast("long")).alias(f"bad_{width}"))
     return df.agg(F.count(F.lit(1)).alias("n_rows"), *sums)
+
+
+def encode_log(log: DataFrame, words: DataFrame, by: list[str], update: str, order: str) -> DataFrame:
+    """An update log with word_idx, and previous_word_idx (-1 at the start) within each update."""
+    out = lookup(log, words, "word")
+    return out.withColumn("previous_word_idx", F.lag("word_idx", 1, -1).over(Window.partitionBy(*by, update).orderBy(order)))

@@ -171,18 +171,34 @@ def span_scores(sums: DataFrame, by: list[str], order: str, length: int) -> Data
     return sums.withColumn("span_logprob", span("cum_logprob")).withColumn("span_logprob1", span("cum_logprob1"))
 
 
+def _excised(df: DataFrame, by: list[str], at: str, word: str, k_max: int) -> DataFrame:
+    """Every word with its two words of context (k = 0), and with those that it has when the k words before it are cut out: by, at, word, k, context."""
+    w = Window.partitionBy(*by).orderBy(at)
+    back = lambda j: F.coalesce(F.lag(word, j).over(w), F.lit(START))
+    contexts = F.array(*(F.struct(F.lit(k).alias("k"), F.concat_ws(" ", back(k + 2), back(k + 1)).alias("context")) for k in range(k_max + 1)))
+    rows = df.select(*by, at, F.col(word).alias("word"), contexts.alias("__c"), (F.row_number().over(w) - 1).alias("__i"))
+    return rows.select(*by, at, "word", F.explode(F.filter("__c", lambda c: c["k"] <= F.col("__i"))).alias("c")).select(*by, at, "word", "c.*")
+
+
 def excision_features(df: DataFrame, model: DataFrame, by: list[str], at: str, word: str = "word", k_max: int = 8) -> DataFrame:
     """For each word and k = 1 .. ``k_max``: how much likelier the word is if the k words before it are cut out (log2 ratio of trigram
     probabilities)."""
-    w = Window.partitionBy(*by).orderBy(at)
-    back = lambda j: F.coalesce(F.lag(word, j).over(w), F.lit(START))
-    rows = df.select(*by, at, word, F.concat_ws(" ", back(2), back(1)).alias("plain"), *(F.concat_ws(" ", back(k + 2), back(k + 1)).alias(f"cut{k}") for k in range(1, k_max + 1)), (F.row_number().over(w) - 1).alias("__i"))
-    cuts = F.explode(F.array(F.struct(F.lit(0).alias("k"), F.col("plain").alias("context")), *(F.struct(F.lit(k).alias("k"), F.col(f"cut{k}").alias("context")) for k in range(1, k_max + 1))))
-    flat = rows.select(*by, at, F.col(word).alias("word"), "__i", cuts.alias("c")).select(*by, at, "word", "__i", "c.*").filter(F.col("k") <= F.col("__i"))
-    p = probabilities(flat, model).groupBy(*by, at).agg(F.max(F.when(F.col("k") == 0, log2_or_zero(F.col("p")))).alias("plain"), F.max(F.when(F.col("k") > 0, F.struct(log2_or_zero(F.col("p")).alias("lp"), (-F.col("k")).alias("k")))).alias("best"))
+    scored = probabilities(_excised(df, by, at, word, k_max), model)
+    p = scored.groupBy(*by, at).agg(F.max(F.when(F.col("k") == 0, log2_or_zero(F.col("p")))).alias("plain"), F.max(F.when(F.col("k") > 0, F.struct(log2_or_zero(F.col("p")).alias("lp"), (-F.col("k")).alias("k")))).alias("best"))
     return p.select(*by, at, F.round(F.col("best.lp") - F.col("plain"), 6).alias("boost"), (-F.col("best.k")).alias("best_k"))
 
 
+def word_features(df: DataFrame, model: DataFrame, by: list[str], at: str, word: str = "word", k_max: int = 8) -> DataFrame:
+    """logprob, logprob1 (of the word alone) and wml (their ratio) of each word, and for k = 1 .. ``k_max`` what logprob (``boost_k``) and wml (``wml_boost_k``) gain when the k words before it are
+    cut out; null where fewer words stand before it. All contexts are scored in one pass over the model."""
+    scored = probabilities(_excised(df, by, at, word, k_max), model)
+    lp, lp1 = log2_or_zero(F.col("p")), log2_or_zero(F.col("p1"))
+    each = scored.select(*by, at, "k", lp.alias("lp"), lp1.alias("lp1"), safe_div(lp, -lp1).alias("wml"))
+    of = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c)))
+    gains = [F.round(of(c, k) - of(c, 0), 6).alias(f"{name}_{k}") for k in range(1, k_max + 1) for c, name in (("lp", "boost"), ("wml", "wml_boost"))]
+    return each.groupBy(*by, at).agg(F.round(of("lp", 0), 6).alias("logprob"), F.round(of("lp1", 0), 6).alias("logprob1"), F.round(of("wml", 0), 6).alias("wml"), *gains)
+
+
 def completion_probability(p: Column) -> Column:
     """A partial word's share of the probability of the word that completes it."""
     return p * 0.075

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import corpus, live, modelling, ordered, scoring, tagging
+from . import corpus, files, live, modelling, ordered, scoring, tagging
 
 QUERIES: dict = {}
 ORACLES: dict = {}
-for _module in (tagging, ordered, scoring, modelling, live, corpus):
+for _module in (tagging, ordered, scoring, modelling, live, corpus, files):
     QUERIES |= _module.QUERIES
     ORACLES |= _module.ORACLES

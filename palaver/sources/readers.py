@@ -149,7 +149,7 @@ def acoustic_frames(spark: SparkSession, path: str) -> DataFrame:
 
 def frame_window(words: DataFrame, frames: DataFrame, value: str, by: list[str], n_frames: int = 50, frames_per_s: int = 100) -> DataFrame:
     """``words(by, pos, end)`` with the ``n_frames`` values up to each word's end, left-padded with zeros. Frames are joined by number."""
-    last = F.floor(F.col("end") * frames_per_s).cast("int")
+    last = F.floor(F.round(F.col("end") * frames_per_s, 6)).cast("int")
     wanted = words.select(*by, "pos", last.alias("last"), F.explode(F.sequence(last - n_frames + 1, last)).alias("frame"))
     got = wanted.join(frames.select(*by, "frame", value), [*by, "frame"], "left")
     line = F.transform(F.array_sort(F.collect_list(F.struct("frame", F.coalesce(value, F.lit(0.0)).alias("v")))), lambda s: s["v"])
@@ -303,3 +303,8 @@ def with_node_map(utterances: DataFrame, nodes: DataFrame, length: str) -> DataF
     """``utterances(utt_ref, ...)`` with their ``nodes``; null where there is no map or its length is not the utterance's."""
     found = utterances.join(nodes.select("utt_ref", "nodes"), "utt_ref", "left")
     return found.withColumn("nodes", F.when(F.size("nodes") == F.col(length), F.col("nodes")))
+
+
+def language_model(spark: SparkSession, path: str) -> DataFrame:
+    """A model table (order, context, word, num, den, nz) as ``writers.model`` leaves it."""
+    return spark.read.parquet(path).select(F.col("order").cast("int").alias("order"), "context", "word", "num", "den", "nz")
