@@ -12,7 +12,7 @@ from palaver.sources import readers, writers
 from palaver.streaming import tagger
 
 from .base import TAGGED, WORDS, folder, sql, table, tagged, words
-from .modelling import _model
+from .modelling import _model, pos_for_word
 
 UTT = ["conv_id", "utt"]
 
@@ -106,19 +106,27 @@ def arg_max_tags(spark: SparkSession, sf: str) -> DataFrame:
     return w.mapInPandas(run, "conv_id long, utt long, tags string")
 
 
-def source_scores(spark: SparkSession, sf: str) -> DataFrame:
-    """Source model scores of all utterances with their repairs taken out; words that the model lacks are ``<unk>``."""
+def _scored(spark: SparkSession, sf: str, of=lambda w: w) -> DataFrame:
     from palaver.functions.tags import source_model_tags
 
-    model, _ = _model(spark, sf)
-    inc = repairs.to_incremental(tagged(spark, sf))
+    model, _ = _model(spark, sf, of=of)
+    inc = of(repairs.to_incremental(tagged(spark, sf)))
     ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("idx", c))), lambda s: s[c])
     u = inc.groupBy(*UTT).agg(ordered("word").alias("word"), source_model_tags(ordered("inc")).alias("tag"))
     rows = u.select(*UTT, F.posexplode(F.arrays_zip("word", "tag")).alias("idx", "z")).select(*UTT, "idx", "z.word", "z.tag")
     known = model.filter(F.col("order") == 1).select("word", F.lit(True).alias("known"))
     rows = rows.join(known, "word", "left").withColumn("word", F.when(F.col("known"), F.col("word")).otherwise("<unk>")).drop("known")
-    found = source_model.source_scores(rows, model, UTT, "idx")
-    return found.select(*UTT, F.round("source_score", 6).alias("source_score"), F.round("last_gain", 6).alias("last_gain"))
+    return source_model.source_scores(rows, model, UTT, "idx")
+
+
+def source_scores(spark: SparkSession, sf: str) -> DataFrame:
+    """Source model scores of all utterances with their repairs taken out; words that the model lacks are ``<unk>``."""
+    return _scored(spark, sf).select(*UTT, F.round("source_score", 6).alias("source_score"), F.round("last_gain", 6).alias("last_gain"))
+
+
+def source_scores_of_pos(spark: SparkSession, sf: str) -> DataFrame:
+    """The same over POS tags, also by word."""
+    return _scored(spark, sf, pos_for_word).select(*UTT, F.round("source_score", 6).alias("source_score"), F.round("per_word", 6).alias("per_word"))
 
 
 def network_emissions(spark: SparkSession, sf: str) -> DataFrame:
@@ -226,7 +234,7 @@ def annotation_rows(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        gap_sessions, events_tumbling, session_windows, events_prefix_diff, asr_ids, tag_updates, tag_updates_final, arg_max_tags, source_scores, network_emissions, timing_classifier, word_vectors, frequent_pos, tree_paths, word_tree_pos, format_round_trips, bracket_notation, vocabulary_file, evaluation_file, annotation_rows,
+        gap_sessions, events_tumbling, session_windows, events_prefix_diff, asr_ids, tag_updates, tag_updates_final, arg_max_tags, source_scores, source_scores_of_pos, network_emissions, timing_classifier, word_vectors, frequent_pos, tree_paths, word_tree_pos, format_round_trips, bracket_notation, vocabulary_file, evaluation_file, annotation_rows,
     )
 }
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -15,14 +17,19 @@ from .base import TAGGED, WORDS, materialised, sql, table, tagged, words
 UTT = ["conv_id", "utt"]
 
 
-def _sentences(spark: SparkSession, sf: str) -> DataFrame:
-    return words(spark, sf).groupBy(*UTT).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "word"))), lambda s: s["word"]).alias("tokens"))
+def _sentences(spark: SparkSession, sf: str, of: Callable[[DataFrame], DataFrame] = lambda w: w) -> DataFrame:
+    return of(words(spark, sf)).groupBy(*UTT).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "word"))), lambda s: s["word"]).alias("tokens"))
+
+
+def pos_for_word(w: DataFrame) -> DataFrame:
+    """``w`` with a POS tag by arithmetic in place of each word."""
+    return w.withColumn("word", F.concat(F.lit("P"), (F.length("word") % 5).cast("string")))
 
 
-def _model(spark: SparkSession, sf: str, once: bool = False) -> tuple[DataFrame, DataFrame]:
+def _model(spark: SparkSession, sf: str, once: bool = False, of: Callable[[DataFrame], DataFrame] = lambda w: w) -> tuple[DataFrame, DataFrame]:
     """(model, test sentences): trained on most conversations, one fifth held out for the unknown word, one fifth for testing. Scoring reads the model several times, so it is
     written out unless it is read ``once``."""
-    s = _sentences(spark, sf)
+    s = _sentences(spark, sf, of)
     train = s.filter("conv_id % 5 > 1")
     vocabulary = train.select(F.explode("tokens").alias("word")).distinct()
     model = lm.train(train.unionByName(lm.with_unknown(s.filter("conv_id % 5 = 1"), vocabulary, key=UTT)))
@@ -297,21 +304,31 @@ q AS (""",
     ),
     ", lp AS (SELECT *, CASE WHEN p = 0 THEN 0 ELSE log2(p) END AS lp FROM prob) SELECT conv_id, utt, idx, round(max(lp) FILTER (WHERE k > 0) - max(lp) FILTER (WHERE k = 0), 6) AS boost FROM lp GROUP BY 1, 2, 3",
 )
-ORACLES["source_scores"] = sql(
-    _MODEL.replace(WORDS, TAGGED + _INC)
-    .replace("{keys}", "r.conv_id, r.utt, r.last")
-    .replace("{rows}", "gr")
-    .replace(
-        "\nq AS (",
-        """
-ft AS (SELECT conv_id, utt, idx, coalesce(n1.c, '<unk>') AS word, inc, contains(inc, '<e') OR contains(inc, '<i') AS ed, CAST(nullif(regexp_extract(inc, '<rm-([0-9]+)/>', 1), '') AS INTEGER) AS reach FROM inc LEFT JOIN n1 ON n1.c = inc.word),
+def _source_sql(table: str, inc: str, before: str, columns: str) -> str:
+    """Source scores over the words of ``table`` (their tags in ``inc``), which ``before`` may define."""
+    body = _MODEL[len(WORDS) :].replace("FROM words ", f"FROM {table} ").replace("words.word", f"{table}.word")
+    return sql(
+        (TAGGED + _INC + before + body)
+        .replace("{keys}", "r.conv_id, r.utt, r.last")
+        .replace("{rows}", "gr")
+        .replace(
+            "\nq AS (",
+            f"""
+ft AS (SELECT conv_id, utt, idx, coalesce(n1.c, '<unk>') AS word, inc, contains(inc, '<e') OR contains(inc, '<i') AS ed, CAST(nullif(regexp_extract(inc, '<rm-([0-9]+)/>', 1), '') AS INTEGER) AS reach FROM {inc} LEFT JOIN n1 ON n1.c = {inc}.word),
 fu AS (SELECT *, CASE WHEN ed OR EXISTS (SELECT 1 FROM ft o WHERE o.conv_id = ft.conv_id AND o.utt = ft.utt AND o.idx > ft.idx AND NOT o.ed AND o.idx - o.reach <= ft.idx) THEN '<e/>' WHEN reach IS NULL AND contains(inc, '<t') THEN '<s/>' ELSE '<f/>' END AS tag FROM ft),
 sg AS (SELECT *, tag = '<s/>' AND idx > 0 AS beg, sum(CASE WHEN tag = '<s/>' AND idx > 0 THEN 1 ELSE 0 END) OVER (PARTITION BY conv_id, utt ORDER BY idx) AS seg, idx = max(idx) OVER (PARTITION BY conv_id, utt) AS last FROM fu),
 sp AS (SELECT conv_id, utt, seg, idx, 1 AS kind, word AS c, last FROM sg WHERE tag <> '<e/>' UNION ALL SELECT conv_id, utt, seg - 1, idx, 0, '</s>', last FROM sg WHERE beg),
 gr AS (SELECT *, coalesce(lag(c, 2) OVER w, '<s>') AS a, coalesce(lag(c, 1) OVER w, '<s>') AS b FROM sp WINDOW w AS (PARTITION BY conv_id, utt, seg ORDER BY idx, kind)),
 q AS (""",
-    ),
-    """, lp AS (SELECT conv_id, utt, last, CASE WHEN p > 0 THEN log2(p) ELSE CAST('-Infinity' AS DOUBLE) END AS lp FROM prob UNION ALL SELECT conv_id, utt, last, log2(0.01) FROM sg WHERE tag = '<e/>')
-SELECT conv_id, utt, round(sum(lp), 6) AS source_score, round(CASE WHEN sum(lp) FILTER (WHERE last) = 0 THEN log2(0.01) ELSE sum(lp) FILTER (WHERE last) END, 6) AS last_gain FROM lp GROUP BY 1, 2""",
+        ),
+        f""", lp AS (SELECT conv_id, utt, last, CASE WHEN p > 0 THEN log2(p) ELSE CAST('-Infinity' AS DOUBLE) END AS lp FROM prob UNION ALL SELECT conv_id, utt, last, log2(0.01) FROM sg WHERE tag = '<e/>'),
+lu AS (SELECT conv_id, utt, count(*) AS n FROM sg GROUP BY 1, 2), su AS (SELECT conv_id, utt, sum(lp) AS s, CASE WHEN sum(lp) FILTER (WHERE last) = 0 THEN log2(0.01) ELSE sum(lp) FILTER (WHERE last) END AS g FROM lp GROUP BY 1, 2)
+SELECT conv_id, utt, {columns} FROM su JOIN lu USING (conv_id, utt)""",
+    )
+
+
+ORACLES["source_scores"] = _source_sql("words", "inc", "", "round(s, 6) AS source_score, round(g, 6) AS last_gain")
+ORACLES["source_scores_of_pos"] = _source_sql(
+    "pw", "pinc", ", pw AS (SELECT conv_id, utt, idx, 'P' || (length(word) % 5) AS word FROM words), pinc AS (SELECT * REPLACE ('P' || (length(word) % 5) AS word) FROM inc)", "round(s, 6) AS source_score, round(s / n, 6) AS per_word"
 )
 ORACLES = {k: v.replace("\n, ", ",\n", 1) if v.startswith("WITH") else v for k, v in ORACLES.items()}

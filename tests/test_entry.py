@@ -1,5 +1,21 @@
+import os
+import subprocess
+import sys
+
+import pytest
+
+
 def test_entry(spark):
     import __spark_entry__ as entry
 
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+@pytest.mark.parametrize("missing", ["ahocorasick", "xxhash", "palaver.llm.registry", "palaver.llm", "corpus_pipeline"])
+def test_entry_point_without_the_training_data_part(missing):
+    """With a library or the whole part missing, the other queries are there."""
+    code = f"import sys; sys.modules[{missing!r}] = None; import __spark_entry__ as e; q = e.queries(); print(len(q), any(n.startswith('op1_') for n in q), 'pipeline' in q, set(e.oracle_sql()) <= set(q))"
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    n, operators, pipeline, twins = subprocess.run([sys.executable, "-c", code], cwd=root, capture_output=True, text=True, check=True).stdout.split()
+    assert int(n) > 150 and twins == "True" and pipeline == "False" and (operators == "False" or missing == "corpus_pipeline")
