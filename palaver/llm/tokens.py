@@ -7,8 +7,8 @@ segmentation; no piece is ever cut out.
 Words are runs of non-white-space (``[^\\x20\\x09-\\x0D]+``), each read with one space before it, as the vocabularies
 of byte-level tokenizers have it. A word that the vocabulary cannot cover counts as one unknown token.
 
-Defined results: null and empty texts have 0 words and 0 tokens; rows that repeat a doc_id each get their own result;
-null doc_ids are carried through. Only id and text are read.
+Defined results: null and empty texts have 0 words and 0 tokens; very long texts are read whole, in time linear in their length; rows that repeat a doc_id or a whole row each get their own result;
+null doc_ids are carried through; an empty table gives no row. Only id and text are read, so further columns of any name do not matter.
 """
 
 from __future__ import annotations
