@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -70,6 +72,70 @@ def texts(column: pa.Array) -> Iterator[bytes]:
         yield value.as_py() or b""
 
 
+#: Bytes of text that are turned into arrays at a time.
+PIECE_BYTES = 1 << 20
+_CUT = re.compile(rb"[ \t\n\v\f\r]")
+
+
+def in_pieces(texts_: list[bytes], run: Callable[[list[bytes]], tuple]) -> tuple:
+    """What ``run(texts)`` gives for many texts, or parts of very long ones cut at blanks: arrays of a value a word, the last one with the number of the word's text. Only about PIECE_BYTES are
+    looked at together, so memory is bounded by the words' values."""
+    held, owner, size, out = [], [], 0, []
+
+    def flush() -> None:
+        nonlocal held, owner, size
+        if held:
+            *values, of = run(held)
+            out.append((*values, np.array(owner, np.int64)[of]))
+        held, owner, size = [], [], 0
+
+    for number, text in enumerate(texts_):
+        at = 0
+        while at < len(text):
+            blank = _CUT.search(text, at + PIECE_BYTES) if len(text) - at > PIECE_BYTES else None
+            end = blank.end() if blank else len(text)
+            held.append(text[at:end])
+            owner.append(number)
+            size, at = size + end - at, end
+            if size >= PIECE_BYTES:
+                flush()
+    flush()
+    return tuple(np.concatenate(c) for c in zip(*out)) if out else run([])
+
+
+BLANK = np.array([c in b" \t\n\v\f\r" for c in range(256)])
+
+
+def words_in(texts_: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(bytes of all words end to end, sizes of the words, number of each word's text) of texts."""
+    data = np.frombuffer(b" ".join(texts_), np.uint8)
+    inside = ~BLANK[data]
+    edge = np.diff(np.concatenate([[False], inside, [False]]).view(np.int8))
+    starts = np.flatnonzero(edge == 1)
+    bounds = np.cumsum([len(t) + 1 for t in texts_])
+    return data[inside], np.flatnonzero(edge == -1) - starts, np.searchsorted(bounds, starts, side="right")
+
+
+_ODD = np.uint64(0x9E3779B97F4A7C15)
+_MIX = np.uint64(0xFF51AFD7ED558CCD)
+
+
+def mix_bits(a: np.ndarray) -> np.ndarray:
+    a = a ^ (a >> np.uint64(33))
+    a = a * _MIX
+    return a ^ (a >> np.uint64(29))
+
+
+def run_hashes(letters: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """A polynomial hash of every run of bytes; the runs (of no size 0) lie end to end."""
+    if not sizes.size:
+        return np.empty(0, np.uint64)
+    first = np.cumsum(sizes) - sizes
+    powers = np.cumprod(np.full(int(sizes.max()), _ODD))
+    nth = np.arange(letters.size) - np.repeat(first, sizes)
+    return mix_bits(np.add.reduceat((letters.astype(np.uint64) + np.uint64(1)) * powers[nth], first))
+
+
 def unit_interval(*columns: Column) -> Column:
     """A reproducible uniform draw in the open interval (0, 1) keyed by the given columns."""
     bits = F.shiftrightunsigned(F.xxhash64(*columns), 12).cast("double")

@@ -28,52 +28,73 @@ all columns, whatever their names; doc_id, quality and toxic are read of the lab
 from __future__ import annotations
 
 import math
-import re
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from xxhash import xxh64_intdigest
 
-from .common import ALNUM, free_name, hash_sample, map_batches, materialise, read_table, texts, top_k, unit_interval
+from .common import ALNUM, PIECE_BYTES, free_name, hash_sample, in_pieces, map_batches, materialise, read_table, run_hashes, texts, top_k, unit_interval, words_in
 
 WORD_BITS, SHAPE_BITS = 20, 18
-FEATURES = (1 << WORD_BITS) + (1 << SHAPE_BITS)
+FEATURES, FEATURE_BITS = (1 << WORD_BITS) + (1 << SHAPE_BITS), WORD_BITS + 1
 TARGET_SAMPLE = 200_000
 PRIOR = 1.0
 STAY = 0.999
 SEED = 2
-MEMO_TOKENS = 300_000
 
-_CLASS = bytes(0x61 if 0x61 <= c <= 0x7A or c >= 0x80 else 0x41 if 0x41 <= c <= 0x5A else 0x30 if 0x30 <= c <= 0x39 else c for c in range(256))
-_RUNS = re.compile(rb"(.)\1+", re.DOTALL)
+#: Letters that a shape keeps.
+SHAPE_LETTERS = 6
+_ALNUM = np.frombuffer(bytes(0 if c == 0x20 else c for c in ALNUM), np.uint8)
+_CLASS = np.array([0x61 if 0x61 <= c <= 0x7A or c >= 0x80 else 0x41 if 0x41 <= c <= 0x5A else 0x30 if 0x30 <= c <= 0x39 else c for c in range(256)], np.uint8)
 _A, _B = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 
 
-class Featuriser(dict):
-    """token -> word bucket and hashed shape in one integer; ``features`` gives a text's features, repeats included."""
-
-    def __missing__(self, token: bytes) -> int:
-        if len(self) >= MEMO_TOKENS:
-            self.clear()
-        word = xxh64_intdigest(b" ".join(token.translate(ALNUM).split()) or token) & ((1 << WORD_BITS) - 1)
-        shape = xxh64_intdigest(_RUNS.sub(rb"\1", token.translate(_CLASS))[:6]) & 0xFFFFFFFF
-        value = self[token] = shape << WORD_BITS | word
-        return value
-
-    def features(self, text: bytes) -> np.ndarray:
-        tokens = text.split()
-        packed = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
-        words = packed & ((1 << WORD_BITS) - 1)
-        shapes = (packed >> WORD_BITS).astype(np.uint64) * np.uint64(2)
-        if words.size:
-            shapes[1:] += words[1:] == words[:-1]
-        before = np.zeros_like(shapes)
-        before[1:] = shapes[:-1]
-        pairs = ((shapes * _A + before * _B) >> np.uint64(64 - SHAPE_BITS)).astype(np.int64) + (1 << WORD_BITS)
-        return np.concatenate([words, pairs])
+def _token_codes(texts_: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word bucket, shape hash, number of the text) of every token. The word is the token's letters and digits in lower case, or the token if it has none; the shape is its first classes of bytes, runs
+    of one class as one."""
+    letters, sizes, text = words_in(texts_)
+    if not sizes.size:
+        return np.empty(0, np.int64), np.empty(0, np.uint64), text
+    first = np.cumsum(sizes) - sizes
+    token = np.repeat(np.arange(sizes.size), sizes)
+    alnum = _ALNUM[letters]
+    spoken = np.add.reduceat(alnum > 0, first, dtype=np.int64) > 0
+    used = (alnum > 0) | ~spoken[token]
+    words = run_hashes(np.where(alnum > 0, alnum, letters)[used], np.bincount(token[used], minlength=sizes.size))
+    classes = _CLASS[letters]
+    begins = np.r_[True, classes[1:] != classes[:-1]]
+    begins[first] = True
+    of = token[begins]
+    runs = np.bincount(of, minlength=sizes.size)
+    short = np.arange(of.size) - np.repeat(np.cumsum(runs) - runs, runs) < SHAPE_LETTERS
+    shapes = run_hashes(classes[begins][short], np.minimum(runs, SHAPE_LETTERS))
+    return (words & np.uint64((1 << WORD_BITS) - 1)).astype(np.int64), shapes & np.uint64(0xFFFFFFFF), text
+
+
+def features(texts_: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(word feature, shape bigram feature, number of the text) for every token of the texts."""
+    words, shapes, text = in_pieces(texts_, _token_codes)
+    if not words.size:
+        return words, words, text
+    follows = np.r_[False, text[1:] == text[:-1]]
+    shapes = shapes * np.uint64(2) + (np.r_[False, words[1:] == words[:-1]] & follows)
+    before = np.where(follows, np.r_[np.uint64(0), shapes[:-1]], np.uint64(0))
+    return words, ((shapes * _A + before * _B) >> np.uint64(64 - SHAPE_BITS)).astype(np.int64) + (1 << WORD_BITS), text
+
+
+def _parts(column: pa.Array):
+    """(number of the first text, texts) of a column, about PIECE_BYTES at a time."""
+    held, size, first = [], 0, 0
+    for text in texts(column):
+        held.append(text)
+        size += len(text)
+        if size >= PIECE_BYTES:
+            yield first, held
+            held, size, first = [], 0, first + len(held)
+    if held:
+        yield first, held
 
 
 def target_ids(labels: DataFrame, sample: int = TARGET_SAMPLE) -> tuple[np.ndarray, float]:
@@ -93,15 +114,18 @@ def count_features(docs: DataFrame, target: np.ndarray) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(target)
 
     def count(batches):
-        featuriser, good = Featuriser(), shared.value
+        good = shared.value
         sums = np.zeros((len(COUNTS), FEATURES + 1), np.int64)
         for batch in batches:
             ids, known = batch.column(0).fill_null(0).to_numpy(zero_copy_only=False), batch.column(0).is_valid().to_numpy(zero_copy_only=False)
-            for is_good, text in zip((known & np.isin(ids, good)).tolist(), texts(batch.column(1))):
-                found = np.append(np.unique(featuriser.features(text)), FEATURES)
-                sums[0][found] += 1
-                if is_good:
-                    sums[1][found] += 1
+            target_rows = known & np.isin(ids, good)
+            sums[:, FEATURES] += batch.num_rows, target_rows.sum()
+            for first, part in _parts(batch.column(1)):
+                words, shapes, text = features(part)
+                once = np.unique(np.concatenate([text, text]) << FEATURE_BITS | np.concatenate([words, shapes]))
+                found, is_target = once & ((1 << FEATURE_BITS) - 1), target_rows[first + (once >> FEATURE_BITS)]
+                np.add.at(sums[0], found, 1)
+                np.add.at(sums[1], found[is_target], 1)
         at = np.flatnonzero(sums[0])
         for part in np.array_split(at, max(1, at.size // 50_000)):
             yield pa.RecordBatch.from_pydict({"feature": pa.array(part)} | {c: pa.array(s[part]) for c, s in zip(COUNTS, sums)})
@@ -138,12 +162,15 @@ def score(docs: DataFrame, model: dict[str, np.ndarray], columns: list[str], wei
     rows = docs.select(*columns, F.col("text").cast("string").alias(text))
 
     def make():
-        featuriser = Featuriser()
         ratio = np.zeros(FEATURES)
         ratio[shared.value["feature"]] = shared.value["ratio"]
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
-            weights = [math.fsum(ratio[featuriser.features(t)]) for t in texts(batch.column(len(columns)))]
+            weights = np.zeros(batch.num_rows)
+            for first, part in _parts(batch.column(len(columns))):
+                words, shapes, text = features(part)
+                # a text's terms are added in the order of its tokens, so it weighs the same wherever it stands
+                weights[first : first + len(part)] = np.bincount(text, ratio[words] + ratio[shapes], len(part))
             return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(weights, pa.float64())], names=[*columns, weight])
 
         return step
@@ -199,7 +226,7 @@ def brute_force(rows: list[tuple[int | None, str | None]], labels: list[tuple[in
     bags = []
     for doc_id, text in rows:
         bag: dict[int, int] = {}
-        for f in Featuriser().features((text or "").encode()).tolist():
+        for f in np.concatenate(features([(text or "").encode()])[:2]).tolist():
             bag[f] = bag.get(f, 0) + 1
         bags.append((doc_id in targets, bag))
     sums: dict[int, list[int]] = {}

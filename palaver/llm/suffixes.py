@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 from xxhash import xxh64_intdigest
 
-from .common import join_counted, materialise, read_table, texts
+from .common import in_pieces, join_counted, materialise, mix_bits, read_table, run_hashes, texts, words_in
 
 MIN_WORDS = 50
 GRAM = 10
@@ -50,16 +50,9 @@ COMPARE_ROWS = 20_000
 READ_BYTES = 2 << 20
 
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_MIX = np.uint64(0xFF51AFD7ED558CCD)
 _NO_DOC = np.iinfo(np.int64).max
 
 
-def _mix(a: np.ndarray) -> np.ndarray:
-    a = a ^ (a >> np.uint64(33))
-    a = a * _MIX
-    return a ^ (a >> np.uint64(29))
-
-
 def _hash_runs(words: np.ndarray, starts: np.ndarray | int, length: int) -> np.ndarray:
     """One hash for each run of ``length`` word hashes from ``starts``, or from each of the first ``starts`` words."""
     size = starts if isinstance(starts, int) else starts.size
@@ -67,7 +60,7 @@ def _hash_runs(words: np.ndarray, starts: np.ndarray | int, length: int) -> np.n
     for i in range(length):
         total *= _ODD
         total += words[i : i + size] if isinstance(starts, int) else words[starts + i]
-    return _mix(total)
+    return mix_bits(total)
 
 
 def _leftmost_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -95,24 +88,14 @@ def owners(words: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return owner[first], owner[first] - inside[last], owner[first] - inside[first]
 
 
-_BLANK = np.array([c in b" \t\n\v\f\r" for c in range(256)])
+def word_hashes(texts_: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, number of its text) of every word of the texts."""
 
+    def run(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        letters, sizes, text = words_in([t.lower() for t in pieces])
+        return run_hashes(letters, sizes), text
 
-def word_hashes(texts_: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(hash, number of its text) of every word of the texts: a polynomial of its bytes."""
-    data = np.frombuffer(b" ".join(t.lower() for t in texts_), np.uint8)
-    inside = ~_BLANK[data]
-    edge = np.diff(np.concatenate([[False], inside, [False]]).view(np.int8))
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    if not starts.size:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    sizes = ends - starts
-    first = np.cumsum(sizes) - sizes
-    powers = np.cumprod(np.full(int(sizes.max()), _ODD))
-    nth = np.arange(int(sizes.sum())) - np.repeat(first, sizes)
-    letters = (data[inside].astype(np.uint64) + np.uint64(1)) * powers[nth]
-    bounds = np.cumsum([len(t) + 1 for t in texts_])
-    return _mix(np.add.reduceat(letters, first)), np.searchsorted(bounds, starts, side="right")
+    return in_pieces(texts_, run)
 
 
 #: A place is the position, the fewest and the most words to its left, and the half, in one long.

@@ -123,6 +123,27 @@ def test_quality_keeps_good_and_drops_toxic(spark):
     assert shares[0] > 0.98 and shares[1] < 0.03 and shares[2] < 0.03, shares
 
 
+@given(st.lists(st.text("aZé09 .!-\n\t", max_size=30), max_size=6), st.sampled_from([1 << 20, 7]))
+@settings(max_examples=200, deadline=None)
+def test_features_token_by_token(said, piece):
+    """Equal words and shapes have equal features, different ones different, whatever stands beside them and however texts are cut."""
+    old, common.PIECE_BYTES = common.PIECE_BYTES, piece
+    try:
+        words, shapes, text = quality.features([t.encode() for t in said])
+    finally:
+        common.PIECE_BYTES = old
+    seen, at = ({}, {}), 0
+    for number, t in enumerate(said):
+        before, last = None, None
+        for token in re.split("[ \t\n]+", t.strip(" \t\n")) if t.strip(" \t\n") else []:
+            word = re.sub("[^a-z0-9é]", "", token.lower()) or token
+            shape = re.sub(r"(.)\1+", r"\1", re.sub("[a-zé]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", token))))[:6], word == last
+            assert text[at] == number
+            assert seen[0].setdefault(word, words[at]) == words[at] and seen[1].setdefault((before, shape), shapes[at]) == shapes[at]
+            before, last, at = shape, word, at + 1
+    assert at == len(words) and all(len(set(s.values())) == len(s) for s in seen)
+
+
 def _labelled_corpus():
     rng = random.Random(8)
     word = lambda: f"w{min(rng.randrange(60), rng.randrange(60))}"
