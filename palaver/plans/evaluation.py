@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from palaver.operators import evaluation as ev
+from palaver.sources import readers
 
 
 def evaluate(tagged: DataFrame, by: list[str], unit: list[str], order: str = "pos", word: bool = True, relaxed: bool = True, boundaries: bool = True, rates: bool = True) -> DataFrame:
@@ -27,3 +29,12 @@ def evaluate(tagged: DataFrame, by: list[str], unit: list[str], order: str = "po
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def evaluate_files(spark: SparkSession, gold: str, hyp: str) -> DataFrame:
+    """``evaluate`` over timed corpus files of the same words. An utterance ends where the reference says so."""
+    read = lambda path, tag: readers.timed_corpus(spark, path, limit=False).select("speaker", "pos", "word", *((F.col(c) * 1000).cast("long").alias(f"{c}_ms") for c in ("start", "end")), F.col("tag").alias(tag))
+    both = read(gold, "gold").join(read(hyp, "hyp").select("speaker", "pos", "hyp"), ["speaker", "pos"])
+    before = Window.partitionBy("speaker").orderBy("pos").rowsBetween(Window.unboundedPreceding, -1)
+    utt = F.coalesce(F.sum(F.col("gold").contains("t/>").cast("long")).over(before), F.lit(0))
+    return evaluate(both.withColumn("utt", utt), ["speaker"], ["speaker", "utt"])

@@ -11,9 +11,11 @@ from pyspark.sql import functions as F
 from palaver.functions import text
 from palaver.operators import joins
 from palaver.operators import language_model as lm
+from palaver.plans.tagger import Tagger
 from palaver.sources import readers, writers
 
 from .base import TAGGED, WORDS, folder, sql, table, tagged, words
+from .live import LABELS, make_session
 from .modelling import _TEST, _model
 from .scoring import _LOGS, _log
 
@@ -160,6 +162,18 @@ def parsed_trees(spark: SparkSession, sf: str) -> DataFrame:
     return each.select(*UTT, text.same_words(F.col("said"), F.col("word")).alias("same"), F.size("word").alias("n_leaves"), F.concat_ws(" ", text.regular_pos(F.col("pos"))).alias("pos"), F.size(text.split_words(F.concat_ws("  ", "said"))).alias("n_split"))
 
 
+def tagged_files(spark: SparkSession, sf: str) -> DataFrame:
+    """Timed corpus files tagged word by word into an update log, which is read back."""
+    at = folder(spark, "tagged")
+    w = words(spark, sf).filter("speaker = 'user'")
+    ref = F.format_string("(%08d)", F.col("pos"))
+    writers.write_text(writers.timed_corpus(w.select(F.col("conv_id").cast("string").alias("speaker"), ref.alias("ref"), (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"), "word", F.lit("NN").alias("pos_tag"), F.lit("<f/>").alias("tag"))), f"{at}/in", ["speaker"])
+    session = make_session()
+    Tagger(tuple(LABELS), session.lattice.state_of, session.emit, session.lattice.weights, simple=False).tag_files(spark, f"{at}/in", f"{at}/out")
+    read = readers.increco(spark, f"{at}/out")
+    return read.select(F.col("speaker").cast("long").alias("conv_id"), "update_no", F.col("pos_in_update").cast("long").alias("pos_in_update"), "word", "tag")
+
+
 def language_model_features(spark: SparkSession, sf: str) -> DataFrame:
     """Scores of each word in place, and what they gain when the one to eight words before it are cut out."""
     model, _ = _model(spark, sf)
@@ -170,7 +184,7 @@ def language_model_features(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        clean_corpus_files, division_file, relaxed_annotation_file, transcript_files, acoustic_frame_files, error_rate_files, c5_files, textgrid_files, model_files, feature_files, results_file, encoded_log, parsed_trees, language_model_features,
+        clean_corpus_files, division_file, relaxed_annotation_file, transcript_files, acoustic_frame_files, error_rate_files, c5_files, textgrid_files, model_files, feature_files, results_file, encoded_log, parsed_trees, tagged_files, language_model_features,
     )
 }
 

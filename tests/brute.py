@@ -269,4 +269,18 @@ def tag_updates_final(spark, sf):
     return [(*k, *v) for k, v in last.items() if k[2] < length[k[:2]]]
 
 
-BRUTE = {f.__name__: f for f in (word_alignments, ranked_alignments, carried_labels, common_runs, repair_classes, network_emissions, timing_classifier, tag_updates, tag_updates_final)}
+def tagged_files(spark, sf):
+    """Word by word, without files; an update's words are numbered from 0."""
+    out = []
+    lines: dict = {}
+    for r in words(spark, sf).filter("speaker = 'user'").select("conv_id", "pos", "word").orderBy("conv_id", "pos").collect():
+        lines.setdefault(r["conv_id"], []).append(r["word"])
+    for conv_id, said in lines.items():
+        whole = _Whole()
+        for n, word in enumerate(said):
+            rows = whole.apply({"control": None, "rollback": 0, "words": [word]})
+            out += [(conv_id, n, i, w, tag) for i, (_, _, _, w, tag, _) in enumerate(rows)]
+    return out
+
+
+BRUTE = {f.__name__: f for f in (word_alignments, ranked_alignments, carried_labels, common_runs, repair_classes, network_emissions, timing_classifier, tag_updates, tag_updates_final, tagged_files)}
