@@ -1,7 +1,7 @@
 """Readers of transcript, hypothesis, annotation and model files.
 
 Block formats (headers that hold for the lines below them) are read as lines with their place in the file: the block offset of the
-split and the order within it. Headers are spread by window functions within a file, so a corpus is read in parallel by file.
+split and the order within it. Headers are spread within the splits of a file, and from split to split by one row each, so a large file is read by many tasks.
 """
 
 from __future__ import annotations
@@ -20,8 +20,16 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line_id"), F.regexp_replace("value", "\r$", "").alias("value"))
 
 
-def _in_file() -> Window:
-    return Window.partitionBy("file").orderBy("block", "line_id")
+def spread(lines: DataFrame, **headers: Column) -> DataFrame:
+    """``lines`` with, under each name, the last value of the header column that is not null, from the line or one before it in its file."""
+    here = Window.partitionBy("file", "block").orderBy("line_id").rowsBetween(Window.unboundedPreceding, 0)
+    marked = lines.select("*", *(h.alias(f"__{n}") for n, h in headers.items())).select("*", *(F.last(f"__{n}", ignorenulls=True).over(here).alias(f"__here_{n}") for n in headers))
+    # what each split ends with is what the next one begins with
+    ends = marked.groupBy("file", "block").agg(*(F.max_by(f"__{n}", F.when(F.col(f"__{n}").isNotNull(), F.col("line_id"))).alias(f"__end_{n}") for n in headers))
+    earlier = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = ends.select("file", "block", *(F.last(f"__end_{n}", ignorenulls=True).over(earlier).alias(f"__before_{n}") for n in headers))
+    joined = marked.join(before, ["file", "block"])
+    return joined.select(*lines.columns, *(F.coalesce(f"__here_{n}", f"__before_{n}").alias(n) for n in headers))
 
 
 def _header(prefix: str) -> Column:
@@ -36,7 +44,7 @@ def _fields(*names: tuple[str, str]) -> list[Column]:
 def timed_corpus(spark: SparkSession, path: str, limit: bool = True) -> DataFrame:
     """speaker, pos, ref, start, end, word, pos_tag, tag from files with ``Speaker:`` headers and six tab-separated fields. With
     ``limit`` a word starts at most 0.3 s before its end."""
-    lines = numbered_lines(spark, path).withColumn("speaker", F.last(_header("Speaker:"), ignorenulls=True).over(_in_file()))
+    lines = spread(numbered_lines(spark, path), speaker=_header("Speaker:"))
     rows = lines.filter(F.col("value").contains("\t"))
     named = rows.select("file", "block", "line_id", "speaker", *_fields(("ref", "string"), ("start", "double"), ("end", "double"), ("word", "string"), ("pos_tag", "string"), ("tag", "string")))
     start = F.greatest("start", F.col("end") - MAX_WORD_S) if limit else F.col("start")
@@ -47,9 +55,7 @@ def timed_corpus(spark: SparkSession, path: str, limit: bool = True) -> DataFram
 def increco(spark: SparkSession, path: str) -> DataFrame:
     """speaker, update_no, update_time, pos_in_update, start, end, word, pos_tag, tag from update logs (``Speaker:`` or ``File:`` and ``Time:`` headers).
     Of ``gold@hyp`` values the hypothesis is taken."""
-    lines = numbered_lines(spark, path)
-    w = _in_file()
-    lines = lines.withColumn("speaker", F.last(F.coalesce(_header("Speaker:"), _header("File:")), ignorenulls=True).over(w)).withColumn("time", F.last(_header("Time:").cast("double"), ignorenulls=True).over(w)).withColumn("is_time", F.col("value").startswith("Time:").cast("int"))
+    lines = spread(numbered_lines(spark, path), speaker=F.coalesce(_header("Speaker:"), _header("File:")), time=_header("Time:").cast("double")).withColumn("is_time", F.col("value").startswith("Time:").cast("int"))
     lines = lines.withColumn("update_no", F.sum("is_time").over(Window.partitionBy("file", "speaker").orderBy("block", "line_id")) - 1)
     rows = lines.filter(F.col("value").contains("\t")).select("file", "block", "line_id", "speaker", F.greatest("update_no", F.lit(0)).alias("update_no"), F.col("time").alias("update_time"), *_fields(("start", "double"), ("end", "double"), ("word", "string"), ("pos_tag", "string"), ("tag", "string")))
     right = lambda c: F.element_at(F.split(c, "@"), -1).alias(c)
@@ -65,9 +71,8 @@ def final_hypothesis(spark: SparkSession, path: str) -> DataFrame:
 def detection_corpus(spark: SparkSession, path: str) -> DataFrame:
     """utt_ref, ref, word, pos_tag, tag; the utterance reference stands on an utterance's first row only."""
     rows = numbered_lines(spark, path).filter(F.col("value").contains("\t"))
-    named = rows.select("file", "block", "line_id", *_fields(("utt_ref", "string"), ("ref", "string"), ("word", "string"), ("pos_tag", "string"), ("tag", "string")))
-    filled = F.last(F.when(F.col("utt_ref") != "", F.col("utt_ref")), ignorenulls=True).over(_in_file())
-    return named.select(filled.alias("utt_ref"), "ref", "word", "pos_tag", "tag")
+    named = rows.select("file", "block", "line_id", *_fields(("own_ref", "string"), ("ref", "string"), ("word", "string"), ("pos_tag", "string"), ("tag", "string")))
+    return spread(named, utt_ref=F.when(F.col("own_ref") != "", F.col("own_ref"))).select("utt_ref", "ref", "word", "pos_tag", "tag")
 
 
 def easy_read(spark: SparkSession, path: str) -> DataFrame:
@@ -75,8 +80,8 @@ def easy_read(spark: SparkSession, path: str) -> DataFrame:
     lines = numbered_lines(spark, path).filter("value <> ''")
     first, rest = F.regexp_extract("value", "^([^,]*),", 1), F.regexp_replace("value", "^[^,]*,", "")
     is_head = ~first.isin("POS", "REF")
-    unit = F.sum(is_head.cast("int")).over(_in_file())
-    rows = lines.select("file", unit.alias("unit"), first.alias("kind"), F.split(rest, " ").alias("items"), is_head.alias("head"))
+    lines = spread(lines, unit=F.when(is_head, F.col("line_id")))
+    rows = lines.select("file", "unit", first.alias("kind"), F.split(rest, " ").alias("items"), is_head.alias("head"))
     pick = lambda c: F.first(F.when(c, F.col("items")), ignorenulls=True)
     out = rows.groupBy("file", "unit").agg(F.first(F.when(F.col("head"), F.col("kind")), ignorenulls=True).alias("utt_ref"), pick(F.col("head")).alias("tokens"), pick(F.col("kind") == "POS").alias("pos_tags"), pick(F.col("kind") == "REF").alias("refs"))
     split = lambda g: F.transform("tokens", lambda t: F.regexp_extract(t, "^(.*>)?([^>]*)$", g))
@@ -87,10 +92,12 @@ def lm_corpus(spark: SparkSession, path: str) -> DataFrame:
     """conv, caller, utt, act, tokens, pos_tags from pairs of lines."""
     lines = numbered_lines(spark, path).filter("value <> ''")
     is_pos = F.col("value").startswith("POS,")
-    rows = lines.withColumn("pos_line", F.lead("value").over(_in_file())).filter(~is_pos)
+    lines = spread(lines, unit=F.when(~is_pos, F.col("line_id")))
+    pairs = lines.groupBy("file", "unit").agg(F.first(F.when(~is_pos, F.col("value")), ignorenulls=True).alias("value"), F.first(F.when(is_pos, F.col("value")), ignorenulls=True).alias("pos_line"))
     ref = F.split(F.regexp_extract("value", "^([^,]*),", 1), ":")
     body = lambda c: F.split(F.regexp_replace(c, "^[^,]*,", ""), " ")
-    return rows.select(F.get(ref, F.lit(0)).alias("conv"), F.get(ref, F.lit(1)).alias("caller"), F.get(ref, F.lit(2)).cast("int").alias("utt"), F.get(ref, F.lit(3)).alias("act"), body("value").alias("tokens"), F.when(F.col("pos_line").startswith("POS,"), body("pos_line")).alias("pos_tags"))
+    rows = pairs.filter("value is not null")
+    return rows.select(F.get(ref, F.lit(0)).alias("conv"), F.get(ref, F.lit(1)).alias("caller"), F.get(ref, F.lit(2)).cast("int").alias("utt"), F.get(ref, F.lit(3)).alias("act"), body("value").alias("tokens"), F.when(F.col("pos_line").isNotNull(), body("pos_line")).alias("pos_tags"))
 
 
 def in_ranges(df: DataFrame, ranges: DataFrame, column: str = "conv") -> DataFrame:
@@ -166,9 +173,8 @@ def c5_xml(spark: SparkSession, path: str) -> DataFrame:
 def textgrid(spark: SparkSession, path: str) -> DataFrame:
     """file, tier, start, end, text of the intervals of TextGrid files; silence has an empty text."""
     lines = numbered_lines(spark, path).withColumn("value", F.trim("value"))
-    w = _in_file()
     field = lambda name: F.when(F.col("value").startswith(f"{name} = "), F.trim(F.regexp_replace("value", f'^{name} = |"', "")))
-    marked = lines.withColumn("tier", F.last(field("name"), ignorenulls=True).over(w)).withColumn("start", F.last(field("xmin").cast("double"), ignorenulls=True).over(w)).withColumn("end", F.last(field("xmax").cast("double"), ignorenulls=True).over(w))
+    marked = spread(lines, tier=field("name"), start=field("xmin").cast("double"), end=field("xmax").cast("double"))
     return marked.filter(F.col("value").startswith("text = ")).select(F.element_at(F.split("file", "/"), -1).alias("file"), "tier", "start", "end", field("text").alias("text"))
 
 

@@ -316,6 +316,21 @@ def test_percentile(spark):
     assert list(counted)[1:] == got
 
 
+def test_headers_carry_over_the_splits_of_a_file(spark, tmp_path):
+    lines = [x for s in range(6) for x in (f"Speaker: {s}A", "", *(f"(1:1:{i})\t{i}.0\t{i}.2\tw{s}x{i}\tNN\t<f/>" for i in range(40 * s)))]
+    (tmp_path / "one.text").write_text("\n".join(lines) + "\n")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in old:
+            spark.conf.set(k, "700")
+        assert readers.numbered_lines(spark, str(tmp_path)).select("block").distinct().count() > 10
+        got = readers.timed_corpus(spark, str(tmp_path), limit=False).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted((r["speaker"], r["pos"], r["word"]) for r in got) == [(f"{s}A", i, f"w{s}x{i}") for s in range(6) for i in range(40 * s)]
+
+
 def test_markup_and_tagged_lines(spark):
     df = spark.createDataFrame([("<?xml version='1.0'?>", True, False), ("  <bnc>", True, False), ("the/DT cat/NN ./.", False, True), ("the cat/NN", False, False), ("", False, False)], "line string, markup boolean, tagged boolean")
     assert df.filter((text.is_markup(F.col("line")) != F.col("markup")) | (text.is_tagged(F.col("line")) != F.col("tagged"))).isEmpty()
