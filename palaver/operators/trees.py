@@ -49,8 +49,3 @@ def word_pos(word_map: DataFrame, leaves: DataFrame) -> DataFrame:
     joined = word_map.join(leaves, ["conv_id", "utt", "leaf"], "left")
     tags = F.concat_ws("", F.transform(F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("leaf", "pos")))), lambda s: s["pos"]))
     return joined.groupBy("conv_id", "utt", "idx").agg(tags.alias("pos")).withColumn("pos", F.when(F.col("pos") == "", "null").otherwise(F.col("pos")))
-
-
-def matching_map(utterances: DataFrame, maps: DataFrame, length: str = "n_words") -> DataFrame:
-    """Utterances with their map, where the map has as many entries as the utterance has words."""
-    return utterances.join(maps, ["conv_id", "utt"], "left").withColumn("map", F.when(F.size("map") == F.col(length), F.col("map")))

@@ -9,14 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from palaver.functions import text
-from palaver.operators import joins
+from palaver.operators import decoding, joins
 from palaver.operators import language_model as lm
 from palaver.plans.tagger import Tagger
 from palaver.sources import readers, writers
 
 from .base import TAGGED, WORDS, folder, sql, table, tagged, words
 from .live import LABELS, make_session
-from .modelling import _TEST, _model
+from .modelling import _INC, _TEST, _model, _states
 from .scoring import _LOGS, _log
 
 UTT = ["conv_id", "utt"]
@@ -174,6 +174,31 @@ def tagged_files(spark: SparkSession, sf: str) -> DataFrame:
     return read.select(F.col("speaker").cast("long").alias("conv_id"), "update_no", F.col("pos_in_update").cast("long").alias("pos_in_update"), "word", "tag")
 
 
+def spelled_words(spark: SparkSession, sf: str) -> DataFrame:
+    """Words in the forms that a file of spelling rules gives them; the first rule that fits holds."""
+    at = folder(spark, "rules")
+    spark.createDataFrame([("(on|re)ly\tonly",), ("th.*\tthe",), ("the|of\tx",), ("# no rule",), ("[aeiou]+\tvowels",)], "value string").coalesce(1).write.text(at)
+    said = text.normalise_orthography(F.col("word"), readers.spelling_rules(spark, at))
+    return words(spark, sf).groupBy(said.alias("form")).agg(F.count(F.lit(1)).alias("n_words")).filter("n_words > 1")
+
+
+def transition_file(spark: SparkSession, sf: str) -> DataFrame:
+    """Transition probabilities of tag states as a matrix file, read back as pairs that occur."""
+    at = folder(spark, "transitions")
+    states = list(decoding.STATES)
+    counts = decoding.transition_counts(_states(spark, sf), ["conv_id", "speaker"], "pos", with_end=False)
+    ones = writers.transition_table(counts, states).select("prev", *(F.when(F.col(s) >= 0.01, 1).otherwise(0).alias(s) for s in states))
+    ones.write.csv(at, header=True)
+    return readers.transition_matrix(spark, at)
+
+
+def timed_emissions(spark: SparkSession, sf: str) -> DataFrame:
+    """Emissions with a timing classifier's opinion on whether a word begins an utterance."""
+    e = (-(F.length("word") % 11) / F.lit(2.0)).cast("double")
+    weighed = decoding.timing_weight(e, F.col("idx") == 0, 1 / (1 + F.length("word")))
+    return words(spark, sf).groupBy((F.col("idx") == 0).alias("first"), F.length("word").alias("length")).agg(F.count(F.lit(1)).alias("n_words"), F.round(F.max(weighed), 6).alias("emission"))
+
+
 def language_model_features(spark: SparkSession, sf: str) -> DataFrame:
     """Scores of each word in place, and what they gain when the one to eight words before it are cut out."""
     model, _ = _model(spark, sf)
@@ -184,7 +209,7 @@ def language_model_features(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        clean_corpus_files, division_file, relaxed_annotation_file, transcript_files, acoustic_frame_files, error_rate_files, c5_files, textgrid_files, model_files, feature_files, results_file, encoded_log, parsed_trees, tagged_files, language_model_features,
+        clean_corpus_files, division_file, relaxed_annotation_file, transcript_files, acoustic_frame_files, error_rate_files, c5_files, textgrid_files, model_files, feature_files, results_file, encoded_log, parsed_trees, tagged_files, spelled_words, transition_file, timed_emissions, language_model_features,
     )
 }
 
@@ -216,6 +241,9 @@ SELECT conv_id, update_no, pos, word_idx, coalesce(lag(word_idx) OVER (PARTITION
         WORDS,
         r"""SELECT conv_id, utt, bool_and(regexp_replace(word, '[()\s]', '', 'g') = word) AS same, CAST(count(*) AS INTEGER) AS n_leaves, coalesce(string_agg(CASE WHEN length(word) > 3 THEN 'NN' ELSE 'DT' END, ' ' ORDER BY idx) FILTER (WHERE idx % 6 <> 5), '') AS pos, CAST(count(*) AS INTEGER) AS n_split FROM words GROUP BY 1, 2""",
     ),
+    "spelled_words": sql(WORDS, "SELECT CASE WHEN regexp_full_match(word, '(on|re)ly') THEN 'only' WHEN regexp_full_match(word, 'th.*') THEN 'the' WHEN regexp_full_match(word, 'the|of') THEN 'x' WHEN regexp_full_match(word, '[aeiou]+') THEN 'vowels' ELSE word END AS form, count(*) AS n_words FROM words GROUP BY 1 HAVING count(*) > 1"),
+    "transition_file": sql(TAGGED + _INC, "SELECT prev, next, CAST(1 AS INTEGER) AS n FROM (SELECT prev, next, round(count(*) / sum(count(*)) OVER (PARTITION BY prev), 3) AS p FROM tr GROUP BY 1, 2) WHERE p >= 0.01"),
+    "timed_emissions": sql(WORDS, "SELECT idx = 0 AS first, CAST(length(word) AS INTEGER) AS length, count(*) AS n_words, round(max(-(length(word) % 11) / 2.0::DOUBLE + log2(2 * CASE WHEN idx = 0 THEN 1 / (1 + length(word)) ELSE 1 - 1 / (1 + length(word)) END + 2)), 6) AS emission FROM words GROUP BY 1, 2"),
     "language_model_features": sql(
         _TEST.replace("\nq AS (", """
 ex AS (SELECT w.conv_id, w.utt, w.idx, k, coalesce(x.word, '<s>') AS a, coalesce(y.word, '<s>') AS b, w.word AS c FROM words w JOIN (SELECT unnest(range(9)) AS k) ON k <= w.idx

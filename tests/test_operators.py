@@ -357,9 +357,9 @@ def test_frames_and_files(spark, tmp_path):
     assert {tuple(r) for r in readers.transition_matrix(spark, str(tmp_path / "m.csv")).collect()} == {("f", "f", 1), ("f", "e", 1), ("s", "f", 1)}
     (tmp_path / "c.csv").write_text("exp,window,lr,pos,note\n001,2,0.05,True,\n002,3,0.1,False,x\n")
     assert readers.experiment_config(spark, str(tmp_path / "c.csv"), "2") == {"exp": 2, "window": 3, "lr": 0.1, "pos": False, "note": "x"}
-    (tmp_path / "lm.text").write_text("4103:A:0:sv,the question was\nPOS,DT NN VBD\n")
+    (tmp_path / "lm.text").write_text("77:B:3:qy,is tea ready\nPOS,VBZ NN JJ\n")
     row = readers.lm_corpus(spark, str(tmp_path / "lm.text")).first()
-    assert (row["conv"], row["caller"], row["utt"], row["act"], row["tokens"], row["pos_tags"]) == ("4103", "A", 0, "sv", ["the", "question", "was"], ["DT", "NN", "VBD"])
+    assert (row["conv"], row["caller"], row["utt"], row["act"], row["tokens"], row["pos_tags"]) == ("77", "B", 3, "qy", ["is", "tea", "ready"], ["VBZ", "NN", "JJ"])
     (tmp_path / "x.xml").write_text('<s n="1"><w c5="AT0" hw="the">The </w><w c5="NN1">cat </w></s>\n')
     assert [(r["pos"], r["word"]) for r in readers.c5_xml(spark, str(tmp_path / "x.xml")).orderBy("at").collect()] == [("AT0", "The"), ("NN1", "cat")]
     frames = spark.createDataFrame([("a", f, float(f)) for f in range(5)], "speaker string, frame int, intensity double")
