@@ -251,3 +251,16 @@ def brute_force(rows: list[tuple[int, list | None]], threshold: float = THRESHOL
             p, q = sorted((find(a), find(b)))
             root[q] = p
     return {k: (links[k], find(k)) for k in root}
+
+
+#: All pairs and what they reach: for small tables. It is exact, as the index is where its recall is 1.
+ORACLE = f"""
+WITH RECURSIVE ok AS (
+  SELECT vec_id, list_transform(embedding, lambda c: CAST(c AS DOUBLE)) AS v FROM embeddings
+  WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0 AND len(list_filter(embedding, lambda c: c <> 0)) > 0),
+pair AS (SELECT x.vec_id AS a, y.vec_id AS b FROM ok x JOIN ok y ON x.vec_id < y.vec_id AND len(x.v) = len(y.v) WHERE list_cosine_similarity(x.v, y.v) >= {THRESHOLD}),
+link AS (SELECT a, b FROM pair UNION ALL SELECT b, a FROM pair),
+reach AS (SELECT vec_id, vec_id AS other FROM embeddings WHERE vec_id IS NOT NULL UNION SELECT r.vec_id, l.b FROM reach r JOIN link l ON l.a = r.other),
+least AS (SELECT vec_id, min(other) AS component_id FROM reach GROUP BY 1),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM link GROUP BY 1)
+SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, least.component_id, e.vec_id = least.component_id AS kept FROM embeddings e LEFT JOIN n USING (vec_id) LEFT JOIN least USING (vec_id)"""

@@ -20,4 +20,5 @@ ORACLES = {
     "op1_decontaminate": decontamination.ORACLE,
     "op5_chat_format": chats.ORACLE,
     "op6_secrets": secrets.ORACLE,
+    "op10_embedding_dedup": pivots.ORACLE,
 }

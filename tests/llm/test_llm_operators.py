@@ -653,6 +653,20 @@ def test_pivot_recall_at_the_threshold(spark, n_pivots, monkeypatch):
     assert got.agg(F.sum("n_links")).first()[0] >= 0.95 * 4000
 
 
+def test_embedding_twin_on_linked_vectors(spark, tmp_path):
+    r = np.random.default_rng(3)
+    x = r.normal(size=(120, 8))
+    x[40:] = x[:80] + r.normal(size=(80, 8)) * 0.15
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(200, None), (201, [0.0] * 8), (202, [float("nan")] * 8), (203, [1.0, 2.0]), (204, [3.0, 6.0]), (205, x[3].tolist())]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    check(pivots.op10_embedding_dedup(spark, str(tmp_path)), con, pivots.ORACLE)
+    assert con.execute(f"SELECT sum(n_links) FROM ({pivots.ORACLE})").fetchone()[0] > 50
+
+
 def test_pivots_on_clustered_vectors(spark):
     """20,000 vectors in clusters of 1 to 400 around the threshold, against brute force in blocks."""
     r = np.random.default_rng(9)
