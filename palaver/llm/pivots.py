@@ -221,8 +221,8 @@ def near_duplicates(embeddings: DataFrame, threshold: float = THRESHOLD, nearest
         found = materialise(found)
         counts = found.filter("b is null").groupBy(F.col("a").alias("cls")).agg(F.sum("n").alias("links"))
         roots = materialise(connected_components(found.filter("b is not null").select("a", "b")))
-        names = roots.join(classes.select("cls", "id"), F.col("node") == F.col("cls")).groupBy("root").agg(F.min("id").alias("least"))
-        of = roots.join(names, "root").select(F.col("node").alias("cls"), "least")
+        names = roots.join(classes.select("cls", "id"), F.col("node") == F.col("cls")).groupBy("root").agg(F.min("id").alias("least"), F.count(F.lit(1)).alias("nodes"))
+        of = join_counted(roots, materialise(names), ["root"], "nodes").select(F.col("node").alias("cls"), "least")
         named = named.join(counts, "cls", "left").join(of, "cls", "left").select("v", "n", F.coalesce("least", "id").alias("component_id"), (F.coalesce("links", F.lit(0).cast("long")) + F.col("n") - 1).alias("n_links"))
     linked = join_counted(good.select("vec_id", "v"), materialise(named), ["v"], "n").select("vec_id", "n_links", "component_id")
     alone = marked.filter("not usable").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))

@@ -299,8 +299,8 @@ def near_duplicates(docs: DataFrame, scheme: Scheme = CLOSE, row: str | None = N
     classes = materialise(thin.groupBy(*prints).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).withColumn("cls", F.monotonically_increasing_id()))
     roots = materialise(connected_components(link_forest(classes, scheme)))
     of = roots.join(classes.select("cls", "first"), F.col("node") == F.col("cls"))
-    names = of.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = roots.join(names, "root").select(F.col("node").alias("cls"), "root", "component_id")
+    names = of.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
+    named = join_counted(roots, materialise(names), ["root"], "nodes").select(F.col("node").alias("cls"), "root", "component_id")
     full = classes.join(named, "cls", "left").select(*prints, "n", F.coalesce("root", "cls").alias("root"), F.coalesce("component_id", "first").alias("component_id"))
     return join_counted(thin, materialise(full), prints, "n").select("doc_id", *prints, "component_id", *([row, "root"] if row else []))
 
