@@ -195,7 +195,7 @@ def word_features(df: DataFrame, model: DataFrame, by: list[str], at: str, word:
     lp, lp1 = log2_or_zero(F.col("p")), log2_or_zero(F.col("p1"))
     each = scored.select(*by, at, "k", lp.alias("lp"), lp1.alias("lp1"), safe_div(lp, -lp1).alias("wml"))
     of = lambda c, k: F.max(F.when(F.col("k") == k, F.col(c)))
-    gains = [F.round(of(c, k) - of(c, 0), 6).alias(f"{name}_{k}") for k in range(1, k_max + 1) for c, name in (("lp", "boost"), ("wml", "wml_boost"))]
+    gains = [(F.round(of(c, k) - of(c, 0), 6) + F.lit(0.0)).alias(f"{name}_{k}") for k in range(1, k_max + 1) for c, name in (("lp", "boost"), ("wml", "wml_boost"))]
     return each.groupBy(*by, at).agg(F.round(of("lp", 0), 6).alias("logprob"), F.round(of("lp1", 0), 6).alias("logprob1"), F.round(of("wml", 0), 6).alias("wml"), *gains)
 
 

@@ -214,7 +214,7 @@ QUERIES = {
 }
 
 _VOCABULARY = ", vc AS (SELECT word, row_number() OVER (ORDER BY encode(word)) - 1 AS i FROM (SELECT word FROM words GROUP BY 1 HAVING count(*) >= 3))"
-_BOOSTS = ", ".join(f"round(max(lp) FILTER (WHERE k = {k}) - max(lp) FILTER (WHERE k = 0), 6) AS boost_{k}, round(max(wml) FILTER (WHERE k = {k}) - max(wml) FILTER (WHERE k = 0), 6) AS wml_boost_{k}" for k in range(1, 9))
+_BOOSTS = ", ".join(f"round(max(lp) FILTER (WHERE k = {k}) - max(lp) FILTER (WHERE k = 0), 6) + 0.0 AS boost_{k}, round(max(wml) FILTER (WHERE k = {k}) - max(wml) FILTER (WHERE k = 0), 6) + 0.0 AS wml_boost_{k}" for k in range(1, 9))
 
 ORACLES = {
     "clean_corpus_files": sql(WORDS, "SELECT conv_id, speaker AS caller, CAST(utt AS INTEGER) AS utt, CAST(count(*) AS INTEGER) AS n_words, md5(string_agg(word, ' ' ORDER BY idx)) AS words_md5, CAST(count(*) FILTER (WHERE length(word) > 3) AS INTEGER) AS n_nouns FROM words GROUP BY conv_id, speaker, utt"),

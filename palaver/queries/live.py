@@ -11,7 +11,7 @@ from palaver.operators import decoding, networks, repairs, source_model, trees
 from palaver.sources import readers, writers
 from palaver.streaming import tagger
 
-from .base import TAGGED, WORDS, folder, sql, table, tagged, words
+from .base import TAGGED, WORDS, folder, materialised, sql, table, tagged, words
 from .modelling import _model, pos_for_word
 
 UTT = ["conv_id", "utt"]
@@ -116,7 +116,7 @@ def _scored(spark: SparkSession, sf: str, of=lambda w: w) -> DataFrame:
     rows = u.select(*UTT, F.posexplode(F.arrays_zip("word", "tag")).alias("idx", "z")).select(*UTT, "idx", "z.word", "z.tag")
     known = model.filter(F.col("order") == 1).select("word", F.lit(True).alias("known"))
     rows = rows.join(known, "word", "left").withColumn("word", F.when(F.col("known"), F.col("word")).otherwise("<unk>")).drop("known")
-    return source_model.source_scores(rows, model, UTT, "idx")
+    return source_model.source_scores(materialised(rows, "spoken"), model, UTT, "idx")
 
 
 def source_scores(spark: SparkSession, sf: str) -> DataFrame:
