@@ -6,7 +6,7 @@ The covariance V of the fit list (every distinct vector once) is never formed. A
 * every new block is orthogonalised twice against the whole basis and within itself;
 * directions that vanish there (the basis spans an invariant subspace, as with equal or few distinct values) break the iteration down: it restarts with fresh random directions in their place, unless the basis is the whole space;
 * a basis of ``BASIS`` blocks is restarted from its leading Ritz vectors;
-* it ends when each wanted pair has a residual |V u - e u| of at most ``TOLERANCE`` of the largest e, or, where rounding allows no better, when residuals below ``NEAR`` stop falling.
+* it ends when each wanted pair has a residual |V u - e u| of at most ``TOLERANCE`` of the largest e, or, where rounding allows no better, when residuals below ``NEAR`` have not fallen for ``BASIS`` passes.
 
 The trace of V comes from the deviations: the sum over dimensions of (n x - S)^2, exact in whole numbers, summed over the fit list and divided by n^3. So the share that a component explains needs no further component.
 
@@ -29,7 +29,7 @@ from .common import free_name, materialise, read_table
 
 COMPONENTS = 16
 #: Vectors added a pass, and blocks after which the basis is restarted.
-BLOCK, BASIS = 16, 12
+BLOCK, BASIS = 16, 24
 TOLERANCE, NEAR, RANK = 1e-14, 1e-10, 1e-12
 PASSES = 1000
 SEED = 11
@@ -115,10 +115,10 @@ def block_lanczos(times, dimensions: int, wanted: int, size: int = BLOCK, most:
     """(eigenvalues, unit eigenvectors, passes) of the ``wanted`` largest eigenvalues of a symmetric operator given as ``times(block)``."""
     rng = np.random.default_rng(seed)
     wanted = min(wanted, dimensions)
-    size = min(max(size, 1), dimensions)
+    size = min(max(size, wanted), dimensions)  # an eigenvalue shows no more copies than the block has vectors
     basis, images = np.empty((dimensions, 0)), np.empty((dimensions, 0))
     block = _orthonormal(np.empty((dimensions, 0)), basis, 0.0, rng, size)
-    worst_before = np.inf
+    best, best_pass = np.inf, 0
     for passes in range(1, PASSES + 1):
         basis, images = np.column_stack([basis, block]), np.column_stack([images, times(block)])
         small = basis.T @ images
@@ -129,15 +129,17 @@ def block_lanczos(times, dimensions: int, wanted: int, size: int = BLOCK, most:
         u = basis @ vectors[:, :wanted]
         residuals = np.linalg.norm(images @ vectors[:, :wanted] - u * values[:wanted], axis=0)
         worst = residuals.max() / top if top > 0 else 0.0
-        if basis.shape[1] >= dimensions or (basis.shape[1] >= wanted and (worst <= TOLERANCE or NEAR > worst >= worst_before / 2)):
+        if worst < 0.9 * best:
+            best, best_pass = worst, passes
+        if basis.shape[1] >= dimensions or (basis.shape[1] >= wanted and (worst <= TOLERANCE or (worst < NEAR and passes - best_pass >= most))):
             return values[:wanted], u, passes
-        worst_before = worst
+        # what the operator adds to the whole basis; the residuals of all Ritz vectors lie in it, so it goes on from the leading ones after a restart
         last = images[:, -block.shape[1] :]
+        step = last - basis @ (basis.T @ last)
+        step -= basis @ (basis.T @ step)
         if basis.shape[1] + size > max(most * size, 2 * wanted + size):
             keep = vectors[:, : wanted + size]
             basis, images = basis @ keep, images @ keep
-        # what the operator adds to the basis; after a restart, that of the leading vectors is as good
-        step = last - basis @ (basis.T @ last)
         block = _orthonormal(step, basis, top, rng, size)
         if not block.shape[1]:
             return values[:wanted], u, passes
