@@ -6,8 +6,8 @@ are what joining gives for the two alone. So each prefix of a text has one last
 Aho-Corasick automaton finds them all) it is the one that is compatible with the last piece of the prefix before it. The table holds one piece a prefix; ids are read off from the end
 backwards. Time is linear in the text, whatever its words; nothing is joined but the two pieces of a compatibility test, whose outcome is kept.
 
-A character that no piece is made of is a symbol of its own and is written as the pieces of its UTF-8 bytes. Blanks are read as U+2581, and one stands before a text that is not empty. If no piece holds
-U+2581 behind another character, nothing is joined across that border, so a text falls into words whose ids are kept.
+A character that no piece is made of is a symbol of its own and is written as the pieces of its UTF-8 bytes. Blanks are read as U+2581, and one stands before a text that is not empty. Nothing is joined across a
+border that no piece reaches over: around a character that is in no longer piece and, if no piece holds U+2581 behind another character, before U+2581. So a text falls into words whose ids are kept.
 
 ``decode`` is the inverse: surfaces end to end, U+2581 as blanks, one leading blank taken off, runs of byte pieces read as UTF-8 with U+FFFD for each byte that is no part of a character,
 control pieces left out, unknown ones by their surface.
@@ -23,6 +23,7 @@ import hashlib
 import re
 from dataclasses import dataclass
 from itertools import pairwise
+from struct import pack
 
 import ahocorasick
 import numpy as np
@@ -36,7 +37,7 @@ MODEL = "piece_bpe_32k.model"
 #: The vocabulary goes to every executor; a larger file is refused.
 MAX_MODEL_BYTES = 64 << 20
 #: Words whose ids, and pairs of pieces whose test, a worker keeps; then it starts anew. Longer words than KEPT_LETTERS are not kept.
-MEMO_WORDS, MEMO_PAIRS, KEPT_LETTERS = 200_000, 1_000_000, 64
+MEMO_WORDS, MEMO_PAIRS, KEPT_LETTERS = 400_000, 1_000_000, 64
 
 MARK = "▁"
 _LOST = "�".encode()
@@ -92,13 +93,8 @@ def join_up(symbols: list[str], scores: dict[str, float], border: int = 0) -> li
         symbols[at : at + 2] = [symbols[at] + symbols[at + 1]]
 
 
-#: Pairs of pieces are kept as one number; no vocabulary has as many ids.
-PAIR = 1 << 32
-
-
-def _itself(character: str) -> tuple[int, str, int]:
-    """The entry of a character that no piece stands for, with a number below all ids."""
-    return 1, character, -1 - ord(character)
+#: Of a piece that may be the last of a prefix: its size, itself, its id (-1: a character that no piece stands for), and for ids that may follow whether they are compatible.
+Entry = tuple[int, str, int, dict[int, bool]]
 
 
 class PrefixTable:
@@ -115,28 +111,38 @@ class PrefixTable:
         self.automaton = ahocorasick.Automaton()
         for piece, i in normal.items():
             if join_up(list(piece), self.scores) == [piece]:
-                self.automaton.add_word(piece, (len(piece), piece, i))
+                self.automaton.add_word(piece, (len(piece), piece, i, {}))
         self.automaton.make_automaton()
-        self.compatible: dict[int, bool] = {}
-        in_front = all(MARK not in p.lstrip(MARK) for p in normal)
-        self.words = re.compile(f"{MARK}+[^{MARK}]*|[^{MARK}]+" if in_front else ".+", re.DOTALL).findall
+        self.tested: list[dict[int, bool]] = []  # one item a pair that is kept
+        self.characters: dict[str, Entry] = {}
+        longer = [p for p in normal if len(p) > 1]
+        joined = re.escape("".join(sorted(set("".join(longer)) - {MARK}))) or MARK
+        in_front = all(MARK not in p.lstrip(MARK) for p in longer)
+        self.words = re.compile(f"{MARK}+[{joined}]*|[{joined}]+|[^{joined}{MARK}]" if in_front else f"[{joined}{MARK}]+|[^{joined}{MARK}]").findall
         self.known: dict[str, bytes] = {}
         surface = {NORMAL: lambda p: p.replace(MARK, " ").encode(), BYTE: lambda p: bytes([int(p[1:-1], 16)]), CONTROL: lambda p: b"", UNKNOWN: lambda p: vocabulary.unknown_surface.encode()}
         self.surfaces = [surface[k](p) for p, k in zip(vocabulary.pieces, vocabulary.kinds, strict=True)]
         self.controls = {i for i, k in enumerate(vocabulary.kinds) if k == CONTROL}
         self.marked = [p.startswith(MARK) and k == NORMAL for p, k in zip(vocabulary.pieces, vocabulary.kinds, strict=True)]
 
-    def _fits(self, key: int, before: str, piece: str) -> bool:
-        if len(self.compatible) >= MEMO_PAIRS:
-            self.compatible.clear()
-        fits = self.compatible[key] = join_up([*before, *piece], self.scores, len(before)) is not None
+    def _fits(self, before: Entry, found: Entry) -> bool:
+        if len(self.tested) >= MEMO_PAIRS:
+            for followers in self.tested:
+                followers.clear()
+            self.tested.clear()
+        self.tested.append(before[3])
+        fits = before[3][found[2]] = join_up([*before[1], *found[1]], self.scores, before[0]) is not None
         return fits
 
+    def _itself(self, character: str) -> Entry:
+        if len(self.characters) >= MEMO_WORDS:
+            self.characters.clear()
+        return self.characters.setdefault(character, (1, character, -1, {}))
+
     def word_ids(self, word: str) -> list[int]:
         """Ids of a text of marks and characters, from its table of last pieces."""
-        # of the prefix that ends behind each character: the last piece as (size, piece, id)
-        last: list[tuple[int, str, int] | None] = [None] * len(word)
-        known = self.compatible.get
+        # of the prefix that ends behind each character: its last piece
+        last: list[Entry | None] = [None] * len(word)
         for end, found in self.automaton.iter(word):
             if last[end] is None:
                 start = end - found[0]
@@ -145,14 +151,13 @@ class PrefixTable:
                     continue
                 before = last[start]
                 if before is None:
-                    before = last[start] = _itself(word[start])
-                key = before[2] * PAIR + found[2]
-                fits = known(key)
-                if fits or (fits is None and self._fits(key, before[1], found[1])):
+                    before = last[start] = self._itself(word[start])
+                fits = before[3].get(found[2])
+                if fits or (fits is None and self._fits(before, found)):
                     last[end] = found
         out, at = [], len(word) - 1
         while at >= 0:
-            size, piece, i = last[at] or _itself(word[at])
+            size, piece, i, _ = last[at] or self._itself(word[at])
             if i >= 0:
                 out.append(i)
             else:
@@ -162,7 +167,8 @@ class PrefixTable:
         return out
 
     def _word(self, word: str) -> bytes:
-        ids = np.array(self.word_ids(word), "<u4").tobytes()
+        ids = self.word_ids(word)
+        ids = pack(f"<{len(ids)}I", *ids)
         if len(word) <= KEPT_LETTERS:
             if len(self.known) >= MEMO_WORDS:
                 self.known.clear()
