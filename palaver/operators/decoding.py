@@ -205,6 +205,53 @@ def best_paths(df: DataFrame, labels: list[str], weights: dict[tuple[str, str],
     return df.select(*kept, emissions).mapInArrow(run, schema)
 
 
+def n_best_paths(df: DataFrame, labels: list[str], weights: dict[tuple[str, str], float], n: int, emissions: str = "emissions", end_weights: dict[str, float] | None = None) -> DataFrame:
+    """``df`` (one row per utterance) with ``paths``: its ``n`` best label paths with their scores, best first; fewer where fewer are allowed. Emissions of -inf forbid a label.
+
+    Every cell of the lattice holds the best ``n`` ways to reach it, merged from the ranked ways to all cells before it, so ``n`` may exceed the number of labels. Equal scores go to the
+    path whose last label has the lower index, then to the one whose last but one has, and so on. An utterance needs words x labels x ``n`` numbers of memory.
+    """
+    kept = [c for c in df.columns if c != emissions]
+    matrix = np.array([[weights.get((p, q), -np.inf) for q in labels] for p in [*labels, START]])
+    ends = np.array([0.0 if end_weights is None else end_weights.get(s, -np.inf) for s in labels])
+    kind = pa.list_(pa.struct([("path", pa.list_(pa.int32())), ("score", pa.float64())]))
+
+    def first(scores: np.ndarray) -> np.ndarray:
+        """Places of the ``n`` largest of the scores that are allowed, in order; of equal ones the first."""
+        at = np.flatnonzero(scores > -np.inf)
+        if at.size > n:
+            at = at[scores[at] >= np.partition(scores[at], at.size - n)[at.size - n]]
+        return at[np.argsort(-scores[at], kind="stable")][:n]
+
+    def ranked(rows: np.ndarray) -> list[dict]:
+        # ways[j]: scores of the ranked ways to label j; a way is known by its place among all ways of its column
+        ways = [np.array([x]) if x > -np.inf else np.empty(0) for x in matrix[-1] + rows[0]]
+        columns = [(np.repeat(np.arange(len(labels)), [w.size for w in ways]).astype(np.int32), None)]
+        for row in rows[1:]:
+            before, of = np.concatenate(ways), columns[-1][0]
+            through = [(before + matrix[of, j]) + row[j] for j in range(len(labels))]
+            best = [first(t) for t in through]
+            ways = [t[b] for t, b in zip(through, best, strict=True)]
+            columns.append((np.repeat(np.arange(len(labels)), [b.size for b in best]).astype(np.int32), np.concatenate(best).astype(np.int32)))
+        scores = np.concatenate(ways) + ends[columns[-1][0]]
+        out = []
+        for at in first(scores):
+            path, k = [], at
+            for of, back in reversed(columns):
+                path.append(int(of[k]))
+                k = back[k] if back is not None else k
+            out.append({"path": path[::-1], "score": float(scores[at])})
+        return out
+
+    def run(batches):
+        for batch in batches:
+            found = [ranked(np.array(rows, float)) if rows else [] for rows in batch.column(len(kept)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(kept)], pa.array(found, kind)], names=[*kept, "paths"])
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.select(*kept).dtypes) + ", paths array<struct<path:array<int>,score:double>>"
+    return df.select(*kept, emissions).mapInArrow(run, schema)
+
+
 def timing_weight(log_emission: Column, is_first: Column, p_first: Column, weight: float = 2.0) -> Column:
     """An emission with the timing classifier's opinion: weight * P(class) + weight multiplies the transition."""
     p = F.when(is_first, p_first).otherwise(1 - p_first)

@@ -283,4 +283,35 @@ def tagged_files(spark, sf):
     return out
 
 
-BRUTE = {f.__name__: f for f in (word_alignments, ranked_alignments, carried_labels, common_runs, repair_classes, network_emissions, timing_classifier, tag_updates, tag_updates_final, tagged_files)}
+def fluent_sequences(spark, sf):
+    """The best taggings by growing plain lists of tags, scored with the model's rows."""
+    import plain_source
+
+    from palaver.queries.modelling import _model
+
+    rows = [tuple(r) for r in _model(spark, sf)[0].select("order", "context", "word", "num", "den", "nz").collect()]
+    p, known = plain_source.Trigrams(rows).p, {r[2] for r in rows if r[0] == 1}
+    log2 = lambda x: math.log2(x) if x > 0 else -math.inf
+    out = []
+    for key, said in _utterances(spark, sf, "word").items():
+        front = [(0.0, [], ["<s>", "<s>"], 0)]
+        for i, row in enumerate(said):
+            word, grown = row["word"] if row["word"] in known else "<unk>", []
+            for score, tags, context, edited in front:
+                end = log2(p(context, "</s>")) if i else 0.0
+                grown.append((score + end + log2(p(["<s>", "<s>"], word)), [*tags, "s"], ["<s>", word], 0))
+                if edited < 2:
+                    grown.append((score + math.log2(0.01), [*tags, "e"], context, edited + 1))
+                if context[1] != "<s>":
+                    grown.append((score + log2(p(context, word)), [*tags, "f"], [context[1], word], 0))
+            front, seen = [], {}
+            for h in sorted(grown, key=lambda h: -h[0]):
+                state = (*h[2], h[3])
+                seen[state] = seen.get(state, 0) + 1
+                if seen[state] <= 3 and h[0] > -math.inf:
+                    front.append(h)
+        out += [(*key, rank, "".join(h[1]), round(h[0], 6)) for rank, h in enumerate(front[:3])]
+    return out
+
+
+BRUTE = {f.__name__: f for f in (fluent_sequences, word_alignments, ranked_alignments, carried_labels, common_runs, repair_classes, network_emissions, timing_classifier, tag_updates, tag_updates_final, tagged_files)}

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+import plain_source
 from pyspark.sql import functions as F
 
 from palaver.functions import numbers, tags, text
@@ -159,11 +160,11 @@ def test_source_model_agrees_with_table(spark):
     s = spark.createDataFrame([("a b a b c".split(),), ("a c b".split(),)], "tokens array<string>")
     model = lm.train(s).cache()
     rows = [tuple(r) for r in model.select("order", "context", "word", "num", "den", "nz").collect()]
-    t = source_model.Trigrams(rows)
+    t = plain_source.Trigrams(rows)
     grams = spark.createDataFrame([("a b", "c"), ("<s> <s>", "a"), ("q q", "b"), ("a b", "z")], "context string, word string")
     for r in lm.probabilities(grams, model).collect():
         assert abs(t.p(r["context"].split(), r["word"]) - r["p"]) < 1e-12
-    m = source_model.SourceModel(t.p)
+    m = plain_source.SourceModel(t.p)
     for w in "a b c".split():
         m.add(w)
     first = m.score(("<s/>", "<f/>", "<e/>"))[0]

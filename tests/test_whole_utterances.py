@@ -1,8 +1,9 @@
 import math
 
+import plain_source
 from pyspark.sql import functions as F
 
-from palaver.operators import alignment, source_model
+from palaver.operators import alignment
 from palaver.queries import QUERIES
 from palaver.queries.base import words
 from palaver.queries.modelling import _model
@@ -41,7 +42,7 @@ def test_network_emissions_and_alignments_cover_every_word(spark):
 def test_source_scores_and_excisions_cover_all_conversations(spark):
     w = words(spark, SF)
     rows = [tuple(r) for r in _model(spark, SF)[0].select("order", "context", "word", "num", "den", "nz").collect()]
-    p = source_model.Trigrams(rows).p
+    p = plain_source.Trigrams(rows).p
     said: dict = {}
     for r in w.filter("speaker = 'user'").orderBy(*UTT, "idx").collect():
         said.setdefault((r["conv_id"], r["utt"]), []).append(r["word"])
@@ -59,7 +60,7 @@ def test_source_scores_and_excisions_cover_all_conversations(spark):
 
 
 def test_source_model_scores_long_utterances():
-    m = source_model.SourceModel(lambda context, word: 0.5)
+    m = plain_source.SourceModel(lambda context, word: 0.5)
     for _ in range(3000):
         m.add("w")
     assert m.score(("<f/>",) * 3000)[0] == -3000.0
