@@ -49,30 +49,34 @@ def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """conv_id, speaker, utt, idx, n (words in the utterance), pos (place within conversation and speaker), word, start_ms, end_ms.
 
     Places within an utterance come from its array of words. Places within a conversation are running sums over one light row a turn, joined back by turn; so texts are
-    shuffled at most once, by conversation and turn, and a long conversation is spread over tasks.
+    shuffled at most once, by conversation and turn, and a long conversation is spread over tasks. Rows that repeat a turn each give their words, all from the place where
+    that turn begins, and the next turn begins behind all of them; rows without conversation or turn number give none.
     """
     turns = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
     said = F.filter(F.transform(F.split(F.lower("text"), r"\s+"), lambda w: F.regexp_replace(w, "[.,\"?()/']", "")), lambda w: w != "")
     spoken = turns.select("conv_id", F.col("role").alias("speaker"), F.col("turn").alias("utt"), said.alias("said")).filter(F.size("said") > 0)
     letters = F.aggregate("said", F.lit(0), lambda n, w: n + F.length(w))
     before = Window.partitionBy("conv_id", "speaker").orderBy("utt").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = spoken.select("conv_id", "speaker", "utt", F.size("said").alias("n"), letters.alias("letters"))
+    sizes = spoken.select("conv_id", "speaker", "utt", F.size("said").alias("n"), letters.alias("letters")).repartition("conv_id", "speaker")
+    sizes = sizes.groupBy("conv_id", "speaker", "utt").agg(F.sum("n").alias("n"), F.sum("letters").alias("letters"))
     so_far = lambda c: F.coalesce(F.sum(c).over(before), F.lit(0))
-    offsets = sizes.select("conv_id", "utt", so_far("n").alias("words_before"), so_far("letters").alias("letters_before"))
+    offsets = sizes.select("conv_id", F.col("speaker").alias("__speaker"), "utt", so_far("n").alias("words_before"), so_far("letters").alias("letters_before"))
     upto = F.aggregate("said", F.array(F.lit(0)), lambda done, w: F.concat(done, F.array(F.element_at(done, -1) + F.length(w))))
-    placed = spoken.join(offsets, ["conv_id", "utt"]).select("*", upto.alias("upto"))
+    turn = (spoken["conv_id"] == offsets["conv_id"]) & (spoken["utt"] == offsets["utt"]) & spoken["speaker"].eqNullSafe(offsets["__speaker"])
+    placed = spoken.join(offsets, turn).select(spoken["*"], "words_before", "letters_before").select("*", upto.alias("upto"))
     each = placed.select("*", F.posexplode("said").alias("idx", "word"))
     at = lambda i: ((F.col("letters_before") + F.get("upto", i)) * CHAR_MS).cast("long")
     return each.select("conv_id", "speaker", "utt", "idx", F.size("said").alias("n"), (F.col("words_before") + F.col("idx")).cast("long").alias("pos"), "word", at(F.col("idx")).alias("start_ms"), at(F.col("idx") + 1).alias("end_ms"))
 
 
 WORDS = """
-w0 AS (SELECT conv_id, turn, role, unnest(range(len(l))) AS p, unnest(l) AS raw FROM (SELECT conv_id, turn, role, string_split_regex(lower(text), '\\s+') AS l FROM conversations)),
-w1 AS (SELECT conv_id, role AS speaker, turn AS utt, p, regexp_replace(raw, '[.,"?()/'']', '', 'g') AS word FROM w0),
+w0 AS (SELECT conv_id, role AS speaker, turn AS utt, list_filter(list_transform(string_split_regex(lower(text), '\\s+'), lambda w: regexp_replace(w, '[.,"?()/'']', '', 'g')), lambda w: w <> '') AS l FROM conversations),
+w1 AS (SELECT conv_id, speaker, utt, CAST(sum(len(l)) AS BIGINT) AS n, CAST(sum(length(array_to_string(l, ''))) AS BIGINT) AS letters FROM w0 WHERE len(l) > 0 GROUP BY 1, 2, 3),
+w2 AS (SELECT conv_id, speaker, utt, CAST(sum(n) OVER line - n AS BIGINT) AS n, CAST(sum(letters) OVER line - letters AS BIGINT) AS letters FROM w1 WINDOW line AS (PARTITION BY conv_id, speaker ORDER BY utt)),
 words AS (
-  SELECT conv_id, speaker, utt, CAST(row_number() OVER (PARTITION BY conv_id, utt ORDER BY p) - 1 AS INTEGER) AS idx, CAST(count(*) OVER (PARTITION BY conv_id, utt) AS INTEGER) AS n,
-    row_number() OVER line - 1 AS pos, word, CAST(sum(80 * length(word)) OVER line - 80 * length(word) AS BIGINT) AS start_ms, CAST(sum(80 * length(word)) OVER line AS BIGINT) AS end_ms
-  FROM w1 WHERE word <> '' WINDOW line AS (PARTITION BY conv_id, speaker ORDER BY utt, p))"""
+  SELECT w.conv_id, w.speaker, w.utt, w.idx, w.len AS n, w2.n + w.idx AS pos, w.l[w.idx + 1] AS word,
+    CAST(80 * (w2.letters + length(array_to_string(w.l[1:w.idx], ''))) AS BIGINT) AS start_ms, CAST(80 * (w2.letters + length(array_to_string(w.l[1:w.idx + 1], ''))) AS BIGINT) AS end_ms
+  FROM (SELECT *, CAST(len(l) AS INTEGER) AS len, CAST(unnest(range(len(l))) AS INTEGER) AS idx FROM w0) w JOIN w2 ON w.conv_id = w2.conv_id AND w.utt = w2.utt AND w.speaker IS NOT DISTINCT FROM w2.speaker)"""
 
 
 def _atom(name: str, at: Column) -> Column:
