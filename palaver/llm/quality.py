@@ -1,26 +1,21 @@
 """Operator 2: quality classification by importance resampling over hashed n-grams.
 
-Two generative models give the rate of every feature in the target text (documents labelled good and not toxic) and in the raw text (all documents).
-Features are hashed unigrams of words and hashed bigrams of token shapes (case, digits, symbols, repetition). A document's log importance weight is the sum of log(target rate / raw rate) over
-all occurrences of features in it.
+Two generative models say which features a text holds: one of the target text (documents labelled good and not toxic), one of the raw text (all documents). Features are hashed unigrams of words and hashed
+bigrams of token shapes (case, digits, symbols, repetition). Both models count the documents that hold a feature, and a text is scored by the features it holds, each once however often it says it: occurrences in one text are no
+independent draws. A document's log importance weight is the sum of log(target rate / raw rate) over its features, of either sign.
 
-Rates count the documents that hold a feature, for occurrences in one text are no independent draws: a feature that a few texts repeat a thousand times
-would otherwise speak against every text that holds it once (the README has figures of rates by occurrences, by damped occurrences and by documents).
+* A document's own text is taken out of the counts that it is scored with. It is part of the raw text and may be of the target; else rare features would tell labelled from unlabelled documents instead of good from bad ones.
+* Both rates are smoothed by ``PRIOR`` documents that hold the feature as often as chance has it (at the target's share of all documents).
+* A ratio counts by the evidence for it: it is shrunk by z^2 / (z^2 + ``DOUBT``), z being how many standard deviations the number of target documents with the feature lies from chance. So no feature is left out and none decides alone,
+  on small tables as on large ones.
 
-Smoothing. Rates are smoothed by ``PRIOR`` documents. A raw corpus is labelled in part only, so a rare feature may be short in the target by
-chance: every log ratio is shrunk by the positive-part rule 1 - (t / z)^2, where z is how many standard deviations the number of target documents
-with the feature lies outside what chance gives, and t = sqrt(2 ln(number of features)), the universal threshold. By chance a feature has the
-corpus's share of target documents if it stands in all documents alike, and that share divided by the target's part of the labels if
-only target-like documents hold it; rates between the two are no evidence for either side and weigh nothing. No constant is
-chosen on data, and labels outside the target give nothing but that part.
-
-Sampling is Gumbel top-k: key = log weight + Gumbel(0, 1), drawn from id and text, and the k largest keys stay. k, unless it is given, is the
-expected size of the sample in which a document of weight 1 stays with probability ``STAY``: the sum of 1 - (1 - STAY)^weight.
+Sampling is Gumbel top-k: key = log weight + Gumbel(0, 1), drawn from id and text, and the k largest keys stay. ``k`` is how many documents to keep; by default as many as are target-like: the target's share of the labelled documents,
+plus ``MARGIN`` standard errors of that share, so that chance in the labels rather keeps than drops.
 
 The corpus side counts every document; the target side is about ``TARGET_SAMPLE`` documents at most, chosen by the hash of their ids.
 
 Defined results: null and empty texts have no features and weight 1; very long texts are read whole; a doc_id labelled more than once is a target only if all its
-labels are good; without labels or documents every weight is 1 and all rows stay; rows that agree in doc_id and text share their draw, and where
+labels are good; without target documents every weight is 1 and all rows stay; rows that agree in doc_id and text share their draw, and where
 they tie with the last key ``resample`` keeps any of them up to k and ``keep_good`` all; null doc_ids are carried through. ``resample`` reads only id and text, ``keep_good`` returns
 all columns, whatever their names; doc_id, quality and toxic are read of the labels.
 """
@@ -40,8 +35,10 @@ from .common import ALNUM, PIECE_BYTES, free_name, hash_sample, in_pieces, map_b
 WORD_BITS, SHAPE_BITS = 20, 18
 FEATURES, FEATURE_BITS = (1 << WORD_BITS) + (1 << SHAPE_BITS), WORD_BITS + 1
 TARGET_SAMPLE = 200_000
-PRIOR = 1.0
-STAY = 0.999
+PRIOR = 2.0
+#: Squared standard deviations at which evidence counts half: three deviations.
+DOUBT = 9.0
+MARGIN = 2.0
 SEED = 2
 
 #: Letters that a shape keeps.
@@ -97,12 +94,19 @@ def _parts(column: pa.Array):
         yield first, held
 
 
-def target_ids(labels: DataFrame, sample: int = TARGET_SAMPLE) -> tuple[np.ndarray, float]:
-    """Sorted ids of about ``sample`` documents (all if there are fewer) whose labels are all good and not toxic, and the part of all labelled documents that are so."""
+def target_ids(labels: DataFrame, sample: int = TARGET_SAMPLE) -> tuple[np.ndarray, float, int]:
+    """Sorted ids of about ``sample`` documents (all if there are fewer) whose labels are all good and not toxic, the part of all labelled documents that are so, and how many are labelled."""
     judged = labels.filter("doc_id is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.bool_and(F.coalesce((F.col("quality") == 1) & (F.col("toxic") == 0), F.lit(False))).alias("good"))
     total, good = judged.agg(F.count(F.lit(1)), F.count(F.when(F.col("good"), 1))).first()
     ids = hash_sample(judged.filter("good").select("doc_id"), ["doc_id"], sample, good).collect()
-    return np.sort(np.array([r[0] for r in ids], np.int64)), good / total if total else 0.0
+    return np.sort(np.array([r[0] for r in ids], np.int64)), good / total if total else 0.0, total
+
+
+def held_features(texts_: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(feature, number of the text): every feature of every text once, in order."""
+    words, shapes, text = features(texts_)
+    once = np.unique(np.concatenate([text, text]) << FEATURE_BITS | np.concatenate([words, shapes]))
+    return once & ((1 << FEATURE_BITS) - 1), once >> FEATURE_BITS
 
 
 #: What is counted of every feature: documents in the raw and in the target text.
@@ -121,11 +125,9 @@ def count_features(docs: DataFrame, target: np.ndarray) -> DataFrame:
             target_rows = known & np.isin(ids, good)
             sums[:, FEATURES] += batch.num_rows, target_rows.sum()
             for first, part in _parts(batch.column(1)):
-                words, shapes, text = features(part)
-                once = np.unique(np.concatenate([text, text]) << FEATURE_BITS | np.concatenate([words, shapes]))
-                found, is_target = once & ((1 << FEATURE_BITS) - 1), target_rows[first + (once >> FEATURE_BITS)]
+                found, text = held_features(part)
                 np.add.at(sums[0], found, 1)
-                np.add.at(sums[1], found[is_target], 1)
+                np.add.at(sums[1], found[target_rows[first + text]], 1)
         at = np.flatnonzero(sums[0])
         for part in np.array_split(at, max(1, at.size // 50_000)):
             yield pa.RecordBatch.from_pydict({"feature": pa.array(part)} | {c: pa.array(s[part]) for c, s in zip(COUNTS, sums)})
@@ -134,48 +136,57 @@ def count_features(docs: DataFrame, target: np.ndarray) -> DataFrame:
     return counts.groupBy("feature").agg(*(F.sum(c).alias(c) for c in COUNTS))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = TARGET_SAMPLE, prior: float = PRIOR) -> dict[str, np.ndarray]:
-    """The features whose log ratio of target to raw rate is not zero, and their ratios; FEATURES of them at most."""
-    target, part = target_ids(labels, sample)
-    counts = materialise(count_features(docs, target))
-    sizes = counts.filter(F.col("feature") == FEATURES).first()
-    if not sizes or not sizes["target"]:
-        return {"feature": np.empty(0, np.int64), "ratio": np.empty(0)}
-    every = counts.filter(F.col("feature") < FEATURES)
-    threshold = math.sqrt(2 * math.log(max(2, every.count())))
-    # by chance a feature's share of target documents lies between that of all documents and that of target-like ones
-    low = sizes["target"] / sizes["raw"]
-    high = min(1.0, low / part)
-    below, above = F.col("target") < F.lit(low) * F.col("raw"), F.col("target") > F.lit(high) * F.col("raw")
-    chance = F.when(below, F.lit(low)).otherwise(F.lit(high))
-    squared = F.try_divide((F.col("target") - chance * F.col("raw")) ** 2, F.col("raw") * chance * (1 - chance))
-    shrink = 1 - F.try_divide(F.lit(threshold**2), squared)
-    ratio = F.log((F.col("target") + F.lit(prior)) / (chance * F.col("raw") + F.lit(prior))) * shrink
-    telling = every.filter((below | above) & (squared > threshold**2)).select("feature", ratio.alias("ratio")).toPandas()
-    return {"feature": telling["feature"].to_numpy(np.int64), "ratio": telling["ratio"].to_numpy(float)}
-
-
-def score(docs: DataFrame, model: dict[str, np.ndarray], columns: list[str], weight: str) -> DataFrame:
+def ratios(raw: np.ndarray, target: np.ndarray, chance: float, prior: float = PRIOR, doubt: float = DOUBT) -> np.ndarray:
+    """Shrunk log ratios of target to raw rates for numbers of documents that hold a feature; 0 where none does."""
+    expected = chance * raw
+    squared = (target - expected) ** 2
+    evidence = np.divide(squared, squared + doubt * expected * (1 - chance), out=np.zeros(len(raw)), where=squared > 0)
+    return np.log((target + prior * chance) / (expected + prior * chance)) * evidence
+
+
+def fit(docs: DataFrame, labels: DataFrame, sample: int = TARGET_SAMPLE) -> dict | None:
+    """``target`` (ids), ``part`` (of the labelled documents that are target-like), ``labelled``, and the log ratios of all features as documents of the raw text (``outside``) and of the target (``inside``) are scored with them;
+    None without target documents."""
+    target, part, labelled = target_ids(labels, sample)
+    found = count_features(docs, target).toArrow()
+    feature, (raw, held) = found["feature"].to_numpy(), (found[c].to_numpy() for c in COUNTS)
+    size = feature == FEATURES
+    if not size.any() or not held[size][0]:
+        return None
+    chance = float(held[size][0] / raw[size][0])
+    known = ~size
+    out = {"target": target, "part": part, "labelled": labelled}
+    for name, own in (("outside", 0), ("inside", 1)):
+        out[name] = np.zeros(FEATURES)
+        out[name][feature[known]] = ratios(np.maximum(raw[known] - 1, 0), np.maximum(held[known] - own, 0), chance)
+    return out
+
+
+def score(docs: DataFrame, model: dict | None, columns: list[str], weight: str) -> DataFrame:
     """The named columns of ``docs`` and the log weight of its texts under the name ``weight``."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     text = free_name("text", columns)
-    rows = docs.select(*columns, F.col("text").cast("string").alias(text))
+    doc_id = free_name("doc_id", [*columns, text])
+    rows = docs.select(*columns, F.col("text").cast("string").alias(text), F.col("doc_id").cast("long").alias(doc_id))
 
     def make():
-        ratio = np.zeros(FEATURES)
-        ratio[shared.value["feature"]] = shared.value["ratio"]
+        model = shared.value
 
         def step(batch: pa.RecordBatch) -> pa.RecordBatch:
             weights = np.zeros(batch.num_rows)
-            for first, part in _parts(batch.column(len(columns))):
-                words, shapes, text = features(part)
-                # a text's terms are added in the order of its tokens, so it weighs the same wherever it stands
-                weights[first : first + len(part)] = np.bincount(text, ratio[words] + ratio[shapes], len(part))
-            return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(weights, pa.float64())], names=[*columns, weight])
+            if model is not None:
+                ids = batch.column(len(columns) + 1)
+                inside = np.isin(ids.fill_null(0).to_numpy(zero_copy_only=False), model["target"]) & ids.is_valid().to_numpy(zero_copy_only=False)
+                for first, part in _parts(batch.column(len(columns))):
+                    # a text's terms are added in the order of its features, so it weighs the same wherever it stands
+                    found, number = held_features(part)
+                    ratio = np.where(inside[first + number], model["inside"][found], model["outside"][found])
+                    weights[first : first + len(part)] = np.bincount(number, ratio, len(part))
+            return pa.RecordBatch.from_arrays([*batch.columns[:-2], pa.array(weights, pa.float64())], names=[*columns, weight])
 
         return step
 
-    return map_batches(rows, make, T.StructType([*rows.schema.fields[:-1], T.StructField(weight, T.DoubleType())]))
+    return map_batches(rows, make, T.StructType([*rows.schema.fields[:-2], T.StructField(weight, T.DoubleType())]))
 
 
 def gumbel_key(weight: str, draw):
@@ -186,15 +197,20 @@ def _draw(seed: int = SEED):
     return unit_interval(F.lit(seed), F.col("doc_id").cast("long"), F.xxhash64(F.col("text").cast("string")))
 
 
-def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, **how) -> tuple[DataFrame, dict[str, np.ndarray]]:
+def to_keep(rows: int, part: float, labelled: int, margin: float = MARGIN) -> int:
+    """How many of ``rows`` documents are target-like if ``part`` of the labelled ones are, plus ``margin`` standard errors."""
+    return min(rows, round(rows * (part + margin * math.sqrt(part * (1 - part) / labelled))))
+
+
+def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, **how) -> tuple[DataFrame, dict | None]:
     """(doc_id, log_weight, key of the documents that stay; the model)."""
     model = fit(docs, labels, **how)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), _draw().alias("draw"))
     thin = score(rows, model, ["doc_id", "draw"], "log_weight")
     thin = materialise(thin.select("doc_id", "log_weight", gumbel_key("log_weight", F.col("draw")).alias("key")))
     if k is None:
-        chance = 1 - F.exp(F.lit(math.log(1 - STAY)) * F.exp(F.least(F.col("log_weight"), F.lit(50.0))))
-        k = round(thin.agg(F.sum(chance)).first()[0] or 0)
+        k = thin.count()
+        k = k if model is None else to_keep(k, model["part"], model["labelled"])
     return top_k(thin, "key", k, ["doc_id"]), model
 
 
@@ -214,39 +230,3 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", "doc_id", "text")
     return resample(docs, read_table(spark, sf_dir, "labels", "doc_id", "quality", "toxic"))[0]
-
-
-def brute_force(rows: list[tuple[int | None, str | None]], labels: list[tuple[int | None, int | None, int | None]], prior: float = PRIOR) -> list[float]:
-    """Log weights of ``rows`` by plain counting over dictionaries."""
-    marks: dict[int, list] = {}
-    for doc_id, quality, toxic in labels:
-        if doc_id is not None:
-            marks.setdefault(doc_id, []).append(quality == 1 and toxic == 0)
-    targets = {d for d, m in marks.items() if all(m)}
-    bags = []
-    for doc_id, text in rows:
-        bag: dict[int, int] = {}
-        for f in np.concatenate(features([(text or "").encode()])[:2]).tolist():
-            bag[f] = bag.get(f, 0) + 1
-        bags.append((doc_id in targets, bag))
-    sums: dict[int, list[int]] = {}
-    for is_target, bag in bags:
-        for f in [*bag, FEATURES]:
-            s = sums.setdefault(f, [0, 0])
-            s[0] += 1
-            s[1] += is_target
-    size = sums.pop(FEATURES, [0, 0])
-    if not size[1]:
-        return [0.0] * len(rows)
-    low = size[1] / size[0]
-    high = min(1.0, low * len(marks) / len(targets))
-    limit = 2 * math.log(max(2, len(sums)))
-    ratio = {}
-    for f, (raw, target) in sums.items():
-        chance = low if target < low * raw else high if target > high * raw else None
-        if chance is None or chance == 1.0:
-            continue
-        z2 = (target - chance * raw) ** 2 / (raw * chance * (1 - chance))
-        if z2 > limit:
-            ratio[f] = math.log((target + prior) / (chance * raw + prior)) * (1 - limit / z2)
-    return [math.fsum(ratio.get(f, 0.0) * n for f, n in bag.items()) for _, bag in bags]

@@ -111,16 +111,23 @@ def test_blocks_find_what_windows_find(items, doc, window):
 # --- 2 -----------------------------------------------------------------------------------------------------------------------
 
 
-def test_quality_keeps_good_and_drops_toxic(spark):
-    """Held-out labels: what is left out of the fit is judged."""
-    held = {r["doc_id"]: (r["quality"], r["toxic"]) for r in spark.read.parquet("/root/testdata/sf0.1/labels.parquet").collect()}
-    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+@pytest.mark.parametrize("sf, ranked_right, good, junk, toxic", [("0.001", 0.55, 0.8, 1.0, 1.0), ("0.01", 0.85, 0.9, 0.3, 0.8), ("0.1", 0.97, 0.96, 0.03, 0.2)])
+def test_quality_ranks_held_out_documents(spark, sf, ranked_right, good, junk, toxic):
+    """Held-out labels: what is left out of the fit is judged. At every size features of both signs are found and bad documents rank below good ones; the smaller the table, the less."""
+    held = {r["doc_id"]: (r["quality"], r["toxic"]) for r in spark.read.parquet(f"/root/testdata/sf{sf}/labels.parquet").collect()}
+    docs = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet").select("doc_id", "text")
     seen = spark.createDataFrame([(k, *v) for k, v in held.items() if k % 3], "doc_id long, quality int, toxic int")
+    total = docs.count()
+    ranked, model = quality.resample(docs, seen, k=total)
+    weight = {r["doc_id"]: r["log_weight"] for r in ranked.collect()}
+    assert (model["outside"] > 0).sum() > 1000 and (model["outside"] < 0).sum() > 1000
+    of = lambda f: np.array([weight[k] for k in held if k % 3 == 0 and f(*held[k])])
+    fine, bad = of(lambda q, t: (q, t) == (1, 0)), of(lambda q, t: q == 0 or t == 1)
+    assert (fine[:, None] > bad[None, :]).mean() > ranked_right
     kept = {r[0] for r in quality.resample(docs, seen)[0].select("doc_id").collect()}
-    abuse = {r[0] for r in docs.filter("text rlike '(?i)worthless|scum|moron'").select("doc_id").collect()}
-    share = lambda of: np.mean([k in kept for k in held if k % 3 == 0 and of(k)])
-    shares = share(lambda k: held[k] == (1, 0)), share(lambda k: held[k][0] == 0), share(lambda k: held[k][1] == 1 and k in abuse)
-    assert shares[0] > 0.98 and shares[1] < 0.03 and shares[2] < 0.03, shares
+    share = lambda f: np.mean([k in kept for k in held if k % 3 == 0 and f(*held[k])])
+    shares = share(lambda q, t: (q, t) == (1, 0)), share(lambda q, t: q == 0), share(lambda q, t: t == 1)
+    assert shares[0] >= good and shares[1] <= junk and shares[2] <= toxic, shares
 
 
 @given(st.lists(st.text("aZé09 .!-\n\t", max_size=30), max_size=6), st.sampled_from([1 << 20, 7]))
@@ -160,17 +167,55 @@ def _labelled_corpus():
     return rows, labels
 
 
+def _plain_features(text):
+    """Words and pairs of shapes of a text, unhashed."""
+    out, before, last = set(), None, None
+    for token in (text or "").split():
+        word = re.sub("[^a-z0-9]", "", token.lower()) or token
+        shape = re.sub(r"(.)\1+", r"\1", re.sub("[a-z]", "a", re.sub("[A-Z]", "A", re.sub("[0-9]", "0", token))))[:6], word == last
+        out |= {("word", word), ("shapes", before, shape)}
+        before, last = shape, word
+    return out
+
+
+def _plain_weights(rows, labels):
+    """Log weights by counting over dictionaries, each document without its own text."""
+    marks = {}
+    for doc_id, good, toxic in labels:
+        if doc_id is not None:
+            marks.setdefault(doc_id, []).append(good == 1 and toxic == 0)
+    targets = {d for d, m in marks.items() if all(m)}
+    held = [(d in targets, _plain_features(t)) for d, t in rows]
+    raw, target = {}, {}
+    for is_target, found in held:
+        for f in found:
+            raw[f] = raw.get(f, 0) + 1
+            target[f] = target.get(f, 0) + is_target
+    share = sum(t for t, _ in held) / len(held)
+    out = []
+    for is_target, found in held:
+        terms = []
+        for f in found:
+            r, t = raw[f] - 1, target[f] - is_target
+            ratio = math.log((t + quality.PRIOR * share) / (share * r + quality.PRIOR * share))
+            z2 = (t - share * r) ** 2 / (r * share * (1 - share)) if r else 0.0
+            terms.append(ratio * z2 / (z2 + quality.DOUBT))
+        out.append(math.fsum(terms))
+    return out, len(targets) / len(marks), len(marks)
+
+
 @pytest.mark.parametrize("k", [None, 100])
 def test_quality_against_brute_force(spark, k):
     """Weights, keys and the exact set that stays."""
     rows, labels = _labelled_corpus()
     docs = spark.createDataFrame(rows, DOCS)
     marks = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    weights = quality.brute_force(rows, labels)
-    assert min(weights) < -5 and sum(w == 0 for w in weights) > 300
+    weights, part, labelled = _plain_weights(rows, labels)
+    assert min(weights) < -3 and max(weights) > 0
     draws = {tuple(r)[:2]: r[2] for r in docs.select("doc_id", "text", quality._draw()).collect()}
     keys = [w - math.log(-math.log(draws[r])) for r, w in zip(rows, weights)]
-    want_k = k or round(sum(1 - (1 - quality.STAY) ** math.exp(w) for w in weights))
+    want_k = k or round(len(rows) * min(1.0, part + 2 * math.sqrt(part * (1 - part) / labelled)))
+    assert want_k < len(rows)
     best = sorted(zip(rows, weights, keys), key=lambda x: -x[2])[:want_k]
     got = quality.resample(docs, marks, k=k)[0].collect()
     shown = lambda d, w, x: (str(d), round(w, 6), round(x, 6))
@@ -183,8 +228,8 @@ def test_quality_against_brute_force(spark, k):
 
 def test_quality_edges(spark):
     labels = spark.createDataFrame([(4, 1, 0), (4, 0, 0), (5, 1, 0), (None, 1, 0), (6, None, None)], "doc_id long, quality int, toxic int")
-    ids, part = quality.target_ids(labels)
-    assert ids.tolist() == [5] and part == 1 / 3
+    ids, part, labelled = quality.target_ids(labels)
+    assert ids.tolist() == [5] and part == 1 / 3 and labelled == 3
     docs = odd_docs(spark)
     for c in ("__text", "_text", "draw", "weight", "log_weight", "Feature"):
         docs = docs.withColumn(c, F.lit("clash"))
@@ -192,6 +237,7 @@ def test_quality_edges(spark):
     assert once.columns == docs.columns
     assert sorted(map(str, once.collect())) == sorted(map(str, quality.keep_good(docs, labels).collect()))
     assert quality.resample(docs, labels.limit(0))[0].count() == docs.count()
+    assert quality.resample(docs, labels.filter("doc_id = 6"))[0].count() == docs.count()
     assert quality.resample(docs, labels, k=3)[0].count() == 3
     assert quality.keep_good(empty_docs(spark), labels).isEmpty()
 
