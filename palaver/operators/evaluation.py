@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from palaver.functions.numbers import f_score, precision, recall, safe_div, segmentation_error
+from palaver.functions.numbers import correlation_p, f_score, precision, recall, safe_div, segmentation_error
 
 from .alignment import distances
 from .joins import interval_join
@@ -125,6 +125,11 @@ def correlations(df: DataFrame, x: str, y: str) -> DataFrame:
     return ranked.agg(F.round(F.corr(x, y), 6).alias("pearson"), F.round(F.corr("rx", "ry"), 6).alias("spearman"), F.count(F.lit(1)).alias("n"))
 
 
+def significances(correlated: DataFrame) -> DataFrame:
+    """``correlations`` with the probability of each by chance: pearson_p and spearman_p."""
+    return correlated.select("*", *(correlation_p(F.col(c), F.col("n")).alias(f"{c}_p") for c in ("pearson", "spearman")))
+
+
 def errors_by_type(repairs: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
     """Recall by repair type and reparandum length: ``repairs`` with type and length, ``found`` with the keys that were found."""
     hit = repairs.join(found.select(*key).distinct().withColumn("hit", F.lit(1)), key, "left")

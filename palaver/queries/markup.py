@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from palaver.operators import markup
+from palaver.operators import leaf_maps, markup
+from palaver.sources import readers, writers
 
-from .base import EDIT_WORDS, WORDS, materialised, words
+from .base import EDIT_WORDS, WORDS, folder, materialised, words
 
 LINE = ["conv_id", "speaker"]
 
@@ -27,7 +29,34 @@ def markup_repairs(spark: SparkSession, sf: str) -> DataFrame:
     return markup.markup_repairs(marked_turns(words(spark, sf)), LINE, keep=lambda df: materialised(df, "marks"))
 
 
-QUERIES = {f.__name__: f for f in (markup_repairs,)}
+def damaged_leaves(w: DataFrame) -> DataFrame:
+    """Leaves of trees over nine words each, which do not keep to turns: by the words' keys some are split in two, in capitals, missing, or have a trace before or a comma behind them."""
+    line = Window.partitionBy(*LINE).orderBy("pos")
+    key = F.pmod(F.col("conv_id") * 31 + F.col("pos"), F.lit(29))
+    alone = (F.coalesce(F.lag("word").over(line), F.lit("")) != F.col("word")) & (F.coalesce(F.lead("word").over(line), F.lit("")) != F.col("word"))
+    leaf = lambda token, pos: F.struct(token.alias("token"), F.lit(pos).alias("pos"))
+    word, n = F.col("word"), F.length("word")
+    split = F.array(leaf(F.substring(word, F.lit(1), n - 3), "VB"), leaf(F.substring(word, n - 2, F.lit(3)), "RB"))
+    told = F.when(key.isin(3, 22) & alone, F.array().cast("array<struct<token:string,pos:string>>")).when(key.isin(7, 18) & (n > 3), split).when(key == 20, F.array(leaf(F.upper(word), "NN"))).otherwise(F.array(leaf(word, "NN")))
+    every = F.concat(F.when(key == 11, F.array(leaf(F.lit("*T*-1"), leaf_maps.TRACE))).otherwise(F.array().cast("array<struct<token:string,pos:string>>")), told, F.when(key == 15, F.array(leaf(F.lit(","), ","))).otherwise(F.array().cast("array<struct<token:string,pos:string>>")))
+    flat = w.select(*LINE, "pos", F.floor(F.col("pos") / 9).cast("int").alias("tree"), every.alias("e")).select(*LINE, "pos", "tree", F.posexplode("e").alias("k", "x"))
+    nth = F.row_number().over(Window.partitionBy(*LINE, "tree").orderBy("pos", "k")) - 1
+    return flat.select(*LINE, "tree", nth.alias("leaf"), "x.token", "x.pos")
+
+
+def tree_maps(spark: SparkSession, sf: str) -> DataFrame:
+    """Words mapped to the leaves of damaged trees; the maps are written as lines, read back and looked up."""
+    w = materialised(words(spark, sf), "words")
+    found = leaf_maps.leaf_map(w, materialised(damaged_leaves(w), "leaves"), LINE)
+    listed = found.groupBy(*LINE, "utt").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "nodes"))), lambda s: s["nodes"]).alias("nodes"))
+    at = folder(spark, "tree-maps")
+    writers.write_text(writers.tree_map(listed.select(F.concat_ws(":", *LINE, "utt").alias("utt_ref"), "nodes")), at, ["utt_ref"])
+    read = readers.with_node_map(w.groupBy(*LINE, "utt").agg(F.max("n").alias("n")).withColumn("utt_ref", F.concat_ws(":", *LINE, "utt")), readers.tree_map(spark, at), "n")
+    each = read.select(*LINE, "utt", F.posexplode("nodes").alias("idx", "nodes"))
+    return each.select(*LINE, "utt", "idx", F.concat_ws(",", F.transform("nodes", lambda x: F.concat_ws(":", x["tree"], x["leaf"]))).alias("nodes"))
+
+
+QUERIES = {f.__name__: f for f in (markup_repairs, tree_maps)}
 
 _MARKED = (
     WORDS
@@ -61,4 +90,10 @@ every AS (SELECT * FROM closed UNION ALL SELECT conv_id, speaker, d.utt, d.mark,
 SELECT conv_id, speaker, utt, CAST(mark AS INTEGER) AS mark, level, inside, CAST(f AS BIGINT) AS first, CAST(p AS BIGINT) AS point,
   CAST(CASE WHEN p IS NOT NULL AND e IS NOT NULL THEN least(e, coalesce((SELECT min(w) FROM nm WHERE nm.conv_id = v.conv_id AND nm.speaker = v.speaker AND nm.plain AND nm.pl > v.pa), e)) END AS BIGINT) AS repair, CAST(e AS BIGINT) AS "end", end_utt
 FROM every v""",
+    # what the trees were before they were damaged
+    "tree_maps": f"""WITH {WORDS.strip()},
+dm AS (SELECT *, (conv_id * 31 + pos) % 29 AS k, coalesce(lag(word) OVER l, '') <> word AND coalesce(lead(word) OVER l, '') <> word AS alone, pos // 9 AS tree FROM words WINDOW l AS (PARTITION BY conv_id, speaker ORDER BY pos)),
+pt AS (SELECT *, CASE WHEN k = 11 THEN 1 ELSE 0 END AS b, CASE WHEN k IN (3, 22) AND alone THEN 0 WHEN k IN (7, 18) AND length(word) > 3 THEN 2 ELSE 1 END AS m, CASE WHEN k = 15 THEN 1 ELSE 0 END AS a FROM dm),
+st AS (SELECT *, sum(b + m + a) OVER (PARTITION BY conv_id, speaker, tree ORDER BY pos) - m - a AS s FROM pt)
+SELECT conv_id, speaker, utt, idx, CASE WHEN m = 0 OR regexp_replace(word, '[^\\p{{L}}\\p{{N}}]', '', 'g') = '' THEN '' WHEN m = 1 THEN tree || ':' || CAST(s AS BIGINT) ELSE tree || ':' || CAST(s AS BIGINT) || ',' || tree || ':' || CAST(s + 1 AS BIGINT) END AS nodes FROM st""",
 }

@@ -58,6 +58,14 @@ def rate_correlation(spark: SparkSession, sf: str) -> DataFrame:
     return ev.correlations(ev.speaker_rates(tagged(spark, sf), LINE), "gold_per_word", "hyp_per_word")
 
 
+def rate_significance(spark: SparkSession, sf: str) -> DataFrame:
+    """How likely by chance the speakers' repair rates agree as they do with the hypothesis' rates, and with the number of the conversation."""
+    rates = ev.speaker_rates(tagged(spark, sf), LINE).withColumn("number", F.col("conv_id").cast("double"))
+    each = [ev.significances(ev.correlations(rates, "gold_per_word", y)).select(F.lit(y).alias("other"), "*") for y in ("hyp_per_word", "number")]
+    both = each[0].unionByName(each[1])
+    return both.select("other", "pearson", "spearman", "n", F.round("pearson_p", 6).alias("pearson_p"), F.round("spearman_p", 6).alias("spearman_p"))
+
+
 def error_by_type(spark: SparkSession, sf: str) -> DataFrame:
     t = tagged(spark, sf)
     gold = t.filter("repair_len > 0").select("conv_id", "utt", "idx", F.col("repair_type").alias("type"), F.col("repair_len").alias("length"))
@@ -196,7 +204,7 @@ def first_block(spark: SparkSession, sf: str) -> DataFrame:
 QUERIES = {
     f.__name__: f
     for f in (
-        prf_word, prf_by_speaker, prf_combined, prf_rms_generous, relaxed_utt, relaxed_10s, prf_interval, boundary_errors, speaker_rates, rate_correlation, error_by_type, tag_distribution, confusion_top20, classification_report, report_averages, results_table, metric_rollup,
+        prf_word, prf_by_speaker, prf_combined, prf_rms_generous, relaxed_utt, relaxed_10s, prf_interval, boundary_errors, speaker_rates, rate_correlation, rate_significance, error_by_type, tag_distribution, confusion_top20, classification_report, report_averages, results_table, metric_rollup,
         percentile_nist, evaluation_report, error_rates_by_channel, log_conventions, corpus_statistics, repair_positions, words_per_speaker_join, simulate_increco, final_from_increco, edit_overhead, time_to_detection, detection_of_all, precision_by_type, segment_error_rate, first_block,
     )
 }
@@ -255,6 +263,19 @@ SELECT *, round(CASE WHEN fp + fn = 0 THEN 0 ELSE (fp + fn) * 100.0 / (tp + fn)
         _RATES
         + """, k AS (SELECT gold_per_word AS x, hyp_per_word AS y, rank() OVER (ORDER BY gold_per_word) + (count(*) OVER (PARTITION BY gold_per_word) - 1) / 2.0 AS rx, rank() OVER (ORDER BY hyp_per_word) + (count(*) OVER (PARTITION BY hyp_per_word) - 1) / 2.0 AS ry FROM rates)
 SELECT round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman, count(*) AS n FROM k""",
+    ),
+    # Student's distribution by Simpson's rule over cos(t)^(n - 3)
+    "rate_significance": sql(
+        TAGGED,
+        _RATES
+        + """, y AS (SELECT 'hyp_per_word' AS other, gold_per_word AS x, hyp_per_word AS y FROM rates UNION ALL SELECT 'number', gold_per_word, CAST(conv_id AS DOUBLE) FROM rates),
+k AS (SELECT *, rank() OVER (PARTITION BY other ORDER BY x) + (count(*) OVER (PARTITION BY other, x) - 1) / 2.0 AS rx, rank() OVER (PARTITION BY other ORDER BY y) + (count(*) OVER (PARTITION BY other, y) - 1) / 2.0 AS ry FROM y),
+c AS (SELECT other, round(corr(x, y), 6) AS pearson, round(corr(rx, ry), 6) AS spearman, count(*) AS n FROM k GROUP BY 1),
+g AS (SELECT unnest(range(4001)) AS i),
+w AS (SELECT i, CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END AS w FROM g),
+s AS (SELECT other, k, least(1, CASE WHEN sum(w * pow(cos(pi() / 2 * i / 4000), n - 3)) = 0 THEN 0 ELSE (1 - 2 / pi() * asin(abs(r))) * sum(w * pow(cos(asin(abs(r)) + (pi() / 2 - asin(abs(r))) * i / 4000), n - 3)) / sum(w * pow(cos(pi() / 2 * i / 4000), n - 3)) END) AS p
+  FROM (SELECT other, n, 'pearson' AS k, pearson AS r FROM c UNION ALL SELECT other, n, 'spearman', spearman FROM c), w GROUP BY other, k, r)
+SELECT other, pearson, spearman, n, round((SELECT p FROM s WHERE s.other = c.other AND s.k = 'pearson'), 6) AS pearson_p, round((SELECT p FROM s WHERE s.other = c.other AND s.k = 'spearman'), 6) AS spearman_p FROM c""",
     ),
     "error_by_type": sql(TAGGED, "SELECT repair_type AS type, repair_len AS length, count(*) AS n_gold, count(*) FILTER (WHERE contains(hyp, '<rps')) AS n_found, round(count(*) FILTER (WHERE contains(hyp, '<rps')) / count(*), 6) AS recall FROM tagged WHERE repair_len > 0 GROUP BY 1, 2"),
     "tag_distribution": sql(TAGGED, "SELECT regexp_extract(gold, '<[ct]*/>') AS tag, count(*) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 6) AS percent FROM tagged GROUP BY 1"),

@@ -305,6 +305,15 @@ def node_map(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).filter("value <> ''").select(F.get(parts, F.lit(0)).alias("utt_ref"), nodes.alias("nodes"))
 
 
+def tree_map(spark: SparkSession, path: str) -> DataFrame:
+    """utt_ref and nodes (for each word an array of tree and leaf) from lines ``utt_ref<TAB>tree:leaf,tree:leaf - tree:leaf``."""
+    parts = F.split("value", "\t")
+    node = lambda x: F.struct(F.get(F.split(x, ":"), F.lit(0)).cast("long").alias("tree"), F.get(F.split(x, ":"), F.lit(1)).cast("long").alias("leaf"))
+    none = F.array().cast("array<struct<tree:bigint,leaf:bigint>>")
+    nodes = F.transform(F.filter(F.split(F.get(parts, F.lit(1)), " "), lambda n: n != ""), lambda n: F.when(n == "-", none).otherwise(F.transform(F.split(n, ","), node)))
+    return spark.read.text(path).filter("value <> ''").select(F.get(parts, F.lit(0)).alias("utt_ref"), nodes.alias("nodes"))
+
+
 def with_node_map(utterances: DataFrame, nodes: DataFrame, length: str) -> DataFrame:
     """``utterances(utt_ref, ...)`` with their ``nodes``; null where there is no map or its length is not the utterance's."""
     found = utterances.join(nodes.select("utt_ref", "nodes"), "utt_ref", "left")
