@@ -79,6 +79,14 @@ words AS (
   FROM (SELECT *, CAST(len(l) AS INTEGER) AS len, CAST(unnest(range(len(l))) AS INTEGER) AS idx FROM w0) w JOIN w2 ON w.conv_id = w2.conv_id AND w.utt = w2.utt AND w.speaker IS NOT DISTINCT FROM w2.speaker)"""
 
 
+def by_line(df: DataFrame) -> DataFrame:
+    """``df`` with a number for each speaker of a conversation in place of the conversation's, for results that have one key a line."""
+    return df.withColumn("conv_id", F.col("conv_id") * 3 + F.when(F.col("speaker") == "user", 0).when(F.col("speaker") == "assistant", 1).otherwise(2))
+
+
+LINES = "SELECT * REPLACE (conv_id * 3 + CASE speaker WHEN 'user' THEN 0 WHEN 'assistant' THEN 1 ELSE 2 END AS conv_id) FROM"
+
+
 def _atom(name: str, at: Column) -> Column:
     return F.concat(F.lit(f'<{name} id="'), at.cast("string"), F.lit('"/>'))
 

@@ -14,7 +14,7 @@ from palaver.operators import language_model as lm
 from palaver.plans.tagger import Tagger
 from palaver.sources import readers, writers
 
-from .base import TAGGED, WORDS, folder, sql, table, tagged, words
+from .base import LINES, TAGGED, WORDS, by_line, folder, sql, table, tagged, words
 from .live import LABELS, make_session
 from .modelling import _INC, _TEST, _model, _states
 from .scoring import _LOGS, _log
@@ -76,7 +76,7 @@ def acoustic_frame_files(spark: SparkSession, sf: str) -> DataFrame:
     zero = F.lit(0.0)
     frames.select("frame", (F.col("frame") / 100.0).alias("t"), zero.alias("rms"), zero.alias("log_energy"), F.col("user_id").cast("double").alias("f0"), zero.alias("voicing"), zero.alias("f0_raw"), "intensity", zero.alias("loudness")).write.csv(at, sep=";", header=True)
     read = readers.acoustic_frames(spark, at).withColumn("user_id", F.col("f0").cast("long"))
-    places = e.filter("event_id % 50 = 7").select("user_id", F.col("event_id").alias("pos"), ((F.col("event_id") % 400) / 100.0).alias("end"))
+    places = e.select("user_id", F.col("event_id").alias("pos"), ((F.col("event_id") % 400) / 100.0).alias("end"))
     windows = readers.frame_window(places, read, "intensity", ["user_id"], n_frames=20)
     return windows.select("user_id", F.col("pos").alias("event_id"), F.size("intensity_window").alias("n_frames"), F.round(F.aggregate("intensity_window", F.lit(0.0), lambda a, x: a + x), 4).alias("total"))
 
@@ -84,7 +84,7 @@ def acoustic_frame_files(spark: SparkSession, sf: str) -> DataFrame:
 def error_rate_files(spark: SparkSession, sf: str) -> DataFrame:
     """Error rates by channel, and a learning curve, from their files."""
     at = folder(spark, "rates")
-    e = table(spark, sf, "events", "event_id", "user_id").filter("event_id % 10 = 0")
+    e = table(spark, sf, "events", "event_id", "user_id")
     _lines(e.select(F.concat_ws("  ", (F.col("user_id") % 50).cast("string"), F.when(F.col("event_id") % 20 == 0, "A").otherwise("B"), ((F.col("event_id") % 97) / 100.0).cast("string")).alias("value")), f"{at}/channels")
     rates = readers.channel_error_rates(spark, f"{at}/channels").groupBy("caller").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("wer"), 4).alias("total")).select(F.lit("wer").alias("metric"), "caller", "n", "total")
     curve = e.select(F.concat(F.lit("epoch_"), F.col("event_id").cast("string")).alias("epoch"), F.concat(((F.col("event_id") % 89) / 100.0).cast("string"), F.when(F.col("event_id") % 30 == 0, "*").otherwise("")).alias("val_f"), ((F.col("event_id") % 83) / 100.0).cast("string").alias("train_f"))
@@ -107,7 +107,7 @@ def c5_files(spark: SparkSession, sf: str) -> DataFrame:
 def textgrid_files(spark: SparkSession, sf: str) -> DataFrame:
     """Intervals of words, a tier a conversation."""
     at = folder(spark, "grids")
-    w = words(spark, sf).filter("speaker = 'user'")
+    w = by_line(words(spark, sf))
     block = F.concat_ws("\n", F.concat(F.lit("        xmin = "), (F.col("start_ms") / 1000).cast("string")), F.concat(F.lit("        xmax = "), (F.col("end_ms") / 1000).cast("string")), F.concat(F.lit('        text = "'), F.when(F.col("pos") % 7 == 6, "").otherwise(F.col("word")), F.lit('"')))
     tier = w.groupBy("conv_id").agg(F.concat_ws("\n", F.transform(F.array_sort(F.collect_list(F.struct("pos", block.alias("b")))), lambda s: s["b"])).alias("b"))
     writers.write_text(tier.select("conv_id", F.concat(F.lit('    name = "'), F.col("conv_id").cast("string"), F.lit('"\n'), "b").alias("value")), at, ["conv_id"])
@@ -165,7 +165,7 @@ def parsed_trees(spark: SparkSession, sf: str) -> DataFrame:
 def tagged_files(spark: SparkSession, sf: str) -> DataFrame:
     """Timed corpus files tagged word by word into an update log, which is read back."""
     at = folder(spark, "tagged")
-    w = words(spark, sf).filter("speaker = 'user'")
+    w = by_line(words(spark, sf))
     ref = F.format_string("(%08d)", F.col("pos"))
     writers.write_text(writers.timed_corpus(w.select(F.col("conv_id").cast("string").alias("speaker"), ref.alias("ref"), (F.col("start_ms") / 1000).alias("start"), (F.col("end_ms") / 1000).alias("end"), "word", F.lit("NN").alias("pos_tag"), F.lit("<f/>").alias("tag"))), f"{at}/in", ["speaker"])
     session = make_session()
@@ -202,7 +202,7 @@ def timed_emissions(spark: SparkSession, sf: str) -> DataFrame:
 def language_model_features(spark: SparkSession, sf: str) -> DataFrame:
     """Scores of each word in place, and what they gain when the one to eight words before it are cut out."""
     model, _ = _model(spark, sf)
-    w = words(spark, sf).filter("speaker = 'user'")
+    w = words(spark, sf)
     return lm.word_features(w, model, UTT, "idx")
 
 
@@ -222,13 +222,13 @@ ORACLES = {
     "relaxed_annotation_file": "SELECT conv_id, CAST(turn AS INTEGER) AS utt, CAST(k AS INTEGER) AS k FROM conversations, (SELECT unnest([1, 2]) AS k) WHERE turn % 5 <> 4 AND k <= conv_id % 3",
     "transcript_files": r"""SELECT CASE WHEN role = 'user' THEN 'A' ELSE 'B' END AS caller, count(*) AS n_utts, CAST(sum(CASE WHEN role = 'user' THEN conv_id % 30 + 20 ELSE conv_id % 20 + 50 END) AS BIGINT) AS ages, CAST(sum(turn % 3) AS BIGINT) AS n_trees,
   CAST(sum(length(trim(regexp_replace(text, '[\r\n"\\]', ' ', 'g'), ' '))) AS BIGINT) AS n_chars FROM conversations WHERE turn % 4 <> 3 GROUP BY 1""",
-    "acoustic_frame_files": """WITH f AS (SELECT user_id, event_id % 400 AS frame, max(round(value, 2)) AS v FROM events GROUP BY 1, 2), p AS (SELECT user_id, event_id, event_id % 400 AS last FROM events WHERE event_id % 50 = 7)
+    "acoustic_frame_files": """WITH f AS (SELECT user_id, event_id % 400 AS frame, max(round(value, 2)) AS v FROM events GROUP BY 1, 2), p AS (SELECT user_id, event_id, event_id % 400 AS last FROM events)
 SELECT p.user_id, p.event_id, CAST(20 AS INTEGER) AS n_frames, round(coalesce(sum(v), 0), 4) AS total FROM p LEFT JOIN f ON f.user_id = p.user_id AND f.frame BETWEEN last - 19 AND last GROUP BY 1, 2""",
-    "error_rate_files": """WITH e AS (SELECT event_id, user_id FROM events WHERE event_id % 10 = 0)
+    "error_rate_files": """WITH e AS (SELECT event_id, user_id FROM events)
 SELECT 'wer' AS metric, CASE WHEN event_id % 20 = 0 THEN 'A' ELSE 'B' END AS caller, count(*) AS n, round(sum(event_id % 97 / 100), 4) AS total FROM e GROUP BY 2
 UNION ALL SELECT 'val_f', '', count(*), round(sum(event_id % 89 / 100), 4) FROM e UNION ALL SELECT 'train_f', '', count(*), round(sum(event_id % 83 / 100), 4) FROM e""",
     "c5_files": sql(WORDS, "SELECT ['NN', 'JJ', 'VBP', 'RB', '???'][idx % 5 + 1] AS pos, count(*) AS n_words, CAST(sum(length(regexp_replace(word, '[<>]', '', 'g'))) AS BIGINT) AS n_letters FROM words GROUP BY 1"),
-    "textgrid_files": sql(WORDS, "SELECT conv_id, count(*) AS n_intervals, count(*) FILTER (WHERE pos % 7 = 6) AS n_silent, round(sum(end_ms - start_ms) / 1000, 3) AS seconds FROM words WHERE speaker = 'user' GROUP BY 1"),
+    "textgrid_files": sql(WORDS, "SELECT conv_id, count(*) AS n_intervals, count(*) FILTER (WHERE pos % 7 = 6) AS n_silent, round(sum(end_ms - start_ms) / 1000, 3) AS seconds FROM (" + LINES + " words) GROUP BY 1"),
     "model_files": sql(_TEST, ", z AS (SELECT 3 AS n_order, num, nz FROM n3 JOIN c3 USING (a, b) UNION ALL SELECT 2, num, nz FROM n2 JOIN c2 USING (b) UNION ALL SELECT 1, num, nz FROM n1, c1) SELECT CAST(n_order AS INTEGER) AS n_order, count(*) AS n_grams, CAST(sum(num) AS BIGINT) AS total, max(nz) AS widest FROM z GROUP BY 1"),
     "feature_files": sql(WORDS, "SELECT speaker, count(*) AS n_rows, CAST(4 AS INTEGER) AS width, CAST(sum(end_ms) AS BIGINT) AS end_sum FROM words GROUP BY 1"),
     "results_file": sql(TAGGED, "SELECT run, speaker, count(*) AS n_words FROM tagged, (VALUES ('first'), ('second')) v(run) GROUP BY 1, 2"),
@@ -247,7 +247,7 @@ SELECT conv_id, update_no, pos, word_idx, coalesce(lag(word_idx) OVER (PARTITION
     "language_model_features": sql(
         _TEST.replace("\nq AS (", """
 ex AS (SELECT w.conv_id, w.utt, w.idx, k, coalesce(x.word, '<s>') AS a, coalesce(y.word, '<s>') AS b, w.word AS c FROM words w JOIN (SELECT unnest(range(9)) AS k) ON k <= w.idx
-  LEFT JOIN words x ON x.conv_id = w.conv_id AND x.utt = w.utt AND x.idx = w.idx - k - 2 LEFT JOIN words y ON y.conv_id = w.conv_id AND y.utt = w.utt AND y.idx = w.idx - k - 1 WHERE w.speaker = 'user'),
+  LEFT JOIN words x ON x.conv_id = w.conv_id AND x.utt = w.utt AND x.idx = w.idx - k - 2 LEFT JOIN words y ON y.conv_id = w.conv_id AND y.utt = w.utt AND y.idx = w.idx - k - 1),
 q AS (""").replace("r.conv_id, r.utt, r.i - 1 AS \"at\"", "r.conv_id, r.utt, r.idx, r.k").replace("FROM (SELECT * FROM g WHERE conv_id % 5 = 0) r", "FROM ex r"),
         f""", lp AS (SELECT *, CASE WHEN p = 0 THEN 0 ELSE log2(p) END AS lp, CASE WHEN p1 = 0 THEN 0 ELSE log2(p1) END AS lp1 FROM prob), wm AS (SELECT *, CASE WHEN lp1 = 0 THEN 0 ELSE lp / -lp1 END AS wml FROM lp)
 SELECT conv_id, utt, idx, round(max(lp) FILTER (WHERE k = 0), 6) AS logprob, round(max(lp1) FILTER (WHERE k = 0), 6) AS logprob1, round(max(wml) FILTER (WHERE k = 0), 6) AS wml, {_BOOSTS} FROM wm GROUP BY 1, 2, 3""",

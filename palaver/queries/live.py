@@ -11,7 +11,7 @@ from palaver.operators import decoding, networks, repairs, source_model, trees
 from palaver.sources import readers, writers
 from palaver.streaming import tagger
 
-from .base import TAGGED, WORDS, folder, materialised, sql, table, tagged, words
+from .base import TAGGED, WORDS, by_line, folder, materialised, sql, table, tagged, words
 from .modelling import _model, pos_for_word
 
 UTT = ["conv_id", "utt"]
@@ -85,7 +85,7 @@ def tag_updates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _updates(spark: SparkSession, sf: str) -> DataFrame:
-    w = words(spark, sf).filter("speaker = 'user'")
+    w = by_line(words(spark, sf))
     before = F.lag("word").over(Window.partitionBy("conv_id").orderBy("pos"))
     again = (F.col("pos") % 6 == 5) & before.isNotNull()
     return w.select(F.col("conv_id").cast("string").alias("key"), F.col("pos").alias("update_no"), F.when(again, 1).otherwise(0).alias("rollback"), F.when(again, F.array(before, F.col("word"))).otherwise(F.array("word")).alias("words"), F.when(F.col("pos") % 150 == 149, "reset").when(F.col("pos") % 40 == 39, "commit").alias("control"))
@@ -96,7 +96,7 @@ def tag_updates_final(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def arg_max_tags(spark: SparkSession, sf: str) -> DataFrame:
-    w = words(spark, sf).filter("speaker = 'user'").groupBy(*UTT).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "word"))), lambda s: s["word"]).alias("words"))
+    w = words(spark, sf).groupBy(*UTT).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "word"))), lambda s: s["word"]).alias("words"))
 
     def run(batches):
         session = make_session()
@@ -151,7 +151,7 @@ def timing_classifier(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def word_vectors(spark: SparkSession, sf: str) -> DataFrame:
-    s = words(spark, sf).filter("speaker = 'user'").groupBy(*UTT).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "word"))), lambda x: x["word"]).alias("tokens"))
+    s = words(spark, sf).groupBy(*UTT).agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "word"))), lambda x: x["word"]).alias("tokens"))
     return networks.word_vectors(s).select("word")
 
 
@@ -252,7 +252,7 @@ f AS (
   SELECT user_id, n, CASE WHEN same THEN cur ELSE kept || [x] END, CASE WHEN same THEN 0 ELSE len(cur) - len(kept) END, CASE WHEN same THEN NULL ELSE x.w END
   FROM (SELECT u.user_id, u.n, f.cur, u.x, list_filter(f.cur, lambda y: y.e <= u.x.s) AS kept, coalesce(f.cur[len(list_filter(f.cur, lambda y: y.e <= u.x.s)) + 1] = u.x, false) AS same FROM f JOIN u ON u.user_id = f.user_id AND u.n = f.n + 1))
 SELECT user_id, n - 1 AS update_no, CAST(rollback AS INTEGER) AS rollback, CAST(len(cur) AS INTEGER) AS length, word FROM f""",
-    "word_vectors": sql(WORDS, "SELECT word FROM words WHERE speaker = 'user' GROUP BY 1 HAVING count(*) >= 2"),
+    "word_vectors": sql(WORDS, "SELECT word FROM words GROUP BY 1 HAVING count(*) >= 2"),
     "frequent_pos": sql(WORDS, ", n AS (SELECT word, ['NN', 'VB', 'JJ'][idx % 3 + 1] AS pos, count(*) AS n FROM words GROUP BY 1, 2) SELECT word, arg_min(pos, {'n': -n, 'pos': pos}) AS pos FROM n GROUP BY 1"),
     "tree_paths": """WITH e AS (SELECT event_id, list_transform(string_split(CAST(event_id AS VARCHAR), ''), lambda d: CAST(d AS INT)) AS a, list_transform(string_split(CAST(event_id * 7 % 1000 AS VARCHAR), ''), lambda d: CAST(d AS INT)) AS b FROM events)
 SELECT event_id, len(b) < len(a) AND a[1:len(b)] = b AS below, CAST(len(a) AS INTEGER) AS n_ancestors, CAST(len(list_filter(a, lambda d: d % 4 <> 0)) AS INTEGER) AS depth,
@@ -279,7 +279,7 @@ f AS (
 SELECT user_id, count(*) AS n_words, count(given) AS n_messages, CAST(max(given) + 1 AS BIGINT) AS n_ids FROM f GROUP BY 1"""
 ORACLES["arg_max_tags"] = sql(
     WORDS,
-    f""", w AS (SELECT conv_id, utt, idx, length(word) AS k, coalesce(word = lag(word, 1) OVER u, false) AS r1, coalesce(word = lag(word, 2) OVER u, false) AS r2 FROM words WHERE speaker = 'user' WINDOW u AS (PARTITION BY conv_id, utt ORDER BY idx)),
+    f""", w AS (SELECT conv_id, utt, idx, length(word) AS k, coalesce(word = lag(word, 1) OVER u, false) AS r1, coalesce(word = lag(word, 2) OVER u, false) AS r2 FROM words WINDOW u AS (PARTITION BY conv_id, utt ORDER BY idx)),
 e AS (SELECT conv_id, utt, idx, j, -((k * 7 + j * 5) % 11) / 2.0::DOUBLE + CASE WHEN j = 6 THEN CASE WHEN r1 THEN 4 ELSE -6 END WHEN j = 7 THEN CASE WHEN r2 THEN 4 ELSE -6 END ELSE 0 END AS e FROM w, (SELECT unnest(range({len(LABELS)})) AS j)),
 b AS (SELECT conv_id, utt, idx, -(max({{'e': e, 'j': -j}}).j) AS j FROM e GROUP BY 1, 2, 3)
 SELECT conv_id, utt, string_agg(([{', '.join(f"'{x}'" for x in LABELS)}])[j + 1], ' ' ORDER BY idx) AS tags FROM b GROUP BY 1, 2""",

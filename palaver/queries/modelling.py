@@ -105,7 +105,7 @@ def prefix_sums(spark: SparkSession, sf: str) -> DataFrame:
 
 def excision_features(spark: SparkSession, sf: str) -> DataFrame:
     model, _ = _model(spark, sf)
-    w = words(spark, sf).filter("speaker = 'user'")
+    w = words(spark, sf)
     return lm.excision_features(w, model, UTT, "idx").select(*UTT, "idx", "boost")
 
 
@@ -299,7 +299,7 @@ ORACLES["excision_features"] = sql(
         "\nq AS (",
         """
 ex AS (SELECT w.conv_id, w.utt, w.idx, k, coalesce(x.word, '<s>') AS a, coalesce(y.word, '<s>') AS b, w.word AS c FROM words w JOIN (SELECT unnest(range(9)) AS k) ON k <= w.idx
-  LEFT JOIN words x ON x.conv_id = w.conv_id AND x.utt = w.utt AND x.idx = w.idx - k - 2 LEFT JOIN words y ON y.conv_id = w.conv_id AND y.utt = w.utt AND y.idx = w.idx - k - 1 WHERE w.speaker = 'user'),
+  LEFT JOIN words x ON x.conv_id = w.conv_id AND x.utt = w.utt AND x.idx = w.idx - k - 2 LEFT JOIN words y ON y.conv_id = w.conv_id AND y.utt = w.utt AND y.idx = w.idx - k - 1),
 q AS (""",
     ),
     ", lp AS (SELECT *, CASE WHEN p = 0 THEN 0 ELSE log2(p) END AS lp FROM prob) SELECT conv_id, utt, idx, round(max(lp) FILTER (WHERE k > 0) - max(lp) FILTER (WHERE k = 0), 6) AS boost FROM lp GROUP BY 1, 2, 3",

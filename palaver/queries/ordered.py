@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from palaver.operators import joins, repairs
 from palaver.operators import sequences as seq
 
-from .base import TAGGED, WORDS, sql, table, tagged, words
+from .base import LINES, TAGGED, WORDS, by_line, sql, table, tagged, words
 
 LINE, BY = ["conv_id", "speaker"], ["pos"]
 KEY = ["conv_id", "speaker", "pos"]
@@ -222,7 +222,7 @@ def matrix_faults(spark: SparkSession, sf: str) -> DataFrame:
 
 def intensity_by_word(spark: SparkSession, sf: str) -> DataFrame:
     e = table(spark, sf, "events", "event_id", "user_id", "value").select((F.col("user_id") % 7).alias("channel"), (F.col("event_id") * 13 % 100000).alias("at"), "value")
-    w = words(spark, sf).filter("speaker = 'user'").select((F.col("conv_id") % 7).alias("channel"), "conv_id", "speaker", "pos", "start_ms", "end_ms")
+    w = by_line(words(spark, sf)).select((F.col("conv_id") % 7).alias("channel"), "conv_id", "speaker", "pos", "start_ms", "end_ms")
     out = joins.mean_over(e, w, ["channel"], ["channel", "conv_id", "speaker", "pos"], "at", "value", 1000)
     return out.select("conv_id", "pos", F.round("mean_value", 6).alias("mean_value"), F.col("n_points").cast("long").alias("n_points"))
 
@@ -342,8 +342,8 @@ SELECT conv_id, speaker, pos, word_idx, lag(word_idx, 1, -1) OVER (PARTITION BY
     "matrix_faults": sql(WORDS, "SELECT count(*) AS n_rows, count(*) FILTER (WHERE length(word) - 2 < 0 OR length(word) - 2 >= 12) AS bad_word_idx, CAST(0 AS BIGINT) AS bad_pos_idx, count(*) FILTER (WHERE pos % 50 = 0) AS bad_features FROM words"),
     "intensity_by_word": sql(
         WORDS,
-        """, e AS (SELECT user_id % 7 AS channel, event_id * 13 % 100000 AS at, value FROM events)
-SELECT conv_id, pos, round(avg(value), 6) AS mean_value, count(value) AS n_points FROM words w LEFT JOIN e ON w.conv_id % 7 = e.channel AND e.at > w.start_ms AND e.at <= w.end_ms WHERE speaker = 'user' GROUP BY conv_id, pos""",
+        f""", lw AS ({LINES} words), e AS (SELECT user_id % 7 AS channel, event_id * 13 % 100000 AS at, value FROM events)
+SELECT conv_id, pos, round(avg(value), 6) AS mean_value, count(value) AS n_points FROM lw w LEFT JOIN e ON w.conv_id % 7 = e.channel AND e.at > w.start_ms AND e.at <= w.end_ms GROUP BY conv_id, pos""",
     ),
     "range_semi_anti": "SELECT CASE WHEN conv_id % 3 = 0 THEN 'in' ELSE 'out' END AS side, count(*) AS n_turns FROM conversations GROUP BY 1",
     "previous_boundary": sql(TAGGED, "SELECT conv_id, speaker, pos, max(CASE WHEN contains(gold, 't/>') THEN end_ms END) OVER (PARTITION BY conv_id, speaker ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS last_boundary_ms FROM tagged"),

@@ -11,7 +11,7 @@ from palaver.operators import evaluation as ev
 from palaver.operators import repairs
 from palaver.plans import evaluation as plan
 
-from .base import TAGGED, WORDS, sql, table, tagged, words
+from .base import LINES, TAGGED, WORDS, by_line, sql, table, tagged, words
 
 LINE = ["conv_id", "speaker"]
 
@@ -150,8 +150,8 @@ def words_per_speaker_join(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _log(spark: SparkSession, sf: str) -> DataFrame:
-    """An update log over the users' words: one update a word, which repeats the word before every 5th word and so revokes it."""
-    t = tagged(spark, sf).filter("speaker = 'user'").select(*LINE, "pos", "word", "start_ms", "end_ms", "gold", "hyp")
+    """An update log over all words: one update a word, which repeats the word before every 5th word and so revokes it."""
+    t = by_line(tagged(spark, sf)).select(*LINE, "pos", "word", "start_ms", "end_ms", "gold", "hyp")
     again = t.select("*", F.explode(F.when((F.col("pos") % 5 == 4) & (F.col("pos") > 0), F.array(F.lit(1), F.lit(0))).otherwise(F.array(F.lit(0)))).alias("back"))
     before = t.select(*LINE, (F.col("pos") + 1).alias("pos"), F.col("word").alias("w1"), F.col("start_ms").alias("s1"), F.col("end_ms").alias("e1"), F.col("gold").alias("g1"))
     j = again.join(before, [*LINE, "pos"], "left")
@@ -172,13 +172,13 @@ def edit_overhead(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def time_to_detection(spark: SparkSession, sf: str) -> DataFrame:
-    gold = tagged(spark, sf).filter("speaker = 'user'").select(*LINE, "pos", "start_ms", "end_ms", F.col("gold").alias("tag"))
+    gold = by_line(tagged(spark, sf)).select(*LINE, "pos", "start_ms", "end_ms", F.col("gold").alias("tag"))
     return ev.time_to_detection(_log(spark, sf), gold, LINE, "<rps")
 
 
 def detection_of_all(spark: SparkSession, sf: str) -> DataFrame:
     """Every time that an onset was written right, the onset's own word counted."""
-    gold = tagged(spark, sf).filter("speaker = 'user'").select(*LINE, "pos", "start_ms", "end_ms", F.col("gold").alias("tag"))
+    gold = by_line(tagged(spark, sf)).select(*LINE, "pos", "start_ms", "end_ms", F.col("gold").alias("tag"))
     return ev.time_to_detection(_log(spark, sf), gold, LINE, "<rps", first=False, onset=True)
 
 
@@ -221,7 +221,7 @@ _REPORT = f""", labels AS (SELECT DISTINCT gold AS label FROM lab UNION SELECT D
 rep AS (SELECT label, count(*) FILTER (WHERE gold = label) AS support, count(*) FILTER (WHERE gold = label AND hyp = label) AS tp, count(*) FILTER (WHERE gold <> label AND hyp = label) AS fp, count(*) FILTER (WHERE gold = label AND hyp <> label) AS fn FROM lab, labels GROUP BY label),
 report AS (SELECT *, {_PRF} FROM rep)"""
 _RATES = ", rates AS (SELECT conv_id, speaker, n_words, n_utts, round(gn / n_words, 6) AS gold_per_word, round(gn / n_utts, 6) AS gold_per_utt, round(hn / n_words, 6) AS hyp_per_word, round(hn / n_utts, 6) AS hyp_per_utt FROM (SELECT conv_id, speaker, count(*) AS n_words, count(DISTINCT utt) AS n_utts, count(*) FILTER (WHERE contains(gold, '<rps')) AS gn, count(*) FILTER (WHERE contains(hyp, '<rps')) AS hn FROM tagged GROUP BY 1, 2))"
-_LOGS = """, u AS (SELECT * FROM tagged WHERE speaker = 'user'),
+_LOGS = f""", u AS ({LINES} tagged),
 log AS (
   SELECT conv_id, pos AS update_no, pos, word, start_ms, end_ms AS update_ms, pos + 1 AS n_words, hyp AS tag FROM u
   UNION ALL SELECT a.conv_id, a.pos, b.pos, b.word, b.start_ms, a.end_ms, a.pos + 1, b.gold FROM u a JOIN u b ON a.conv_id = b.conv_id AND b.pos = a.pos - 1 WHERE a.pos % 5 = 4),

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from palaver.operators import alignment, networks, repairs
-from palaver.queries.base import tagged, words
+from palaver.queries.base import by_line, tagged, words
 from palaver.queries.live import LABELS, make_session
 from palaver.streaming import tagger
 
@@ -273,7 +273,7 @@ def tagged_files(spark, sf):
     """Word by word, without files; an update's words are numbered from 0."""
     out = []
     lines: dict = {}
-    for r in words(spark, sf).filter("speaker = 'user'").select("conv_id", "pos", "word").orderBy("conv_id", "pos").collect():
+    for r in by_line(words(spark, sf)).select("conv_id", "pos", "word").orderBy("conv_id", "pos").collect():
         lines.setdefault(r["conv_id"], []).append(r["word"])
     for conv_id, said in lines.items():
         whole = _Whole()
