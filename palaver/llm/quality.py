@@ -215,7 +215,7 @@ def resample(docs: DataFrame, labels: DataFrame, k: int | None = None, **how) ->
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that resampling keeps, with all their columns. The cut-off key is found on the scores alone; the texts are scored
+    """The rows of ``docs`` that resampling keeps or that are no less likely in the target than in the raw text, with all their columns: only what speaks against a text drops it. The cut-off key is found on the scores alone; the texts are scored
     again rather than shuffled. Rows that tie with the cut-off stay."""
     kept, model = resample(docs, labels)
     lowest = kept.agg(F.min("key")).first()[0]
@@ -224,7 +224,7 @@ def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     draw = free_name("draw", docs.columns)
     weight = free_name("weight", [*docs.columns, draw])
     scored = score(docs.withColumn(draw, _draw()), model, [*docs.columns, draw], weight)
-    return scored.filter(gumbel_key(weight, F.col(draw)) >= F.lit(lowest)).select(*docs.columns)
+    return scored.filter((gumbel_key(weight, F.col(draw)) >= F.lit(lowest)) | (F.col(weight) >= 0)).select(*docs.columns)
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

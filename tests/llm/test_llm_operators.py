@@ -223,7 +223,7 @@ def test_quality_against_brute_force(spark, k):
     if k is None:
         kept = quality.keep_good(docs, marks)
         last = best[-1][2]
-        assert sorted(map(str, map(tuple, kept.collect()))) == sorted(str(r) for r, x in zip(rows, keys) if x >= last - 1e-12)
+        assert sorted(map(str, map(tuple, kept.collect()))) == sorted(str(r) for r, w, x in zip(rows, weights, keys) if x >= last - 1e-12 or w >= 0)
 
 
 def test_quality_edges(spark):
