@@ -6,9 +6,11 @@ of fingerprints and not with the pairs. Documents of one fingerprint are one nod
 
 * ``CLOSE``: 64 bits over 4-word shingles, links at 4 or fewer differing bits. A table keeps all but 4 of the blocks, in every choice, so every link shares a
   bucket: exact.
-* ``SIMILAR``: for links at a Jaccard similarity of 0.8 of 5-word shingles. Fingerprints of texts at that similarity differ in about 15 of 100
-  bits, too many to tell from 64, so there are 256, and links are at ``angle_bits(0.8)`` bits plus one standard deviation. The fingerprint is
-  split into blocks after each of several fixed shuffles of its bits, and a table is one block: a link shares one with the probabilities that ``chance`` gives.
+* ``SIMILAR``: links at a Jaccard similarity of 0.8 or more of 5-word shingles, and at no less. Fingerprints of texts at that similarity differ in about 15 of 100
+  bits, too many to tell from 64, so there are 256, and candidates are at ``angle_bits(0.8)`` bits plus two standard deviations. The fingerprint is
+  split into blocks after each of several fixed shuffles of its bits, and a table is one block: a candidate shares one with the probabilities that ``chance`` gives.
+  Texts are one node only if their sets of shingles are the same. A bucket gives a forest of least distances, and ``verified`` compares the sets of shingles of what it
+  gives: each node's closest candidate first, then the candidates between what these left apart.
 
 A bucket of over ``limit`` distinct fingerprints is handed on whole and cut again into longer keys. No bucket is cut off; at the last level any is compared whole. Fingerprints
 that very many documents hold are joined without one task getting them all (``common.join_counted``).
@@ -31,7 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import join_counted, materialise, read_table, texts
+from .common import join_counted, join_narrow, materialise, read_table, texts, written
 from .components import connected_components
 
 SHINGLE = 4
@@ -44,19 +46,25 @@ PAIRS = 1 << 20
 
 
 class Scheme(NamedTuple):
-    """How texts become fingerprints of 64 * ``words`` bits, at how many differing bits they link, the bit masks (a row of ``words`` a table) of every level, and how
-    many fingerprints a bucket may hold before it is cut again."""
+    """How texts become fingerprints of 64 * ``words`` bits, at how many differing bits they link, the bit masks (a row of ``words`` a table) of every level, how
+    many fingerprints a bucket may hold before it is cut again, and the Jaccard similarity of shingles that links must have (0: the bits decide)."""
 
     shingle: int
     words: int
     radius: int
     levels: tuple[np.ndarray, ...]
     limit: int
+    similarity: float = 0.0
 
     @property
     def columns(self) -> list[str]:
         return [f"f{i}" for i in range(self.words)]
 
+    @property
+    def node(self) -> list[str]:
+        """Columns that texts of one node agree in: the fingerprint and, where similarity is verified, a digest of the set of shingles."""
+        return [*self.columns, "s"] if self.similarity else self.columns
+
 
 def all_choices(blocks: int, radius: int = RADIUS) -> np.ndarray:
     """Masks of 64 bits for all choices of ``blocks - radius`` blocks."""
@@ -92,8 +100,8 @@ def chance(distance: int, bits: int, block: int, shuffles: int) -> float:
 def similar(similarity: float = 0.8, shingle: int = 5, words: int = 4) -> Scheme:
     bits = 64 * words
     mean = angle_bits(similarity, bits)
-    radius = int(mean + math.sqrt(mean * (1 - mean / bits)))
-    return Scheme(shingle, words, radius, tuple(shuffled_blocks(words, b, s) for b, s in ((16, 4), (24, 16), (32, 64))), 4_000)
+    radius = int(mean + 2 * math.sqrt(mean * (1 - mean / bits)))
+    return Scheme(shingle, words, radius, tuple(shuffled_blocks(words, b, s) for b, s in ((16, 4), (24, 16), (32, 64))), 4_000, similarity)
 
 
 #: Blocks a fingerprint is cut into, level by level; a table keeps all but RADIUS of them.
@@ -154,9 +162,9 @@ def fingerprint(text: bytes, shingle: int = SHINGLE) -> int:
 
 
 def fingerprints(docs: DataFrame, scheme: Scheme = CLOSE, row: str | None = None) -> DataFrame:
-    """doc_id, the scheme's columns (signed longs) and the long column ``row``, if one is named, for each row of ``docs(doc_id, text)``."""
+    """doc_id, the scheme's columns of a node (signed longs) and the long column ``row``, if one is named, for each row of ``docs(doc_id, text)``."""
     carried = [row] if row else []
-    names = ["doc_id", *scheme.columns, *carried]
+    names = ["doc_id", *scheme.node, *carried]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -166,9 +174,12 @@ def fingerprints(docs: DataFrame, scheme: Scheme = CLOSE, row: str | None = None
                 held += len(hashes[-1])
                 if held >= READ_HASHES or at + len(hashes) == batch.num_rows:
                     found = fingerprint_rows(hashes, scheme.words).view(np.int64)
+                    if scheme.similarity:
+                        digests = np.array([xxh64_intdigest(np.unique(np.array(h, np.uint64)).tobytes(), SEED) for h in hashes], np.uint64)
+                        found = np.column_stack([found, digests.view(np.int64)])
                     here = slice(at, at + len(hashes))
                     columns = [c.slice(here.start, len(hashes)) for c in (batch.column(0), *(batch.column(2 + i) for i in range(len(carried))))]
-                    yield pa.RecordBatch.from_arrays([columns[0], *(pa.array(found[:, i].copy()) for i in range(scheme.words)), *columns[1:]], names=names)
+                    yield pa.RecordBatch.from_arrays([columns[0], *(pa.array(found[:, i].copy()) for i in range(found.shape[1])), *columns[1:]], names=names)
                     hashes, held, at = [], 0, here.stop
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried).mapInArrow(run, ", ".join(f"{c} long" for c in names))
@@ -198,7 +209,26 @@ def forest(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
     return (np.concatenate(a), np.concatenate(b)) if a else (none, none)
 
 
-def _links(keys: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+def nearest_forest(prints: np.ndarray, radius: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning forest (row numbers) of the links among fingerprints with the least sum of distances: at any smaller radius, its links of that radius connect what all such links do."""
+    left = np.arange(1, len(prints))
+    best, via = np.full(left.size, 64 * prints.shape[1] + 1), np.zeros(left.size, np.int64)
+    here, a, b = 0, [], []
+    while left.size:
+        found = distances(prints[left], prints[here])
+        closer = found < best
+        best[closer], via[closer] = found[closer], here
+        at = int(best.argmin())
+        here = int(left[at])
+        if best[at] <= radius:
+            a.append(int(via[at]))
+            b.append(here)
+        keep = np.arange(left.size) != at
+        left, best, via = left[keep], best[keep], via[keep]
+    return np.array(a, np.int64), np.array(b, np.int64)
+
+
+def _links(keys: np.ndarray, prints: np.ndarray, radius: int, search=forest) -> tuple[np.ndarray, np.ndarray]:
     """Links (row numbers) within whole buckets; rows are sorted by key. Small buckets are compared all at once by their distance in rows."""
     starts = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if keys.size else np.empty(0, np.int64)
     sizes = np.diff(np.r_[starts, keys.size])
@@ -214,15 +244,17 @@ def _links(keys: np.ndarray, prints: np.ndarray, radius: int) -> tuple[np.ndarra
         a.append(x[near])
         b.append(y[near])
     for start, n in zip(starts[sizes > 8], sizes[sizes > 8]):
-        x, y = forest(prints[start : start + n], radius)
+        x, y = search(prints[start : start + n], radius)
         a.append(start + x)
         b.append(start + y)
     return np.concatenate(a), np.concatenate(b)
 
 
 def _bucket_links(classes: DataFrame, scheme: Scheme, level: int) -> DataFrame:
-    """a, b, over: links of classes(cls, fingerprint columns), or (over) the key and the class of every row of a bucket over the limit."""
+    """a, b, over: links of classes(cls, fingerprint columns), or (over) the key and the class of every row of a bucket over the limit. Where similarity is verified also
+    ``d``, the number of differing bits."""
     masks = scheme.levels[level]
+    search = nearest_forest if scheme.similarity else forest
     last = level == len(scheme.levels) - 1
     prints = lambda batch, at: np.stack([batch.column(at + i).to_numpy(zero_copy_only=False) for i in range(scheme.words)], axis=1).view(np.uint64)
 
@@ -248,8 +280,14 @@ def _bucket_links(classes: DataFrame, scheme: Scheme, level: int) -> DataFrame:
         none = np.empty(0, np.int64)
         held_k, held_c, held_f, over = none, none, np.empty((0, scheme.words), np.uint64), None
 
-        def out(a: np.ndarray, b: np.ndarray, is_over: bool) -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"a": pa.array(a), "b": pa.array(b), "over": pa.array(np.full(a.size, is_over))})
+        def out(a: np.ndarray, b: np.ndarray, is_over: bool, d: np.ndarray | None = None) -> pa.RecordBatch:
+            columns = {"a": pa.array(a), "b": pa.array(b), "over": pa.array(np.full(a.size, is_over))}
+            return pa.RecordBatch.from_pydict(columns | ({"d": pa.array(np.zeros(a.size, np.int64) if d is None else d)} if scheme.similarity else {}))
+
+        def linked(k: np.ndarray, c: np.ndarray, f: np.ndarray) -> Iterator[pa.RecordBatch]:
+            a, b = _links(k, f, scheme.radius, search)
+            if a.size:
+                yield out(c[a], c[b], False, distances(f[a], f[b]) if scheme.similarity else None)
 
         for batch in batches:
             k, c = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
@@ -264,26 +302,22 @@ def _bucket_links(classes: DataFrame, scheme: Scheme, level: int) -> DataFrame:
             k, c, f = np.concatenate([held_k, k]), np.concatenate([held_c, c]), np.concatenate([held_f, f])
             cut = int(np.searchsorted(k, k[-1])) if k.size else 0
             if cut:
-                a, b = _links(k[:cut], f[:cut], scheme.radius)
-                if a.size:
-                    yield out(c[a], c[b], False)
+                yield from linked(k[:cut], c[:cut], f[:cut])
             held_k, held_c, held_f = k[cut:], c[cut:], f[cut:]
             if not last and held_k.size > scheme.limit:
                 yield out(held_k, held_c, True)
                 over, held_k, held_c, held_f = held_k[0], none, none, held_f[:0]
-        a, b = _links(held_k, held_f, scheme.radius)
-        if a.size:
-            yield out(held_c[a], held_c[b], False)
+        yield from linked(held_k, held_c, held_f)
 
-    return dealt.mapInArrow(run, "a long, b long, over boolean")
+    return dealt.mapInArrow(run, "a long, b long, over boolean" + (", d long" if scheme.similarity else ""))
 
 
 def link_forest(classes: DataFrame, scheme: Scheme = CLOSE) -> DataFrame:
-    """Edges (a, b) among materialised classes(cls, fingerprint columns) that connect what all links found connect."""
+    """Edges (a, b, and d where similarity is verified) among materialised classes(cls, fingerprint columns) that connect what all links found connect."""
     edges, here = None, classes
     for level in range(len(scheme.levels)):
         found = materialise(_bucket_links(here, scheme, level))
-        mine = found.filter(~F.col("over")).select("a", "b")
+        mine = found.filter(~F.col("over")).drop("over")
         edges = mine if edges is None else edges.union(mine)
         if found.filter("over").isEmpty():
             break
@@ -291,13 +325,109 @@ def link_forest(classes: DataFrame, scheme: Scheme = CLOSE) -> DataFrame:
     return edges
 
 
+#: Bytes of shingle sets that are written together.
+SET_BYTES = 1 << 22
+#: Comparisons a text's set is listed for in one row.
+LISTED = 100_000
+
+
+def shingle_sets(rows: DataFrame, scheme: Scheme) -> DataFrame:
+    """(pair, shingles) for rows(row, text, pairs): the sorted distinct hashes of the text's shingles, once for every entry of ``pairs``."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, shingles, pairs, sets, held = None, b"", [], [], 0
+        for batch in batches:
+            for row, text, of in zip(batch.column(0).to_pylist(), texts(batch.column(1)), batch.column(2)):
+                if row != last:
+                    last, shingles = row, np.unique(np.array(shingle_hashes(text, scheme.shingle), np.uint64)).tobytes()
+                for pair in of.values.to_numpy(zero_copy_only=False).tolist():
+                    pairs.append(pair)
+                    sets.append(shingles)
+                    held += len(shingles) + 16
+                    if held >= SET_BYTES:
+                        yield pa.RecordBatch.from_pydict({"pair": pa.array(pairs, pa.int64()), "shingles": pa.array(sets, pa.binary())})
+                        pairs, sets, held = [], [], 0
+        if pairs:
+            yield pa.RecordBatch.from_pydict({"pair": pa.array(pairs, pa.int64()), "shingles": pa.array(sets, pa.binary())})
+
+    return rows.mapInArrow(run, "pair long, shingles binary")
+
+
+def are_similar(a: bytes, b: bytes, similarity: float) -> bool:
+    """Whether two sorted sets of 64-bit hashes have the similarity; two empty sets have it."""
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    if min(x.size, y.size) < similarity * max(x.size, y.size):
+        return False
+    union = np.union1d(x, y).size
+    return x.size + y.size - union >= similarity * union
+
+
+def similar_pairs(pairs: DataFrame, docs: DataFrame, row: str, scheme: Scheme) -> DataFrame:
+    """The rows (a, b) of materialised pairs(a, b, row_a, row_b) whose texts, rows of ``docs(row, text)``, have the scheme's similarity. A pair's two sets meet by its number, so no text
+    is a hot key however many pairs it has."""
+    numbered = materialise(pairs.withColumn("pair", F.monotonically_increasing_id()))
+    count = numbered.count()
+    ends = numbered.select(F.explode(F.array("row_a", "row_b")).alias(row), "pair")
+    lists = ends.groupBy(row, F.pmod("pair", F.lit(1 + 2 * count // LISTED)).alias("part")).agg(F.collect_list("pair").alias("pairs")).drop("part")
+    rows = join_narrow(docs.select(row, F.col("text").cast("string").alias("text")), lists, [row], "inner", 2 * count)
+    met = shingle_sets(rows.select(row, "text", "pairs"), scheme).repartition("pair").sortWithinPartitions("pair")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting: dict[int, bytes] = {}
+        for batch in batches:
+            same = []
+            for pair, shingles in zip(batch.column(0).to_pylist(), batch.column(1)):
+                other = waiting.pop(pair, None)
+                if other is None:
+                    waiting[pair] = shingles.as_py()
+                elif are_similar(other, shingles.as_py(), scheme.similarity):
+                    same.append(pair)
+            yield pa.RecordBatch.from_pydict({"pair": pa.array(same, pa.int64())})
+
+    return numbered.join(met.mapInArrow(run, "pair long"), "pair").select("a", "b")
+
+
+def verified(links: DataFrame, classes: DataFrame, docs: DataFrame, row: str, scheme: Scheme) -> DataFrame:
+    """Edges (a, b) that connect what the links(a, b, d) of the scheme's similarity connect; classes(cls, row) name a row of each class.
+
+    Every class's link of least distance is compared first. Of the others only those are compared that lead from one component of these to another, so
+    a large group costs about a comparison a text.
+    """
+    links = written(links.groupBy(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).agg(F.min("d").alias("d")).filter("a <> b"))
+    both = links.union(links.select("b", "a", "d"))
+    closest = both.groupBy(F.col("a").alias("cls")).agg(F.min(F.struct("d", "b")).alias("near"), F.count(F.lit(1)).alias("links"))
+    nodes = written(closest.join(classes.select("cls", F.col(row).alias("at")), "cls"))
+
+    def placed(pairs: DataFrame) -> DataFrame:
+        of = lambda side: nodes.select(F.col("cls").alias(side), F.col("at").alias(f"row_{side}"), "links")
+        first = join_counted(pairs.select("a", "b"), of("a"), ["a"], "links").drop("links")
+        return join_counted(first, of("b"), ["b"], "links").select("a", "b", "row_a", "row_b")
+
+    best = nodes.select(F.least("cls", "near.b").alias("a"), F.greatest("cls", "near.b").alias("b")).distinct()
+    first = written(similar_pairs(placed(best), docs, row, scheme))
+    roots = written(connected_components(first))
+    known = written(nodes.join(roots.withColumnRenamed("node", "cls"), "cls", "left").select("cls", F.coalesce("root", "cls").alias("root"), "links"))
+    of = lambda side: known.select(F.col("cls").alias(side), F.col("root").alias(f"root_{side}"), "links")
+    apart = join_counted(join_counted(links.select("a", "b"), of("a"), ["a"], "links").drop("links"), of("b"), ["b"], "links").filter("root_a <> root_b")
+    second = similar_pairs(placed(written(apart.select("a", "b").join(best, ["a", "b"], "left_anti"))), docs, row, scheme)
+    return written(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(second))
+
+
 def near_duplicates(docs: DataFrame, scheme: Scheme = CLOSE, row: str | None = None) -> DataFrame:
     """doc_id, the scheme's fingerprint columns and component_id for each row of ``docs(doc_id, text)``. With ``row``, the name of a long column, also that column and root:
-    a number for every component, which tells apart components of one name or none."""
+    a number for every component, which tells apart components of one name or none. A scheme that verifies similarity needs ``row``, a number of its own for each row."""
+    if scheme.similarity and not row:
+        raise ValueError("rows need numbers for their similarity to be verified")
     thin = materialise(fingerprints(docs, scheme, row))
-    prints = scheme.columns
-    classes = materialise(thin.groupBy(*prints).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n")).withColumn("cls", F.monotonically_increasing_id()))
-    roots = materialise(connected_components(link_forest(classes, scheme)))
+    prints = scheme.node
+    named_row = [F.min(row).alias(row)] if scheme.similarity else []
+    classes = materialise(thin.groupBy(*prints).agg(F.min("doc_id").alias("first"), F.count(F.lit(1)).alias("n"), *named_row).withColumn("cls", F.monotonically_increasing_id()))
+    if scheme.similarity:
+        links = verified(link_forest(classes, scheme), classes, docs, row, scheme)
+        classes = classes.drop(row)
+    else:
+        links = link_forest(classes, scheme)
+    roots = materialise(connected_components(links))
     of = roots.join(classes.select("cls", "first"), F.col("node") == F.col("cls"))
     names = of.groupBy("root").agg(F.min("first").alias("component_id"), F.count(F.lit(1)).alias("nodes"))
     named = join_counted(roots, materialise(names), ["root"], "nodes").select(F.col("node").alias("cls"), "root", "component_id")

@@ -592,14 +592,80 @@ def test_similar_texts_are_found(spark, limit):
         rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(other))]
         pairs.append((2 * i, similarity))
     assert sum(s >= 0.8 for _, s in pairs) > 200
-    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(spark.createDataFrame(rows, DOCS), simhash.SIMILAR._replace(limit=limit)).collect()}
-    close = [got[d] == got[d + 1] for d, s in pairs if s >= 0.82]
+    docs = spark.createDataFrame([(i, t, i) for i, t in rows], f"{DOCS}, row long")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, simhash.SIMILAR._replace(limit=limit), row="row").collect()}
+    close = [got[d] == got[d + 1] for d, s in pairs if s >= 0.8]
     assert np.mean(close) > 0.9 and all(c in (d, d - d % 2) for d, c in got.items())
+    assert not [d for d, s in pairs if s < 0.8 and got[d] == got[d + 1]]
+
+
+def _copies(rng, words: list[str], changes: int) -> list[str]:
+    out = list(words)
+    for at in rng.sample(range(len(words)), changes):
+        out[at] = f"new{rng.randrange(10**6)}"
+    return out
+
+
+@pytest.mark.parametrize("listed", [simhash.LISTED, 3])
+def test_groups_of_similar_texts_are_verified(spark, monkeypatch, listed):
+    """Groups whose texts are at different similarities: what is dropped has a text at 0.8, and components are those of the links at 0.8."""
+    monkeypatch.setattr(simhash, "LISTED", listed)
+    rng = random.Random(16)
+    texts = []
+    for _ in range(12):
+        base = [f"g{rng.randrange(4000)}" for _ in range(200)]
+        texts += [" ".join(_copies(rng, base, rng.randrange(0, 9))) for _ in range(25)]
+    texts += ["a a a a a a b", "a a a a a", None, "", "short text", "short text", "short  TEXT"]  # one fingerprint needs not be one set of shingles
+    sets = []
+    for t in texts:
+        words = (t or "").lower().split()
+        sets.append({tuple(words[k : k + 5]) for k in range(max(1, len(words) - 4))} if words else set())
+    like = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    root = list(range(len(texts)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    linked = [False] * len(texts)
+    for i in range(len(texts)):
+        for j in range(i):
+            if like(sets[i], sets[j]) >= 0.8:
+                linked[i] = True
+                root[max(find(i), find(j))] = min(find(i), find(j))
+    docs = spark.createDataFrame([(i, t, i) for i, t in enumerate(texts)], f"{DOCS}, row long")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.near_duplicates(docs, simhash.SIMILAR, row="row").collect()}
+    assert len({find(i) for i in range(300)}) > 20  # similarities spread on both sides of 0.8
+    assert all(find(c) == find(d) for d, c in got.items())
+    same = [got[i] == find(i) for i in range(len(texts))]
+    assert np.mean(same) > 0.95 and all(same[300:])
+    with pytest.raises(ValueError):
+        simhash.near_duplicates(docs, simhash.SIMILAR)
+
+
+def test_least_forest_keeps_components_at_every_radius():
+    rng = np.random.default_rng(5)
+    base = rng.integers(0, 2**63, (4, 4)).astype(np.uint64)
+    prints = np.concatenate([b ^ (rng.integers(0, 2**63, (30, 4)).astype(np.uint64) & rng.integers(0, 2**63, (30, 4)).astype(np.uint64) & rng.integers(0, 2**63, (30, 4)).astype(np.uint64)) for b in base])
+    a, b = simhash.nearest_forest(prints, 60)
+
+    def parts(pairs):
+        root = np.arange(len(prints))
+        for x, y in pairs:
+            root[root == root[y]] = root[x]
+        return {tuple(np.flatnonzero(root == r)) for r in root}
+
+    d = np.array([simhash.distances(prints, p) for p in prints])
+    for radius in (30, 40, 44, 48, 52, 60):
+        assert parts(np.argwhere(d <= radius)) == parts((x, y) for x, y in zip(a, b) if d[x, y] <= radius)
+    assert simhash.nearest_forest(prints[:0], 60)[0].size == simhash.nearest_forest(prints[:1], 60)[0].size == 0
 
 
 def test_chance_of_a_shared_block():
-    s = simhash.SIMILAR
-    assert simhash.chance(s.radius, 256, 16, 4) > 0.9 and simhash.chance(int(simhash.angle_bits(0.85, 256)), 256, 16, 4) > 0.99
+    bits = lambda s: int(simhash.angle_bits(s, 256))
+    assert simhash.chance(bits(0.8), 256, 16, 4) > 0.95 and simhash.chance(bits(0.85), 256, 16, 4) > 0.99
+    assert simhash.chance(bits(0.8) + 5, 256, 16, 4) > 0.9
     a, b = simhash.shuffled_blocks(4, 16, 4), simhash.shuffled_blocks(4, 16, 4)
     assert (a == b).all() and (np.bitwise_count(a).sum(axis=1) == 16).all()
 
