@@ -44,7 +44,7 @@ class Tagger:
         changed = self.replay(updates).filter("fault is null").select(F.col("key").alias("speaker"), F.col("version").alias("update_no"), F.col("idx").cast("long").alias("pos"), "tag")
         times = rows.select("speaker", F.col("pos").alias("update_no"), F.col("end").alias("update_time"))
         log = changed.join(rows.select("speaker", "pos", "start", "end", "word", "pos_tag"), ["speaker", "pos"]).join(times, ["speaker", "update_no"])
-        writers.write_text(writers.increco(log.withColumnRenamed("pos", "pos_in_update")), target, ["speaker", "update_no"])
+        writers.write_text(writers.increco(log.withColumnRenamed("pos", "pos_in_update")), target, ["speaker"], ("update_no",))
 
     def with_transitions(self, states: DataFrame, by: list[str], order: str) -> Tagger:
         """The tagger with transition probabilities counted on a table of states; the table of state pairs is bounded by the label set."""
