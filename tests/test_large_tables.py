@@ -2,6 +2,9 @@
 
 import contextlib
 
+from pyspark.sql import functions as F
+
+from palaver.operators import sequences as seq
 from palaver.queries import QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -20,3 +23,11 @@ def many_partitions(spark):
 def test_updates_of_a_speaker_stand_in_one_file(spark):
     with many_partitions(spark):
         assert {r["format"]: r["n_new"] for r in QUERIES["format_round_trips"](spark, SF).collect()} == dict.fromkeys(("detection", "timed", "increco", "easy"), 0)
+
+
+def test_ranks_do_not_depend_on_how_ranges_are_cut(spark):
+    rows = spark.range(60_000).select(F.col("id").alias("key"), F.md5(F.col("id").cast("string")).alias("text"))
+    with many_partitions(spark):
+        placed = seq.seeded_order(rows, "key", 3)
+        places = [r["place"] for r in placed.orderBy(F.md5(F.concat(F.lit("3:"), F.col("key").cast("string")))).select("place").collect()]
+    assert places == list(range(60_000))
