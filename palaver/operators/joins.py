@@ -11,6 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from palaver.sources.shared import materialised
+
 
 def _bucketed(df: DataFrame, start: str, end: str, bucket: int) -> DataFrame:
     first, last = F.floor(F.col(start) / bucket), F.floor((F.greatest(F.col(end) - 1, F.col(start))) / bucket)
@@ -67,11 +69,47 @@ def as_of(left: DataFrame, right: DataFrame, by: list[str], at: str, value: str,
     return both.withColumn(name, F.last("__v", ignorenulls=True).over(w)).filter("__side = 1").select(*columns, name)
 
 
+#: Values whose sums are kept as decimals of 18 places, and so exactly whatever is added and taken away; others are summed interval by interval.
+LEAST, MOST = 1e-6, 1e9
+
+
+def _upto(points: DataFrame, places: DataFrame, by: list[str], at: str, value: str, bucket: int) -> DataFrame:
+    """``places(by, at)`` with __n, __sum and __rest: how many points lie at or before each place, the sum of their values, and how many of them are left out of it. Points of a place are one row; sums run within
+    buckets, and the sums of the buckets before are added to them."""
+    size = F.abs(F.col(value).cast("double"))
+    rest = F.isnan(size) | (size >= MOST) | ((size > 0) & (size < LEAST))
+    decimal = F.when(~rest, F.col(value)).otherwise(0).cast("decimal(27,18)")
+    here = points.filter(F.col(at).isNotNull() & F.col(value).isNotNull()).groupBy(*by, at).agg(F.count(F.lit(1)).alias("__n"), F.sum(decimal).alias("__sum"), F.sum(rest.cast("long")).alias("__rest"), F.lit(False).alias("__asked"))
+    asked = places.select(*by, at, F.lit(0).cast("long").alias("__n"), F.lit(0).cast("decimal(37,18)").alias("__sum"), F.lit(0).cast("long").alias("__rest"), F.lit(True).alias("__asked"))
+    steps = here.unionByName(asked).withColumn("__bucket", F.floor(F.col(at) / bucket))
+    sums = ["__n", "__sum", "__rest"]
+    earlier = Window.partitionBy(*by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = steps.groupBy(*by, "__bucket").agg(*(F.sum(c).alias(c) for c in sums)).select(*by, "__bucket", *(F.sum(c).over(earlier).alias(f"{c}_before") for c in sums))
+    within = Window.partitionBy(*by, "__bucket").orderBy(at).rangeBetween(Window.unboundedPreceding, 0)
+    running = steps.select(*by, "__bucket", at, "__asked", *(F.sum(c).over(within).alias(c) for c in sums)).filter("__asked")
+    return running.join(buckets, [*by, "__bucket"]).select(*by, at, *((F.col(c) + F.coalesce(f"{c}_before", F.lit(0))).alias(c) for c in sums))
+
+
 def mean_over(points: DataFrame, intervals: DataFrame, by: list[str], key: list[str], at: str, value: str, bucket: int) -> DataFrame:
-    """Mean of the points' values within each interval; intervals without points are kept."""
-    hits = points_in_intervals(points.select(*by, at, value), intervals.select(*by, *[c for c in key if c not in by], "start_ms", "end_ms"), by, at, bucket)
-    means = hits.groupBy(*key).agg(F.avg(value).alias(f"mean_{value}"), F.count(F.lit(1)).alias("n_points"))
-    return intervals.join(means, key, "left").withColumn("n_points", F.coalesce("n_points", F.lit(0)))
+    """``key`` (which holds ``by``), the mean of the points' values over the intervals of each key, and n_points; keys without points are kept, null values do not count.
+
+    No point meets an interval: an interval's sum is the difference of two running sums, which are worked out once for each place where intervals start or end. Values that decimals do not hold are
+    added to the distinct intervals that they lie in.
+    """
+    ends = F.explode(F.array("start_ms", "end_ms")).alias(at)
+    proper = intervals.filter("start_ms < end_ms")
+    upto = materialised(_upto(points, proper.select(*by, ends).distinct(), by, at, value, bucket), "sums")
+    # a place between points holds what the place before it does
+    side = lambda c, name: upto.select(*by, F.col(at).alias(c), *(F.col(x).alias(f"{x}_{name}") for x in ("__n", "__sum", "__rest")))
+    span = [*by, "start_ms", "end_ms"]
+    distinct = proper.select(*span).distinct().join(side("start_ms", "s"), [*by, "start_ms"]).join(side("end_ms", "e"), [*by, "end_ms"])
+    found = materialised(distinct.select(*span, *((F.col(f"{x}_e") - F.col(f"{x}_s")).alias(x) for x in ("__n", "__sum", "__rest"))).filter("__n > 0"), "spans")
+    size = F.abs(F.col(value).cast("double"))
+    odd = points.filter(F.isnan(size) | (size >= MOST) | ((size > 0) & (size < LEAST))).select(*by, at, F.col(value).cast("double").alias("__odd"))
+    rest = points_in_intervals(odd, found.filter("__rest > 0").select(*span), by, at, bucket).groupBy(*span).agg(F.sum("__odd").alias("__odd"))
+    whole = found.join(rest, span, "left").select(*span, "__n", (F.col("__sum").cast("double") + F.coalesce("__odd", F.lit(0.0))).alias("__sum"))
+    sums = intervals.select(*key, "start_ms", "end_ms").join(whole, span, "left").groupBy(*key).agg(F.sum("__sum").alias("__sum"), F.coalesce(F.sum("__n"), F.lit(0)).alias("n_points"))
+    return sums.select(*key, F.try_divide("__sum", "n_points").alias(f"mean_{value}"), "n_points")
 
 
 def encode_rows(df: DataFrame, words: DataFrame, pos: DataFrame, tags: DataFrame, by: list[str], order: list[str]) -> DataFrame:

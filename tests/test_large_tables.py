@@ -1,9 +1,12 @@
 """What shows on large tables only, brought about on small ones by many partitions."""
 
 import contextlib
+import math
+import time
 
 from pyspark.sql import functions as F
 
+from palaver.operators import joins
 from palaver.operators import sequences as seq
 from palaver.queries import QUERIES
 
@@ -31,3 +34,21 @@ def test_ranks_do_not_depend_on_how_ranges_are_cut(spark):
         placed = seq.seeded_order(rows, "key", 3)
         places = [r["place"] for r in placed.orderBy(F.md5(F.concat(F.lit("3:"), F.col("key").cast("string")))).select("place").collect()]
     assert places == list(range(60_000))
+
+
+def test_means_over_intervals_without_pairs(spark):
+    """Half a million points at ten places, under a thousand intervals that hold most of them: 400 million pairs."""
+    points = spark.range(500_000).select(F.lit(1).alias("c"), (F.col("id") % 10 * 7).alias("at"), (F.col("id") % 100 / 4).alias("value"))
+    points = points.unionByName(spark.createDataFrame([(1, 101, float("nan")), (1, 201, 1e300), (1, 301, 1e-9), (1, 401, None), (2, 5, 1.0)], "c int, at long, value double"))
+    intervals = spark.range(1000).select(F.lit(1).alias("c"), F.col("id").alias("k"), (F.col("id") % 7 - 1).alias("start_ms"), (F.col("id") % 50 + 50).alias("end_ms"))
+    more = [(1, 2000, 100, 101), (1, 2001, 200, 201), (1, 2002, 300, 301), (1, 2003, 400, 401), (1, 2004, 5, 5), (3, 2005, 0, 90), (1, 2006, 14, 21), (1, 2006, 14, 21), (None, 2007, 0, 90)]
+    intervals = intervals.unionByName(spark.createDataFrame(more, "c int, k long, start_ms long, end_ms long"))
+    began = time.time()
+    got = {r["k"]: (r["mean_value"], r["n_points"]) for r in joins.mean_over(points, intervals, ["c"], ["c", "k"], "at", "value", 10).collect()}
+    assert time.time() - began < 60
+    by_place = {7 * i: [v / 4 for v in range(i, 100, 10)] for i in range(10)}
+    for k in range(1000):
+        held = [v for at, values in by_place.items() if k % 7 - 1 < at <= k % 50 + 50 for v in values]
+        assert got[k] == (sum(held) / len(held), len(held) * 5000)
+    assert math.isnan(got[2000][0]) and got[2000][1] == 1
+    assert [got[k] for k in range(2001, 2008)] == [(1e300, 1), (1e-9, 1), (None, 0), (None, 0), (None, 0), (sum(by_place[21]) / 10, 100_000), (None, 0)]
