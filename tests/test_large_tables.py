@@ -7,6 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from palaver.operators import joins
+from palaver.operators import language_model as lm
 from palaver.operators import sequences as seq
 from palaver.queries import QUERIES
 
@@ -52,3 +53,12 @@ def test_means_over_intervals_without_pairs(spark):
         assert got[k] == (sum(held) / len(held), len(held) * 5000)
     assert math.isnan(got[2000][0]) and got[2000][1] == 1
     assert [got[k] for k in range(2001, 2008)] == [(1e300, 1), (1e-9, 1), (None, 0), (None, 0), (None, 0), (sum(by_place[21]) / 10, 100_000), (None, 0)]
+
+
+def test_folds_are_not_counted_in_all_others(spark):
+    """What is kept for ten folds grows with the n-grams, not with n-grams times folds."""
+    rows = spark.range(400).select("id", F.transform(F.sequence(F.lit(1), F.lit(5)), lambda i: F.concat(F.lit("w"), (F.col("id") * 7 + i).cast("string"))).alias("tokens"))
+    kept = []
+    scored = lm.cross_validated(rows, "id", 10, keep=lambda df: kept.append(df.count()) or df)
+    assert scored.select("fold").distinct().count() == 10
+    assert sum(kept) <= 3 * 400 * 6
