@@ -10,6 +10,7 @@ from palaver.operators import joins
 from palaver.operators import language_model as lm
 from palaver.operators import sequences as seq
 from palaver.queries import QUERIES
+from palaver.sources import writers
 
 SF = "/root/testdata/sf0.001"
 
@@ -62,3 +63,9 @@ def test_folds_are_not_counted_in_all_others(spark):
     scored = lm.cross_validated(rows, "id", 10, keep=lambda df: kept.append(df.count()) or df)
     assert scored.select("fold").distinct().count() == 10
     assert sum(kept) <= 3 * 400 * 6
+
+
+def test_feature_rows_of_one_speaker_are_written_by_many_tasks(spark, tmp_path):
+    writers.matrices(spark.range(0, 8000, 1, 8).select(F.lit("a").alias("speaker"), F.array(F.col("id").cast("double")).alias("features")), str(tmp_path / "m"))
+    assert len(list((tmp_path / "m" / "speaker=a").glob("*.parquet"))) == 8
+    assert spark.read.parquet(str(tmp_path / "m")).count() == 8000
