@@ -6,6 +6,7 @@ import time
 
 from pyspark.sql import functions as F
 
+from palaver.llm import chats
 from palaver.operators import joins
 from palaver.operators import language_model as lm
 from palaver.operators import sequences as seq
@@ -69,3 +70,12 @@ def test_feature_rows_of_one_speaker_are_written_by_many_tasks(spark, tmp_path):
     writers.matrices(spark.range(0, 8000, 1, 8).select(F.lit("a").alias("speaker"), F.array(F.col("id").cast("double")).alias("features")), str(tmp_path / "m"))
     assert len(list((tmp_path / "m" / "speaker=a").glob("*.parquet"))) == 8
     assert spark.read.parquet(str(tmp_path / "m")).count() == 8000
+
+
+def test_chat_examples_have_one_form_at_any_size(spark):
+    """A short conversation and one whose whole examples come to over 8 Mi characters."""
+    conversations = spark.range(200).select((F.col("id") >= 4).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.repeat(F.lit("x"), 2000).alias("text"))
+    examples = chats.expand_prefix_targets(conversations)
+    assert [r["inline"] for r in examples.select("inline").distinct().collect()] == [False]
+    digests = [sorted(map(tuple, chats.digest(chats.expand_prefix_targets(conversations, n)).collect())) for n in (0, 100_000, None)]
+    assert digests[0] == digests[1] == digests[2]
