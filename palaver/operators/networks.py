@@ -7,12 +7,14 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import StandardScaler, VectorAssembler, Word2Vec
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .decoding import sliced
+
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1.0 / (1.0 + np.exp(-x))
@@ -142,12 +144,12 @@ def emissions(sequences: DataFrame, model, key: list[str], features: str = "feat
     shared = sequences.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
-        for pdf in batches:
-            out = [run_network(shared.value, np.array([np.asarray(r, float) for r in rows])).tolist() if len(rows) else [] for rows in pdf[features]]
-            yield pdf[key].assign(emissions=out)
+        for batch in sliced(batches):
+            out = [run_network(shared.value, np.array(rows, float)).tolist() if rows else [] for rows in batch.column(len(key)).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(key)], pa.array(out, pa.list_(pa.list_(pa.float64())))], names=[*key, "emissions"])
 
     kinds = dict(sequences.dtypes)
-    return sequences.select(*key, features).mapInPandas(run, ", ".join(f"`{k}` {kinds[k]}" for k in key) + ", emissions array<array<double>>")
+    return sequences.select(*key, features).mapInArrow(run, ", ".join(f"`{k}` {kinds[k]}" for k in key) + ", emissions array<array<double>>")
 
 
 def fit_timing_classifier(df: DataFrame, columns: tuple[str, ...] = ("d0", "d1", "d2"), label: str = "label"):
