@@ -58,7 +58,7 @@ TOGETHER = ((1, 1), (1, 2), (1, 3), (2, 1), (3, 1))
 
 def align(words: list[str], leaves: list[str]) -> list[list[int]]:
     """Leaves of each word, both given by their letters. Equal words and leaves at both ends stand for each other; what is between them gets the alignment in order that matches most letters, in which a word equals a leaf or up to
-    three leaves end to end, or a leaf equals up to three words. Of equally good ones it matches the earlier words."""
+    three leaves end to end, or a leaf equals up to three words. Of equally good ones it matches the most words, so a word that lacks its leaf does not take those of the words that it is made of; then the earlier ones."""
     found: list[list[int]] = [[] for _ in words]
     first, last = 0, 0
     short = min(len(words), len(leaves))
@@ -70,7 +70,8 @@ def align(words: list[str], leaves: list[str]) -> list[list[int]]:
         found[-last] = [len(leaves) - last]
     said, held = words[first : len(words) - last], leaves[first : len(leaves) - last]
     n, m = len(said), len(held)
-    # best[i][j]: letters that can be matched from word i and leaf j on; move[i][j]: the move that begins there
+    # best[i][j]: letters that can be matched from word i and leaf j on, and behind them the words, which weigh less than a letter; move[i][j]: the move that begins there
+    letter = n + 1
     best, move = [[0] * (m + 1) for _ in range(n + 1)], [bytearray(m) for _ in range(n)]
     for i in reversed(range(n)):
         word, row, below, moves = said[i], best[i], best[i + 1], move[i]
@@ -79,7 +80,7 @@ def align(words: list[str], leaves: list[str]) -> list[list[int]]:
             if word[0] == held[j][0]:
                 for k, (p, q) in enumerate(TOGETHER):
                     if i + p <= n and j + q <= m and "".join(said[i : i + p]) == "".join(held[j : j + q]):
-                        total = len("".join(said[i : i + p])) + best[i + p][j + q]
+                        total = len("".join(said[i : i + p])) * letter + p + best[i + p][j + q]
                         if total >= score:
                             score, which = total, k
             row[j], moves[j] = score, which

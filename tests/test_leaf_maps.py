@@ -53,6 +53,11 @@ def test_align_matches_most_letters(seed):
     assert matched == most_letters(words, leaves)
 
 
+@pytest.mark.parametrize("words, leaves, want", [("x thand th and y", "X th and Y", [[], [], [1], [2], []]), ("x th and thand y", "X th and Y", [[], [1], [2], [], []]), ("x ab a b ab y", "X a b Y", [[], [], [1], [2], [], []])])
+def test_a_word_without_leaf_does_not_take_those_of_its_parts(words, leaves, want):
+    assert leaf_maps.align(words.split(), leaves.split()) == want
+
+
 def test_leaf_map_over_turns_and_odd_rows(spark):
     said = {0: "I do n't know what".split(), 1: ["--", "you", None], 2: "don't you mean".split()}
     words = [("A", u, i, w) for u, ws in said.items() for i, w in enumerate(ws)] + [("A", None, 0, "x"), ("B", 0, 0, "alone"), (None, 0, 0, "nobody")]
