@@ -79,3 +79,13 @@ def test_chat_examples_have_one_form_at_any_size(spark):
     assert [r["inline"] for r in examples.select("inline").distinct().collect()] == [False]
     digests = [sorted(map(tuple, chats.digest(chats.expand_prefix_targets(conversations, n)).collect())) for n in (0, 100_000, None)]
     assert digests[0] == digests[1] == digests[2]
+
+
+def test_fluency_tags_of_a_long_utterance(spark, tmp_path):
+    """A turn of twenty thousand words with a repair onset every fourth one: two hundred million pairs of words."""
+    said = [f"a{i // 4}" if i % 4 < 2 else f"b{i}" for i in range(20_000)]
+    spark.createDataFrame([(7, 0, "user", " ".join(said))], "conv_id long, turn long, role string, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    began = time.time()
+    got = {r["idx"]: r["source_tag"] for r in QUERIES["source_model_tags"](spark, str(tmp_path)).collect()}
+    assert time.time() - began < 60
+    assert got == {i: "<e/>" if i % 4 == 0 else "<f/>" for i in range(20_000)}
