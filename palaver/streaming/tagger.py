@@ -288,10 +288,11 @@ def faults(rows: DataFrame) -> DataFrame:
 
 def final_view(rows: DataFrame) -> DataFrame:
     """The tags that stand: in each part the highest version of each position below the length of the part's last version."""
-    good = rows.filter("fault is null")
-    last = F.max(F.struct("version", "length")).over(Window.partitionBy("key", "part"))["length"]
-    standing = good.withColumn("__last", last).filter(F.col("idx") < F.col("__last"))
-    return standing.groupBy("key", "part", "idx").agg(F.max_by(F.struct("word", "tag"), "version").alias("v")).select("key", "part", "idx", "v.word", "v.tag")
+    # both windows read the same sort
+    whole = Window.partitionBy("key", "part").orderBy("idx", F.col("version").desc()).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    newest = Window.partitionBy("key", "part", "idx").orderBy(F.col("version").desc())
+    good = rows.filter("fault is null").withColumn("__last", F.max(F.struct("version", "length")).over(whole)["length"]).withColumn("__n", F.row_number().over(newest))
+    return good.filter((F.col("idx") < F.col("__last")) & (F.col("__n") == 1)).select("key", "part", "idx", "word", "tag")
 
 
 class _Logged:

@@ -11,7 +11,9 @@ from palaver.operators import joins
 from palaver.operators import language_model as lm
 from palaver.operators import sequences as seq
 from palaver.queries import QUERIES
+from palaver.queries.live import make_session
 from palaver.sources import writers
+from palaver.streaming import tagger
 
 SF = "/root/testdata/sf0.001"
 
@@ -89,3 +91,19 @@ def test_fluency_tags_of_a_long_utterance(spark, tmp_path):
     got = {r["idx"]: r["source_tag"] for r in QUERIES["source_model_tags"](spark, str(tmp_path)).collect()}
     assert time.time() - began < 60
     assert got == {i: "<e/>" if i % 4 == 0 else "<f/>" for i in range(20_000)}
+
+
+def test_a_session_works_out_each_transition_once(spark):
+    session, calls = make_session(), []
+    state_of = session.lattice.state_of
+    session.lattice.state_of = lambda *at: calls.append(at) or state_of(*at)
+    for i in range(500):
+        session.add(["ab", "abc", "abc", "b"][i % 4 : i % 4 + 1])
+    assert session.length == 500 and len(calls) == len(set(calls))
+
+
+def test_final_view_sorts_once(spark):
+    rows = [("a", v, 0, n, i, w, t, f) for v, n, i, w, t, f in ((0, 2, 0, "x", "p", None), (0, 2, 1, "y", "q", None), (1, 1, 0, "z", "r", None), (2, 1, None, None, None, None), (3, 9, None, None, None, "fault"))]
+    found = tagger.final_view(spark.createDataFrame(rows, tagger.OUTPUT.replace("long", "bigint")))
+    assert [tuple(r) for r in found.collect()] == [("a", 0, 0, "z", "r")]
+    assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
