@@ -13,6 +13,8 @@ from pyspark.ml.feature import StandardScaler, VectorAssembler, Word2Vec
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from palaver.sources.shared import materialised
+
 from .decoding import sliced
 
 
@@ -163,9 +165,11 @@ def fit_timing_classifier(df: DataFrame, columns: tuple[str, ...] = ("d0", "d1",
     return scaler, model
 
 
-def word_vectors(sentences: DataFrame, column: str = "tokens", size: int = 50, min_count: int = 2, seed: int = 1) -> DataFrame:
-    """(word, vector) trained on token arrays."""
-    return Word2Vec(inputCol=column, outputCol="v", vectorSize=size, minCount=min_count, seed=seed).fit(sentences).getVectors()
+def word_vectors(sentences: DataFrame, column: str = "tokens", size: int = 50, min_count: int = 2, seed: int = 1, task_words: int = 1_000_000) -> DataFrame:
+    """(word, vector) trained on token arrays. Up to ``task_words`` words are read in one sequence; more are dealt over as many tasks as that takes, whose vectors are averaged. Training reads the sentences twice, so they are written out."""
+    kept = materialised(sentences.select(column), "sentences")
+    n_words = kept.agg(F.sum(F.greatest(F.size(column), F.lit(0)))).first()[0] or 0
+    return Word2Vec(inputCol=column, outputCol="v", vectorSize=size, minCount=min_count, seed=seed, numPartitions=max(1, -(-n_words // task_words))).fit(kept).getVectors()
 
 
 def embedding_matrix(vocabulary: list[str], vectors: dict[str, np.ndarray], size: int = 50, seed: int = 0) -> np.ndarray:

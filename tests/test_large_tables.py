@@ -7,7 +7,7 @@ import time
 from pyspark.sql import functions as F
 
 from palaver.llm import chats
-from palaver.operators import joins
+from palaver.operators import joins, networks
 from palaver.operators import language_model as lm
 from palaver.operators import sequences as seq
 from palaver.queries import QUERIES
@@ -107,3 +107,17 @@ def test_final_view_sorts_once(spark):
     found = tagger.final_view(spark.createDataFrame(rows, tagger.OUTPUT.replace("long", "bigint")))
     assert [tuple(r) for r in found.collect()] == [("a", 0, 0, "z", "r")]
     assert "Aggregate" not in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_word_vectors_are_trained_by_many_tasks(spark):
+    """4,000 words, a thousand a task: the stages behind the deal of the sentences have four tasks, and all words have a vector."""
+    rows = spark.range(400).select(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda i: F.concat(F.lit("w"), ((F.col("id") + i) % 50).cast("string"))).alias("tokens"))
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("vectors", "word vectors")
+    try:
+        found = networks.word_vectors(rows, size=5, task_words=1000).collect()
+        last = max(s for j in tracker.getJobIdsForGroup("vectors") for s in tracker.getJobInfo(j).stageIds if tracker.getStageInfo(s) and "Word2Vec" in tracker.getStageInfo(s).name and tracker.getStageInfo(s).numTasks == 4)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert last and sorted(r["word"] for r in found) == sorted(f"w{i}" for i in range(50))
+    assert all(len(r["vector"]) == 5 for r in found)
