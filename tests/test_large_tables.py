@@ -121,3 +121,19 @@ def test_word_vectors_are_trained_by_many_tasks(spark):
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
     assert last and sorted(r["word"] for r in found) == sorted(f"w{i}" for i in range(50))
     assert all(len(r["vector"]) == 5 for r in found)
+
+
+def test_prefixes_are_not_shuffled_as_texts(spark):
+    """Two lines of 2,000 tokens, equal up to the 1,000th: 3,000 prefixes of 30 million characters together, and the operators that shuffle see 32 characters of each."""
+    line = lambda tail: F.transform(F.sequence(F.lit(1), F.lit(2000)), lambda i: F.concat(F.lit("token"), (i + F.when(i > 1000, tail).otherwise(0)).cast("string")))
+    rows = spark.range(2).select(line(F.col("id") * 5000).alias("line")).unionByName(spark.createDataFrame([(["token1"],), ([],), (["token1", "token2", "b c"],)], "line array<string>"))
+    found = seq.prefix_counts(rows)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(prefix" not in plan and "hashpartitioning(concat_ws" not in plan
+    got = {r["prefix"]: r["n_prefixes"] for r in found.collect()}
+    said = [[f"token{i + (5000 * k if i > 1000 else 0)}" for i in range(1, 2001)] for k in range(2)] + [["token1"], ["token1", "token2", "b c"]]
+    want = {}
+    for s in said:
+        for k in range(1, len(s) + 1):
+            want[" ".join(s[:k])] = want.get(" ".join(s[:k]), 0) + 1
+    assert got == want
