@@ -2,12 +2,13 @@
 
 import contextlib
 import math
+import random
 import time
 
 from pyspark.sql import functions as F
 
 from palaver.llm import chats
-from palaver.operators import joins, networks
+from palaver.operators import alignment, joins, networks
 from palaver.operators import language_model as lm
 from palaver.operators import sequences as seq
 from palaver.queries import QUERIES
@@ -137,3 +138,49 @@ def test_prefixes_are_not_shuffled_as_texts(spark):
         for k in range(1, len(s) + 1):
             want[" ".join(s[:k])] = want.get(" ".join(s[:k]), 0) + 1
     assert got == want
+
+
+def test_runs_of_zero_length_words_are_shared_out_after_one_sort(spark):
+    """Three lines over several batches, with runs that go on from batch to batch, against plain Python; the plan sorts once."""
+    n = lambda m: F.pmod(F.xxhash64("id", F.lit(m)), F.lit(m))
+    rows = spark.range(60_000).select((F.col("id") % 3).alias("c"), F.col("id").alias("pos"), F.lit("x").alias("word"), (F.col("id") * 10).alias("start_ms"), (F.col("id") * 10 + F.when((F.col("id") % 3 == 2) | (n(4) > 0) | (F.col("id") > 59_990), 0).otherwise(n(50) + 1)).alias("end_ms"))
+    rows = rows.unionByName(spark.createDataFrame([(4, 0, "x", None, None), (4, 1, "x", 5, 9), (5, 0, "x", None, 3), (None, 1, "x", 1, 1), (None, 2, "x", 1, 8)], "c long, pos long, word string, start_ms long, end_ms long"))
+    found = seq.spread_equal_times(rows, ["c"], ["pos"])
+    assert [f.name for f in found.schema] == rows.columns
+    got = {(r["c"], r["pos"]): (r["start_ms"], r["end_ms"]) for r in found.collect()}
+    assert found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].count("Sort [") == 1
+    lines, want = {}, {(4, 0): (5, 7), (4, 1): (7, 9), (5, 0): (None, None), (None, 1): (1, 4), (None, 2): (4, 8)}
+    for r in rows.filter("c < 4").orderBy("c", "pos").collect():
+        lines.setdefault(r["c"], []).append(r)
+    for c, line in lines.items():
+        run = []
+        for i, r in enumerate(line):
+            run.append(r)
+            if r["end_ms"] > r["start_ms"] or i == len(line) - 1:
+                a, b = min(x["start_ms"] for x in run), max(x["end_ms"] for x in run)
+                at = lambda j: a + j * (b - a) // len(run) if r["end_ms"] > r["start_ms"] else a + j * 300  # noqa: B023, E731
+                want |= {(c, x["pos"]): (at(j), at(j + 1)) for j, x in enumerate(run)}
+                run = []
+    assert got == want
+
+
+def test_first_alignments_of_many_pairs_at_once(monkeypatch):
+    r = random.Random(5)
+    side = lambda v: [r.choice("abCcDefgH"[: v + 1]) for _ in range(r.choice((0, 1, 2, 5, 12, 30)))]
+    pairs = [(side(v), side(v)) for v in (1, 2, 3, 8) * 200]
+    monkeypatch.setattr(alignment, "CELLS", 5000)
+    for (source, goal), found in zip(pairs, alignment.first_alignments(pairs)):
+        want = [-1] * len(goal)
+        for i, j, op, _ in alignment.best_alignments(source, goal)[0]:
+            if op in ("ID", "S_ARB"):
+                want[j] = i
+        assert found.tolist() == want
+
+
+def test_error_rates_of_long_lines():
+    """Sixty thousand tokens a side: 3.6 billion cells."""
+    r = random.Random(7)
+    a = [str(r.random() < 0.1) for _ in range(60_000)]
+    began = time.time()
+    assert alignment.token_distance(a, a[:100] + a[107:] + ["x"] * 3) in range(7, 11)
+    assert time.time() - began < 15
