@@ -8,12 +8,12 @@ import time
 from pyspark.sql import functions as F
 
 from palaver.llm import chats
-from palaver.operators import alignment, joins, networks
+from palaver.operators import alignment, joins, networks, repairs
 from palaver.operators import language_model as lm
 from palaver.operators import sequences as seq
 from palaver.queries import QUERIES
 from palaver.queries.live import make_session
-from palaver.sources import writers
+from palaver.sources import readers, writers
 from palaver.streaming import tagger
 
 SF = "/root/testdata/sf0.001"
@@ -184,3 +184,26 @@ def test_error_rates_of_long_lines():
     began = time.time()
     assert alignment.token_distance(a, a[:100] + a[107:] + ["x"] * 3) in range(7, 11)
     assert time.time() - began < 15
+
+
+def test_words_are_not_repeated_for_their_frames(spark):
+    words = spark.createDataFrame([("a", 0, 0.03), ("a", 1, 0.07), ("b", 0, 0.5), ("a", 2, 0.071)], "speaker string, pos int, end double")
+    frames = spark.createDataFrame([("a", f, float(f)) for f in (0, 2, 3, 5, 6, 7, 8)] + [("a", 4, None)], "speaker string, frame int, intensity double")
+    found = readers.frame_window(words, frames, "intensity", ["speaker"], 5)
+    assert "sequence(" not in found.select("pos")._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["speaker"], r["pos"]): r["intensity_window"] for r in found.collect()}
+    assert got == {("a", 0): [0.0, 0.0, 0.0, 2.0, 3.0], ("a", 1): [3.0, 0.0, 5.0, 6.0, 7.0], ("b", 0): [0.0] * 5, ("a", 2): [3.0, 0.0, 5.0, 6.0, 7.0]}
+
+
+def test_lines_are_not_sorted_for_their_headers(spark, tmp_path):
+    (tmp_path / "g").write_text("".join(f"name = t{i}\n" + "x\n" * 3 for i in range(20_000)))
+    lines = readers.spread(readers.numbered_lines(spark, str(tmp_path / "g")), name=readers._header("name = "))
+    assert "Window [last(__name" not in lines._jdf.queryExecution().optimizedPlan().toString()
+    assert {r["count"] for r in lines.groupBy("name").count().collect()} == {4} and lines.select("name").distinct().count() == 20_000
+
+
+def test_tags_are_turned_back_without_groups_of_pandas(spark):
+    rows = spark.createDataFrame([(1, 0, 1, "a", "<rm-1/><rpEndSub/><ct/>"), (1, 0, 0, "a", "<f/><tc/>")], "conv_id long, utt long, idx int, word string, inc string")
+    found = repairs.to_eval(rows)
+    assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r["idx"]: r["tag"] for r in found.collect()} == {0: '<rms id="1"/><tc/>', 1: '<rps id="1"/><rpnrep id="1"/><ct/>'}
