@@ -12,6 +12,7 @@ from palaver.operators import alignment, joins, networks, repairs
 from palaver.operators import language_model as lm
 from palaver.operators import sequences as seq
 from palaver.queries import QUERIES
+from palaver.queries.base import words
 from palaver.queries.live import make_session
 from palaver.sources import readers, writers
 from palaver.streaming import tagger
@@ -207,3 +208,36 @@ def test_tags_are_turned_back_without_groups_of_pandas(spark):
     found = repairs.to_eval(rows)
     assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
     assert {r["idx"]: r["tag"] for r in found.collect()} == {0: '<rms id="1"/><tc/>', 1: '<rps id="1"/><rpnrep id="1"/><ct/>'}
+
+
+def test_parts_are_loaded_with_one_sort(spark, tmp_path):
+    """Speakers of two parts over many splits of their files; one of them comes back after another, with line ends of another kind."""
+    said = [(part, f"{s}u", f"({i}:{i}:{i})", i / 10, i / 10 + 0.1, f"w{i % 7}", "NN", "<f/>") for part, n in (("train", 5), ("test", 3)) for s in range(n) for i in range(60 * s + 1)]
+    said.append(("test", None, "(0:0:0)", 0.0, 0.1, "w0", "NN", "<f/>"))
+    writers.write_timed_corpora(spark.createDataFrame(said, "part string, speaker string, ref string, start double, end double, word string, pos_tag string, tag string"), str(tmp_path), readers.PARTS)
+    files = [f.read_text() for f in tmp_path.glob("part=train/*.txt")]
+    assert sorted(line for f in files for line in f.split("\n") if line.startswith("Speaker")) == [f"Speaker: {s}u" for s in range(5)]
+    (tmp_path / "part=test" / "more.txt").write_bytes(b"".join(b"Speaker: %s\r\n\r\n" % s + b"".join(b"(0:0:%d)\t%d.0\t%d.5\tx%d\tNN\t<f/>\r\n" % (i, i, i, i) for i in range(k, k + 20)) for k, s in ((0, b"a"), (20, b"b"), (40, b"a"))))
+    vocabulary = spark.createDataFrame([(i, f"w{i}") for i in range(5)] + [(5, "<unk>")], "idx long, token string")
+    old = {k: spark.conf.get(k) for k in ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")}
+    try:
+        for k in old:
+            spark.conf.set(k, "500")
+        # no word is held out
+        loaded = readers.trio(spark, {p: str(tmp_path / f"part={p}") for p in readers.PARTS}, vocabulary)
+        plan = loaded._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Window [row_number() windowspecdefinition(part") == 1 and "lag(word" in plan and "regexp_replace" not in plan
+        got = sorted((r["part"], r["speaker"], r["pos"], r["word"], r["previous_word"], r["word_idx"]) for r in loaded.collect())
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    want = [(p, s or "", i, w, f"w{(i - 1) % 7}" if i else "", min(i % 7, 5)) for p, s, _, t, _, w, _, _ in said for i in [round(t * 10)]]
+    back = {"a": [*range(20), *range(40, 60)], "b": [*range(20, 40)]}
+    want += [("test", s, i, f"x{n}", f"x{ns[i - 1]}" if i else "", 5) for s, ns in back.items() for i, n in enumerate(ns)]
+    assert got == sorted(want)
+
+
+def test_words_are_not_copied_with_the_arrays_of_their_turn(spark):
+    plan = words(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    generated = next(line for line in plan.split("\n") if "Generate posexplode" in line)
+    assert "said" not in generated.split("false")[0].rsplit("[", 1)[-1] and "transform(" not in plan
