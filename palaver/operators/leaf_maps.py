@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 TRACE = "-NONE-"
-#: Letters of an anchor, and the fewest it may have at the end of a turn or tree; one place in SPARSE is tried, chosen by its letters.
-ANCHOR, LEAST, SPARSE = 24, 12, 4
+#: Letters of an anchor; one place in SPARSE is tried, chosen by its letters.
+ANCHOR, SPARSE = 24, 4
 
 
 def letters(token: Column) -> Column:
@@ -24,11 +24,12 @@ def letters(token: Column) -> Column:
 
 
 def _with_keys(units: DataFrame, by: list[str], group: str, at: str) -> DataFrame:
-    """``units(by, group, at, c)`` with ``place`` (their order in the stream) and ``key``: the letters from here on within the turn or tree, where they may be an anchor."""
-    line = Window.partitionBy(*by, group).orderBy(at)
-    ahead = F.concat_ws("", *(F.lead("c", k).over(line) if k else F.col("c") for k in range(ANCHOR // 2)))
-    key = F.substring(ahead, 1, ANCHOR)
-    chosen = (F.length(key) >= LEAST) & (F.pmod(F.xxhash64(key), F.lit(SPARSE)) == 0)
+    """``units(by, group, at, c)`` with ``place`` (their order in the stream) and ``key``: the letters around the place, half of them before it, where it may be an anchor. Letters run over the ends of turns and trees: cut there, a passage that is said
+    twice would meet the other one's leaves where a turn ends behind the one and a tree behind the other. At the first of the letters it would part words from their leaves where the word behind them, made of the same letters, lacks its own."""
+    line, half = Window.partitionBy(*by).orderBy(group, at), ANCHOR // 2
+    around = lambda first, last: F.concat_ws("", F.collect_list("c").over(line.rowsBetween(first, last)))
+    key = F.concat(F.right(around(-half, -1), F.lit(half)), F.left(around(0, half - 1), F.lit(half)))
+    chosen = (F.length(key) == ANCHOR) & (F.pmod(F.xxhash64(key), F.lit(SPARSE)) == 0)
     return units.select(*by, group, at, "c", F.struct(F.col(group).cast("long").alias("g"), F.col(at).cast("long").alias("i")).alias("place"), F.when(chosen, key).alias("key"))
 
 

@@ -89,3 +89,35 @@ def test_correlation_p(spark, r, n, p):
     else:
         assert got == pytest.approx(p, abs=1e-9)
     assert spark.createDataFrame([(r, 2)], "r double, n long").select(numbers.correlation_p(F.col("r"), F.col("n"))).first()[0] is None
+
+
+def test_a_passage_said_twice_keeps_its_leaves(spark):
+    """Behind the second one ends a turn, behind the first one a tree."""
+    turn, tree, of = [], [], {}
+    for line in range(60):
+        a, b, t, u, y = (f"{c}{line * 7919 % 9973:04d}" for c in ("aa", "bb", "t", "u", "y"))
+        spoken = [[a, b, t], [u, a, b], [y]]
+        words = [(k, i, w) for k, ws in enumerate(spoken) for i, w in enumerate(ws)]
+        for n, (k, i, w) in enumerate(words):
+            leaf = (0, n) if n < 2 else (1, n - 2)
+            turn.append((line, k, i, w))
+            # one word has lost its leaf
+            if w != u:
+                tree.append((line, *leaf, w, "NN"))
+            of[line, k, i] = [] if w == u else [leaf]
+    got = leaf_maps.leaf_map(spark.createDataFrame(turn, "who int, utt int, idx int, word string"), spark.createDataFrame(tree, "who int, tree int, leaf int, token string, pos string"), ["who"])
+    assert {(r["who"], r["utt"], r["idx"]): [(x["tree"], x["leaf"]) for x in r["nodes"]] for r in got.collect()} == of
+
+
+def test_a_word_without_leaf_behind_those_it_is_made_of(spark):
+    """What follows the words follows the longer one, too, in both streams: letters ahead alone would be an anchor at the wrong place."""
+    turn, tree, of = [], [], {}
+    for line in range(60):
+        more = [f"{c}{line * 7919 % 9973:04d}" for c in "stuvwxyz"]
+        spoken = [*more[:4], "bleed", "in", "bleedin", *more[4:]]
+        turn += [(line, 0, i, w) for i, w in enumerate(spoken)]
+        held = [i for i in range(len(spoken)) if i != 6]
+        tree += [(line, 0, n, spoken[i], "NN") for n, i in enumerate(held)]
+        of |= {(line, i): [held.index(i)] if i in held else [] for i in range(len(spoken))}
+    got = leaf_maps.leaf_map(spark.createDataFrame(turn, "who int, utt int, idx int, word string"), spark.createDataFrame(tree, "who int, tree int, leaf int, token string, pos string"), ["who"])
+    assert {(r["who"], r["idx"]): [x["leaf"] for x in r["nodes"]] for r in got.collect()} == of
